@@ -66,3 +66,9 @@ def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
         raise RuntimeError(f"the components did not settle in {limit} rounds")
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+
+
+def arrow_sized(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python workers: long texts must not meet in one batch of 10,000 rows."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, exact_dedup
-from newsloom.llm.common import documents
+from newsloom.llm import byte_bpe, decontaminate, exact_dedup, langid_ppm, simhash
+from newsloom.llm.common import documents, remainder
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op6_exact_dedup)}
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid_ppm.identify(docs, docs.where(remainder("doc_id", 4) != 2))
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.round("bits_per_byte", 4).alias("bits_per_byte"))
+
+
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_byte_bpe, op5_simhash, op6_exact_dedup, op9_langid)}
 ORACLE_SQL = {"op2_decontaminate": decontaminate.SQL, "op6_exact_dedup": exact_dedup.SQL}
