@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import byte_bpe, decontaminate, exact_dedup, langid_ppm, sharding, simhash, suffix_tree_lm, toxicity_zstd
+from newsloom.llm import byte_bpe, decontaminate, exact_dedup, langid_ppm, license_scan, sharding, simhash, substring_dedup, suffix_tree_lm, toxicity_zstd
 from newsloom.llm.common import documents, remainder
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -27,6 +27,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(documents(spark, sf_dir))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -50,5 +54,9 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.round("bits_per_byte", 4).alias("bits_per_byte"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_byte_bpe, op5_simhash, op6_exact_dedup, op7_sharding, op8_suffix_tree_lm, op9_langid)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_byte_bpe, op4_substring_dedup, op5_simhash, op6_exact_dedup, op7_sharding, op8_suffix_tree_lm, op9_langid, op10_license_scan)}
 ORACLE_SQL = {"op2_decontaminate": decontaminate.SQL, "op6_exact_dedup": exact_dedup.SQL, "op7_sharding": sharding.SQL}
