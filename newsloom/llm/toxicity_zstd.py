@@ -12,6 +12,7 @@ labels are alike, every score is the share of label 1 (0 without labels). Rows t
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from newsloom.llm.common import arrow_sized
 
 #: The bound of the sample: documents of label 1 and of label 0, and characters of each.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 2_000, 5_000, 6_000
-WINDOW, ORDINARY_BYTES, LEAST_SHARE, RATIO = 128, 16 << 10, 0.03, 20.0
+WINDOW, ORDINARY_BYTES, LEAST_SHARE, RATIO = 128, 16 << 10, 0.03, 40.0
 #: Differences in bytes that count as a toxic window; the calibration weighs them.
 STEPS = (2, 4, 7)
 _WORD = regex.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -52,6 +53,15 @@ def segments(data: bytes) -> set[bytes]:
     return words | {w[:k] for w in words for k in (4, 5, 6, 8, 10) if len(w) > k}
 
 
+def apart(texts: list[bytes]) -> list[bytes]:
+    """One of each group of near copies, so that a copied text doesn't pass for a common way to speak: copies share the
+    two least hashes of their words."""
+    kept: dict[tuple[int, ...], bytes] = {}
+    for t in texts:
+        kept.setdefault(tuple(sorted({zlib.crc32(w) for w in t.split()})[:2]), t)
+    return list(kept.values())
+
+
 def train(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """The contents of the ordinary and of the toxic dictionary."""
     parts = [w for t in ordinary for w in windows(t)]
@@ -59,6 +69,7 @@ def train(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
         base = zstandard.train_dictionary(ORDINARY_BYTES, parts[:20_000]).as_bytes()
     except zstandard.ZstdError:  # too little text to train on
         base = b" ".join(ordinary)[:ORDINARY_BYTES]
+    toxic, ordinary = apart(toxic), apart(ordinary)
     of, against = Counter(), Counter()
     for t in toxic:
         of.update(segments(t))
@@ -66,9 +77,14 @@ def train(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
         against.update(segments(t))
     share = lambda w: of[w] / len(toxic)
     good = [w for w, c in of.items() if len(w) >= 4 and c >= 3 and share(w) >= LEAST_SHARE and share(w) >= RATIO * (against[w] + 0.5) / len(ordinary)]
+    # A beginning gives way to the longer one that nearly always follows it; what a kept beginning begins adds nothing.
+    longer: dict[bytes, int] = {}
+    for w in good:
+        for k in range(4, len(w)):
+            longer[w[:k]] = max(longer.get(w[:k], 0), of[w])
     kept: set[bytes] = set()
-    for w in sorted(good, key=len):  # a beginning stands for the words it begins, unless they are long
-        if len(w) >= 8 or not any(w[:k] in kept for k in range(4, len(w))):
+    for w in sorted((w for w in good if longer.get(w, 0) < 0.9 * of[w]), key=len):
+        if not any(w[:k] in kept for k in range(4, len(w))):
             kept.add(w)
     return base, base + b" " + b" ".join(sorted(kept, key=lambda w: (of[w], w))) + b" "
 
