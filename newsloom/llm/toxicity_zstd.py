@@ -5,7 +5,7 @@ ordinary documents; the toxic one holds the same content and, nearest to the tex
 and their beginnings) whose share of toxic documents is high and many times their share of ordinary ones. A text is cut at
 blanks into windows; each window is compressed under both, and only what the toxic dictionary adds can make a difference.
 Thresholds on the windows' differences, and the logistic curve from a text's windows to a probability, are calibrated on
-a part of the sample that trained no dictionary.
+each third of the sample under dictionaries of the other two thirds.
 
 Null and empty texts have no window and get the score of a text without toxic windows. If nothing is labelled, or all
 labels are alike, every score is the share of label 1 (0 without labels). Rows that repeat are scored each by itself; other columns are not read."""
@@ -122,17 +122,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
 
 
 def fit(rows: list[tuple[str | None, int]]) -> tuple[bytes, bytes, np.ndarray | None, float]:
-    """Dictionaries from two thirds of the rows, the curve from the rest; and the share of label 1."""
+    """Dictionaries from all rows; the curve from each third under dictionaries of the other two. And the share of label 1."""
     share = sum(y for _, y in rows) / len(rows) if rows else 0.0
     data = [(folded(t), y) for t, y in rows]
     by = {y: [t for t, z in data if z == y] for y in (0, 1)}
     if min(map(len, by.values())) < 3:
         return b"", b"", None, share
-    first = {y: [t for i, t in enumerate(ts) if i % 3] for y, ts in by.items()}
-    rest = [(t, y) for y, ts in by.items() for i, t in enumerate(ts) if i % 3 == 0]
-    ordinary, toxic = train(first[1], first[0])
-    scorer = Scorer(ordinary, toxic, None)
-    return ordinary, toxic, logistic(np.array([scorer.features(t) for t, _ in rest]), np.array([y for _, y in rest], float)), share
+    x, y = [], []
+    for fold in range(3):
+        scorer = Scorer(*train(*([t for i, t in enumerate(by[k]) if i % 3 != fold] for k in (1, 0))), None)
+        for k, texts in by.items():
+            x += [scorer.features(t) for t in texts[fold::3]]
+            y += [k] * len(texts[fold::3])
+    return *train(by[1], by[0]), logistic(np.array(x), np.array(y, float)), share
 
 
 def sample(labelled: DataFrame, toxic: int = SAMPLE_TOXIC, ordinary: int = SAMPLE_ORDINARY, chars: int = SAMPLE_CHARS) -> list[tuple[str | None, int, float]]:
