@@ -199,3 +199,21 @@ def overlap_filter(articles: DataFrame) -> DataFrame:
         F.count(F.when(F.expr("is_templated = false OR is_templated IS NULL"), 1)).alias("null_kept"),
         F.count(F.when(F.expr("NOT coalesce(is_excluded, false) AND tf_topic IN ('politics', 'health')"), 1)).alias("coalesced"),
     )
+
+
+def cluster_summary(summaries: DataFrame, run: int, cluster: int) -> DataFrame:
+    """[Q6] The summary of one cluster of a run, or no row. summaries: cluster_run_id, cluster_id, cluster_title, summary_text, key_points."""
+    one = summaries.where((F.col("cluster_run_id") == run) & (F.col("cluster_id") == cluster)).limit(1)
+    return one.select("cluster_title", F.col("summary_text").alias("neutral_summary"), F.coalesce("key_points", F.array().cast("array<string>")).alias("key_points"))
+
+
+def run_windows(windows: DataFrame, runs: DataFrame, run: int | None = None) -> DataFrame:
+    """[Q7] The windows of one run, or else of the newest run, by their start."""
+    of = windows.where(F.col("run_id") == run) if run is not None else windows.join(latest_run(runs, "newest").select(F.col("id").alias("run_id")), "run_id", "left_semi")
+    return of.orderBy("window_start")
+
+
+def topics_to_do(topics: DataFrame, labels: DataFrame) -> DataFrame:
+    """[H13] The topics of a run without any event label, so that an interrupted run goes on where it ended. labels: cluster_run_id, parent_cluster_id, is_event_cluster."""
+    done = labels.where("is_event_cluster").select("cluster_run_id", F.col("parent_cluster_id").alias("cluster_id")).distinct()
+    return topics.join(done, ["cluster_run_id", "cluster_id"], "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,3 +78,42 @@ def assign(scored: DataFrame, least: float) -> DataFrame:
     best = scored.select("id", "cluster", p).groupBy("id").agg(F.max(F.struct("p", (-F.col("cluster")).alias("less"))).alias("b"))
     taken: Column = F.when(F.col("b.p") >= least, -F.col("b.less"))
     return best.select("id", taken.alias("cluster"), F.round("b.p", 6).alias("similarity"))
+
+
+def refined_to_events(checks: DataFrame, articles: DataFrame, logit: Callable[[Column, Column], Column], least: float = 0.6, titles: int = 8) -> DataFrame:
+    """[H18] For each fact-check with a topic the event of that topic whose titles fit best: (id, sub_cluster_id, sub_similarity), null if none is enough.
+
+    An event stands for its ``titles`` earliest titles, of which those that share a root with the claim are scored by ``logit(claim, title)``;
+    ties go to the smaller event. Titles are cut by a window before they are joined."""
+    by = Window.partitionBy("sub_cluster_id").orderBy("published_on", "id")
+    first = articles.where("sub_cluster_id IS NOT NULL AND cluster_id IS NOT NULL").withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= titles).select("cluster_id", F.col("sub_cluster_id").alias("event"), "title")
+    claims = checks.where("cluster_id IS NOT NULL").select("id", "cluster_id", "claim_text")
+    pairs = claims.join(first, "cluster_id").where(shares_keywords(F.col("claim_text"), F.col("title")))
+    best = pairs.groupBy("id").agg(F.max(F.struct((1 / (1 + F.exp(-logit(F.col("claim_text"), F.col("title"))))).alias("p"), (-F.col("event")).alias("less"))).alias("b"))
+    enough = F.col("b.p") >= least
+    return claims.select("id").join(best, "id", "left").select("id", F.when(enough, -F.col("b.less")).alias("sub_cluster_id"), F.when(enough, F.round("b.p", 4)).alias("sub_similarity"))
+
+
+# Fixed values.
+TITLE_STARTS = ["fals |", "adevărat |", "parțial adevărat |", "context lipsă |", "fals:", "adevărat:", "parțial adevărat:", "context lipsă:"]
+CHIPS = {"true": "green", "partially_true": "green", "satire": "green", "unverifiable": "amber", "missing_context": "amber", "truncated": "amber", "ai_edited": "amber", "partially_false": "orange", "conspiracy_theory": "orange", "ai_generated": "orange", "doctored_photo": "orange", "false": "red", "disinformation": "red", "fake_news": "red", "war_propaganda": "red", "deepfake": "red", "scam": "red"}
+
+
+def is_fact_check(title: Column) -> Column:
+    """[G20] Whether a title begins with a verdict; a null title doesn't."""
+    low = F.trim(F.lower(F.coalesce(title, F.lit(""))))
+    out = F.lit(False)
+    for start in TITLE_STARTS:
+        out = out | low.startswith(start)
+    return out
+
+
+def chip(verdict: Column) -> Column:
+    """[G32] The colour of a verdict; amber for those without one."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in CHIPS.items() for x in pair)), verdict), F.lit("amber"))
+
+
+def pill(score: Column, good_when_high: bool) -> Column:
+    """[G32] good, bad or neutral by the thresholds 0.7 and 0.3; empty without a score."""
+    high, low = ("good", "bad") if good_when_high else ("bad", "good")
+    return F.when(score.isNull(), "").when(score >= 0.7, high).when(score < 0.3, low).otherwise("neutral")

@@ -136,15 +136,6 @@ def similar_names(names: DataFrame, name: str, least: float = 0.3) -> DataFrame:
     return names.select("name", F.round(sim, 6).alias("similarity")).where(F.col("similarity") >= least)
 
 
-def surnames(entities: DataFrame) -> DataFrame:
-    """[G9] A one-word person becomes the only longer person of its article that ends in it. entities: article_id, entity_text, entity_label."""
-    people = entities.where("entity_label = 'PERSON'").select("article_id", "entity_text").distinct()
-    long = people.where("instr(entity_text, ' ') > 0").select("article_id", F.substring_index("entity_text", " ", -1).alias("last"), F.col("entity_text").alias("full"))
-    one = long.groupBy("article_id", "last").agg(F.min("full").alias("full"), F.countDistinct("full").alias("n")).where("n = 1")
-    out = entities.join(one, (entities.article_id == one.article_id) & (entities.entity_text == one["last"]) & (entities.entity_label == "PERSON"), "left")
-    return out.select(entities.article_id, "entity_text", "entity_label", F.coalesce("full", "entity_text").alias("name"))
-
-
 def graph_stats(graph: DataFrame, rounds: int = 50) -> DataFrame:
     """[H24] Nodes, edges, components and the size of the largest, by least-label propagation over checkpoints."""
     e = both_ways(graph).select("a", "b")
@@ -165,3 +156,28 @@ def graph_stats(graph: DataFrame, rounds: int = 50) -> DataFrame:
             break
     sizes = now.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("nodes"), F.count(F.lit(1)).alias("components"), F.max("n").alias("largest"))
     return sizes.crossJoin(graph.agg(F.count(F.lit(1)).alias("edges")))  # one row each
+
+
+def resolve(graph: DataFrame, name: str) -> DataFrame:
+    """[G34] One row (canonical, found): the node that is the name but for case, or else the only node that has it as a part, or else the name."""
+    low = name.strip().lower()
+    nodes = both_ways(graph).select(F.col("a").alias("node")).distinct().where(F.lower("node").contains(low))
+    found = nodes.agg(F.min(F.when(F.lower("node") == low, F.col("node"))).alias("same"), F.min("node").alias("only"), F.count(F.lit(1)).alias("n"))
+    node = F.coalesce("same", F.when(F.col("n") == 1, F.col("only")))
+    return found.select(F.coalesce(node, F.lit(name.strip())).alias("canonical"), node.isNotNull().alias("found"))
+
+
+def paths(graph: DataFrame, a: str, b: str, *, k: int = 5, max_hops: int = 3, least_raw: int = 15, least_pmi: float = 0.5) -> DataFrame:
+    """[Q25, H27] Node-disjoint paths between two names, at most ten of at most three hops. Two equal or empty names raise ValueError,
+    and names of no node LookupError with the names; the two names are resolved first, which reads one row."""
+    asked = [a.strip(), b.strip()]
+    if not all(asked) or asked[0].lower() == asked[1].lower():
+        raise ValueError("two different names are needed")
+    nodes = both_ways(graph).select(F.col("a").alias("node"))
+    same = [F.min(F.when(F.lower("node") == x.lower(), F.col("node"))).alias(side) for side, x in zip("ab", asked)]
+    known = nodes.agg(*same).first()
+    missing = [x for x, node in zip(asked, known) if node is None]
+    if missing:
+        raise LookupError(f"no such node: {', '.join(missing)}")
+    found = path_candidates(graph, known["a"], known["b"], least_raw=least_raw, least_pmi=least_pmi)
+    return disjoint_paths(found.where(F.col("hops") <= min(max_hops, 3)), min(k, 10))

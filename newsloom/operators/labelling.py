@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from newsloom.functions.text import truncated
+
 
 def class_weights(rows: DataFrame, label: str, lo: float = 0.2, hi: float = 5.0) -> DataFrame:
     """[D22, H35] Inverse-frequency weights n / (classes * count), clamped."""
@@ -34,3 +36,23 @@ def route_axes(articles: DataFrame, outlets: DataFrame, political: list[str]) ->
     kind = outlets.select(F.col("id").alias("outlet_id"), "outlet_type")
     route = F.when(F.col("outlet_type") == "fact_checker", "neutral").when(F.col("tf_topic").isin(political), "model")
     return articles.join(kind, "outlet_id").select("id", route.alias("route")).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+
+
+def oversampling_weights(rows: DataFrame, label: str, classes: int, boosted: Column) -> DataFrame:
+    """[H35] (id, weight): rows / (classes * count of the label), twice that where ``boosted``; 1 without a label. The counts are one row a class."""
+    counted = rows.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    weights = counted.select("c", (F.sum("n").over(Window.partitionBy()) / (F.lit(classes) * F.col("n"))).alias("w"))
+    marked = rows.select("id", F.col(label).alias("c"), F.coalesce(boosted, F.lit(False)).alias("b")).join(weights, "c", "left")
+    return marked.select("id", F.round(F.when(F.col("w").isNull(), 1.0).otherwise(F.col("w") * F.when(F.col("b"), 2).otherwise(1)), 6).alias("weight"))
+
+
+def articles_block(articles: DataFrame, key: str, n: int, limit: int = 800) -> DataFrame:
+    """[G24] For each group the text of a prompt: its ``n`` earliest articles, numbered, with the kind of outlet, title and beginning.
+    articles: key, id, published_on, outlet_type, title, content_text; the window cuts a group before its texts are gathered."""
+    by = Window.partitionBy(key).orderBy("published_on", "id")
+    first = articles.where(F.col(key).isNotNull()).withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= n)
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    kind = F.coalesce(F.nullif("outlet_type", F.lit("")), F.lit("unknown"))
+    text = F.concat(F.lit("Articol "), F.col("rn").cast("string"), F.lit(" ("), kind, F.lit("): "), bare(F.col("title")), F.lit("\n"), truncated(bare(F.col("content_text")), limit))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("rn", text.alias("t")))), lambda x: x["t"])
+    return first.groupBy(key).agg(F.array_join(parts, "\n\n").alias("block"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,3 +35,9 @@ def hybrid_search(articles: DataFrame, query_vector: list[float], terms: list[st
     top = F.max("rrf").over(whole)
     tier = F.when((top >= 0.025) & (agree >= 3), "HIGH").when((top >= 0.020) | (agree >= 1), "MEDIUM").otherwise("LOW")
     return kept.withColumn("tier", tier).select("id", "dense_rank", "sparse_rank", "rrf", "tier")
+
+
+def query_text(text: Column, most: int = 512) -> Column:
+    """[Q26] A search text as it is embedded: without white space around it, at most ``most`` characters, prefixed; null if nothing is left."""
+    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.when(bare != "", F.concat(F.lit("query: "), F.substring(bare, 1, most)))

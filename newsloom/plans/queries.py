@@ -11,6 +11,7 @@ from newsloom.functions import text as T
 from newsloom.functions import vectors
 from newsloom.operators import analytics as A
 from newsloom.operators import clustering as C
+from newsloom.operators import entities as N
 from newsloom.operators import factchecks as K
 from newsloom.operators import graph as G
 from newsloom.operators import labelling as L
@@ -583,3 +584,137 @@ def insert_where_absent(n: News) -> DataFrame:
 @query(oracle("SELECT id FROM articles WHERE score_citation_quality IS NULL AND id > 100"))
 def work_scan(n: News) -> DataFrame:
     return sinks.due_work(sinks.after(n.articles, 100), "score_citation_quality").select("id")
+
+
+# Names.
+NAMES = [("Premierul Marcel Ciolacu", "", "Marcel Ciolacu"), ("Uniunii Europene", "uniune", "Uniunea Europeană"), ("Iranului", None, "Iran"), ("României", "România", "România"), ("Zelenski", None, "Volodimir Zelenski"), ("ONU", "onu_", "onu_"), ("Parti\u0163a_Mare", None, "Partița Mare"), ("Pala\u0163ul S\u0326tefan", None, "Palațul Ștefan"), ("Statelor Unite", "stat unit", "Statele Unite"), ("Comisie", "comisie european", "Comisia Europeană"), ("Iohannis, președinte", None, "Iohannis"), ("", "x", ""), (None, None, "")]
+_PEOPLE = "SELECT article_id, entity_text, 'PERSON' AS entity_label FROM entities WHERE length(entity_text) <= 6 UNION ALL SELECT article_id, 'Ana ' || entity_text, 'PERSON' FROM entities WHERE length(entity_text) <= 6 AND article_id % 3 < 2 UNION ALL SELECT article_id, 'Ion ' || entity_text, CASE WHEN article_id % 2 = 0 THEN 'PERSON' ELSE 'LOC' END FROM entities WHERE length(entity_text) <= 6 AND article_id % 3 = 0"
+
+
+def _people(n: News) -> DataFrame:
+    return n.spark.sql(_PEOPLE.replace("FROM entities", "FROM {entities}"), entities=n.entities)
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+
+
+@query(f"SELECT * FROM (VALUES {_values(NAMES)}) AS t(surface, lemma, name)")
+def normalised_names(n: News) -> DataFrame:
+    rows = n.spark.createDataFrame([r[:2] for r in NAMES], "surface string, lemma string")
+    return rows.withColumn("name", N.normalise(F.col("surface"), F.col("lemma")))
+
+
+@query(oracle(f"p AS ({_PEOPLE}) SELECT p.article_id, entity_text, entity_label, CASE WHEN entity_label = 'PERSON' AND c.n = 1 THEN c.f ELSE entity_text END AS name FROM p LEFT JOIN (SELECT article_id, string_split(entity_text, ' ')[-1] AS last, count(DISTINCT entity_text) AS n, min(entity_text) AS f FROM p WHERE entity_label = 'PERSON' AND contains(entity_text, ' ') GROUP BY ALL) c ON c.article_id = p.article_id AND c.last = p.entity_text"))
+def surname_merge(n: News) -> DataFrame:
+    return N.surnames(_people(n))
+
+
+_TAG = "CASE length(text) % 7 WHEN 0 THEN 'B-PERSON' WHEN 1 THEN 'I-PERSON' WHEN 2 THEN 'I-ORG' WHEN 3 THEN 'B-ORG' WHEN 4 THEN 'I-ORG' WHEN 5 THEN 'O' ELSE 'B-DATE' END"
+_SPANS = f"""w AS (SELECT article_id, pos, text, {_TAG} AS tag FROM (SELECT id AS article_id, unnest(range(len(string_split(title, ' ')))) AS pos, unnest(string_split(title, ' ')) AS text FROM articles)),
+    b AS (SELECT article_id, pos, substr(tag, 3) AS label FROM w WHERE tag LIKE 'B-%'), e AS (SELECT b.article_id, b.pos, b.label, (SELECT min(w.pos) FROM w WHERE w.article_id = b.article_id AND w.pos > b.pos AND w.tag <> 'I-' || b.label) AS stop FROM b),
+    s AS (SELECT e.article_id, e.pos AS start, trim(string_agg(w.text, ' ' ORDER BY w.pos)) AS entity_text, CASE e.label WHEN 'ORG' THEN 'ORGANIZATION' ELSE e.label END AS entity_label FROM e JOIN w ON w.article_id = e.article_id AND w.pos >= e.pos AND w.pos < coalesce(e.stop, 1000000) WHERE e.label <> 'DATE' GROUP BY ALL)"""
+
+
+def _spans(n: News) -> DataFrame:
+    words = n.articles.select(F.col("id").alias("article_id"), F.posexplode(F.split("title", " ")).alias("pos", "text"))
+    return N.spans(words.withColumn("tag", F.expr(_TAG)))
+
+
+@query(oracle(f"{_SPANS} SELECT article_id, start, entity_text, entity_label FROM s"))
+def tag_spans(n: News) -> DataFrame:
+    return _spans(n)
+
+
+_ODD = "CASE WHEN start % 5 = 0 THEN 'VIDEO ' || upper(entity_text) WHEN start % 5 = 1 THEN upper(substr(entity_text, 1, 1)) || substr(entity_text, 2) WHEN start % 5 = 2 THEN 'Digi ' || entity_text WHEN start % 5 = 3 THEN 'Foto*' || entity_text ELSE entity_text END"
+_BLOCKED = " OR ".join(f"contains(lower(t), '{b}')" for b in N.BLOCKED)
+
+
+@query(oracle(f"{_SPANS} SELECT article_id, start, t AS entity_text FROM (SELECT article_id, start, trim({_ODD}) AS t, entity_label FROM s) WHERE regexp_matches(t, '^\\p{{Lu}}') AND length(t) <= 60 AND NOT contains(t, '*') AND upper(t) NOT IN ('INTERVIU', 'EXCLUSIV', 'FOTO', 'UPDATE', 'VIDEO', 'DOCUMENT', 'LIVE', 'BREAKING') AND NOT starts_with(upper(t), 'VIDEO ') AND (entity_label <> 'ORGANIZATION' OR NOT ({_BLOCKED}))"))
+def plausible_spans(n: News) -> DataFrame:
+    named = _spans(n).withColumn("entity_text", F.trim(F.expr(_ODD)))
+    return named.where(N.plausible(F.col("entity_text"), F.col("entity_label"))).select("article_id", "start", "entity_text")
+
+
+_KNOWN = [("ana with",), ("IRON",), ("their own house",), ("that ion",), (" ",)]
+
+
+@query(oracle(f"""p AS ({_PEOPLE}), k AS (SELECT lower(trim(name)) AS k FROM (VALUES {_values(_KNOWN)}) AS t(name) WHERE trim(name) <> ''), a AS (SELECT DISTINCT article_id, 'ana ' || lower(min(entity_text)) || ' pop' AS k FROM entities WHERE article_id % 4 = 1 GROUP BY article_id),
+    hit AS (SELECT DISTINCT p.article_id, p.entity_text FROM p JOIN (SELECT NULL AS article_id, k FROM k UNION ALL SELECT article_id, k FROM a) x ON (x.article_id IS NULL OR x.article_id = p.article_id) AND (contains(x.k, lower(entity_text)) OR contains(lower(entity_text), x.k)
+      OR len(list_intersect(string_split(x.k, ' '), string_split(lower(entity_text), ' '))) >= 2))
+    SELECT article_id, entity_text, entity_label FROM p WHERE entity_label <> 'PERSON' OR NOT EXISTS (SELECT 1 FROM hit h WHERE h.article_id = p.article_id AND h.entity_text = p.entity_text)"""))
+def without_authors(n: News) -> DataFrame:
+    own = n.entities.where("article_id % 4 = 1").groupBy("article_id").agg(F.concat(F.lit("Ana "), F.lower(F.min("entity_text")), F.lit(" Pop")).alias("name"))
+    return N.without_authors(_people(n), n.spark.createDataFrame(_KNOWN, "name string"), own)
+
+
+@query(_graph_sql("""SELECT coalesce(node, x) AS canonical, node IS NOT NULL AS found FROM (SELECT x, coalesce((SELECT min(node) FROM deg WHERE lower(node) = lower(x)), (SELECT CASE WHEN count(*) = 1 THEN min(node) END FROM deg WHERE contains(lower(node), lower(x)))) AS node
+    FROM (VALUES ('wITH'), ('wit'), ('zzz')) AS t(x))"""))
+def resolved_names(n: News) -> DataFrame:
+    e = _edges(n)
+    return G.resolve(e, " wITH ").union(G.resolve(e, "wit")).union(G.resolve(e, "zzz"))
+
+
+# What the survey lists beside these.
+@query(f"SELECT * FROM (VALUES {', '.join(f'({i}, {v})' for i, v in enumerate(['true', 'false', 'false', 'false', 'false', 'false', 'false']))}) AS t(id, is_fact_check)")
+def fact_check_titles(n: News) -> DataFrame:
+    return n.spark.createDataFrame(list(enumerate(VERDICT_TITLES)), "id int, title string").select("id", K.is_fact_check(F.col("title")).alias("is_fact_check"))
+
+
+@query(oracle("""SELECT f.id, CASE verdict WHEN 'true' THEN 'green' WHEN 'satire' THEN 'green' WHEN 'false' THEN 'red' ELSE 'amber' END AS chip,
+    CASE WHEN c IS NULL THEN '' WHEN c >= 0.7 THEN 'good' WHEN c < 0.3 THEN 'bad' ELSE 'neutral' END AS citations, CASE WHEN s >= 0.7 THEN 'bad' WHEN s < 0.3 THEN 'good' ELSE 'neutral' END AS sensationalism
+    FROM fact_checks f JOIN (SELECT id, score_citation_quality AS c, score_sensationalism AS s FROM articles) a ON a.id = f.id"""))
+def score_pills(n: News) -> DataFrame:
+    scores = n.articles.select("id", "score_citation_quality", "score_sensationalism")
+    return n.fact_checks.select("id", "verdict").join(scores, "id").select("id", K.chip(F.col("verdict")).alias("chip"), K.pill(F.col("score_citation_quality"), True).alias("citations"), K.pill(F.col("score_sensationalism"), False).alias("sensationalism"))
+
+
+_ROOTS = """list_transform(list_filter(list_transform(regexp_split_to_array(lower(x), '\\s+'), lambda w: regexp_replace(w, '^[.,!?"''()„”:\\-–—]+|[.,!?"''()„”:\\-–—]+$', '', 'g')), lambda w: length(w) > 4), lambda w: substr(w, 1, 5))"""
+
+
+@query(oracle(f"""t AS (SELECT cluster_id, sub_cluster_id AS event, length(title) AS len, {_ROOTS} AS r FROM (SELECT *, title AS x, row_number() OVER (PARTITION BY sub_cluster_id ORDER BY published_on, id) AS rn FROM articles WHERE sub_cluster_id IS NOT NULL) WHERE rn <= 8),
+    c AS (SELECT id, cluster_id, length(x) AS len, {_ROOTS} AS r FROM (SELECT *, claim_text AS x FROM fact_checks WHERE cluster_id IS NOT NULL)),
+    b AS (SELECT c.id, t.event, 1 / (1 + exp(-((t.len + c.len + t.event) % 5 - 3.0))) AS p FROM c JOIN t ON t.cluster_id = c.cluster_id AND len(list_intersect(c.r, t.r)) > 0),
+    o AS (SELECT id, event, p, row_number() OVER (PARTITION BY id ORDER BY p DESC, event) AS rn FROM b)
+    SELECT c.id, CASE WHEN p >= 0.6 THEN event END AS sub_cluster_id, CASE WHEN p >= 0.6 THEN round(p, 4) END AS sub_similarity FROM c LEFT JOIN o ON o.id = c.id AND o.rn = 1"""))
+def refined_to_events(n: News) -> DataFrame:
+    # The reranker's place is taken by a function of the two texts and the event.
+    return K.refined_to_events(n.fact_checks, n.articles, lambda claim, title: (F.length(title) + F.length(claim) + F.col("event")) % 5 - 3.0)
+
+
+@query(oracle("""SELECT id, round(CASE WHEN tf_topic IS NULL THEN 1.0 ELSE (SELECT count(tf_topic) FROM articles) / (5.0 * (SELECT count(*) FROM articles b WHERE b.tf_topic = a.tf_topic)) * CASE WHEN tf_topic = 'justice' AND id % 5 = 0 THEN 2 ELSE 1 END END, 6) AS weight FROM articles a"""))
+def oversampling_weights(n: News) -> DataFrame:
+    return L.oversampling_weights(n.articles, "tf_topic", 5, (F.col("tf_topic") == "justice") & (F.col("id") % 5 == 0))
+
+
+@query(oracle(r"""SELECT sub_cluster_id, string_agg('Articol ' || rn || ' (' || outlet_type || '): ' || t || chr(10) || CASE WHEN length(c) <= 120 THEN c WHEN instr(reverse(substr(c, 1, 120)), ' ') > 0 AND 120 - instr(reverse(substr(c, 1, 120)), ' ') > 84 THEN substr(c, 1, 120 - instr(reverse(substr(c, 1, 120)), ' ')) || '…' ELSE substr(c, 1, 120) || '…' END, chr(10) || chr(10) ORDER BY rn) AS block
+    FROM (SELECT sub_cluster_id, outlet_type, regexp_replace(title, '^\s+|\s+$', '', 'g') AS t, regexp_replace(content_text, '^\s+|\s+$', '', 'g') AS c, row_number() OVER (PARTITION BY sub_cluster_id ORDER BY published_on, a.id) AS rn FROM articles a JOIN outlets o ON o.id = a.outlet_id WHERE sub_cluster_id IS NOT NULL) WHERE rn <= 3 GROUP BY 1"""))
+def articles_block(n: News) -> DataFrame:
+    kinds = n.outlets.select(F.col("id").alias("outlet_id"), "outlet_type")
+    return L.articles_block(n.articles.join(kinds, "outlet_id"), "sub_cluster_id", 3, 120)
+
+
+@query(oracle("SELECT DISTINCT cluster_run_id, cluster_id FROM articles WHERE cluster_id IS NOT NULL AND NOT (cluster_id % 3 = 0 AND cluster_run_id = 1)"))
+def topics_to_do(n: News) -> DataFrame:
+    topics = n.articles.where("cluster_id IS NOT NULL").select("cluster_run_id", "cluster_id").distinct()
+    labels = topics.where("cluster_id % 3 < 2").select("cluster_run_id", F.col("cluster_id").alias("parent_cluster_id"), (F.col("cluster_id") % 3 == 0).alias("is_event_cluster"))
+    return A.topics_to_do(topics, labels)
+
+
+@query("SELECT 2 AS run_id, DATE '2024-01-01' AS window_start, 5 AS articles_in UNION ALL SELECT 2, DATE '2024-01-08', 7")
+def run_windows(n: News) -> DataFrame:
+    windows = n.spark.sql("SELECT * FROM VALUES (1, DATE '2024-01-01', 3), (2, DATE '2024-01-08', 7), (2, DATE '2024-01-01', 5) AS t(run_id, window_start, articles_in)")
+    runs = n.spark.sql("SELECT * FROM VALUES (1, DATE '2024-02-01', null, false), (2, DATE '2024-02-09', null, false), (3, null, null, false) AS t(id, created_at, completed_at, has_event)")
+    return A.run_windows(windows, runs)
+
+
+@query(oracle("SELECT 'Topic 3' AS cluster_title, string_agg(t, ' | ' ORDER BY t) AS neutral_summary, 1 AS n_points FROM (SELECT DISTINCT tf_topic AS t FROM articles WHERE cluster_run_id = 1 AND cluster_id = 3)"))
+def cluster_summary(n: News) -> DataFrame:
+    by = n.articles.where("cluster_id IS NOT NULL").groupBy("cluster_run_id", "cluster_id").agg(F.array_join(F.array_sort(F.collect_set("tf_topic")), " | ").alias("summary_text"))
+    stored = by.withColumn("cluster_title", F.concat(F.lit("Topic "), F.col("cluster_id").cast("string"))).withColumn("key_points", F.array("cluster_title"))
+    return A.cluster_summary(stored, 1, 3).select("cluster_title", "neutral_summary", F.size("key_points").alias("n_points"))
+
+
+@query(oracle(r"SELECT id, CASE WHEN t <> '' THEN md5('query: ' || substr(t, 1, 512)) END AS digest FROM (SELECT id, regexp_replace(content_text, '^\s+|\s+$', '', 'g') AS t FROM articles)"))
+def query_texts(n: News) -> DataFrame:
+    return n.articles.select("id", F.md5(S.query_text(F.col("content_text"))).alias("digest"))

@@ -2,10 +2,14 @@
 
 from datetime import datetime
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
 from newsloom.operators import clustering as C
+from newsloom.operators import entities as N
+from newsloom.operators import graph as G
 from newsloom.operators import sinks
 from newsloom.plans import schedule
 from newsloom.streaming import ingest
@@ -57,3 +61,27 @@ def test_stream_equals_batch(spark, tmp_path):
     q = ingest.embed_stream(stream, encode, str(tmp_path / "out"), str(tmp_path / "cp"), backfill=True)
     assert q.awaitTermination(120)
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(7))
+
+
+def test_span_rules_of_the_parser(spark):
+    given = {("Tik Tok", "LOC"): False, ("a b", "PERSON"): False, ("Ana/Ion", "PERSON"): False, ("Mediafax SRL", "ORGANIZATION"): False, ("Mediafax", "PERSON"): True, ("X" * 41, "PERSON"): False, ("A b c d e f", "LOC"): False, ("A b c d e", "LOC"): True, ("FOTO", "EVENT"): False, (None, "GPE"): False}
+    df = spark.createDataFrame([(*k,) for k in given], "t string, l string").select("t", "l", N.plausible(F.col("t"), F.col("l"), "parser").alias("o"))
+    assert {(r["t"], r["l"]): r["o"] for r in df.collect()} == given
+
+
+def test_spans_end_where_the_label_changes(spark):
+    tags = ["O", "I-PERSON", "B-PERSON", "I-PERSON", "I-ORG", "I-PERSON", "B-ORG", "B-FACILITY", "I-FACILITY", "B-DATE", "O"]
+    words = spark.createDataFrame([(1, i, f"w{i}", t) for i, t in enumerate(tags)], "article_id int, pos int, text string, tag string")
+    found = {(r["start"], r["entity_text"], r["entity_label"]) for r in N.spans(words).collect()}
+    assert found == {(2, "w2 w3", "PERSON"), (6, "w6", "ORGANIZATION"), (7, "w7 w8", "LOC")}
+    assert N.spans(words.limit(0)).count() == 0
+
+
+def test_paths_between_names(spark):
+    graph = spark.createDataFrame([("Ana", "Ion", 20, 1.0), ("Ion", "Vlad", 20, 2.0), ("Ana", "Dan", 20, 1.0), ("Dan", "Vlad", 20, 1.0)], "source string, target string, weight_raw long, weight_pmi double")
+    assert [(r["path"], r["cost"]) for r in G.paths(graph, " ana", "VLAD").orderBy("path_id").collect()] == [("Ana > Ion > Vlad", 1.5), ("Ana > Dan > Vlad", 2.0)]
+    assert G.paths(graph, "ana", "vlad", max_hops=1).count() == 0
+    with pytest.raises(LookupError, match="Nobody"):
+        G.paths(graph, "Ana", "Nobody")
+    with pytest.raises(ValueError):
+        G.paths(graph, "Ana", "ANA ")
