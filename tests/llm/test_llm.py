@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -145,6 +146,49 @@ def test_suffix_tree(odd, empty):
     assert suffix_tree_lm.scores(empty, F.lit(True)).count() == 0
 
 
+def test_suffix_tree_words_against_brute_force(spark, monkeypatch):
+    """Every pair of words by hand; and the same scores if all pairs are dealt instead of broadcast."""
+    texts = ["a b c a b c a b d", "b c a b c a", "c a b \u00e9", "", "a b c zzz a b"]
+    docs = spark.createDataFrame(list(enumerate(texts * 9)), "doc_id long, text string")
+    many = {r["doc_id"]: r for r in suffix_tree_lm.scores(docs, F.col("doc_id") != 4).collect()}
+    monkeypatch.setattr(suffix_tree_lm, "PAIRS", 0)
+    dealt = {r["doc_id"]: r for r in suffix_tree_lm.scores(docs, F.col("doc_id") != 4).collect()}
+    assert len(many) == len(texts) * 9
+    for k in many:
+        assert abs(many[k]["score"] - dealt[k]["score"]) < 1e-4 and abs(many[k]["base_score"] - dealt[k]["base_score"]) < 1e-9
+
+    training = [t.encode().split() for k, t in enumerate(texts * 9) if k != 4]
+    words = Counter(w for t in training for w in t)
+    pairs = Counter(p for t in training for p in zip([None, *t], [*t, None]))
+    n, once = sum(words.values()) + len(training), max(1, sum(c == 1 for c in words.values()))
+    octets = Counter(b for t in training for b in b" ".join(t))
+    seen = sorted(octets, key=lambda b: (-octets[b], b))[: suffix_tree_lm.CLASSES - 2]
+    classes = np.zeros(256, np.uint8)
+    classes[seen] = np.arange(1, len(seen) + 1)
+    table = Counter()
+    for t in training:
+        s = [*classes[np.frombuffer(b"   " + b"   ".join(t), np.uint8)], suffix_tree_lm.END]
+        table.update(tuple(map(int, s[k : k + 4])) for k in range(len(s) - 3))
+    grams = np.array([((a * suffix_tree_lm.CLASSES + b) * suffix_tree_lm.CLASSES + c) * suffix_tree_lm.CLASSES + d for a, b, c, d in table])
+    tree = suffix_tree_lm.Tree(grams, np.array(list(table.values())), len(seen))
+    plain = {w: (words[w] + once * 10 ** tree.spell([w], classes)[0]) / (n + once) for w in words} | {None: len(training) / (n + once)}
+    totals = Counter(words) | Counter({None: len(training)})
+    states = {}
+    for w in totals:
+        kept = {b: c for (a, b), c in pairs.items() if a == w and c >= suffix_tree_lm.TWICE}
+        if sum(c * np.log(c / totals[w] / plain[b]) for b, c in kept.items()) >= suffix_tree_lm.DIVERGENCE:
+            states[w] = kept
+    assert 0 < len(states) < len(totals)
+    for k, text in enumerate(texts):
+        sequence, score = text.encode().split(), 0.0
+        if not all(w in words for w in sequence):
+            continue
+        for a, b in zip([None, *sequence], [*sequence, None]):
+            p, kept = plain[b], states.get(a, {})
+            score += np.log10((kept.get(b, 0) + (totals[a] - sum(kept.values()) + len(kept)) * p) / (totals[a] + len(kept)) if kept else p)
+        assert abs(score - many[k]["score"]) < 1e-3
+
+
 def test_suffix_tree_distributions():
     grams = np.arange(0, suffix_tree_lm.CLASSES**4, 9973)
     tree = suffix_tree_lm.Tree(grams, np.full(len(grams), 20), suffix_tree_lm.CLASSES - 2)
