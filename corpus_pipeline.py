@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import byte_bpe, decontaminate, exact_dedup, langid_ppm, simhash
+from newsloom.llm.common import row_key, without_rows
 from newsloom.llm.queries import RANKS
 
 #: A text that the best language needs more than this for, in bits a byte, is no language that was learned: a byte has 8.
@@ -19,9 +20,9 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those that no learned language codes in MOST_BITS bits a byte."""
-    bad = langid_ppm.identify(docs, docs).where((F.col("lang_pred") == "und") | (F.col("bits_per_byte") > MOST_BITS)).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """Rejects rows without a letter and those that no learned language codes in MOST_BITS bits a byte."""
+    found = langid_ppm.identify(docs.withColumn("__row", row_key()), docs, id_col="__row")
+    return without_rows(docs, found.where((F.col("lang_pred") == "und") | (F.col("bits_per_byte") > MOST_BITS)).select(F.col("doc_id").alias("key")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,28 @@ def remainder(doc_id: Column | str, of: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % of, F.lit(0))
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """The key of a row: rows of one key are alike in id (or both without one) and text."""
+    return F.xxhash64(F.col(id_col), F.col(id_col).isNull(), F.col(text_col))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose row_key() is not in the column key of ``gone``, with their columns."""
+    keyed = docs.withColumn("__row", row_key(id_col, text_col))
+    return keyed.join(gone.select(F.col("key").alias("__gone")).distinct(), F.col("__row") == F.col("__gone"), "left_anti").select(docs.columns)
+
+
+def staying_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay by ``decided`` (key, stays; a row for each row of ``docs`` that is not alone), of rows with one key one."""
+    odd = checkpointed(decided.groupBy("key").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("NOT stays OR n > 1").select("key", "stays"))
+    out = without_rows(docs, odd, id_col, text_col)
+    again = odd.where("stays").select(F.col("key").alias("__key"))
+    if again.isEmpty():
+        return out
+    keyed = docs.withColumn("__row", row_key(id_col, text_col))
+    return out.unionByName(keyed.join(again, F.col("__row") == F.col("__key"), "left_semi").dropDuplicates(["__row"]).select(docs.columns))
+
+
 def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether ``df`` (already materialised) has few enough rows to be broadcast."""
     return df.count() * row_bytes <= limit

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import checkpointed, small_enough
+from newsloom.llm.common import checkpointed, row_key, small_enough, without_rows
 
 WINDOW, GRAM = 10, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -111,9 +111,9 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without any window of the benchmark, with their columns."""
-    bad = decontaminate(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """The rows of ``docs`` without any window of the benchmark, with their columns; each is judged on its own text, whatever its id."""
+    found = decontaminate(docs.withColumn("__row", row_key()), benchmark, id_col="__row")
+    return without_rows(docs, found.where("contaminated").select(F.col("doc_id").alias("key")))
 
 
 _WORDS = rf"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import checkpointed
+from newsloom.llm.common import checkpointed, row_key, staying_rows
 
 #: Bits of the filter for each row, and at most: 2**29 bits are 64 MB. Beyond that more rows shuffle; results stay the same.
 BITS_PER_ROW, MOST_BITS, BLOCK = 16, 1 << 29, 32_768
@@ -34,8 +34,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal normalised texts the row with most code points in the original text stays, of those the smallest id."""
+    return _decided(docs, id_col, text_col, bits_per_row, most_bits, False)
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, bits_per_row: int, most_bits: int, by_row: bool) -> DataFrame:
+    """exact_dedup(); by row, those rows only that may have copies, as key and stays: true for the rows of one key in each group."""
+    own = ["key"] if by_row else []
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = checkpointed(docs.select(F.col(id_col).alias("doc_id"), F.length(text).alias("n"), F.sha2(normalised(text_col), 256).alias("text_sha256")))
+    rows = checkpointed(docs.select(F.col(id_col).alias("doc_id"), F.length(text).alias("n"), F.sha2(normalised(text_col), 256).alias("text_sha256"), *([row_key(id_col, text_col).alias("key")] if by_row else [])))
     bits = BLOCK
     n = rows.count()
     while bits < min(n * bits_per_row, most_bits):
@@ -53,19 +59,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return joined.withColumn(f"hit{k}", F.expr(f"coalesce((shiftright({byte}, cast(cell{k} % 8 as int)) & 1) = 1, false)")).drop("bits", "block_")
 
     first, second = _cells("text_sha256", bits)
-    flagged = looked_up(looked_up(rows.withColumns({"cell0": first, "cell1": second}), 0), 1).withColumn("maybe", F.expr("hit0 and hit1")).select("doc_id", "n", "text_sha256", "maybe")
+    flagged = looked_up(looked_up(rows.withColumns({"cell0": first, "cell1": second}), 0), 1).withColumn("maybe", F.expr("hit0 and hit1")).select("doc_id", "n", "text_sha256", "maybe", *own)
     alone = flagged.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    again = flagged.where("maybe").select("doc_id", "n", "text_sha256")
-    best = F.min(F.struct((-F.col("n")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id"))
+    again = flagged.where("maybe").select("doc_id", "n", "text_sha256", *own)
+    best = F.min(F.struct((-F.col("n")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", *own))
     groups = again.groupBy("text_sha256").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    if by_row:
+        return again.join(groups, "text_sha256").select("key", (F.col("key") == F.col("best.key")).alias("stays"))
     met = again.join(groups, "text_sha256").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("best.doc_id")).alias("kept"), "text_sha256")
     return alone.unionByName(met)
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
-    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    """The rows of ``docs`` that stay, with their columns: one of each group, decided by row, not by id."""
+    return staying_rows(docs, _decided(docs, id_col, text_col, BITS_PER_ROW, MOST_BITS, True), id_col, text_col)
 
 
 SQL = r"""

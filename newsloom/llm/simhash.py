@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import arrow_sized, checkpointed, connected_components
+from newsloom.llm.common import arrow_sized, checkpointed, connected_components, row_key, staying_rows
 
 WORDS, SEED, DISTANCE, GROUPS = 4, 42, 4, 7
 #: Cells up to this size compare all their pairs at once, larger ones grow a spanning forest; both are exact.
@@ -50,14 +50,20 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) for each row."""
-    arrow_sized(docs.sparkSession)
+    return _fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+
+
+def _fingerprints(rows: DataFrame) -> DataFrame:
+    """Of rows (columns, text): the columns and fp."""
+    names, schema = rows.columns[:-1], ", ".join(f"{c} long" for c in rows.columns[:-1])
+    arrow_sized(rows.sparkSession)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = [fingerprint(t) for t in batch.column(len(names)).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], [*names, "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(prints, "doc_id long, fp long")
+    return rows.mapInArrow(prints, f"{schema}, fp long")
 
 
 def embedding(fp: str) -> Column:
@@ -152,6 +158,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name their component; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """One row of each component, decided by row: that of the smallest id, one without an id only where no other is in the component."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    prints = checkpointed(_fingerprints(rows))
+    best = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    classes = prints.groupBy("fp").agg(F.min(best).alias("least"))
+    found = connected_components(links(classes.select("fp"), DISTANCE))
+    rooted = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("best"))
+    of = rooted.join(named, "root").select("fp", F.col("best.key").alias("best"))
+    return staying_rows(docs, prints.join(of, "fp").select("key", (F.col("key") == F.col("best")).alias("stays")), id_col, text_col)

@@ -257,6 +257,28 @@ def test_folds(spark):
     assert all(r["r"] == zlib.crc32(str(r["id"]).encode()) % 4 for r in df.collect())
 
 
+def test_pipeline_decides_by_row(spark):
+    """Clean rows that share a null or repeated id with a rejected row stay; copies without an id go."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    clean = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40)) for _ in range(7)]
+    leak = "the planted answer of the benchmark stands here word by word"
+    texts = [(1, clean[0]), (None, clean[0]), (None, clean[1]), (None, clean[1]), (None, clean[2]), (2, clean[3]), (2, clean[0]), (None, "12 34"), (2, "- -"), (None, clean[4] + " " + leak), (2, clean[5] + " " + leak), (None, clean[6]), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts], "doc_id long, text string, lang string")
+    items = spark.createDataFrame([("a", leak)], "item_id string, text string")
+    said = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    letters = Counter(x for x in texts if x[1] and any(map(str.isalpha, x[1])))
+    assert said(corpus_pipeline.language(spark, docs, "")) == letters
+    copies = Counter({x: 1 for x in texts if x not in ((None, clean[0]), (2, clean[0]))})
+    assert said(exact_dedup.without_copies(docs)) == copies
+    lettered = docs.where("text RLIKE '[a-z]'")
+    assert said(simhash.one_of_each(lettered)) == Counter({x: 1 for x in letters if x not in ((None, clean[0]), (2, clean[0]))})
+    assert said(decontaminate.without_leaks(docs, items)) == Counter(x for x in texts if leak not in (x[1] or ""))
+    for stage in (exact_dedup.without_copies, simhash.one_of_each):
+        assert stage(docs).columns == docs.columns and stage(docs.limit(0)).count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
