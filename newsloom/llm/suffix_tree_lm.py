@@ -1,29 +1,30 @@
 """Language-model scores by a probabilistic suffix tree over bytes, and the word unigram base.
 
-Symbols are the commonest bytes of the training text (a class holds the rest) and an end. Contexts of up to three symbols are
-counted over all training documents: each task adds up a table of four-grams, of bounded size, and tables meet in a sum.
-A context stays a state if its next-symbol counts diverge enough from what its suffix predicts (count * KL divergence);
-its distribution is smoothed with the suffix's. A symbol is scored in the state of the longest suffix that stayed. Words
-are spelled so, each from its beginning to the blank after it; a word's own count is smoothed with its spelling,
-(c + m * spelling) / (N + m), where m is the number of words seen once (the mass of the new words, by Good and Turing).
-
-Above this stands a tree of words, one deep. Its alphabet is the commonest words, a fixed number, one class for all others, and
-the border of a text. A word is a state if its counts of next words, each seen twice at least, diverge enough from what words
-predict without context; its distribution gives n - kept + t of its n + t parts back to that (t: next words kept), so that the
-score stays a probability. Pairs are counted over all training documents and kept however many they are: the commonest are
-broadcast, the others are dealt like rare words, but for those that a bitmap of all kept pairs rules out. The bitmap's size is
-fixed; when it fills, more pairs are dealt, and results are the same. The text's score sums its words in their states and its end.
+A text is its words, one blank apart, between two borders (a line feed, which no word holds): its symbols are bytes, and the
+border at its end is the end that is scored. The tree grows a byte at a time. Training n-grams of every length are counted
+over all training documents: each task adds up what it reads and the sums meet in a shuffle. A context of k bytes is a
+candidate if its suffix of k - 1 bytes is a state; it stays a state if it was seen LEAST times and its next symbols diverge
+enough from what its suffix predicts: the gain in log-likelihood (count * KL divergence) is one nat or more for each next
+symbol that the state has to hold. A state's distribution is smoothed with its suffix's, (c + t * p) / (n + t), where t is the
+number of next symbols seen (Witten and Bell). A symbol is scored in the state of the longest suffix that stayed.
+
+So the log-probability of a symbol is that of no context, and for each suffix of its context that is a state what the state
+gives back, and what it gains if the symbol was seen there. Both are values of an n-gram, and a score is a sum of looked-up
+values. The table of values is dealt into parts of a bounded number of rows by a hash of the n-gram; each part is broadcast by
+itself and summed over all documents, so a tree of any size is scored, a part at a time. Which n-grams a task counts is told by
+a bitmap of states of fixed size: a false positive costs a counted row, which the join with the states drops again.
 
 The base sums word unigrams. Word counts are summed by a 64-bit hash. The commonest words, a fixed number, are broadcast
 and looked up where the text is; only other words are dealt to the table of counts, so no hot word is dealt.
 
-A null text is empty: one end. Without training rows every word is unknown. Rows that repeat are scored each by itself;
-other columns are not read. Very long texts are scored in pieces."""
+A null text is empty: one end. Without training rows every word is unknown and every symbol alike. Rows that repeat are scored
+each by itself; ties among common words at the cut are broken by hash; other columns are not read. Very long texts are whole:
+they are counted and scored in pieces that overlap. An empty table gives an empty one."""
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,20 +34,20 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import arrow_sized, stored
+from newsloom.llm.common import arrow_sized, row_key, stored
 
-CLASSES, ORDER = 56, 3
-END = CLASSES - 1
-COMMON = 100_000  # words that are broadcast: 1.6 MB; also the alphabet of the tree of words
-OTHER, BORDER, FIRST = 0, 1, 2  # symbols of that tree: any other word; the beginning and the end; the first of the common words
-BITS = 20  # a pair is (symbol << BITS) + next symbol
-TWICE = 2  # times that a pair must be seen
-PAIRS, PAIRS_HELD = 1 << 20, 1 << 20  # pairs that are broadcast: 13 MB; that a task holds before it passes their counts on
+#: The longest n-gram: a context of seven bytes and the next, which a 64-bit integer holds exactly. The first pass counts up to FIRST.
+LONGEST, FIRST = 8, 4
+LEAST = 4
+BORDER = 10
+COMMON = 100_000  # words that are broadcast: 1.6 MB
+PART = 4_000_000  # values that are broadcast at once: 48 MB
 BITMAP = 27  # log2 of the bits of the bitmap: 16 MB
-KEPT = 400_000  # words that a task holds before it passes their counts on
-LEAST, DIVERGENCE, PRIOR = 8, 6.0, 4.0
-CHUNK = 1 << 20
+KEPT = 400_000  # words, and
+HELD = 1 << 20  # n-grams of each length, that a task holds before it passes their counts on
+CHUNK = 1 << 19
 SLICE = 128
+_ODD = 0x9E3779B97F4A7C15  # fixed value: an odd multiplier
 _hash = xxhash.xxh64_intdigest
 END_WORD = b"\x00 end"  # holds a blank, so no word is equal
 
@@ -60,84 +61,90 @@ def _signed(values: list[int]) -> np.ndarray:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, h, c): kind 0 word counts by hash, kind 1 byte counts."""
-    counts, octets = Counter(), np.zeros(256, np.int64)
-
-    def out(kind: int, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(values)], ["kind", "h", "c"])
+    """(h, c): word counts by hash."""
+    counts = Counter()
 
     def words() -> pa.RecordBatch:
-        return out(0, _signed([_hash(w) for w in counts]), np.fromiter(counts.values(), np.int64, len(counts)))
+        return pa.RecordBatch.from_arrays([pa.array(_signed([_hash(w) for w in counts])), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], ["h", "c"])
 
     for batch in batches:
         for text in batch.column(0).cast(pa.binary()).to_pylist():
-            found = tokens(text)
-            counts.update(found)
+            counts.update(tokens(text))
             counts[END_WORD] += 1
-            octets += np.bincount(np.frombuffer(b" ".join(found), np.uint8), minlength=256)
         if len(counts) > KEPT:
             yield words()
             counts.clear()
     yield words()
-    some = np.flatnonzero(octets)
-    yield out(1, some.astype(np.int64), octets[some])
 
 
-def _symbols(texts: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of texts, each after three blanks and before an end; and where each text begins. Words are three blanks
-    apart, so that no context reaches over them."""
-    data = b"".join(b"   " + t + b"\x00" for t in texts)
-    sizes = np.array([len(t) + 4 for t in texts], np.int64)
-    ends = np.cumsum(sizes)
-    s = classes[np.frombuffer(data, np.uint8)]
-    s[ends - 1] = END
-    return s, ends - sizes
+def _symbols(texts: list[list[bytes]]) -> np.ndarray:
+    """The symbols of texts, given their words, with a border before, between and after them."""
+    return np.frombuffer(b"\n" + b"".join(b" ".join(t) + b"\n" for t in texts), np.uint8)
 
 
-def _gram_counts(classes: np.ndarray) -> callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(CLASSES ** (ORDER + 1), np.int32)
-        held, n = [], 0
+def _pieces(symbols: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first, piece, reach): pieces of symbols with the LONGEST - 1 before each; the place of the first new one; and how long an
+    n-gram that ends at each new symbol can be, a border being only its first or its last."""
+    for at in range(1, len(symbols), CHUNK):
+        low = max(0, at - LONGEST + 1)
+        piece = symbols[low : at + CHUNK]
+        place = np.arange(len(piece))
+        border = np.maximum.accumulate(np.where(piece == BORDER, place, -LONGEST))
+        yield at, piece, np.minimum(place[1:] - border[:-1] + 1, np.minimum(place[1:] + 1, LONGEST))[at - low - 1 :]
 
-        def add() -> None:
-            nonlocal held, n
-            if held:
-                table[:] += np.bincount(np.concatenate(held), minlength=len(table)).astype(np.int32)
-            held, n = [], 0
 
-        for batch in batches:
-            texts = [b"   ".join(tokens(t)) for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            if not texts:
-                continue
-            s, starts = _symbols(texts, classes)
-            s = s.astype(np.int32)
-            keys = ((s[:-3] * CLASSES + s[1:-2]) * CLASSES + s[2:-1]) * CLASSES + s[3:]
-            skip = np.add.outer(starts[1:], np.arange(-3, 0)).reshape(-1)  # windows over a border
-            held.append(np.delete(keys, skip))
-            n += len(keys)
-            if n > 4_000_000:
-                add()
-        add()
-        some = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(table[some].astype(np.int64))], ["gram", "c"])
+def _grams(piece: np.ndarray, n: int, upto: int) -> np.ndarray:
+    """For each of the last n symbols the bytes that end there, ``upto`` of them or as many as there are, as one integer."""
+    out = np.zeros(n, np.uint64)
+    at = len(piece) - n
+    for k in range(min(upto, LONGEST) - 1, -1, -1):
+        out <<= np.uint64(8)
+        if at - k >= 0:
+            out |= piece[at - k : len(piece) - k]
+        else:
+            out[k - at :] |= piece[: len(piece) - k]
+    return out
 
-    return run
 
+def _mask(length: int) -> int:
+    return (1 << (8 * length)) - 1
 
-def _tokens_of(found: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct words of texts and their hashes; for each token in turn, which word it is and whose."""
-    place = {w: k for k, w in enumerate(dict.fromkeys(w for f in found for w in f))}
-    words = list(place)
-    sizes = np.array([len(f) for f in found], np.int64)
-    return words, _signed([_hash(w) for w in words]), np.fromiter((place[w] for f in found for w in f), np.int64, int(sizes.sum())), np.repeat(np.arange(len(found)), sizes)
 
+def _bit(keys: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (keys * np.uint64(_ODD)) >> np.uint64(64 - BITMAP)
 
-def _looked_up(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each key is in the sorted table, and whether it is."""
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
+
+class _Tally:
+    """Counts of integers, added up in sorted arrays."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, keys: np.ndarray) -> bool:
+        """Whether there are so many now that they should be passed on."""
+        self.held.append(np.unique(keys, return_counts=True))
+        self.n += len(self.held[-1][0])
+        if self.n > HELD // 2:
+            self.settle()
+        return len(self.keys) > HELD
+
+    def settle(self) -> None:
+        keys = np.concatenate([self.keys, *(k for k, _ in self.held)])
+        counts = np.concatenate([self.counts, *(c for _, c in self.held)])
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        self.keys, self.counts = keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
+        self.held, self.n = [], 0
+
+    def out(self, length: int) -> pa.RecordBatch:
+        self.settle()
+        batch = pa.RecordBatch.from_arrays([pa.array(np.full(len(self.keys), length, np.int32)), pa.array(self.keys.view(np.int64)), pa.array(self.counts)], ["k", "g", "c"])
+        self.keys, self.counts = self.keys[:0], self.counts[:0]
+        return batch
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,172 +154,159 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE)
 
 
-def _pairs(symbols: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of n texts, borders included, given the symbols of their tokens; and whose each is."""
-    sizes = np.bincount(of, minlength=n)
-    ends = np.cumsum(sizes)
-    after = np.insert(symbols, ends, BORDER)  # each text and its end; the end is also the next one's beginning
-    before = np.concatenate(([BORDER], after[:-1]))
-    return (before << BITS) + after, np.repeat(np.arange(n), sizes + 1)
-
-
-def _pair_counts(common: callable, spell: callable) -> callable:
-    """(key, c, q): counts of pairs; and, with key -1 - symbol, the spelling of the common words."""
+def _gram_counts(lengths: list[int], gate: Broadcast | None) -> Callable:
+    """(k, g, c): counts of n-grams of these lengths; of those only whose context may have a state as its suffix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, spelled = common(), set()
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        held, n = [], 0
-
-        def add() -> None:
-            nonlocal keys, counts, held, n
-            now, c = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
-            both, at = np.unique(np.concatenate([keys, now]), return_inverse=True)
-            keys, counts = both, np.bincount(at, np.concatenate([counts, c]), len(both)).astype(np.int64)
-            held, n = [], 0
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts), pa.nulls(len(keys), pa.float64())], ["key", "c", "q"])
-
+        tallies = {k: _Tally() for k in lengths}
+        states = gate.value if gate else None
         for batch in _sliced(batches):
-            found = [tokens(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            if not found:
-                continue
-            words, h, tok, of = _tokens_of(found)
-            at, hit = _looked_up(h, hs)
-            new = [k for k in np.flatnonzero(hit) if at[k] not in spelled]
-            spelled.update(at[new].tolist())
-            if new:
-                yield pa.RecordBatch.from_arrays([pa.array(-1 - FIRST - at[new]), pa.array(np.zeros(len(new), np.int64)), pa.array(spell([words[k] for k in new]))], ["key", "c", "q"])
-            held.append(_pairs(np.where(hit, at + FIRST, OTHER)[tok], of, len(found))[0])
-            n += len(held[-1])
-            if n > PAIRS_HELD:
-                add()
-                if len(keys) > PAIRS_HELD:
-                    yield out()
-                    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        add()
-        yield out()
+            symbols = _symbols([tokens(t) for t in batch.column(0).cast(pa.binary()).to_pylist()])
+            for _, piece, reach in _pieces(symbols):
+                whole = _grams(piece, len(reach), lengths[-1])
+                for k in lengths:
+                    g = whole[reach >= k]
+                    if k < 8:
+                        g = g & np.uint64(_mask(k))
+                    if states is not None:
+                        bit = _bit((g >> np.uint64(8)) & np.uint64(_mask(k - 2)))
+                        g = g[(states[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                    if tallies[k].add(g):
+                        yield tallies[k].out(k)
+        for k, tally in tallies.items():
+            yield tally.out(k)
 
     return run
 
 
-def _bit(keys: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITMAP)).astype(np.int64)
-
-
-class Tree:
-    """log10 probabilities: [context of three symbols, symbol]; states counts the contexts that stayed, by length."""
-
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, bytes_in: int):
-        full = np.zeros(CLASSES ** (ORDER + 1), np.float32)
-        full[grams] = counts
-        full = full.reshape((CLASSES,) * (ORDER + 1))
-        by = [full]
-        for _ in range(ORDER):
-            by.insert(0, by[0].sum(0, dtype=np.float64).astype(np.float32))
-        top = by[0].astype(np.float64)
-        p = (top + 0.5) / (top.sum() + 0.5 * CLASSES)
-        self.states = [1]
-        for k in range(1, ORDER + 1):
-            stayed, out = 0, np.empty(by[k].shape, np.float32)
-            for a in range(CLASSES):  # contexts by their first symbol, to bound what is held at once
-                n, under = by[k][a].astype(np.float64), p  # the suffix's distribution
-                total = n.sum(-1, keepdims=True)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    kl = np.where(n > 0, n * np.log(n / np.maximum(total, 1) / under), 0).sum(-1, keepdims=True)
-                keep = (total >= LEAST) & (kl >= DIVERGENCE)
-                stayed += int(keep.sum())
-                out[a] = np.where(keep, (n + PRIOR * under) / (total + PRIOR), under)
-            p = out
-            self.states.append(stayed)
-        self.log = np.log10(p.reshape(-1, CLASSES)).astype(np.float32)
-        self.log[:, 0] -= np.log10(max(1, 256 - bytes_in))
-
-    def spell(self, words: list[bytes], classes: np.ndarray) -> np.ndarray:
-        """log10 of the probability that a word begins, has these bytes and ends."""
-        data = b"".join(b"   " + w + b" " for w in words)
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 4
-        ends = np.cumsum(sizes)
-        s = classes[np.frombuffer(data, np.uint8)]
-        total = np.zeros(len(words))
-        for at in range(3, len(s), CHUNK):
-            part = s[at - 3 : at + CHUNK].astype(np.int32)
-            p = self.log[(part[:-3] * CLASSES + part[1:-2]) * CLASSES + part[2:-1], part[3:]].astype(np.float64)
-            sums = np.concatenate(([0.0], np.cumsum(p)))
-            lo, hi = np.clip(ends - sizes + 3 - at, 0, len(p)), np.clip(ends - at, 0, len(p))
-            total += sums[np.maximum(hi, lo)] - sums[lo]
-        return total
-
-
-def _word_tree(training: DataFrame, known: Broadcast, tree: Broadcast, classes: np.ndarray, n: int, m: int, end: int) -> tuple[Broadcast, DataFrame]:
-    """The tree of words over the training texts: a broadcast of what each symbol's state gives back (log10), the commonest pairs,
-    sorted, their gains and a bitmap of the other pairs; and those others as (key, gain). A pair's gain is log10 of (its probability in the state / what is given back to it)."""
-    spark = training.sparkSession
-    counted = training.mapInArrow(_pair_counts(lambda: known.value[0], lambda w: tree.value.spell(w, classes)), "key long, c long, q double")
-    counted = counted.groupBy("key").agg(F.sum("c").alias("c"), F.max("q").alias("q")).where(f"key < 0 OR c >= {TWICE}")
-    counted = stored(counted)
-    found = counted.where("key < 0").select("key", "q").toArrow()  # COMMON rows at most
-    totals = np.concatenate(([0, end], known.value[1])).astype(np.float64)
-    totals[OTHER] = n - totals[FIRST:].sum() - end
-    plain = np.concatenate(([0.0, max(end, 1e-3) / (n + m)], np.zeros(len(totals) - FIRST)))
-    plain[-1 - found["key"].to_numpy()] = 10 ** found["q"].to_numpy()
-    plain[FIRST:] = (totals[FIRST:] + m * plain[FIRST:]) / (n + m)
-    plain[OTHER] = max(1e-12, 1 - plain[1:].sum())
-    shared = spark.sparkContext.broadcast((totals, plain))
-    pairs = counted.where("key >= 0").select("key", "c")
-
-    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals, plain = shared.value
-        sums = np.zeros((3, len(totals)))
-        for batch in batches:
-            key, c = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.float64)
-            of = key >> BITS
-            for k, x in enumerate((c, np.ones(len(c)), c * np.log(c / totals[of] / plain[key & ((1 << BITS) - 1)]))):
-                sums[k] += np.bincount(of, x, len(totals))
-        some = np.flatnonzero(sums[1])
-        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(x[some]) for x in sums)], ["s", "kept", "t", "divergence"])
-
-    stats = pairs.mapInArrow(states, "s long, kept double, t double, divergence double").groupBy("s").agg(F.sum("kept").alias("kept"), F.sum("t").alias("t"), F.sum("divergence").alias("d")).where(f"d >= {DIVERGENCE}").toArrow()
-    of, kept, t = (stats[x].to_numpy() for x in ("s", "kept", "t"))
-    back, given = np.zeros(len(totals)), np.zeros(len(totals))
-    given[of] = totals[of] - kept + t
-    back[of] = np.log10(given[of] / (totals[of] + t))
-    lent = spark.sparkContext.broadcast(given)
-
-    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain, given = shared.value[1], lent.value
-        for batch in batches:
-            key, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            some = given[key >> BITS] > 0
-            key, c = key[some], c[some]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c), pa.array(np.log10(1 + c / given[key >> BITS] / plain[key & ((1 << BITS) - 1)]))], ["key", "c", "gain"])
-
-    gained = pairs.mapInArrow(gains, "key long, c long, gain double")
-    most = 1 << 16
-    sizes = {r["c"]: r["n"] for r in pairs.groupBy(F.least("c", F.lit(most)).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}  # `most` rows at most
-    least, room = most + 1, PAIRS
-    for c in sorted(sizes, reverse=True):
-        room -= sizes[c]
-        if room < 0:
-            break
-        least = c
-    is_top = F.least("c", F.lit(most)) >= least
-    top = gained.where(is_top).select("key", "gain").toArrow()  # PAIRS rows at most
-    order = np.argsort(top["key"].to_numpy())
-    rest = gained.where(~is_top)
+def _gate(states: DataFrame) -> Broadcast:
+    """The bitmap of states (ctx)."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = _bit(batch.column(0).to_numpy())
+            bit = _bit(batch.column(0).to_numpy().view(np.uint64)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((bit >> 5).astype(np.int32)), pa.array(np.int64(1) << (bit & 31))], ["at", "bits"])
 
-    set_bits = rest.select("key").mapInArrow(bits, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # 2^(BITMAP - 5) rows at most
+    found = states.select("ctx").mapInArrow(bits, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # 2^(BITMAP - 5) rows at most
     bitmap = np.zeros(1 << (BITMAP - 5), np.dtype("<u4"))
-    bitmap[set_bits["at"].to_numpy()] = set_bits["bits"].to_numpy()
-    return spark.sparkContext.broadcast((back, top["key"].to_numpy()[order], top["gain"].to_numpy()[order].astype(np.float32), bitmap.view(np.uint8))), rest.select("key", "gain")
+    bitmap[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return states.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8))
+
+
+def _level(counted: DataFrame, lower: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """From the counts (g, c) of n-grams of length k and the log-probabilities (g, lp) of length k - 1: entries (g, lp, gain), and
+    the states (ctx, back), contexts of length k - 1. All logarithms are natural."""
+    suffix = F.col("g").bitwiseAND(F.lit(_mask(k - 1)))
+    rows = counted.withColumn("suf", suffix).join(lower.select(F.col("g").alias("suf"), "lp"), "suf").select("g", F.shiftrightunsigned("g", 8).alias("ctx"), "c", "lp")
+    stats = rows.groupBy("ctx").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("t"), F.sum(F.col("c") * (F.log("c") - F.col("lp"))).alias("s"))
+    states = stats.where((F.col("n") >= LEAST) & (F.col("s") - F.col("n") * F.log("n") >= F.col("t"))).select("ctx", "n", "t", F.log(F.col("t") / (F.col("n") + F.col("t"))).alias("back"))
+    new = F.log((F.col("c") + F.col("t") * F.exp("lp")) / (F.col("n") + F.col("t")))
+    entries = stored(rows.join(states, "ctx").select("g", "ctx", new.alias("lp"), (new - F.col("lp") - F.col("back")).alias("gain"), "back"))
+    return entries, entries.groupBy("ctx").agg(F.first("back").alias("back"))
+
+
+def tree(training: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """The log-probabilities of symbols without context, and the values (k, g, value) of n-grams of k bytes: what a symbol
+    gains in the state before it, and what the n-gram gives back as a state."""
+    spark = training.sparkSession
+    count = lambda lengths, gate: stored(training.mapInArrow(_gram_counts(lengths, gate), "k int, g long, c long").repartition("k", "g").groupBy("k", "g").agg(F.sum("c").alias("c")))
+    counted = count(list(range(1, FIRST + 1)), None)
+    plain = np.full(256, 0.5)
+    for r in counted.where("k = 1").collect():  # 256 at most
+        plain[r["g"]] += r["c"]
+    plain = np.log(plain / plain.sum())
+    lower = spark.createDataFrame([(g, float(p)) for g, p in enumerate(plain)], "g long, lp double")
+    parts: list[DataFrame] = []
+    states = None
+    for k in range(2, LONGEST + 1):
+        if k > FIRST:
+            if states.isEmpty():
+                break
+            counted = count([k], _gate(states))
+        entries, states = _level(counted.where(f"k = {k}").select("g", "c"), lower, k)
+        parts.append(entries.select(F.lit(k).alias("k"), "g", F.col("gain").alias("value")))
+        parts.append(states.select(F.lit(k - 1).alias("k"), F.col("ctx").alias("g"), F.col("back").alias("value")))
+        lower = entries
+    values = parts[0]
+    for p in parts[1:]:
+        values = values.unionByName(p)
+    return plain, stored(values.groupBy("k", "g").agg(F.sum("value").alias("value")))
+
+
+class Values:
+    """Looks values of n-grams up: those of one and two bytes in arrays, others by the first bits of a hash."""
+
+    def __init__(self, plain: np.ndarray, k: np.ndarray, g: np.ndarray, value: np.ndarray, whole: bool):
+        self.whole = whole  # not only a part: an n-gram is there only if its suffix is
+        self.flat = [plain.astype(np.float32), np.zeros(1 << 16, np.float32)]
+        self.start = 0.0  # what the border gives back as the first context
+        one, two = k == 1, k == 2
+        at = g[one] != BORDER
+        self.flat[0][g[one][at]] += value[one][at]
+        self.start = float(value[one][~at].sum())
+        self.flat[1][g[two]] = value[two]
+        self.more = []
+        for length in range(3, LONGEST + 1):
+            here = k == length
+            with np.errstate(over="ignore"):
+                keys = g[here].view(np.uint64) * np.uint64(_ODD)
+            order = np.argsort(keys)
+            keys = keys[order]
+            bits = max(1, int(len(keys)).bit_length())
+            firsts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+            self.more.append((keys, value[here][order].astype(np.float32), np.append(firsts, len(keys)).astype(np.int32), np.uint64(64 - bits)))
+
+    def found(self, g: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the n-grams are there, and their values."""
+        keys, values, firsts, shift = self.more[length - 3]
+        if not len(keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.float32)
+        with np.errstate(over="ignore"):
+            g = g * np.uint64(_ODD)
+        bucket = (g >> shift).astype(np.int64)
+        at, end = firsts[bucket], firsts[bucket + 1]
+        left = np.flatnonzero(at < end)
+        at, end, g = at[left], end[left], g[left]
+        which, there = [], []
+        while len(left):
+            same = keys[at] == g
+            which.append(left[same])
+            there.append(values[at[same]])
+            at = at + 1
+            on = np.flatnonzero(~same & (at < end))
+            left, at, end, g = left[on], at[on], end[on], g[on]
+        return (np.concatenate(which), np.concatenate(there)) if which else (np.zeros(0, np.int64), np.zeros(0, np.float32))
+
+    def scores(self, texts: list[list[bytes]]) -> np.ndarray:
+        """The sum of values of each text, given its words."""
+        symbols = _symbols(texts)
+        ends = np.flatnonzero(symbols == BORDER)
+        total = np.full(len(texts), self.start)
+        for first, piece, reach in _pieces(symbols):
+            n = len(reach)
+            whole = _grams(piece, n, LONGEST)
+            sums = self.flat[0][piece[-n:]] + self.flat[1][(whole & np.uint64(0xFFFF)).astype(np.int64)]
+            live = np.flatnonzero(reach >= 3)
+            for k in range(3, LONGEST + 1):
+                g = whole[live]
+                which, there = self.found(g & np.uint64(_mask(k)) if k < 8 else g, k)
+                which = live[which]
+                sums[which] += there
+                if self.whole:
+                    live = np.sort(which)
+                live = live[reach[live] > k]
+            upto = np.concatenate(([0.0], np.cumsum(sums, dtype=np.float64)))
+            low, high = np.clip(ends[:-1] + 1 - first, 0, n), np.clip(ends[1:] + 1 - first, 0, n)
+            total += upto[high] - upto[low]
+        return total
+
+
+def _looked_up(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key is in the sorted table, and whether it is."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
 
 
 def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,79 +314,69 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     arrow_sized(spark)
     training = docs.where(learn).select(F.col(text_col).alias("text"))
-    found = training.mapInArrow(_word_counts, "kind int, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c"))
-    found = stored(found)
-    octets = {r["h"]: r["c"] for r in found.where("kind = 1").collect()}  # 256 at most
-    counts = found.where("kind = 0").select("h", "c")
-    size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).first()
-    n, v, m = int(size["n"]), int(size["v"]), max(1, int(size["once"]))
+    counts = stored(training.mapInArrow(_word_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
+    size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    n, v = int(size["n"]), int(size["v"])
     below = n + 0.1 * (v + 1)
-    end = ends[0]["c"] if (ends := counts.where(F.col("h") == int(_signed([_hash(END_WORD)])[0])).collect()) else 0
-
-    seen = sorted(octets, key=lambda b: (-octets[b], b))[: CLASSES - 2]
-    classes = np.zeros(256, np.uint8)
-    classes[seen] = np.arange(1, len(seen) + 1)
-    table = training.mapInArrow(_gram_counts(classes), "gram int, c long").groupBy("gram").agg(F.sum("c").alias("c")).toArrow()  # CLASSES ** 4 rows at most
-    tree = spark.sparkContext.broadcast(Tree(table["gram"].to_numpy(), table["c"].to_numpy(), len(seen)))
-    common = counts.where(F.col("h") != int(_signed([_hash(END_WORD)])[0])).orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
+    border = int(_signed([_hash(END_WORD)])[0])
+    end = ends[0]["c"] if (ends := counts.where(F.col("h") == border).collect()) else 0
+    common = counts.where(F.col("h") != border).orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
     order = np.argsort(common["h"].to_numpy())
     known = spark.sparkContext.broadcast((common["h"].to_numpy()[order], common["c"].to_numpy()[order]))
-    held, rest = _word_tree(training, known, tree, classes, n, m, end)
+
+    plain, values = tree(training)
+    parts = max(1, -(-values.count() // PART))
+    part = F.pmod(F.xxhash64("g"), F.lit(parts))
+
+    def shared(p: int) -> Broadcast:
+        found = values.where(part == p).toArrow()  # about PART rows
+        k, g, value = (found[c].to_numpy() for c in ("k", "g", "value"))
+        return spark.sparkContext.broadcast(Values(plain if p == 0 else np.zeros(256), k, g, value, parts == 1))
+
     kind = docs.schema[id_col].dataType.simpleString()
+    held = shared(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hs, cs), (back, top, gains, bitmap) = known.value, held.value
+        (hs, cs), table = known.value, held.value
         row = TaskContext.get().partitionId() << 40
         for batch in _sliced(batches):
-            found = [tokens(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            found = [tokens(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
             if not found:
                 continue
             texts = len(found)
-            distinct, h, tok, of = _tokens_of(found)
-            spelled = tree.value.spell(distinct, classes)
+            place = {w: k for k, w in enumerate(dict.fromkeys(w for f in found for w in f))}
+            h = _signed([_hash(w) for w in place])
+            sizes = np.array([len(f) for f in found], np.int64)
+            tok, of = np.fromiter((place[w] for f in found for w in f), np.int64, int(sizes.sum())), np.repeat(np.arange(texts), sizes)
             at, hit = _looked_up(h, hs)
-            c = np.where(hit, cs[at], 0) if len(cs) else np.zeros(len(h))
-            base_of, score_of = np.log10((c + 0.1) / below), np.log10((c + m * 10**spelled) / (n + m))
-            symbol = np.where(hit, at + FIRST, OTHER)
-            total = lambda values: np.bincount(of, np.where(hit, values, 0)[tok], texts)
-            base = total(base_of) + np.log10((end + 0.1) / below)
-            n_known = total(1).astype(np.int64) + (end > 0)
-            pairs, pair_of = _pairs(symbol[tok], of, texts)
-            pairs, which = np.unique(pairs, return_inverse=True)
-            there, near = _looked_up(pairs, top)
-            gain = np.where(near, gains[there], 0.0) if len(top) else np.zeros(len(pairs))
-            score = total(score_of) + np.log10(max(end, 1e-3) / (n + m)) + np.bincount(pair_of, (gain + back[pairs >> BITS])[which], texts)
-
-            bit = _bit(pairs)
-            far = ~near & ((bitmap[bit >> 3] >> (bit & 7)) & 1 == 1)
-            some, dealt = ~hit[tok], far[which]
-            # each text's words, then its pairs: a pair's place is counted on after the words
-            of_all = np.concatenate((of[some], pair_of[dealt]))
-            item = np.concatenate((tok[some], len(distinct) + which[dealt]))
-            span = len(distinct) + len(pairs)
-            each, tf = np.unique(of_all * span + item, return_counts=True)
-            item = each % span
-            upto = np.concatenate(([0], np.cumsum(np.bincount(each // span, minlength=texts)))).astype(np.int32)
-            q = np.concatenate((spelled, np.zeros(len(pairs))))[item].astype(np.float32)
-            lists = [pa.ListArray.from_arrays(pa.array(upto), x) for x in (pa.array(np.concatenate((h, pairs))[item]), pa.array(tf.astype(np.int32)), pa.array(q, mask=item >= len(distinct)))]
+            base_of = np.where(hit, np.log10((np.where(hit, cs[at], 0) + 0.1) / below), 0.0) if len(cs) else np.zeros(len(h))
+            base = np.bincount(of, base_of[tok], texts) + np.log10((end + 0.1) / below)
+            n_known = np.bincount(of, hit[tok], texts).astype(np.int64) + (end > 0)
+            some = ~hit[tok]  # each text's other words, with their numbers
+            each, tf = np.unique(of[some] * (len(h) + 1) + tok[some], return_counts=True)
+            upto = np.concatenate(([0], np.cumsum(np.bincount(each // (len(h) + 1), minlength=texts)))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(upto), pa.array(x)) for x in (h[each % (len(h) + 1)], tf.astype(np.int32))]
             rows = np.arange(row, row + texts)
             row += texts
-            sizes = np.array([len(f) for f in found], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), pa.array(sizes + 1), pa.array(n_known), pa.array(base), pa.array(score), *lists], ["row", "doc_id", "n_tokens", "n_known", "base", "score", "h", "tf", "q"])
-
-    scored = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, score double, h array<long>, tf array<int>, q array<float>")
-    scored = stored(scored)
-    rare = scored.select("row", F.explode(F.arrays_zip("h", "tf", "q")).alias("x")).select("row", "x.h", "x.tf", "x.q")
-    # Words have a count, pairs a gain; a pair is below 2^37 and a word's hash anywhere, so q tells them apart.
-    table = counts.select("h", F.col("c").cast("double").alias("value"), F.lit(True).alias("word")).unionByName(rest.select(F.col("key").alias("h"), F.col("gain").alias("value"), F.lit(False).alias("word")))
-    value, word = F.coalesce("value", F.lit(0.0)), F.col("q").isNotNull()
-    met = rare.withColumn("word", word).join(table, ["h", "word"], "left").select(
-        "row",
-        F.when(word, F.col("tf") * F.log10((value + 0.1) / below)).otherwise(0.0).alias("part"),
-        F.when(word, F.col("tf") * F.log10((value + m * F.pow(F.lit(10.0), F.col("q").cast("double"))) / (n + m))).otherwise(F.col("tf") * value).alias("s"),
-        F.when(word & F.col("value").isNotNull(), F.col("tf")).otherwise(0).alias("known"),
-    )
-    sums = met.groupBy("row").agg(F.sum("part").alias("part"), F.sum("s").alias("s"), F.sum("known").alias("known"))
-    return scored.drop("h", "tf", "q").join(sums, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("part", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"),
-    )
+            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), batch.column(1), pa.array(sizes + 1), pa.array(n_known), pa.array(base), pa.array(table.scores(found)), *lists], ["row", "doc_id", "key", "n_tokens", "n_known", "base", "score", "h", "tf"])
+
+    source = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    scored = stored(source.mapInArrow(run, f"row long, doc_id {kind}, key long, n_tokens long, n_known long, base double, score double, h array<long>, tf array<int>"))
+    rare = scored.select("row", F.explode(F.arrays_zip("h", "tf")).alias("x")).select("row", "x.h", "x.tf").join(counts, "h", "left")
+    sums = rare.groupBy("row").agg(F.sum(F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / below)).alias("part"), F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("known"))
+    out = scored.drop("h", "tf").join(sums, "row", "left").withColumns({"n_known": F.col("n_known") + F.coalesce("known", F.lit(0)), "base": F.col("base") + F.coalesce("part", F.lit(0.0))})
+    for p in range(1, parts):
+        out = out.join(_part_scores(source, shared(p)), "key").withColumn("score", F.col("score") + F.col("more")).drop("more")
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("score") / float(np.log(10))).alias("score"))
+
+
+def _part_scores(source: DataFrame, held: Broadcast) -> DataFrame:
+    """(key, more): what a further part of the values adds to the score of the rows of each key, which are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches):
+            found = [tokens(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.scores(found))], ["key", "more"])
+
+    return source.select("key", "text").mapInArrow(run, "key long, more double").groupBy("key").agg(F.first("more").alias("more"))

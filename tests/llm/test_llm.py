@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -146,55 +147,82 @@ def test_suffix_tree(odd, empty):
     assert suffix_tree_lm.scores(empty, F.lit(True)).count() == 0
 
 
-def test_suffix_tree_words_against_brute_force(spark, monkeypatch):
-    """Every pair of words by hand; and the same scores if all pairs are dealt instead of broadcast."""
-    texts = ["a b c a b c a b d", "b c a b c a", "c a b \u00e9", "", "a b c zzz a b"]
-    docs = spark.createDataFrame(list(enumerate(texts * 9)), "doc_id long, text string")
-    many = {r["doc_id"]: r for r in suffix_tree_lm.scores(docs, F.col("doc_id") != 4).collect()}
-    monkeypatch.setattr(suffix_tree_lm, "PAIRS", 0)
-    dealt = {r["doc_id"]: r for r in suffix_tree_lm.scores(docs, F.col("doc_id") != 4).collect()}
-    assert len(many) == len(texts) * 9
-    for k in many:
-        assert abs(many[k]["score"] - dealt[k]["score"]) < 1e-4 and abs(many[k]["base_score"] - dealt[k]["base_score"]) < 1e-9
-
-    training = [t.encode().split() for k, t in enumerate(texts * 9) if k != 4]
-    words = Counter(w for t in training for w in t)
-    pairs = Counter(p for t in training for p in zip([None, *t], [*t, None]))
-    n, once = sum(words.values()) + len(training), max(1, sum(c == 1 for c in words.values()))
-    octets = Counter(b for t in training for b in b" ".join(t))
-    seen = sorted(octets, key=lambda b: (-octets[b], b))[: suffix_tree_lm.CLASSES - 2]
-    classes = np.zeros(256, np.uint8)
-    classes[seen] = np.arange(1, len(seen) + 1)
-    table = Counter()
-    for t in training:
-        s = [*classes[np.frombuffer(b"   " + b"   ".join(t), np.uint8)], suffix_tree_lm.END]
-        table.update(tuple(map(int, s[k : k + 4])) for k in range(len(s) - 3))
-    grams = np.array([((a * suffix_tree_lm.CLASSES + b) * suffix_tree_lm.CLASSES + c) * suffix_tree_lm.CLASSES + d for a, b, c, d in table])
-    tree = suffix_tree_lm.Tree(grams, np.array(list(table.values())), len(seen))
-    plain = {w: (words[w] + once * 10 ** tree.spell([w], classes)[0]) / (n + once) for w in words} | {None: len(training) / (n + once)}
-    totals = Counter(words) | Counter({None: len(training)})
-    states = {}
-    for w in totals:
-        kept = {b: c for (a, b), c in pairs.items() if a == w and c >= suffix_tree_lm.TWICE}
-        if sum(c * np.log(c / totals[w] / plain[b]) for b, c in kept.items()) >= suffix_tree_lm.DIVERGENCE:
-            states[w] = kept
-    assert 0 < len(states) < len(totals)
-    for k, text in enumerate(texts):
-        sequence, score = text.encode().split(), 0.0
-        if not all(w in words for w in sequence):
-            continue
-        for a, b in zip([None, *sequence], [*sequence, None]):
-            p, kept = plain[b], states.get(a, {})
-            score += np.log10((kept.get(b, 0) + (totals[a] - sum(kept.values()) + len(kept)) * p) / (totals[a] + len(kept)) if kept else p)
-        assert abs(score - many[k]["score"]) < 1e-3
-
-
-def test_suffix_tree_distributions():
-    grams = np.arange(0, suffix_tree_lm.CLASSES**4, 9973)
-    tree = suffix_tree_lm.Tree(grams, np.full(len(grams), 20), suffix_tree_lm.CLASSES - 2)
-    p = 10.0 ** tree.log.astype(float)
-    p[:, 0] *= 256 - (suffix_tree_lm.CLASSES - 2)
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
+class PlainTree:
+    """The tree by its definition, in dictionaries; it borrows no code of the module."""
+
+    def __init__(self, training, longest=7, least=4):
+        counts, self.state = {}, {b"": None}
+        octets = Counter()
+        for t in training:
+            s = b"\n" + t + b"\n"
+            octets.update(s)
+            for i in range(1, len(s)):
+                for k in range(1, min(longest, i) + 1):
+                    counts.setdefault(s[i - k : i], Counter())[s[i]] += 1
+        octets[10] = len(training)  # the end of each
+        self.plain = [(octets[b] + 0.5) / (sum(octets.values()) + 128) for b in range(256)]
+        for k in range(1, longest + 1):
+            for c in [c for c in counts if len(c) == k and c[1:] in self.state]:
+                n, t = sum(counts[c].values()), len(counts[c])
+                if n >= least and sum(x * math.log(x / n / self.p(c[1:], b)) for b, x in counts[c].items()) >= t:
+                    self.state[c] = counts[c]
+
+    def p(self, context, symbol):
+        if not context:
+            return self.plain[symbol]
+        c = self.state[context]
+        return (c.get(symbol, 0) + len(c) * self.p(context[1:], symbol)) / (sum(c.values()) + len(c))
+
+    def longest(self, before):
+        return next(before[-k:] if k else b"" for k in range(min(7, len(before)), -1, -1) if (before[-k:] if k else b"") in self.state)
+
+    def score(self, text):
+        s = b"\n" + text + b"\n"
+        return sum(math.log10(self.p(self.longest(s[:i]), s[i])) for i in range(1, len(s)))
+
+
+def _lm_table(spark):
+    rng = random.Random(4)
+    stems = ["an", "the", "ion", "\u00e9t", "\U0001f642", "ba", "r"]
+    texts = [" ".join("".join(rng.choice(stems) for _ in range(rng.choice([1, 1, 2, 3]))) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    texts += ["", None, "  \n\t ", "THE Ban\u00c9 the", "x\x00y \x00", texts[0], texts[0], "zzz unknown words qqq " * 40]
+    return texts, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_suffix_tree_against_brute_force(spark, monkeypatch):
+    """Base, counts, states and scores by hand, with null, empty and repeated texts and unknown words; the same in many parts and small pieces."""
+    texts, docs = _lm_table(spark)
+    learned = [k for k in range(len(texts)) if k % 5 != 3]
+    words = [(t or "").encode().lower().split() for t in texts]
+    plain = PlainTree([b" ".join(words[k]) for k in learned])
+    assert {len(c) for c in plain.state} >= {0, 1, 2, 3, 4}
+    counts = Counter(w for k in learned for w in words[k])
+    n, v = sum(counts.values()) + len(learned), len(counts) + 1
+    log = lambda c: math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+    for parts, chunk, common in ((suffix_tree_lm.PART, suffix_tree_lm.CHUNK, suffix_tree_lm.COMMON), (200, 33, 5)):
+        for name, value in (("PART", parts), ("CHUNK", chunk), ("COMMON", common)):
+            monkeypatch.setattr(suffix_tree_lm, name, value)
+        found = {r["doc_id"]: r for r in suffix_tree_lm.scores(docs, F.col("doc_id") % 5 != 3).collect()}
+        assert len(found) == len(texts)
+        for k, t in enumerate(words):
+            r = found[k]
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t) + 1, sum(w in counts for w in t) + 1, n)
+            assert abs(r["base_score"] - sum(log(counts[w]) for w in t) - log(len(learned))) < 1e-6
+            assert abs(r["score"] - plain.score(b" ".join(t))) < 1e-3
+
+
+def test_suffix_tree_distributions(spark):
+    """Whatever came before, the next symbols' probabilities add up to one."""
+    texts, _ = _lm_table(spark)
+    plain = PlainTree([b" ".join((t or "").encode().lower().split()) for t in texts])
+    for before in (b"\n", b"\nthe", b"\nan an", b"\nq\xff"):
+        assert abs(sum(plain.p(plain.longest(before), b) for b in range(256)) - 1) < 1e-9
+
+
+def test_suffix_tree_beats_its_base(spark):
+    found = queries.QUERIES["op8_suffix_tree_lm"](spark, f"{DATA}/sf0.01").where("held_out").collect()
+    assert sum(r["score"] > r["base_score"] for r in found) > 0.55 * len(found)
+    assert sum(r["score"] for r in found) > sum(r["base_score"] for r in found)
 
 
 def test_shards_fit(spark, odd, empty):
