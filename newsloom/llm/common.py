@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,3 +111,32 @@ def arrow_sized(spark: SparkSession) -> None:
     """Bounds the batches that go to Python workers: long texts must not meet in one batch of 10,000 rows."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+#: log2 of the bits of a bitmap of integers: 16 MB, however many there are.
+BITMAP = 27
+
+
+def _bit(keys: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITMAP)
+
+
+def bitmap(keys: DataFrame) -> Broadcast:
+    """A broadcast filter of fixed size for the longs in the only column of ``keys``, for in_bitmap(); when it fills, more passes."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = _bit(batch.column(0).to_numpy().view(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((bit >> 5).astype(np.int32)), pa.array(np.int64(1) << (bit & 31))], ["at", "bits"])
+
+    found = keys.mapInArrow(bits, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # 2^(BITMAP - 5) rows at most
+    words = np.zeros(1 << (BITMAP - 5), np.dtype("<u4"))
+    words[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(words.view(np.uint8))
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each of the unsigned integers may be among the keys."""
+    bit = _bit(keys)
+    return (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1

@@ -34,19 +34,18 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import arrow_sized, row_key, stored
+from newsloom.llm.common import arrow_sized, bitmap, in_bitmap, row_key, stored
 
-#: The longest n-gram: a context of seven bytes and the next, which a 64-bit integer holds exactly. The first pass counts up to FIRST.
-LONGEST, FIRST = 8, 4
-LEAST = 4
+#: The longest n-gram: a context of six bytes and the next; up to eight, a 64-bit integer holds it exactly. The first pass counts up to FIRST.
+LONGEST, FIRST = 7, 4
+LEAST = 8
 BORDER = 10
 COMMON = 100_000  # words that are broadcast: 1.6 MB
 PART = 4_000_000  # values that are broadcast at once: 48 MB
-BITMAP = 27  # log2 of the bits of the bitmap: 16 MB
 KEPT = 400_000  # words, and
 HELD = 1 << 20  # n-grams of each length, that a task holds before it passes their counts on
-CHUNK = 1 << 19
-SLICE = 128
+CHUNK = 1 << 20
+SLICE = 2 << 20  # bytes of text that Python holds the words of at once, or one text
 _ODD = 0x9E3779B97F4A7C15  # fixed value: an odd multiplier
 _hash = xxhash.xxh64_intdigest
 END_WORD = b"\x00 end"  # holds a blank, so no word is equal
@@ -101,7 +100,7 @@ def _grams(piece: np.ndarray, n: int, upto: int) -> np.ndarray:
         out <<= np.uint64(8)
         if at - k >= 0:
             out |= piece[at - k : len(piece) - k]
-        else:
+        elif k < len(piece):
             out[k - at :] |= piece[: len(piece) - k]
     return out
 
@@ -110,11 +109,6 @@ def _mask(length: int) -> int:
     return (1 << (8 * length)) - 1
 
 
-def _bit(keys: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (keys * np.uint64(_ODD)) >> np.uint64(64 - BITMAP)
-
-
 class _Tally:
     """Counts of integers, added up in sorted arrays."""
 
@@ -148,10 +142,13 @@ class _Tally:
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every row of the batches, SLICE at a time, to bound what Python holds of their tokens at once."""
+    """Every row of the batches, whose last column is the text, in slices of about SLICE bytes of text."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
+        upto = np.cumsum([len(t) if t else 0 for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()])
+        cuts = [0, *(np.flatnonzero(np.diff(upto // SLICE)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)
 
 
 def _gram_counts(lengths: list[int], gate: Broadcast | None) -> Callable:
@@ -165,12 +162,9 @@ def _gram_counts(lengths: list[int], gate: Broadcast | None) -> Callable:
             for _, piece, reach in _pieces(symbols):
                 whole = _grams(piece, len(reach), lengths[-1])
                 for k in lengths:
-                    g = whole[reach >= k]
-                    if k < 8:
-                        g = g & np.uint64(_mask(k))
+                    g = whole[reach >= k] & np.uint64(_mask(k))
                     if states is not None:
-                        bit = _bit((g >> np.uint64(8)) & np.uint64(_mask(k - 2)))
-                        g = g[(states[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                        g = g[in_bitmap(states, (g >> np.uint64(8)) & np.uint64(_mask(k - 2)))]
                     if tallies[k].add(g):
                         yield tallies[k].out(k)
         for k, tally in tallies.items():
@@ -179,20 +173,6 @@ def _gram_counts(lengths: list[int], gate: Broadcast | None) -> Callable:
     return run
 
 
-def _gate(states: DataFrame) -> Broadcast:
-    """The bitmap of states (ctx)."""
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = _bit(batch.column(0).to_numpy().view(np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((bit >> 5).astype(np.int32)), pa.array(np.int64(1) << (bit & 31))], ["at", "bits"])
-
-    found = states.select("ctx").mapInArrow(bits, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # 2^(BITMAP - 5) rows at most
-    bitmap = np.zeros(1 << (BITMAP - 5), np.dtype("<u4"))
-    bitmap[found["at"].to_numpy()] = found["bits"].to_numpy()
-    return states.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8))
-
-
 def _level(counted: DataFrame, lower: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """From the counts (g, c) of n-grams of length k and the log-probabilities (g, lp) of length k - 1: entries (g, lp, gain), and
     the states (ctx, back), contexts of length k - 1. All logarithms are natural."""
@@ -222,7 +202,7 @@ def tree(training: DataFrame) -> tuple[np.ndarray, DataFrame]:
         if k > FIRST:
             if states.isEmpty():
                 break
-            counted = count([k], _gate(states))
+            counted = count([k], bitmap(states.select("ctx")))
         entries, states = _level(counted.where(f"k = {k}").select("g", "c"), lower, k)
         parts.append(entries.select(F.lit(k).alias("k"), "g", F.col("gain").alias("value")))
         parts.append(states.select(F.lit(k - 1).alias("k"), F.col("ctx").alias("g"), F.col("back").alias("value")))
@@ -236,25 +216,26 @@ def tree(training: DataFrame) -> tuple[np.ndarray, DataFrame]:
 class Values:
     """Looks values of n-grams up: those of one and two bytes in arrays, others by the first bits of a hash."""
 
-    def __init__(self, plain: np.ndarray, k: np.ndarray, g: np.ndarray, value: np.ndarray, whole: bool):
+    def __init__(self, plain: np.ndarray, level: Callable, whole: bool):
+        """level: gives the n-grams of a length and their values."""
         self.whole = whole  # not only a part: an n-gram is there only if its suffix is
         self.flat = [plain.astype(np.float32), np.zeros(1 << 16, np.float32)]
-        self.start = 0.0  # what the border gives back as the first context
-        one, two = k == 1, k == 2
-        at = g[one] != BORDER
-        self.flat[0][g[one][at]] += value[one][at]
-        self.start = float(value[one][~at].sum())
-        self.flat[1][g[two]] = value[two]
+        g, value = level(1)
+        at = g != BORDER
+        self.flat[0][g[at]] += value[at]
+        self.start = float(value[~at].sum())  # what the border gives back as the first context
+        g, value = level(2)
+        self.flat[1][g] = value
         self.more = []
         for length in range(3, LONGEST + 1):
-            here = k == length
+            g, value = level(length)
             with np.errstate(over="ignore"):
-                keys = g[here].view(np.uint64) * np.uint64(_ODD)
+                keys = g.view(np.uint64) * np.uint64(_ODD)
             order = np.argsort(keys)
-            keys = keys[order]
-            bits = max(1, int(len(keys)).bit_length())
-            firsts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
-            self.more.append((keys, value[here][order].astype(np.float32), np.append(firsts, len(keys)).astype(np.int32), np.uint64(64 - bits)))
+            keys, value = keys[order], value[order].astype(np.float32)
+            bits = max(1, len(keys).bit_length())
+            firsts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+            self.more.append((keys, value, np.append(firsts, len(keys)).astype(np.int32), np.uint64(64 - bits)))
 
     def found(self, g: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Which of the n-grams are there, and their values."""
@@ -277,6 +258,20 @@ class Values:
             left, at, end, g = left[on], at[on], end[on], g[on]
         return (np.concatenate(which), np.concatenate(there)) if which else (np.zeros(0, np.int64), np.zeros(0, np.float32))
 
+    def longer(self, g: np.ndarray, reach: np.ndarray | None) -> np.ndarray:
+        """The sum of values of the last three bytes and more of each n-gram, as far as it reaches (or else wholly)."""
+        sums = np.zeros(len(g), np.float32)
+        live = np.arange(len(g)) if reach is None else np.flatnonzero(reach >= 3)
+        for k in range(3, LONGEST + 1):
+            which, there = self.found(g[live] & np.uint64(_mask(k)), k)
+            which = live[which]
+            sums[which] += there
+            if self.whole:
+                live = which
+            if reach is not None:
+                live = live[reach[live] > k]
+        return sums
+
     def scores(self, texts: list[list[bytes]]) -> np.ndarray:
         """The sum of values of each text, given its words."""
         symbols = _symbols(texts)
@@ -286,15 +281,10 @@ class Values:
             n = len(reach)
             whole = _grams(piece, n, LONGEST)
             sums = self.flat[0][piece[-n:]] + self.flat[1][(whole & np.uint64(0xFFFF)).astype(np.int64)]
-            live = np.flatnonzero(reach >= 3)
-            for k in range(3, LONGEST + 1):
-                g = whole[live]
-                which, there = self.found(g & np.uint64(_mask(k)) if k < 8 else g, k)
-                which = live[which]
-                sums[which] += there
-                if self.whole:
-                    live = np.sort(which)
-                live = live[reach[live] > k]
+            full = reach >= LONGEST
+            distinct, which = np.unique(whole[full], return_inverse=True)  # most occur many times
+            sums[full] += self.longer(distinct, None)[which]
+            sums[~full] += self.longer(whole[~full], reach[~full])
             upto = np.concatenate(([0.0], np.cumsum(sums, dtype=np.float64)))
             low, high = np.clip(ends[:-1] + 1 - first, 0, n), np.clip(ends[1:] + 1 - first, 0, n)
             total += upto[high] - upto[low]
@@ -329,9 +319,11 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     part = F.pmod(F.xxhash64("g"), F.lit(parts))
 
     def shared(p: int) -> Broadcast:
-        found = values.where(part == p).toArrow()  # about PART rows
-        k, g, value = (found[c].to_numpy() for c in ("k", "g", "value"))
-        return spark.sparkContext.broadcast(Values(plain if p == 0 else np.zeros(256), k, g, value, parts == 1))
+        def level(k: int) -> tuple[np.ndarray, np.ndarray]:
+            found = values.where((F.col("k") == k) & (part == p)).select("g", F.col("value").cast("float")).toArrow()  # of all k about PART rows
+            return found["g"].to_numpy(), found["value"].to_numpy()
+
+        return spark.sparkContext.broadcast(Values(plain if p == 0 else np.zeros(256), level, parts == 1))
 
     kind = docs.schema[id_col].dataType.simpleString()
     held = shared(0)
