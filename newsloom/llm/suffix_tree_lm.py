@@ -336,10 +336,10 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             if not found:
                 continue
             texts = len(found)
-            place = {w: k for k, w in enumerate(dict.fromkeys(w for f in found for w in f))}
-            h = _signed([_hash(w) for w in place])
+            words = pa.array([w for f in found for w in f], pa.large_binary()).dictionary_encode()
+            h = _signed([_hash(w) for w in words.dictionary.to_pylist()])
             sizes = np.array([len(f) for f in found], np.int64)
-            tok, of = np.fromiter((place[w] for f in found for w in f), np.int64, int(sizes.sum())), np.repeat(np.arange(texts), sizes)
+            tok, of = words.indices.to_numpy().astype(np.int64), np.repeat(np.arange(texts), sizes)
             at, hit = _looked_up(h, hs)
             base_of = np.where(hit, np.log10((np.where(hit, cs[at], 0) + 0.1) / below), 0.0) if len(cs) else np.zeros(len(h))
             base = np.bincount(of, base_of[tok], texts) + np.log10((end + 0.1) / below)
