@@ -124,10 +124,51 @@ def test_langid(odd, empty, spark):
     assert {r["lang_pred"] for r in langid_ppm.identify(odd, empty).collect()} == {"und"}
     by = {r["doc_id"]: r["lang_pred"] for r in langid_ppm.identify(odd, odd).collect()}
     assert by[1] == "en" and by[6] == "de" and by[3] == by[4] == "und"
+    long = odd.select("doc_id", F.repeat("text", 300).alias("text"), "lang")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid_ppm.identify(long, odd).collect()} == by
     found = queries.QUERIES["op9_langid"](spark, f"{DATA}/sf0.01").join(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     assert found.where("lang = lang_pred").count() >= 0.98 * found.count()
 
 
+def test_langid_against_brute_force(monkeypatch):
+    """Code lengths by the definition of PPM, method C with exclusion, in dictionaries; every byte's probabilities add up to one."""
+    rng = random.Random(8)
+    rows = [(lang, " ".join("".join(rng.choice(stems) for _ in range(rng.randint(1, 3))) for _ in range(30))) for lang, stems in (("a", ["an", "the", "x"]), ("b", ["\u00e9t", "ba", "\U0001f642"])) for _ in range(4)]
+    model = langid_ppm.Model(rows)
+
+    def seen(lang):
+        counts = {}
+        for x, t in rows:
+            data = b"   " + t.lower().encode()
+            for i in range(3, len(data) if x == lang else 0):
+                for k in range(4):
+                    counts.setdefault(data[i - k : i], Counter())[data[i]] += 1
+        return counts
+
+    def p(counts, context, without=frozenset()):
+        """Of all bytes not excluded, by the longest context seen."""
+        here = {b: c for b, c in counts.get(context, {}).items()}
+        if not here:
+            return p(counts, context[1:]) if context else dict.fromkeys(range(256), 1 / 256)
+        lower = p(counts, context[1:]) if context else dict.fromkeys(range(256), 1 / 256)
+        total, left = sum(here.values()) + len(here), sum(x for b, x in lower.items() if b not in here)
+        return {b: here[b] / total if b in here else len(here) / total * lower[b] / left for b in range(256)}
+
+    texts = [b"the an x", "\u00e9t the ba".encode(), b"zq", b"", b"   ", "\U0001f642".encode() * 9]
+    monkeypatch.setattr(langid_ppm, "CHUNK", 5)
+    monkeypatch.setattr(langid_ppm, "HELD", 0)
+    found = model.lengths(texts)
+    for at, lang in enumerate(model.languages):
+        counts = seen(lang)
+        for k, text in enumerate(texts):
+            data, bits = b"   " + text, 0.0
+            for i in range(3, len(data)):
+                of = p(counts, data[i - 3 : i])
+                assert abs(sum(of.values()) - 1) < 1e-9
+                bits -= math.log2(of[data[i]])
+            assert abs(bits - found[k, at]) < 1e-2, (lang, text)
+
+
 def test_toxicity(odd, empty, spark):
     labels = odd.select("doc_id", "text", F.lit(1).alias("label"))
     assert toxicity_zstd.toxicity(empty, labels).count() == 0
