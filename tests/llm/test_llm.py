@@ -389,6 +389,25 @@ def test_licenses(spark, empty):
     assert license_scan.licenses(empty).count() == 0
 
 
+def test_licenses_wrapped_siblings_and_repeated_rows(spark):
+    """Hard-wrapped notices are confirmed, siblings are told apart, and a row's result doesn't depend on how often it stands there."""
+    import textwrap
+
+    rng = random.Random(6)
+    filler = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    names = sorted(license_scan.TEMPLATES)
+    texts = {k: filler(40) + "\n\n" + "\n".join(textwrap.wrap(license_scan.TEMPLATES[name][-1], 60)) + "\n\n" + filler(40) for k, name in enumerate(names)}
+    texts |= {100 + k: f"{filler(30)}\n{license_scan.TEMPLATES[name][0]}\n{filler(30)}" for k, name in enumerate(names)}
+    texts |= {200 + k: "\n".join(filler(12) for _ in range(10)) for k in range(30)}
+    rows = list(texts.items())
+    docs = spark.createDataFrame([(*r, "x") for r in rows + rows[:5] + rows[:5]] + [(None, rows[0][1], "x"), (None, None, "x")], "doc_id long, text string, key string")
+    found = license_scan.licenses(docs).collect()
+    assert len(found) == len(rows) + 12 and sum(r["doc_id"] is None for r in found) == 2
+    by = {r["doc_id"]: (r["families"], r["probability"]) for r in found if r["doc_id"] is not None}
+    assert {k: v[0] for k, v in by.items()} == {k: names[k % 100] if k < 200 else "" for k in texts}
+    assert all(by[r["doc_id"]] == (r["families"], r["probability"]) for r in found if r["doc_id"] is not None)
+
+
 def test_folds(spark):
     df = spark.range(50).select("id", common.remainder("id", 4).alias("r"))
     assert all(r["r"] == zlib.crc32(str(r["id"]).encode()) % 4 for r in df.collect())
