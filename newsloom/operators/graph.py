@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from newsloom.functions import text as T
+from newsloom.functions.wordlists import BYLINES, COMMON_NOUNS, HUBS, PARTIES
+from newsloom.operators import sinks
+
 WIRE_SERVICES = ["reuters", "afp", "ap", "associated press", "mediafax", "agerpres"]  # fixed values
 
 
@@ -30,10 +34,18 @@ def majority_label(entities: DataFrame) -> DataFrame:
     return counted.groupBy("entity_text").agg(F.min(F.struct((-F.col("n")).alias("less"), "entity_label")).alias("b")).select("entity_text", F.col("b.entity_label").alias("label"))
 
 
-def without_bylines(entities: DataFrame, articles: DataFrame, least: float = 0.3, names: list[str] = WIRE_SERVICES) -> DataFrame:
-    """[H23, G14] Entities without listed names and without persons of low outlet entropy."""
-    low = outlet_entropy(entities, articles).where(F.col("entropy") < least).join(majority_label(entities).where("label = 'PERSON'"), "entity_text", "left_semi")
-    return entities.where(~F.lower("entity_text").isin(names)).join(low.select("entity_text"), "entity_text", "left_anti")
+def without_bylines(entities: DataFrame, articles: DataFrame, least: float = 0.3, names: list[str] = WIRE_SERVICES + BYLINES) -> DataFrame:
+    """[H23] Entities without listed names and without those that are mostly persons and, as persons, of low outlet entropy."""
+    rows = entities.where(~F.lower("entity_text").isin(names))
+    low = outlet_entropy(rows.where("entity_label = 'PERSON'"), articles).where(F.col("entropy") < least).join(majority_label(rows).where("label = 'PERSON'"), "entity_text", "left_semi")
+    return rows.join(low.select("entity_text"), "entity_text", "left_anti").select(*entities.columns)
+
+
+def graph_entities(entities: DataFrame, articles: DataFrame) -> DataFrame:
+    """[G11, G14, H23] The names that make the graph: without a tagger's false names, in canonical form, without bylines."""
+    named = entities.where(~T.ner_stop(F.col("entity_text")) & F.col("entity_label").isin("PERSON", "ORGANIZATION", "GPE", "LOC", "EVENT"))
+    canonical = named.join(canonical_entities(named).withColumnRenamed("raw", "entity_text"), "entity_text").select("article_id", F.col("canonical").alias("entity_text"), "entity_label")
+    return without_bylines(canonical, articles)
 
 
 def edges(entities: DataFrame, articles: DataFrame, *, least_raw: int = 5, least_pmi: float = 0.0) -> DataFrame:
@@ -73,26 +85,51 @@ def hub_cutoff(graph: DataFrame, quantile: float = 0.999) -> DataFrame:
 
 
 def path_candidates(graph: DataFrame, start: str, end: str, *, least_raw: int = 15, least_pmi: float = 0.5, limit: int = 100) -> DataFrame:
-    """[H27, X12] The cheapest simple paths of one to three hops, cost = sum of 1 / PMI: (nodes, cost, hops).
-    The hops grow from both ends, so that only neighbours of the two names take part."""
-    e = both_ways(graph.where((F.col("weight_raw") >= least_raw) & (F.col("weight_pmi") > least_pmi))).select("a", "b", (1 / F.col("weight_pmi")).alias("c"))
-    out = e.where(F.col("a") == start).select(F.col("b").alias("x"), F.col("c").alias("c1"))
-    back = e.where(F.col("b") == end).select(F.col("a").alias("y"), F.col("c").alias("c2"))
-    one = out.where(F.col("x") == end).select(F.array(F.lit(start), F.lit(end)).alias("nodes"), F.col("c1").alias("cost"))
+    """[H27, X12] The cheapest simple paths of one to three hops, cost = sum of 1 / PMI: (path, cost, hops, inner, pmi, raw; the last
+    two are lists of the edges'). Edges under the floors take part only if one of the names has no edge above them. The
+    hops grow from both ends, so that only neighbours of the two names take part."""
+    floors = (F.col("weight_raw") >= least_raw) & (F.col("weight_pmi") >= least_pmi)
+    ends = both_ways(graph).where(F.col("a").isin(start, end)).agg(F.count_distinct(F.when(floors, F.col("a"))).alias("met"))
+    e = both_ways(graph).crossJoin(ends).where(floors | (F.col("met") < 2)).select("a", "b", F.struct("weight_pmi", "weight_raw").alias("w"))  # one row on the right
+    out = e.where(F.col("a") == start).select(F.col("b").alias("x"), F.col("w").alias("w1"))
+    back = e.where(F.col("b") == end).select(F.col("a").alias("y"), F.col("w").alias("w2"))
+    none = F.array().cast("array<string>")
+    one = out.where(F.col("x") == end).select(none.alias("inner"), F.array("w1").alias("w"))
     inner = (F.col("x") != end) & (F.col("y") != start)
-    two = out.join(back, out.x == back.y).where(inner).select(F.array(F.lit(start), "x", F.lit(end)).alias("nodes"), (F.col("c1") + F.col("c2")).alias("cost"))
-    three = out.join(e, out.x == e.a).join(back, F.col("b") == back.y).where(inner & (F.col("x") != F.col("y"))).select(F.array(F.lit(start), "x", "y", F.lit(end)).alias("nodes"), (F.col("c1") + F.col("c") + F.col("c2")).alias("cost"))
-    whole = one.unionByName(two).unionByName(three).select(F.array_join("nodes", " > ").alias("path"), F.round("cost", 6).alias("cost"), (F.size("nodes") - 1).alias("hops"))
+    two = out.join(back, out.x == back.y).where(inner).select(F.array("x").alias("inner"), F.array("w1", "w2").alias("w"))
+    three = out.join(e, out.x == e.a).join(back, F.col("b") == back.y).where(inner & (F.col("x") != F.col("y"))).select(F.array("x", "y").alias("inner"), F.array("w1", "w", "w2").alias("w"))
+    whole = one.unionByName(two).unionByName(three).select(
+        F.array_join(F.concat(F.array(F.lit(start)), "inner", F.array(F.lit(end))), " > ").alias("path"), F.round(F.aggregate("w", F.lit(0.0), lambda s, w: s + 1 / w["weight_pmi"]), 6).alias("cost"),
+        F.size("w").alias("hops"), "inner", F.col("w.weight_pmi").alias("pmi"), F.col("w.weight_raw").alias("raw"),
+    )
     return whole.orderBy("cost", "path").limit(limit)
 
 
-def disjoint_paths(candidates: DataFrame, k: int = 5) -> DataFrame:
-    """[H27] Greedily the cheapest paths that share no inner node; at most the hundred candidates are looked at, in one fold."""
-    listed = candidates.agg(F.array_sort(F.collect_list(F.struct("cost", "path", "hops"))).alias("l"))
-    step = """aggregate(l, named_struct('used', cast(array() AS array<string>), 'out', cast(array() AS array<struct<cost: double, path: string, hops: int>>)), (s, p) ->
-        CASE WHEN size(s.out) < {k} AND NOT coalesce(arrays_overlap(s.used, slice(split(p.path, ' > '), 2, greatest(size(split(p.path, ' > ')) - 2, 0))), false)
-             THEN named_struct('used', concat(s.used, slice(split(p.path, ' > '), 2, greatest(size(split(p.path, ' > ')) - 2, 0))), 'out', concat(s.out, array(p))) ELSE s END).out"""
-    return listed.select(F.posexplode(F.expr(step.format(k=k))).alias("path_id", "p")).select("path_id", "p.path", "p.cost", "p.hops")
+def hubs(graph: DataFrame, quantile: float = 0.999) -> DataFrame:
+    """[H25] (node): lower-case names that no path goes through, by degree."""
+    return degrees(graph).crossJoin(hub_cutoff(graph, quantile)).where("degree >= cutoff").select(F.lower("node").alias("node")).distinct()  # one row on the right
+
+
+def scored_paths(graph: DataFrame, candidates: DataFrame, *, unfiltered: int = 20, listed: list[str] = HUBS) -> DataFrame:
+    """[H25, H26, H27] The candidates without hubs and artefacts inside, with their score: geometric mean of PMI * ln(1 + geometric
+    mean of counts) * product of 1 / ln(1 + degree) over the inner names. If none is left, the cheapest ``unfiltered`` of all."""
+    ranked = candidates.withColumn("nth", F.row_number().over(Window.orderBy("cost", "path")))  # the hundred candidates
+    each = ranked.select("nth", F.explode("inner").alias("node")).join(degrees(graph), "node").join(hubs(graph).select(F.col("node").alias("low"), F.lit(True).alias("hub")), F.lower("node") == F.col("low"), "left")
+    bad = F.coalesce("hub", F.lit(False)) | F.lower("node").isin(listed) | T.artifact(F.col("node"), PARTIES, COMMON_NOUNS)
+    inner = each.groupBy("nth").agg(F.max(bad).alias("bad"), F.sum(F.log(F.log(1 + F.col("degree")))).alias("penalty"))
+    marked = ranked.join(inner, "nth", "left").withColumns({"bad": F.coalesce("bad", F.lit(False)), "good": F.max(~F.coalesce("bad", F.lit(False))).over(Window.partitionBy())})
+    mean = lambda c: F.exp(F.aggregate(c, F.lit(0.0), lambda s, x: s + F.log(F.greatest(x.cast("double"), F.lit(1e-9)))) / F.size(c))
+    score = mean("pmi") * F.log(1 + mean("raw")) * F.exp(-F.coalesce("penalty", F.lit(0.0)))
+    return marked.where((F.col("good") & ~F.col("bad")) | (~F.col("good") & (F.col("nth") <= unfiltered))).select("path", "cost", "hops", "inner", F.round(score, 6).alias("score"), "nth")
+
+
+def disjoint_paths(scored: DataFrame, k: int = 5) -> DataFrame:
+    """[H27] Greedily the best paths that share no inner node, of equal scores the cheaper; at most the hundred candidates are looked at, in one fold."""
+    listed = scored.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "nth", "path", "cost", "hops", "inner", "score"))).alias("l"))
+    step = f"""aggregate(l, named_struct('used', cast(array() AS array<string>), 'out', slice(l, 1, 0)), (s, p) ->
+        CASE WHEN size(s.out) < {k} AND NOT coalesce(arrays_overlap(s.used, p.inner), false)
+             THEN named_struct('used', concat(s.used, p.inner), 'out', concat(s.out, array(p))) ELSE s END).out"""
+    return listed.select(F.posexplode(F.expr(step)).alias("path_id", "p")).select("path_id", "p.path", "p.cost", "p.hops", "p.score")
 
 
 def edge_articles(entities: DataFrame, articles: DataFrame, a: str, b: str) -> DataFrame:
@@ -139,11 +176,7 @@ def similar_names(names: DataFrame, name: str, least: float = 0.3) -> DataFrame:
 def graph_stats(graph: DataFrame, rounds: int = 50) -> DataFrame:
     """[H24] Nodes, edges, components and the size of the largest, by least-label propagation over checkpoints."""
     e = both_ways(graph).select("a", "b")
-    context = graph.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(graph.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsloom-"))
+    sinks.shared_folder(graph.sparkSession)
     e = e.checkpoint()
     now = e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).checkpoint()
     for _ in range(rounds):
@@ -154,6 +187,8 @@ def graph_stats(graph: DataFrame, rounds: int = 50) -> DataFrame:
         now = new
         if not changed:
             break
+    else:
+        raise RuntimeError(f"the components did not settle in {rounds} rounds")
     sizes = now.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("nodes"), F.count(F.lit(1)).alias("components"), F.max("n").alias("largest"))
     return sizes.crossJoin(graph.agg(F.count(F.lit(1)).alias("edges")))  # one row each
 
@@ -180,4 +215,4 @@ def paths(graph: DataFrame, a: str, b: str, *, k: int = 5, max_hops: int = 3, le
     if missing:
         raise LookupError(f"no such node: {', '.join(missing)}")
     found = path_candidates(graph, known["a"], known["b"], least_raw=least_raw, least_pmi=least_pmi)
-    return disjoint_paths(found.where(F.col("hops") <= min(max_hops, 3)), min(k, 10))
+    return disjoint_paths(scored_paths(graph, found.where(F.col("hops") <= min(max_hops, 3))), min(k, 10))

@@ -1,30 +1,87 @@
-"""[Q24, E1, E2, J6, F2, F7] Hybrid search: a dense and a lexical leg, fused by reciprocal rank."""
+"""[Q24, E1, E2, J6, F2, F7, G29] Hybrid search: a dense and a lexical leg, fused by reciprocal rank."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsloom.functions import vectors
 
+WORD = r"[\p{L}\p{N}]+"
+
+
+def words(text: Column) -> Column:
+    """The words of a text, in lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), 1)
+
+
+def asked(query: str) -> list[list[tuple[list[str], bool]]]:
+    """[G29] What a search text asks for: of some groups (parted by ``or``) one, of a group each part: words in a row
+    (several in quotes), and whether they must be there (or must not, after ``-``)."""
+    groups: list[list[tuple[list[str], bool]]] = [[]]
+    for minus, quoted, bare in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query.lower()):
+        part = re.findall(r"[^\W_]+", quoted or bare)
+        if bare == "or" and not minus:
+            groups.append([])
+        elif part:
+            groups[-1].append((part, minus != "-"))
+    return [g for g in groups if g]
+
+
+def matches(w: Column, groups: list[list[tuple[list[str], bool]]]) -> Column:
+    """Whether words ``w`` have what is asked for; nothing has what asks for nothing."""
+    joined = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    has = lambda part: F.array_contains(w, part[0]) if len(part) == 1 else joined.contains(f" {' '.join(part)} ")
+    out = F.lit(False)
+    for g in groups:
+        every = F.lit(True)
+        for part, there in g:
+            every = every & (has(part) if there else ~has(part))
+        out = out | every
+    return out
+
+
+def cover_density(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """[E2] (id, density) of rows (id, w) that have all the terms: over the shortest stretches that hold them all, 0.1 by one more than the
+    words between the terms, by the harmonic mean of the distance between stretches."""
+    hits = rows.select("id", F.posexplode("w").alias("pos", "term")).where(F.col("term").isin(terms))
+    upto = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    last = [F.max(F.when(F.col("term") == t, F.col("pos"))).over(upto) for t in terms]
+    first = F.when(sum((x.isNotNull().cast("int") for x in last), F.lit(0)) == len(terms), F.least(*last) if len(last) > 1 else last[0])
+    order = Window.partitionBy("id").orderBy("pos")
+    ends = hits.select("id", "pos", F.count(F.lit(1)).over(upto).alias("nth"), first.alias("first")).withColumn("before", F.lag("first").over(order))
+    starts = ends.select("id", F.col("pos").alias("first"), F.col("nth").alias("from"))
+    covers = ends.where("first IS NOT NULL AND (before IS NULL OR before <> first)").join(starts, ["id", "first"])
+    covers = covers.withColumn("noise", (F.col("pos") - F.col("first")) - (F.col("nth") - F.col("from"))).withColumn("middle", F.expr("(pos + first) div 2"))
+    gap = F.col("middle") - F.lag("middle").over(order)
+    sums = covers.withColumn("gap", gap).groupBy("id").agg(F.sum(0.1 / (1 + F.col("noise"))).alias("d"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("gap") > 0, 1.0 / F.col("gap"))), F.lit(0.0)).alias("near"))
+    return sums.select("id", F.round(F.when(F.col("near") > 0, F.col("d") / (F.col("n") / F.col("near"))).otherwise(F.col("d")), 9).alias("density"))
+
 
 def _ranked(leg: DataFrame, score: str, rank: str, n: int) -> DataFrame:
     """The best n rows first, so that the global window sees n rows."""
     return leg.orderBy(F.desc(score), "id").limit(n).withColumn(rank, F.row_number().over(Window.orderBy(F.desc(score), "id")))
 
 
-def hybrid_search(articles: DataFrame, query_vector: list[float], terms: list[str], *, top_k: int = 20, candidates: int = 50, rrf_k: float = 60.0, floor: float = 0.5, retain: float = 0.5) -> DataFrame:
-    """(id, dense_rank, sparse_rank, rrf, tier). Both legs need every term in the text, and templated or excluded articles (or
-    of unknown state) are left out. The lexical score is the terms' count by the words' number, in place of cover density."""
-    text = F.lower("content_text")
-    rows = articles.where("NOT is_templated AND NOT is_excluded")
-    for t in terms:
-        rows = rows.where(text.contains(t))
-    hits = sum(((F.length(text) - F.length(F.replace(text, F.lit(t), F.lit("")))) / len(t) for t in terms), F.lit(0.0))
+def hybrid_search(articles: DataFrame, query_vector: list[float], query: str, *, top_k: int = 20, candidates: int = 50, rrf_k: float = 60.0, floor: float = 0.5, retain: float = 0.5) -> DataFrame:
+    """(id, dense_rank, sparse_rank, rrf, tier). Both legs need a match of the search text, and templated or excluded articles (or
+    of unknown state) are left out. Words are compared as they are, in lower case, without stems. The lexical score is the cover
+    density of the words that the first fitting group asks for."""
+    groups = asked(query)
+    rows = articles.where("NOT is_templated AND NOT is_excluded").withColumn("w", words(F.concat_ws(" ", "title", "content_text"))).where(matches(F.col("w"), groups))
     q = F.array(*(F.lit(float(x)) for x in query_vector))
     dense = _ranked(rows.where("embedding IS NOT NULL").select("id", F.round(vectors.cosine(F.col("embedding"), q), 9).alias("cos")).where(F.col("cos") >= floor), "cos", "dense_rank", candidates)
-    sparse = _ranked(rows.select("id", F.round(hits / F.length("content_text"), 9).alias("lex")), "lex", "sparse_rank", candidates)
+    lexical = None
+    for k, g in enumerate(groups):
+        own = rows.where(matches(F.col("w"), [g]) & ~matches(F.col("w"), groups[:k])).select("id", "w")
+        terms = sorted({t for part, there in g if there for t in part})
+        scored = cover_density(own, terms) if terms else own.select("id", F.lit(0.0).alias("density"))
+        lexical = lexical.unionByName(scored) if lexical is not None else scored
+    lexical = lexical if lexical is not None else rows.select("id", F.lit(0.0).alias("density"))
+    sparse = _ranked(lexical.withColumnRenamed("density", "lex"), "lex", "sparse_rank", candidates)
     part = lambda r: F.coalesce(1.0 / (rrf_k + F.col(r)), F.lit(0.0))
     fused = dense.join(sparse, "id", "full_outer").select("id", "dense_rank", "sparse_rank", F.round(part("dense_rank") + part("sparse_rank"), 9).alias("rrf"))
     best = _ranked(fused, "rrf", "rn", 2 * candidates)

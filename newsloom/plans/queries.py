@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
 from newsloom.functions import vectors
+from newsloom.functions.wordlists import BYLINES, COMMON_NOUNS, HUBS, NER_STOPWORDS, PARTIES, STOPWORDS
 from newsloom.operators import analytics as A
 from newsloom.operators import clustering as C
 from newsloom.operators import entities as N
@@ -41,6 +42,10 @@ def query(sql: str | None = None):
     return keep
 
 
+def _quoted(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
 def _pct(column: str, values: list[str]) -> str:
     cols = ", ".join(f"round(100.0 * count(*) FILTER ({column} = '{v}') / count(*), 2) AS {v}_pct" for v in values)
     return oracle(f"SELECT o.name AS outlet_name, count(*) AS total, {cols} FROM articles a JOIN outlets o ON a.outlet_id = o.id WHERE {column} IS NOT NULL GROUP BY o.name")
@@ -250,7 +255,13 @@ def reranked_assignment(n: News) -> DataFrame:
 
 
 # Entities and their graph.
-_EDGES = """m AS (SELECT DISTINCT article_id, entity_text FROM entities), c AS (SELECT entity_text, count(*) AS c FROM m GROUP BY 1), r AS (SELECT a.entity_text AS source, b.entity_text AS target, count(*) AS weight_raw FROM m a JOIN m b ON a.article_id = b.article_id AND a.entity_text < b.entity_text GROUP BY 1, 2 HAVING count(*) >= 5),
+_CANON = """cn AS (SELECT entity_text AS raw, first_value(entity_text) OVER (PARTITION BY array_to_string(list_sort(string_split(lower(entity_text), ' ')), ' ') ORDER BY n DESC, length(entity_text) DESC, entity_text) AS canonical
+      FROM (SELECT entity_text, count(*) AS n FROM entities WHERE NOT regexp_matches(lower(trim(entity_text)), '[.](ro|com|net|org|eu)$') AND lower(trim(entity_text)) NOT IN ({stops}) GROUP BY 1)),
+    ce AS (SELECT article_id, canonical AS entity_text, entity_label FROM entities JOIN cn ON raw = entity_text WHERE lower(canonical) NOT IN ({bylines})),
+    hh AS (SELECT entity_text, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS entropy FROM (SELECT entity_text, outlet_id, count(*) AS c FROM ce JOIN articles a ON a.id = ce.article_id WHERE entity_label = 'PERSON' GROUP BY ALL) GROUP BY 1),
+    ml AS (SELECT entity_text, entity_label FROM (SELECT entity_text, entity_label, row_number() OVER (PARTITION BY entity_text ORDER BY count(*) DESC, entity_label) AS k FROM ce GROUP BY 1, 2) WHERE k = 1),
+    ge AS (SELECT article_id, entity_text FROM ce WHERE entity_text NOT IN (SELECT hh.entity_text FROM hh JOIN ml USING (entity_text) WHERE round(entropy, 6) < 0.3 AND ml.entity_label = 'PERSON'))""".format(stops=_quoted(NER_STOPWORDS), bylines=_quoted(G.WIRE_SERVICES + BYLINES))
+_EDGES = _CANON + """, m AS (SELECT DISTINCT article_id, entity_text FROM ge), c AS (SELECT entity_text, count(*) AS c FROM m GROUP BY 1), r AS (SELECT a.entity_text AS source, b.entity_text AS target, count(*) AS weight_raw FROM m a JOIN m b ON a.article_id = b.article_id AND a.entity_text < b.entity_text GROUP BY 1, 2 HAVING count(*) >= 5),
     edges AS (SELECT * FROM (SELECT source, target, weight_raw, round(ln(weight_raw * CAST((SELECT count(*) FROM documents WHERE length(text) > 0) AS DOUBLE) / (x.c * y.c)), 6) AS weight_pmi FROM r JOIN c x ON x.entity_text = source JOIN c y ON y.entity_text = target) WHERE weight_pmi > 0),
     e2 AS (SELECT source AS a, target AS b, weight_raw, weight_pmi FROM edges UNION ALL SELECT target, source, weight_raw, weight_pmi FROM edges), deg AS (SELECT a AS node, count(*) AS degree FROM e2 GROUP BY 1)"""
 
@@ -260,7 +271,7 @@ def _graph_sql(body: str) -> str:
 
 
 def _edges(n: News) -> DataFrame:
-    return G.edges(n.entities, n.articles)
+    return G.edges(G.graph_entities(n.entities, n.articles), n.articles)
 
 
 @query(_graph_sql("SELECT * FROM edges"))
@@ -278,19 +289,38 @@ def hub_cutoff(n: News) -> DataFrame:
     return G.hub_cutoff(_edges(n))
 
 
-_PATHS = """SELECT * FROM (SELECT 'With > That' AS path, round(1 / weight_pmi, 6) AS cost, 1 AS hops FROM e2 WHERE a = 'With' AND b = 'That' UNION ALL
-    SELECT 'With > ' || x.b || ' > That', round(1 / x.weight_pmi + y.weight_pmi ** -1, 6), 2 FROM e2 x JOIN e2 y ON x.b = y.a WHERE x.a = 'With' AND y.b = 'That' AND x.b <> 'That' AND y.a <> 'With' UNION ALL
-    SELECT 'With > ' || x.b || ' > ' || z.a || ' > That', round(1 / x.weight_pmi + 1 / y.weight_pmi + 1 / z.weight_pmi, 6), 3 FROM e2 x JOIN e2 y ON x.b = y.a JOIN e2 z ON y.b = z.a WHERE x.a = 'With' AND z.b = 'That' AND x.b <> 'That' AND z.a <> 'With') ORDER BY cost, path LIMIT 100"""
+_PATHS = """cand AS (SELECT *, row_number() OVER (ORDER BY cost, path) AS nth FROM (SELECT 'With > That' AS path, round(1 / weight_pmi, 6) AS cost, 1 AS hops, CAST([] AS VARCHAR[]) AS inn, [weight_pmi] AS pmi, [weight_raw] AS raw FROM e2 WHERE a = 'With' AND b = 'That' UNION ALL
+    SELECT 'With > ' || x.b || ' > That', round(1 / x.weight_pmi + y.weight_pmi ** -1, 6), 2, [x.b], [x.weight_pmi, y.weight_pmi], [x.weight_raw, y.weight_raw] FROM e2 x JOIN e2 y ON x.b = y.a WHERE x.a = 'With' AND y.b = 'That' AND x.b <> 'That' AND y.a <> 'With' UNION ALL
+    SELECT 'With > ' || x.b || ' > ' || z.a || ' > That', round(1 / x.weight_pmi + 1 / y.weight_pmi + 1 / z.weight_pmi, 6), 3, [x.b, z.a], [x.weight_pmi, y.weight_pmi, z.weight_pmi], [x.weight_raw, y.weight_raw, z.weight_raw] FROM e2 x JOIN e2 y ON x.b = y.a JOIN e2 z ON y.b = z.a WHERE x.a = 'With' AND z.b = 'That' AND x.b <> 'That' AND z.a <> 'With') ORDER BY cost, path LIMIT 100)"""
+_SCORED = f"""cut AS (SELECT min(degree) AS cutoff FROM (SELECT degree, row_number() OVER (ORDER BY degree) - 1 AS k, count(*) OVER () AS n FROM deg) WHERE k >= floor(0.999 * n)), hub AS (SELECT DISTINCT lower(node) AS node FROM deg, cut WHERE degree >= cutoff),
+    inn AS (SELECT nth, d.node, degree, lower(d.node) IN (SELECT node FROM hub) OR lower(d.node) IN ({_quoted(HUBS)}) OR contains(d.node, '+') OR lower(trim(d.node)) IN ({_quoted(COMMON_NOUNS)}) OR regexp_matches(trim(d.node), '^\\p{{Ll}}\\S*$')
+      OR len(list_intersect(list_distinct(string_split(trim(d.node), ' ')), [{_quoted(PARTIES)}])) >= 2 OR regexp_matches(trim(d.node), '^({'|'.join(PARTIES)})\\s+\\p{{Lu}}') AS bad FROM (SELECT nth, unnest(inn) AS node FROM cand) u JOIN deg d ON d.node = u.node),
+    pen AS (SELECT nth, bool_or(bad) AS bad, sum(ln(ln(1 + degree))) AS penalty FROM inn GROUP BY 1), mk AS (SELECT c.*, coalesce(bad, false) AS bad, coalesce(penalty, 0) AS penalty FROM cand c LEFT JOIN pen USING (nth)),
+    sc AS (SELECT path, cost, hops, inn, nth, round(exp(list_avg(list_transform(pmi, lambda x: ln(x)))) * ln(1 + exp(list_avg(list_transform(raw, lambda x: ln(x))))) * exp(-penalty), 6) AS score FROM mk WHERE CASE WHEN (SELECT bool_or(NOT bad) FROM mk) THEN NOT bad ELSE nth <= 20 END)"""
+_GREEDY = """ord AS (SELECT *, row_number() OVER (ORDER BY score DESC, nth) AS r FROM sc),
+    fold AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS VARCHAR[]) AS used, CAST([] AS BIGINT[]) AS kept UNION ALL
+      SELECT o.r, CASE WHEN len(f.kept) < 5 AND NOT list_has_any(f.used, o.inn) THEN list_concat(f.used, o.inn) ELSE f.used END, CASE WHEN len(f.kept) < 5 AND NOT list_has_any(f.used, o.inn) THEN list_append(f.kept, o.r) ELSE f.kept END FROM fold f JOIN ord o ON o.r = f.r + 1)
+    SELECT CAST(list_position(k.kept, o.r) - 1 AS INT) AS path_id, o.path, o.cost, o.hops, o.score FROM ord o, (SELECT kept FROM fold ORDER BY r DESC LIMIT 1) k WHERE list_contains(k.kept, o.r)"""
 
 
-@query(_graph_sql(_PATHS))
+def _candidates(n: News) -> tuple[DataFrame, DataFrame]:
+    e = _edges(n)
+    return e, G.path_candidates(e, "With", "That", least_raw=5, least_pmi=0.0)
+
+
+@query(oracle(f"{_EDGES}, {_PATHS} SELECT path, cost, hops FROM cand"))
 def paths_candidates(n: News) -> DataFrame:
-    return G.path_candidates(_edges(n), "With", "That", least_raw=5, least_pmi=0.0)
+    return _candidates(n)[1].select("path", "cost", "hops")
 
 
-@query()
+@query(oracle(f"{_EDGES}, {_PATHS}, {_SCORED} SELECT path, cost, hops, score FROM sc"))
+def paths_scored(n: News) -> DataFrame:
+    return G.scored_paths(*_candidates(n)).select("path", "cost", "hops", "score")
+
+
+@query(oracle(f"{_EDGES}, {_PATHS}, {_SCORED}, {_GREEDY}").replace("WITH outlets", "WITH RECURSIVE outlets", 1))
 def paths_disjoint(n: News) -> DataFrame:
-    return G.disjoint_paths(G.path_candidates(_edges(n), "With", "That", least_raw=5, least_pmi=0.0))
+    return G.disjoint_paths(G.scored_paths(*_candidates(n)))
 
 
 @query(oracle(_EDGES + ", reach AS (SELECT a AS node, a AS root FROM e2 UNION SELECT e2.b, r.root FROM reach r JOIN e2 ON e2.a = r.node ), comp AS (SELECT node, min(root) AS c FROM reach GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS nodes, count(*) AS components, max(n) AS largest, (SELECT count(*) FROM edges) AS edges FROM (SELECT c, count(*) AS n FROM comp GROUP BY 1)").replace("WITH outlets", "WITH RECURSIVE outlets", 1))
@@ -331,7 +361,7 @@ def outlet_entropy(n: News) -> DataFrame:
     return G.outlet_entropy(n.entities, n.articles)
 
 
-@query(oracle("""h AS (SELECT entity_text, abs(round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6)) AS entropy FROM (SELECT entity_text, outlet_id, count(*) AS c FROM entities e JOIN articles a ON a.id = e.article_id GROUP BY ALL) GROUP BY 1)
+@query(oracle("""h AS (SELECT entity_text, abs(round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6)) AS entropy FROM (SELECT entity_text, outlet_id, count(*) AS c FROM entities e JOIN articles a ON a.id = e.article_id WHERE entity_label = 'PERSON' GROUP BY ALL) GROUP BY 1)
     SELECT article_id, entity_text, entity_label FROM entities WHERE lower(entity_text) NOT IN ('reuters', 'afp', 'ap', 'associated press', 'mediafax', 'agerpres') AND NOT (entity_label = 'PERSON' AND entity_text IN (SELECT entity_text FROM h WHERE entropy < 0.3))"""))
 def without_bylines(n: News) -> DataFrame:
     return G.without_bylines(n.entities, n.articles)
@@ -461,12 +491,14 @@ def label_probabilities(n: News) -> DataFrame:
     return n.articles.select("id", F.round(T.softmax(F.array((F.col("id") % 5).cast("double"), (F.col("id") % 3).cast("double"), F.lit(0.0)))[0], 6).alias("p"))
 
 
-@query(oracle("""SELECT id, 'passage: ' || title || coalesce(' ' || e, '') AS augmented FROM articles a LEFT JOIN (SELECT article_id, string_agg(entity_text, ' ' ORDER BY entity_label, rn) AS e FROM (SELECT article_id, entity_label, entity_text, row_number() OVER (PARTITION BY article_id, entity_label ORDER BY entity_text) AS rn FROM entities WHERE entity_label IN ('ORGANIZATION', 'PERSON')) WHERE rn <= CASE entity_label WHEN 'PERSON' THEN 6 ELSE 4 END GROUP BY 1) x ON x.article_id = a.id"""))
+def _names(heading: str, labels: list[str], n: int) -> str:
+    return f"(SELECT article_id, '{heading}: ' || string_agg(entity_text, ', ' ORDER BY entity_text) AS s FROM (SELECT article_id, entity_text, row_number() OVER (PARTITION BY article_id ORDER BY entity_text) AS rn FROM (SELECT DISTINCT article_id, entity_text FROM entities WHERE entity_label IN ({_quoted(labels)}))) WHERE rn <= {n} GROUP BY 1)"
+
+
+@query(oracle(f"""SELECT a.id, 'passage: ' || CASE WHEN a.id IN (SELECT article_id FROM entities) THEN concat_ws('. ', p.s, o.s, l.s, e.s) || '. ' ELSE '' END || concat_ws(' ', title, substr(coalesce(content_text, ''), 1, 1500)) AS augmented FROM articles a
+    LEFT JOIN {_names('Persoane', ['PERSON'], 6)} p ON p.article_id = a.id LEFT JOIN {_names('Organizații', ['ORGANIZATION'], 4)} o ON o.article_id = a.id LEFT JOIN {_names('Locuri', ['GPE', 'LOC'], 4)} l ON l.article_id = a.id LEFT JOIN {_names('Evenimente', ['EVENT'], 2)} e ON e.article_id = a.id"""))
 def augmented_text(n: News) -> DataFrame:
-    """[G16] The text to encode: title, then up to six persons and four organisations."""
-    pick = lambda label, k: F.slice(F.array_sort(F.collect_set(F.when(F.col("entity_label") == label, F.col("entity_text")))), 1, k)
-    ents = n.entities.groupBy(F.col("article_id").alias("id")).agg(F.array_join(F.concat(pick("ORGANIZATION", 4), pick("PERSON", 6)), " ").alias("e"))
-    return n.articles.select("id", "title").join(ents, "id", "left").select("id", F.concat(F.lit("passage: "), "title", F.when(F.coalesce("e", F.lit("")) != "", F.concat(F.lit(" "), "e")).otherwise("")).alias("augmented"))
+    return N.augmented_text(n.articles, n.entities)
 
 
 # Windows, labels, samples.
@@ -485,12 +517,23 @@ def temporal_feature(n: News) -> DataFrame:
     return C.temporal_feature(n.articles).select("id", "cluster_id", F.size("feature").alias("dims"), F.round(F.element_at("feature", -1), 6).alias("t"))
 
 
-@query(oracle("""w AS (SELECT g, t, count(*) AS tf FROM (SELECT cluster_id AS g, unnest(regexp_extract_all(lower(title), '[a-z]{3,}')) AS t FROM articles WHERE cluster_id IS NOT NULL) GROUP BY 1, 2), n AS (SELECT count(DISTINCT cluster_id) AS n FROM articles WHERE cluster_id IS NOT NULL), d AS (SELECT t, count(*) AS df FROM w GROUP BY 1)
-    SELECT g AS cluster_id, string_agg(t, ',' ORDER BY rn) AS terms FROM (SELECT g, t, row_number() OVER (PARTITION BY g ORDER BY round((1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1), 9) DESC, t) AS rn FROM w JOIN d USING (t), n WHERE df >= 3 AND df <= 0.65 * n) WHERE rn <= 5 GROUP BY 1"""))
+def _labels_sql(key: str, min_df: int, max_df: float) -> str:
+    return oracle(f"""tok AS (SELECT {key} AS g, list_filter(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-zà-ÿăîâșț]{{3,}}') AND NOT list_contains([{_quoted(STOPWORDS)}], w)) AS w FROM articles WHERE {key} IS NOT NULL),
+    w AS (SELECT g, t, count(*) AS tf FROM (SELECT g, unnest(w) AS t FROM tok UNION ALL SELECT g, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM tok) GROUP BY 1, 2), n AS (SELECT count(DISTINCT g) AS n FROM tok),
+    d AS (SELECT t, count(*) AS df, sum(tf) AS s FROM w GROUP BY 1), f AS (SELECT t, df, n FROM d, n WHERE df >= {min_df} AND df <= {max_df} * n ORDER BY s DESC, t LIMIT 40000)
+    SELECT g AS {key}, string_agg(t, ',' ORDER BY rn) AS terms FROM (SELECT g, t, row_number() OVER (PARTITION BY g ORDER BY round((1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1), 9) DESC, t) AS rn FROM w JOIN f USING (t)) WHERE rn <= 5 GROUP BY 1""")
+
+
+@query(_labels_sql("cluster_id", 3, 0.65))
 def tfidf_labels(n: News) -> DataFrame:
     return C.tfidf_labels(n.articles.where("cluster_id IS NOT NULL").select("cluster_id", "title"), "cluster_id", "title")
 
 
+@query(_labels_sql("sub_cluster_id", 1, 0.85))
+def tfidf_labels_events(n: News) -> DataFrame:
+    return C.tfidf_labels(n.articles.where("sub_cluster_id IS NOT NULL").select("sub_cluster_id", "title"), "sub_cluster_id", "title", min_df=1, max_df=0.85)
+
+
 @query(oracle("""r AS (SELECT sub_cluster_id AS g, id, title FROM articles WHERE sub_cluster_id IS NOT NULL), tf AS (SELECT g, id, t, count(*) AS tf FROM (SELECT g, id, unnest(regexp_extract_all(lower(title), '[a-z]{3,}')) AS t FROM r) GROUP BY 1, 2, 3), n AS (SELECT g, count(*) AS n FROM r GROUP BY 1), d AS (SELECT g, t, count(*) AS df FROM tf GROUP BY 1, 2),
     w AS (SELECT tf.g, id, t, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN d USING (g, t) JOIN n USING (g)), u AS (SELECT g, id, t, w / sqrt(sum(w * w) OVER (PARTITION BY g, id)) AS w FROM w), p AS (SELECT a.g, a.id, b.id AS id2, sum(a.w * b.w) AS c FROM u a JOIN u b ON a.g = b.g AND a.t = b.t AND a.id <> b.id GROUP BY 1, 2, 3), k AS (SELECT DISTINCT g, id FROM p WHERE c >= 0.15)
     SELECT r.g, r.id FROM r WHERE EXISTS (SELECT 1 FROM k WHERE k.g = r.g AND k.id = r.id) OR (SELECT count(*) FROM k WHERE k.g = r.g) < 2"""))
@@ -525,9 +568,17 @@ def stratified_sample(n: News) -> DataFrame:
 
 
 _QUERY = [1.0 if i % 3 == 0 else -0.5 for i in range(64)]
-_SEARCH_SQL = f"""base AS (SELECT id, embedding, lower(content_text) AS t, length(content_text) AS len FROM articles WHERE NOT is_templated AND NOT is_excluded AND contains(lower(content_text), 'the')),
+_TEXT = 'the of "and the" -idiot or und der'
+_SEARCH_SQL = f"""base AS (SELECT id, embedding, w, (list_contains(w, 'the') AND list_contains(w, 'of') AND contains(j, ' and the ') AND NOT list_contains(w, 'idiot')) AS one FROM (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS j FROM (SELECT id, embedding, regexp_extract_all(lower(concat_ws(' ', title, content_text)), '[\\p{{L}}\\p{{N}}]+') AS w FROM articles WHERE NOT is_templated AND NOT is_excluded))
+      WHERE (list_contains(w, 'the') AND list_contains(w, 'of') AND contains(j, ' and the ') AND NOT list_contains(w, 'idiot')) OR (list_contains(w, 'und') AND list_contains(w, 'der'))),
+    hit AS (SELECT id, one, pos, term FROM (SELECT id, one, unnest(range(0, len(w))) AS pos, unnest(w) AS term FROM base) WHERE term IN (CASE WHEN one THEN 'the' ELSE 'und' END, CASE WHEN one THEN 'of' ELSE 'der' END, CASE WHEN one THEN 'and' ELSE 'und' END)),
+    las AS (SELECT id, pos, count(*) OVER u AS nth, CASE WHEN one THEN CASE WHEN max(pos) FILTER (term = 'the') OVER u IS NOT NULL AND max(pos) FILTER (term = 'of') OVER u IS NOT NULL AND max(pos) FILTER (term = 'and') OVER u IS NOT NULL THEN least(max(pos) FILTER (term = 'the') OVER u, max(pos) FILTER (term = 'of') OVER u, max(pos) FILTER (term = 'and') OVER u) END
+      ELSE CASE WHEN max(pos) FILTER (term = 'und') OVER u IS NOT NULL AND max(pos) FILTER (term = 'der') OVER u IS NOT NULL THEN least(max(pos) FILTER (term = 'und') OVER u, max(pos) FILTER (term = 'der') OVER u) END END AS first FROM hit WINDOW u AS (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    cov AS (SELECT l.id, l.pos, l.first, (l.pos - l.first) - (l.nth - s.nth) AS noise, (l.pos + l.first) // 2 AS middle FROM (SELECT *, lag(first) OVER (PARTITION BY id ORDER BY pos) AS before FROM las) l JOIN las s ON s.id = l.id AND s.pos = l.first WHERE l.first IS NOT NULL AND (before IS NULL OR before <> l.first)),
+    den AS (SELECT id, sum(0.1 / (1 + noise)) AS d, count(*) AS n, coalesce(sum(1.0 / gap) FILTER (gap > 0), 0) AS near FROM (SELECT *, middle - lag(middle) OVER (PARTITION BY id ORDER BY pos) AS gap FROM cov) GROUP BY 1),
+    base2 AS (SELECT b.id, b.embedding, round(CASE WHEN near > 0 THEN d / (n / near) ELSE d END, 9) AS lex FROM base b JOIN den USING (id)),
     dense AS (SELECT id, row_number() OVER (ORDER BY cos DESC, id) AS dense_rank FROM (SELECT id, round({_COS.format(a='embedding', b=json.dumps(_QUERY))}, 9) AS cos FROM base WHERE embedding IS NOT NULL) WHERE cos >= 0.0 ORDER BY cos DESC, id LIMIT 50),
-    sparse AS (SELECT id, row_number() OVER (ORDER BY lex DESC, id) AS sparse_rank FROM (SELECT id, round((length(t) - length(replace(t, 'the', ''))) / 3 / len, 9) AS lex FROM base) ORDER BY lex DESC, id LIMIT 50),
+    sparse AS (SELECT id, row_number() OVER (ORDER BY lex DESC, id) AS sparse_rank FROM base2 ORDER BY lex DESC, id LIMIT 50),
     f AS (SELECT id, dense_rank, sparse_rank, round(coalesce(1.0 / (60 + dense_rank), 0) + coalesce(1.0 / (60 + sparse_rank), 0), 9) AS rrf FROM dense FULL OUTER JOIN sparse USING (id)), r AS (SELECT *, row_number() OVER (ORDER BY rrf DESC, id) AS rn FROM f),
     k AS (SELECT * FROM r WHERE (rn <= 3 OR rrf >= 0.5 * (SELECT rrf FROM r WHERE rn = 3)) AND rn <= 20)
     SELECT id, dense_rank, sparse_rank, rrf, CASE WHEN (SELECT max(rrf) FROM k) >= 0.025 AND (SELECT count(*) FROM k WHERE dense_rank IS NOT NULL AND sparse_rank IS NOT NULL) >= 3 THEN 'HIGH' WHEN (SELECT max(rrf) FROM k) >= 0.020 OR (SELECT count(*) FROM k WHERE dense_rank IS NOT NULL AND sparse_rank IS NOT NULL) >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM k"""
@@ -535,7 +586,7 @@ _SEARCH_SQL = f"""base AS (SELECT id, embedding, lower(content_text) AS t, lengt
 
 @query(oracle(_SEARCH_SQL))
 def hybrid_search(n: News) -> DataFrame:
-    return S.hybrid_search(n.articles, _QUERY, ["the"], floor=0.0)
+    return S.hybrid_search(n.articles, _QUERY, _TEXT, floor=0.0)
 
 
 # Sources and sinks.
