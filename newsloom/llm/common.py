@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,31 +11,24 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.operators.sinks import shared_folder
+
 #: A side is broadcast only if its counted rows times its row width stay below this; beyond it the join shuffles.
 BROADCAST_BYTES = 64 << 20
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df``, written to the shared checkpoint folder, so that lost executors cost no recomputation of what came before.
-
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is unset (tests) a temporary one is taken."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsloom-"))
+    """``df``, written to the shared checkpoint folder, so that lost executors cost no recomputation of what came before."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df``, written as a Parquet table in the shared checkpoint folder and read again: as checkpointed(), but compressed,
     for tables of many rows. The table stays until the owner of that folder clears it."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsloom-"))
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,3 +132,17 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each of the unsigned integers may be among the keys."""
     bit = _bit(keys)
     return (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+#: Characters of text that Python holds the words of at once, or one text.
+SLICE = 2 << 20
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every row of the batches, whose last column is the text, in slices of about SLICE characters of text."""
+    for batch in batches:
+        upto = np.cumsum([len(t) if t else 0 for t in batch.column(batch.num_columns - 1).to_pylist()])
+        cuts = [0, *(np.flatnonzero(np.diff(upto // SLICE)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)

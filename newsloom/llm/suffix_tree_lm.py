@@ -34,7 +34,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import arrow_sized, bitmap, in_bitmap, row_key, stored
+from newsloom.llm.common import arrow_sized, bitmap, in_bitmap, row_key, sliced, stored
 
 #: The longest n-gram: a context of six bytes and the next; up to eight, a 64-bit integer holds it exactly. The first pass counts up to FIRST.
 LONGEST, FIRST = 7, 4
@@ -45,7 +45,6 @@ PART = 4_000_000  # values that are broadcast at once: 48 MB
 KEPT = 400_000  # words, and
 HELD = 1 << 20  # n-grams of each length, that a task holds before it passes their counts on
 CHUNK = 1 << 20
-SLICE = 2 << 20  # bytes of text that Python holds the words of at once, or one text
 _ODD = 0x9E3779B97F4A7C15  # fixed value: an odd multiplier
 _hash = xxhash.xxh64_intdigest
 END_WORD = b"\x00 end"  # holds a blank, so no word is equal
@@ -141,23 +140,13 @@ class _Tally:
         return batch
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every row of the batches, whose last column is the text, in slices of about SLICE bytes of text."""
-    for batch in batches:
-        upto = np.cumsum([len(t) if t else 0 for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()])
-        cuts = [0, *(np.flatnonzero(np.diff(upto // SLICE)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if b > a:
-                yield batch.slice(a, b - a)
-
-
 def _gram_counts(lengths: list[int], gate: Broadcast | None) -> Callable:
     """(k, g, c): counts of n-grams of these lengths; of those only whose context may have a state as its suffix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies = {k: _Tally() for k in lengths}
         states = gate.value if gate else None
-        for batch in _sliced(batches):
+        for batch in sliced(batches):
             symbols = _symbols([tokens(t) for t in batch.column(0).cast(pa.binary()).to_pylist()])
             for _, piece, reach in _pieces(symbols):
                 whole = _grams(piece, len(reach), lengths[-1])
@@ -331,7 +320,7 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (hs, cs), table = known.value, held.value
         row = TaskContext.get().partitionId() << 40
-        for batch in _sliced(batches):
+        for batch in sliced(batches):
             found = [tokens(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
             if not found:
                 continue
@@ -366,7 +355,7 @@ def _part_scores(source: DataFrame, held: Broadcast) -> DataFrame:
     """(key, more): what a further part of the values adds to the score of the rows of each key, which are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
+        for batch in sliced(batches):
             found = [tokens(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             if found:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.scores(found))], ["key", "more"])
