@@ -42,10 +42,11 @@ def without_bylines(entities: DataFrame, articles: DataFrame, least: float = 0.3
 
 
 def graph_entities(entities: DataFrame, articles: DataFrame) -> DataFrame:
-    """[G11, G14, H23] The names that make the graph: without a tagger's false names, in canonical form, without bylines."""
-    named = entities.where(~T.ner_stop(F.col("entity_text")) & F.col("entity_label").isin("PERSON", "ORGANIZATION", "GPE", "LOC", "EVENT"))
+    """[G11, G14, H23] The names that make the graph: without a tagger's false names, in canonical form, without bylines. What
+    several steps read is written to the folder of checkpoints once."""
+    named = sinks.checkpointed(entities.where(~T.ner_stop(F.col("entity_text")) & F.col("entity_label").isin("PERSON", "ORGANIZATION", "GPE", "LOC", "EVENT")))
     canonical = named.join(canonical_entities(named).withColumnRenamed("raw", "entity_text"), "entity_text").select("article_id", F.col("canonical").alias("entity_text"), "entity_label")
-    return without_bylines(canonical, articles)
+    return sinks.checkpointed(without_bylines(sinks.checkpointed(canonical), articles))
 
 
 def edges(entities: DataFrame, articles: DataFrame, *, least_raw: int = 5, least_pmi: float = 0.0) -> DataFrame:

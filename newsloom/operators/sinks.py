@@ -60,3 +60,9 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir is not set; it has to name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="newsloom-"))
     return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder, so that what several steps read is computed once and lost executors cost no recomputation."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

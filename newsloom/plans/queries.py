@@ -271,7 +271,7 @@ def _graph_sql(body: str) -> str:
 
 
 def _edges(n: News) -> DataFrame:
-    return G.edges(G.graph_entities(n.entities, n.articles), n.articles)
+    return sinks.checkpointed(G.edges(G.graph_entities(n.entities, n.articles), n.articles))
 
 
 @query(_graph_sql("SELECT * FROM edges"))

@@ -1,5 +1,6 @@
 """Unit vectors of functions without SQL, streaming and schedules."""
 
+import math
 from datetime import datetime
 
 import pytest
@@ -10,6 +11,7 @@ from newsloom.functions import text as T
 from newsloom.operators import clustering as C
 from newsloom.operators import entities as N
 from newsloom.operators import graph as G
+from newsloom.operators import search as S
 from newsloom.operators import sinks
 from newsloom.plans import schedule
 from newsloom.streaming import ingest
@@ -85,3 +87,47 @@ def test_paths_between_names(spark):
         G.paths(graph, "Ana", "Nobody")
     with pytest.raises(ValueError):
         G.paths(graph, "Ana", "ANA ")
+
+
+def test_paths_through_hubs_and_artefacts(spark):
+    """Hubs, listed names and artefacts carry no path while others do; if none is left the cheapest stand; a name below the floors opens the whole graph."""
+    edge = "source string, target string, weight_raw int, weight_pmi double"
+    pairs = [("Ana", "Hub", 50, 3.0), ("Hub", "Vlad", 50, 3.0), ("Ana", "Dan", 20, 1.0), ("Dan", "Vlad", 80, 1.0), ("Ana", "PSD+AUR", 50, 4.0), ("PSD+AUR", "Vlad", 50, 4.0), ("Ana", "Europa", 50, 4.0), ("Europa", "Vlad", 50, 4.0), ("Ana", "Ion", 20, 2.0), ("Ion", "Vlad", 20, 2.0)]
+    graph = spark.createDataFrame(pairs + [("Hub", f"N{k}", 20, 1.0) for k in range(9)] + [("Low", "Vlad", 3, 0.1)], edge)
+    found = G.scored_paths(graph, G.path_candidates(graph, "Ana", "Vlad")).collect()
+    by = {r["path"]: r["score"] for r in found}
+    assert {p for p in by if p.count(">") == 2} == {"Ana > Dan > Vlad", "Ana > Ion > Vlad"}
+    assert abs(by["Ana > Dan > Vlad"] - math.log(1 + math.sqrt(20 * 80)) / math.log(3)) < 1e-5
+    assert abs(by["Ana > Ion > Vlad"] - 2 * math.log(21) / math.log(3)) < 1e-5
+    best = G.paths(graph, "Ana", "Vlad").orderBy("path_id").collect()
+    assert [r["path"] for r in best] == ["Ana > Ion > Vlad", "Ana > Dan > Vlad"]
+    only = spark.createDataFrame(pairs[:2] + [("Hub", f"N{k}", 20, 1.0) for k in range(9)], edge)
+    assert [r["path"] for r in G.paths(only, "Ana", "Vlad").collect()] == ["Ana > Hub > Vlad"]
+    assert [r["path"] for r in G.paths(graph, "Low", "Vlad", max_hops=1).collect()] == ["Low > Vlad"]
+
+
+def test_false_names(spark):
+    given = {"Acesta": True, " editor ": True, "Site.RO": True, "Ilie Bolojan": False}
+    df = spark.createDataFrame([(k,) for k in given], "n string").select("n", T.ner_stop(F.col("n")).alias("o"))
+    assert {r["n"]: r["o"] for r in df.collect()} == given
+
+
+def test_search_text(spark):
+    assert S.asked('the "two words" -no or other') == [[(["the"], True), (["two", "words"], True), (["no"], False)], [(["other"], True)]]
+    texts = {1: "the two words", 2: "the words two", 3: "no the two words", 4: "Other", 5: "theory of two words"}
+    df = spark.createDataFrame(list(texts.items()), "id int, text string").select("id", S.words(F.col("text")).alias("w"))
+    assert {r["id"] for r in df.where(S.matches(F.col("w"), S.asked('the "two words" -no or other'))).collect()} == {1, 4}
+    assert df.where(S.matches(F.col("w"), S.asked('" - ')) ).count() == 0
+
+
+def test_cover_density(spark):
+    """By hand: shortest stretches with all terms, each 0.1 over one more than the words between, by the harmonic mean of distances."""
+    df = spark.createDataFrame([(1, "a x b y y a b".split()), (2, ["a", "b"]), (3, ["a", "a"])], "id int, w array<string>")
+    found = {r["id"]: r["density"] for r in S.cover_density(df, ["a", "b"]).collect()}
+    # 1: a x b (0.05, middle 1), b y y a (0.1 / 3, middle 3), a b (0.1, middle 5); distances 2 and 2, so 3 stretches by 1.
+    assert set(found) == {1, 2} and abs(found[1] - (0.05 + 0.1 / 3 + 0.1) / 3) < 1e-8 and abs(found[2] - 0.1) < 1e-9
+
+
+def test_labels_pairs(spark):
+    df = spark.createDataFrame([(1, "Știri despre Guvern și Parlament"), (1, "Guvern x1y")], "k int, t string")
+    assert {(r["term"], r["tf"]) for r in C.label_terms(df, "k", "t").collect()} == {("știri", 1), ("guvern", 2), ("parlament", 1), ("știri guvern", 1), ("guvern parlament", 1)}
