@@ -135,29 +135,36 @@ class _Tally:
 
     def out(self, length: int) -> pa.RecordBatch:
         self.settle()
-        batch = pa.RecordBatch.from_arrays([pa.array(np.full(len(self.keys), length, np.int32)), pa.array(self.keys.view(np.int64)), pa.array(self.counts)], ["k", "g", "c"])
-        self.keys, self.counts = self.keys[:0], self.counts[:0]
-        return batch
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(self.keys), length, np.int32)), pa.array(self.keys.view(np.int64)), pa.array(self.counts)], ["k", "g", "c"])
 
 
 def _gram_counts(lengths: list[int], gate: Broadcast | None) -> Callable:
     """(k, g, c): counts of n-grams of these lengths; of those only whose context may have a state as its suffix."""
 
+    def passed_on(tallies: dict[int, _Tally]) -> Iterator[pa.RecordBatch]:
+        longer = None
+        for k in reversed(lengths):
+            if longer is not None:  # their suffixes
+                tallies[k].held.append((longer.keys & np.uint64(_mask(k)), longer.counts))
+            yield tallies[k].out(k)
+            longer, tallies[k] = tallies[k], _Tally()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies = {k: _Tally() for k in lengths}
         states = gate.value if gate else None
+        longest = lengths[-1]
         for batch in sliced(batches):
             symbols = _symbols([tokens(t) for t in batch.column(0).cast(pa.binary()).to_pylist()])
             for _, piece, reach in _pieces(symbols):
-                whole = _grams(piece, len(reach), lengths[-1])
-                for k in lengths:
-                    g = whole[reach >= k] & np.uint64(_mask(k))
-                    if states is not None:
-                        g = g[in_bitmap(states, (g >> np.uint64(8)) & np.uint64(_mask(k - 2)))]
-                    if tallies[k].add(g):
-                        yield tallies[k].out(k)
-        for k, tally in tallies.items():
-            yield tally.out(k)
+                whole = _grams(piece, len(reach), longest)
+                for k in lengths[:-1]:  # only what no longer one ends with
+                    tallies[k].add(whole[reach == k] & np.uint64(_mask(k)))
+                g = whole[reach >= longest]
+                if states is not None:
+                    g = g[in_bitmap(states, (g >> np.uint64(8)) & np.uint64(_mask(longest - 2)))]
+                if tallies[longest].add(g):
+                    yield from passed_on(tallies)
+        yield from passed_on(tallies)
 
     return run
 
