@@ -64,6 +64,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, bits_per_row: int, mos
     again = flagged.where("maybe").select("doc_id", "n", "text_sha256", *own)
     best = F.min(F.struct((-F.col("n")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", *own))
     groups = again.groupBy("text_sha256").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    groups = checkpointed(groups)  # so that the join's two sides are plain shuffles, of which a large group's rows can be split
     if by_row:
         return again.join(groups, "text_sha256").select("key", (F.col("key") == F.col("best.key")).alias("stays"))
     met = again.join(groups, "text_sha256").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("best.doc_id")).alias("kept"), "text_sha256")
