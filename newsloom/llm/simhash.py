@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = connected_components(links(classes.select("fp"), distance))
     rooted = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # a large component's rows can be split in the join
     of = rooted.join(named, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -165,6 +165,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = prints.groupBy("fp").agg(F.min(best).alias("least"))
     found = connected_components(links(classes.select("fp"), DISTANCE))
     rooted = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("best"))
+    named = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("best")))
     of = rooted.join(named, "root").select("fp", F.col("best.key").alias("best"))
     return staying_rows(docs, prints.join(of, "fp").select("key", (F.col("key") == F.col("best")).alias("stays")), id_col, text_col)

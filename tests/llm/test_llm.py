@@ -114,6 +114,19 @@ def test_simhash_components(spark):
     assert {x: found.get(x, x) for x in fps} == label
 
 
+def test_simhash_fingerprints_against_brute_force(spark):
+    """Bit by bit, by the definition; a bit set in half of the hashes is 0."""
+    import xxhash
+
+    texts = ["", None, " \t", "one", "One two THREE", "a b c d", "a b c d e", "a b c d a b c d", "\u00c9t\u00e9 \U0001f642 x y z", "w " * 5000] + [" ".join(f"w{i % 7}" for i in range(n)) for n in range(3, 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(docs).collect()}
+    for k, text in enumerate(texts):
+        words = (text or "").encode().lower().split()
+        hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 4]), 42) for i in range(max(1, len(words) - 3))] if words else []
+        assert found[k] == f"{sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)):016x}"
+
+
 def test_simhash_edges(odd, empty):
     by = {r["doc_id"]: r for r in simhash.near_duplicates(odd).collect()}
     assert by[3]["fingerprint"] == "0" * 16 and by[5]["component_id"] == 3 and by[None]["component_id"] == by[2]["component_id"] == 1
