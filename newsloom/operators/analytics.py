@@ -217,3 +217,16 @@ def topics_to_do(topics: DataFrame, labels: DataFrame) -> DataFrame:
     """[H13] The topics of a run without any event label, so that an interrupted run goes on where it ended. labels: cluster_run_id, parent_cluster_id, is_event_cluster."""
     done = labels.where("is_event_cluster").select("cluster_run_id", F.col("parent_cluster_id").alias("cluster_id")).distinct()
     return topics.join(done, ["cluster_run_id", "cluster_id"], "left_anti")
+
+
+def with_entities(articles: DataFrame, entities: DataFrame, outlets: DataFrame, *, least: int = 2, chars: int = 200) -> DataFrame:
+    """[J2] Articles to cluster: with an embedding, long enough, of no fact-checker, and with ``least`` persons, organisations or places."""
+    named = entities.where("entity_label IN ('PERSON', 'ORGANIZATION', 'GPE')").groupBy(F.col("article_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("id")
+    news = outlets.where("outlet_type <> 'fact_checker'").select(F.col("id").alias("outlet_id"))
+    rows = articles.where(F.col("embedding").isNotNull() & (F.length("content_text") >= chars))
+    return rows.join(news, "outlet_id").join(named, "id").select("id", "outlet_id", "published_on")
+
+
+def best_first(articles: DataFrame, column: str, limit: int = 30) -> DataFrame:
+    """The greatest values first and nulls before them, as in a descending sort of the stored tables' database; ties by id."""
+    return articles.orderBy(F.desc_nulls_first(column), "id").limit(limit).select("id", column)

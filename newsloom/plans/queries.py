@@ -769,3 +769,32 @@ def cluster_summary(n: News) -> DataFrame:
 @query(oracle(r"SELECT id, CASE WHEN t <> '' THEN md5('query: ' || substr(t, 1, 512)) END AS digest FROM (SELECT id, regexp_replace(content_text, '^\s+|\s+$', '', 'g') AS t FROM articles)"))
 def query_texts(n: News) -> DataFrame:
     return n.articles.select("id", F.md5(S.query_text(F.col("content_text"))).alias("digest"))
+
+
+_SHORT = ", ".join(f"'{m}'" for m in T.SHORT_MONTHS)
+_TYPES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in list(T.OUTLET_TYPES.items())[:3])
+
+
+@query(oracle(f"""SELECT a.id, day(published_on) || ' ' || [{_SHORT}][month(published_on)] || ' ' || year(published_on) AS shown,
+    CASE o.outlet_type {_TYPES} ELSE upper(substr(o.outlet_type, 1, 1)) || replace(substr(o.outlet_type, 2), '_', ' ') END AS kind, CASE WHEN tf_topic IS NULL THEN '—' ELSE upper(substr(tf_topic, 1, 1)) || replace(substr(tf_topic, 2), '_', ' ') END AS topic
+    FROM articles a JOIN outlets o ON o.id = a.outlet_id"""))
+def shown_labels(n: News) -> DataFrame:
+    rows = n.articles.join(n.outlets.select(F.col("id").alias("outlet_id"), "outlet_type"), "outlet_id")
+    return rows.select("id", T.short_date(F.col("published_on")).alias("shown"), T.label_for(F.col("outlet_type"), dict(list(T.OUTLET_TYPES.items())[:3])).alias("kind"), T.label_for(F.col("tf_topic")).alias("topic"))
+
+
+@query(oracle("""SELECT a.id, a.outlet_id, published_on FROM articles a JOIN outlets o ON o.id = a.outlet_id JOIN (SELECT article_id FROM entities WHERE entity_label IN ('PERSON', 'ORGANIZATION', 'GPE') GROUP BY 1 HAVING count(*) >= 2) e ON e.article_id = a.id
+    WHERE embedding IS NOT NULL AND o.outlet_type <> 'fact_checker' AND length(content_text) >= 200"""))
+def articles_with_entities(n: News) -> DataFrame:
+    return A.with_entities(n.articles, n.entities, n.outlets)
+
+
+@query(oracle("SELECT id, score_citation_quality FROM articles ORDER BY score_citation_quality DESC NULLS FIRST, id LIMIT 30"))
+def best_first(n: News) -> DataFrame:
+    return A.best_first(n.articles, "score_citation_quality")
+
+
+@query("SELECT page_id, url AS link FROM pages WHERE url <> '' UNION ALL SELECT page_id, 'next/' || page_id FROM pages")
+def json_links(n: News) -> DataFrame:
+    body = F.to_json(F.array(F.struct(F.col("url").alias("link")), F.struct(F.lit("").alias("link")), F.struct(F.concat(F.lit("next/"), F.col("page_id").cast("string")).alias("link"))))
+    return P.json_links(n.table("pages").select("page_id", F.when(F.col("page_id") >= 0, body).alias("body")))

@@ -15,12 +15,18 @@ def page_fields(pages: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """[A4, A5] The absolute links of each page; a link from the root gets the page's host."""
+    """[A4] The absolute links of each page; a link from the root gets the page's host."""
     host = F.regexp_extract("url", r"^(https?://[^/]+)", 1)
     links = pages.select("page_id", host.alias("host"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="([^"#]+)"'), 1))).alias("link"))
     return links.select("page_id", F.when(F.col("link").startswith("/"), F.concat("host", "link")).otherwise(F.col("link")).alias("link"))
 
 
+def json_links(replies: DataFrame) -> DataFrame:
+    """[A5] (page_id, link) of replies (page_id, body) that are JSON lists of posts; posts without a link and other replies give none."""
+    posts = F.from_json("body", "array<struct<link: string>>")
+    return replies.select("page_id", F.explode(posts.link).alias("link")).where(F.coalesce("link", F.lit("")) != "")
+
+
 def valid_link(link: Column, prefix: str, noise: list[str], path: str) -> Column:
     """[A8, B7] A prefix, no noise word, a path pattern."""
     bad = F.lit(False)
