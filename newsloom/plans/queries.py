@@ -415,16 +415,31 @@ def citation_quality(n: News) -> DataFrame:
     return n.articles.select("id", "content_text").join(ents, "id", "left").select("id", T.citation_quality(F.col("content_text"), F.coalesce("n_ent", F.lit(0))).alias("score"))
 
 
-@query("""SELECT * FROM (VALUES ('FALS: Apa este uscată', 'false', 'Apa este uscată'), ('FALS incendiu', 'false', 'ncendiu'), ('Parțial fals | Un clip', 'partially_false', 'Un clip'), ('SCAM I oferta', 'scam', 'oferta'), ('Deep fake: președintele', 'deepfake', 'președintele'), ('știri obișnuite', NULL, NULL), ('FAKE NEWS – harta', 'fake_news', '– harta')) t(title, verdict, claim_text)""")
+# A title of each article begins with one of these, by the remainder of its id.
+_VERDICT_HEADS = [("FALS: ", "false"), ("Parțial fals | ", "partially_false"), ("SCAM I ", "scam"), ("Deep fake: ", "deepfake"), ("FAKE NEWS ", "fake_news"), ("TEORIA CONSPIRAȚIEI: ", "conspiracy_theory"), ("Despre ", None)]
+_HEADS = ", ".join(f"({k}, '{h}', {'NULL' if v is None else repr(v)})" for k, (h, v) in enumerate(_VERDICT_HEADS))
+
+
+@query(oracle(f"""h(k, head, verdict) AS (VALUES {_HEADS}) SELECT id, verdict, CASE WHEN verdict = 'fake_news' THEN trim(regexp_replace(w, '^[Ii][ \t]*', '')) WHEN verdict IS NOT NULL THEN w END AS claim_text
+    FROM (SELECT id, verdict, regexp_extract(title, '[A-Za-z]{{3,}}( [A-Za-z]{{3,}})*') || '.' AS w FROM articles JOIN h ON k = id % {len(_VERDICT_HEADS)} WHERE regexp_matches(title, '[A-Za-z]{{3,}}'))"""))
 def verdict_parse(n: News) -> DataFrame:
-    rows = n.spark.createDataFrame([(t,) for t in VERDICT_TITLES], "title string").withColumn("v", T.verdict(F.col("title")))
-    return rows.select("title", "v.verdict", "v.claim_text")
+    words = F.regexp_extract("title", "[A-Za-z]{3,}( [A-Za-z]{3,})*", 0)
+    head = F.element_at(F.array(*(F.lit(h) for h, _ in _VERDICT_HEADS)), (F.col("id") % len(_VERDICT_HEADS) + 1).cast("int"))
+    rows = n.articles.where(words != "").select("id", T.verdict(F.concat(head, words, F.lit("."))).alias("v"))
+    return rows.select("id", "v.verdict", "v.claim_text")
+
 
+_MONTH_NAMES = ", ".join(f"'{m}'" for m in T.MONTHS)
+_RAW_DATE = f"""CASE CAST(id % 5 AS INT) WHEN 0 THEN day(d) || ' ' || [{_MONTH_NAMES}][month(d)] || ' ' || year(d) || ' ora 10:30' WHEN 1 THEN day(d) || ' ' || [{_MONTH_NAMES}][month(d)] || ' ' || year(d) WHEN 2 THEN strftime(d, '%d.%m.%Y') WHEN 3 THEN strftime(d, '%Y-%m-%dT%H:%M:%S') ELSE 'fără dată' END"""
 
-@query("""SELECT * FROM (VALUES ('12 martie 2024 ora 10:30', TIMESTAMP '2024-03-12 10:30:00'), ('3 Mai 2023', TIMESTAMP '2023-05-03 00:00:00'), ('7 foo 2022', TIMESTAMP '2022-01-07 00:00:00'), ('2024-05-06', TIMESTAMP '2024-05-06 00:00:00'), ('31.12.2023', TIMESTAMP '2023-12-31 00:00:00'), ('none', NULL)) t(raw, parsed)""")
+
+@query(oracle(f"SELECT id, {_RAW_DATE} AS raw, CASE CAST(id % 5 AS INT) WHEN 0 THEN CAST(d AS TIMESTAMP) + INTERVAL 630 MINUTE WHEN 4 THEN NULL ELSE CAST(d AS TIMESTAMP) END AS parsed FROM (SELECT id, published_on AS d FROM articles)"))
 def date_parsers(n: News) -> DataFrame:
-    raw = ["12 martie 2024 ora 10:30", "3 Mai 2023", "7 foo 2022", "2024-05-06", "31.12.2023", "none"]
-    return n.spark.createDataFrame([(r,) for r in raw], "raw string").select("raw", T.any_date(F.col("raw")).cast("timestamp_ntz").alias("parsed"))
+    d = F.col("published_on")
+    named = F.concat_ws(" ", F.dayofmonth(d).cast("string"), F.element_at(F.array(*map(F.lit, T.MONTHS)), F.month(d)), F.year(d).cast("string"))
+    kind = F.col("id") % 5
+    raw = F.when(kind == 0, F.concat(named, F.lit(" ora 10:30"))).when(kind == 1, named).when(kind == 2, F.date_format(d, "dd.MM.yyyy")).when(kind == 3, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss")).otherwise("fără dată")
+    return n.articles.select("id", raw.alias("raw")).select("id", "raw", T.any_date(F.col("raw")).cast("timestamp_ntz").alias("parsed"))
 
 
 _VOTE_ROWS = {"labeler": [("a", "high"), ("a", "low"), (None, None), ("a", "low"), ("a", "low"), ("b", "low"), (None, None)], "expander": [("a", "high"), ("a", "low"), (None, None), ("a", "high"), (None, None), ("b", "low"), (None, None)], "register": [("a", "high"), *[("informativ", "low")] * 6]}
@@ -595,12 +610,14 @@ def page_hashes(n: News) -> DataFrame:
     return P.page_fields(n.table("pages")).select("page_id", "url", "url_hash")
 
 
-@query()
+@query(r"""SELECT page_id, url, md5(url) AS url_hash, CASE WHEN t = '' THEN 'Unknown Title' ELSE t END AS title,
+    trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\f\r\v]+', ' ', 'g')) AS content_text
+    FROM (SELECT *, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS t FROM pages)""")
 def page_extract(n: News) -> DataFrame:
     return P.page_fields(n.table("pages"))
 
 
-@query()
+@query(r"""SELECT page_id, CASE WHEN starts_with(link, '/') THEN host || link ELSE link END AS link FROM (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS host, unnest(list_distinct(regexp_extract_all(html, 'href="([^"#]+)"', 1))) AS link FROM pages)""")
 def page_links(n: News) -> DataFrame:
     return P.page_links(n.table("pages"))
 
