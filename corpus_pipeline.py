@@ -20,24 +20,29 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects rows without a letter and those that no learned language codes in MOST_BITS bits a byte."""
+    """Rejects rows without a letter (null and empty texts too) and those that no learned language codes in MOST_BITS bits a byte.
+    Languages are learned from all rows that name one; if none does, every row is rejected. Rows alike in id and text go or stay together."""
     found = langid_ppm.identify(docs.withColumn("__row", row_key()), docs, id_col="__row")
     return without_rows(docs, found.where((F.col("lang_pred") == "und") | (F.col("bits_per_byte") > MOST_BITS)).select(F.col("doc_id").alias("key")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each group of equal texts: of most code points, then the smallest id, one without an id last. Null is empty."""
     return exact_dedup.without_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each component of near fingerprints: that of the smallest id, one without an id only where no other is. Texts without words are one component."""
     return simhash.one_of_each(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects rows with a window of a benchmark item, each by its own text, whatever its id; null and empty texts stay."""
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of digests for each row, repeated ones too; a null text has no tokens."""
     return byte_bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
