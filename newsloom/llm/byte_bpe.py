@@ -6,7 +6,8 @@ merged by itself, so each distinct piece of a worker is merged once and kept (th
 bytes may begin or end inside a character: offsets then name the character that holds the byte, and decoding joins bytes
 before it reads characters, so split characters come back whole.
 
-A null text is empty: no tokens. Very long texts are one row of ids. Columns other than the id and the text are not read."""
+A null text is empty: no tokens; a null id stays null. Very long texts are one row of ids. Rows that repeat are encoded each by itself. Of two merges of
+one rank the first in the text goes first, as in the reference tokenizer. An empty table gives an empty one. Columns other than the id and the text are not read."""
 
 from __future__ import annotations
 

@@ -8,7 +8,8 @@ counted benchmark side is small, shuffled beyond), and each hit is extended: the
 text, with the windows of the benchmark. Items of one to nine words are one window each, met by a hash of that length.
 
 Nulls and empty texts have no words. Rows that repeat an id are judged each on its own text. Very long texts are whole:
-a row carries its words once. Columns other than ids and texts are not read."""
+a row carries its words once. Items that repeat an id or a text, and items that
+tie on a window, are all named, each id once. Without items, or without documents, nothing is hit or returned. Columns other than ids and texts are not read."""
 
 from __future__ import annotations
 

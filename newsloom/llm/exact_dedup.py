@@ -7,7 +7,8 @@ with a clear bit passes straight through as a group of one; only the rest shuffl
 positive of the filter costs a shuffled row and never changes a result.
 
 Nulls: a null text counts as empty; a null id orders after all others. Rows that repeat an id with an equal text are
-one document and share its decision. Columns other than the id and the text are not read."""
+one document and share its decision. Very long texts are digested whole. An empty table gives an empty one. Columns other than the id
+and the text are not read."""
 
 from __future__ import annotations
 

@@ -7,7 +7,8 @@ upwards, and a bucket is a shard if it fits and its parent did not. Where a cell
 taken for its documents alone, until all fit. One hash that alone is too large (one document, or rows that repeat an id)
 cannot split: it is a shard by itself, marked as oversized.
 
-A null text has no bytes; a null id hashes as an empty string. An empty table has no shards. Other columns are not read."""
+A null text has no bytes; a null id hashes as an empty string. Rows that repeat an id share a shard, and ids whose hashes tie
+stay together. An empty table has no shards. Very long texts count by their bytes. Other columns are not read."""
 
 from __future__ import annotations
 

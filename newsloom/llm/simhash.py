@@ -9,7 +9,8 @@ cell pairs are filtered by the lower bound and verified on the fingerprints; a c
 its links, not all pairs, found by growing from one fingerprint through those not yet reached.
 
 A null or empty text has fingerprint zero. A null id takes part but is never the component's name unless it has no other
-id. Columns other than the id and the text are not read. Ties: a bit set in exactly half of the hashes is 0."""
+id. Very long texts are hashed whole, in pieces of 65,536 shingles. Rows that repeat are linked as any others; an empty table gives an
+empty one. Columns other than the id and the text are not read. Ties: a bit set in exactly half of the hashes is 0."""
 
 from __future__ import annotations
 
