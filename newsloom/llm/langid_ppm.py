@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from newsloom.llm.common import arrow_sized
+from newsloom.llm.common import arrow_sized, checkpointed, small_enough
 
 #: The bound of the training sample: documents for each language. The sample is a hash of the id, so it does not change with the partitions.
 SAMPLE_DOCS = 300
@@ -37,7 +37,8 @@ HELD = 1 << 22
 def sample(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
     """(lang, text) of at most ``per_language`` documents of each language. docs: doc_id, text, lang."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    sizes = checkpointed(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("size")))
+    sizes = F.broadcast(sizes) if small_enough(sizes, 80) else sizes  # else the texts would be dealt by language, of which there are few
     drawn = labelled.select("doc_id", "text", "lang", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)).alias("draw")).join(sizes, "lang")
     drawn = drawn.where(F.col("draw") * F.col("size").cast("double") <= F.lit(2.0 * per_language * (1 << 30)))
     drawn = drawn.select("lang", "text", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text")).alias("k")).where(F.col("k") <= per_language)
