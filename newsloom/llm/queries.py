@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import byte_bpe, decontaminate, exact_dedup, langid_ppm, license_scan, sharding, simhash, spelling_variants, substring_dedup, suffix_tree_lm, token_alignment, toxicity_zstd
+from newsloom.llm import byte_bpe, decontaminate, exact_dedup, langid_ppm, license_scan, page_differencing, sharding, simhash, spelling_variants, substring_dedup, suffix_tree_lm, token_alignment, toxicity_zstd
 from newsloom.llm.common import documents, remainder
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -62,9 +62,13 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignment(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_differencing.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_byte_bpe, op4_substring_dedup, op5_simhash, op6_exact_dedup, op7_sharding, op8_suffix_tree_lm, op9_langid, op10_license_scan, op11_token_alignment, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_byte_bpe, op4_substring_dedup, op5_simhash, op6_exact_dedup, op7_sharding, op8_suffix_tree_lm, op9_langid, op10_license_scan, op11_token_alignment, op12_main_text, op13_spelling_variants)}
 ORACLE_SQL = {"op2_decontaminate": decontaminate.SQL, "op6_exact_dedup": exact_dedup.SQL, "op7_sharding": sharding.SQL, "op13_spelling_variants": spelling_variants.SQL}
