@@ -3,9 +3,9 @@
 Two tokenizers cut the same bytes. The transducer's state is which side leads and the bytes that the other side has yet to match, the
 dangling suffix of one token; the lagging side gives the next token, which shortens the suffix, closes the group (empty suffix) or
 leads in its turn. Each step is one pair of tokens whose byte ranges overlap, so the steps are the links. Transitions are memoised
-by suffix and token, and their runs by stretch of text: the suffix is always empty where a text is cut into chunks (before a
-space after a printing character) and units (after letters; before white space), since neither side has tokens across these places. That
-is a property of the two vocabularies, which is looked up when they are loaded; with vocabularies that lack it a text is one unit.
+by suffix and token, and their runs by chunk of text: the suffix is always empty where a text is cut, before a space after a printing
+character, since neither side has tokens across such places. For the pieces that is looked up when they are loaded; with pieces that lack it a text is one
+chunk. Byte-level BPE runs in tiktoken, on ranks that are the ids of the given file, whose merges have to be in the order of ids.
 
 Two passes over the texts, both map-only: the first counts the links of each pair of ids, summed in a shuffle of pairs; the second looks the
 counts up. The table of pairs is broadcast if its counted rows are few enough; else each text's pairs meet it in a shuffle join, whose common
@@ -18,6 +18,7 @@ highest count of a B id all count as best. An empty table gives an empty one. Co
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,22 +26,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.byte_bpe import byte_characters
 from newsloom.llm.common import BROADCAST_BYTES, arrow_sized, sliced, small_enough, stored
 
-#: Chunks, units and transitions that a worker keeps, the longest one kept, in characters, and the chunks counted before they become pairs.
-KEPT, KEPT_UNITS, LONGEST_KEPT, COUNTED = 300_000, 150_000, 64, 300_000
+#: Chunks and transitions that a worker keeps, and the longest suffix of a kept one, in bytes.
+KEPT, LONGEST_KEPT = 300_000, 64
 #: Bytes of a row of the broadcast table of pairs: pair, count, whether it is the best.
 PAIR_BYTES = 17
 #: How byte-level BPE cuts a text before it merges (a fixed pattern of that tokenizer).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-UNIT = regex.compile(r"\s*[^\s\p{L}]*(?:\r\s*[^\s\p{L}]*)*\p{L}*")
-#: What a piece must not hold for UNIT and chunks() to cut where no token goes on.
-CROSSES = regex.compile(r"\S[^\S\r]|\p{L}[^\p{L}]|[^▁]▁")
+#: A piece that goes on over a space after another character; with one, chunks() would cut inside a token.
+CROSSES = re.compile("[^▁]▁")
 UNCUT = re.compile(r"\s ")
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -62,14 +61,19 @@ def chunks(text: str) -> list[str]:
 class Aligner:
     def __init__(self, byte_level: str, pieces: str):
         import sentencepiece
+        import tiktoken
         from sentencepiece import sentencepiece_model_pb2
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(byte_level)
-        self.model, self.find, self.chars = tokenizer.model, regex.compile(BYTE_LEVEL).findall, byte_characters()
-        of = {c: b for b, c in enumerate(self.chars)}
-        special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
-        self.bytes_a = {i: bytes(map(of.__getitem__, t)) for t, i in tokenizer.get_vocab(with_added_tokens=False).items() if t not in special}
+        with open(byte_level, encoding="utf-8") as file:
+            told = json.load(file)
+        of = {c: b for b, c in enumerate(byte_characters())}
+        special = {t["content"] for t in told["added_tokens"]}
+        vocabulary = {t: i for t, i in told["model"]["vocab"].items() if t not in special}
+        self.bytes_a = {i: bytes(map(of.__getitem__, t)) for t, i in vocabulary.items()}
+        made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in told["model"]["merges"]]
+        if made != sorted(made):
+            raise ValueError("the ids of merged tokens have to follow the order of the merges")
+        self.encode_a = tiktoken.Encoding("byte level", pat_str=BYTE_LEVEL, mergeable_ranks={b: i for i, b in self.bytes_a.items()}, special_tokens={})._core_bpe.encode_ordinary
         model = sentencepiece_model_pb2.ModelProto()
         with open(pieces, "rb") as file:
             model.ParseFromString(file.read())
@@ -77,79 +81,59 @@ class Aligner:
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         names = [self.pieces.id_to_piece(i) for i in range(self.pieces.vocab_size())]
         self.bytes_b = [bytes.fromhex(m[1]) if self.pieces.is_byte(i) and (m := BYTE_PIECE.fullmatch(name)) else name.replace("▁", " ").encode() for i, name in enumerate(names)]
-        self.cuts = not any(CROSSES.search(name) for i, name in enumerate(names) if not self.pieces.is_byte(i) and not self.pieces.is_control(i) and not self.pieces.is_unknown(i))
-        self.piece_ids: dict[str, list[int]] = {}
-        self.steps: dict[tuple[bytes, int], tuple[bool, bytes] | None] = {}
-        self.units: dict[str, tuple] = {}
-
-    def encode_a(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for piece in self.find(text):
-            ids += [t.id for t in self.model.tokenize("".join(map(self.chars.__getitem__, piece.encode())))]
-        return ids
-
-    def step(self, suffix: bytes, token: bytes, key: int) -> tuple[bool, bytes] | None:
-        """The state after a token of the lagging side: whether that side leads now, and the dangling suffix; None if the bytes differ."""
-        if (suffix, key) in self.steps:
-            return self.steps[suffix, key]
-        new = (False, suffix[len(token) :]) if suffix.startswith(token) else (True, token[len(suffix) :]) if token.startswith(suffix) else None
+        self.cuts = not any(map(CROSSES.search, names))
+        self.text_a, self.text_b = {i: str(i) for i in self.bytes_a}, [str(i) for i in range(len(names))]
+        self.steps: dict[tuple[bytes, int], tuple[bool, bytes]] = {}
+
+    def step(self, suffix: bytes, token: bytes, key: int) -> tuple[bool, bytes]:
+        """The state after a token of the lagging side: whether that side leads now, and the dangling suffix. Raises ValueError if the bytes differ."""
+        if suffix.startswith(token):
+            new = (False, suffix[len(token) :])
+        elif token.startswith(suffix):
+            new = (True, token[len(suffix) :])
+        else:
+            raise ValueError("other bytes")
         if len(suffix) <= LONGEST_KEPT:
             if len(self.steps) >= KEPT:
                 self.steps.clear()
             self.steps[suffix, key] = new
         return new
 
-    def run(self, a: list[int], b: list[int]) -> tuple[str, int, list[int]] | None:
-        """Groups as text, how many they are, and the links as a << 32 | b; None if the sides' bytes differ."""
-        groups, links, i, j, from_i, from_j, suffix, a_leads = [], [], 0, 0, 0, 0, b"", True
-        while i < len(a) or j < len(b) or suffix:
-            if not suffix:
-                if i == len(a):
-                    return None
-                from_i, from_j, suffix, a_leads = i, j, self.bytes_a[a[i]], True
+    def run(self, a: list[int], b: list[int], texts: bool = True) -> tuple[int, int, int, str, list[int]] | None:
+        """n_a, n_b, how many groups, these as text (if ``texts``), and the links as a << 32 | b; None if the sides' bytes differ."""
+        known, bytes_a, bytes_b, text_a, text_b = self.steps, self.bytes_a, self.bytes_b, self.text_a, self.text_b
+        groups, links, i, j, n, m = [], [], 0, 0, len(a), len(b)
+        try:
+            while i < n:
+                from_i, from_j, x, y = i, j, a[i], 0
+                suffix, a_leads = bytes_a[x], True
                 i += 1
-                continue
-            if a_leads:
-                if j == len(b):
-                    return None
-                new = self.step(suffix, self.bytes_b[b[j]], ~b[j])
-                j += 1
-            else:
-                if i == len(a):
-                    return None
-                new = self.step(suffix, self.bytes_a[a[i]], a[i])
-                i += 1
-            if new is None:
-                return None
-            links.append(a[i - 1] << 32 | b[j - 1])
-            a_leads, suffix = a_leads != new[0], new[1]
-            if not suffix:
-                groups.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
-        return ";".join(groups), len(groups), links
-
-    def align(self, chunk: list[str]) -> list[tuple | None]:
-        """Of each chunk n_a, n_b, n_groups, groups as text and links; None where the sides' bytes differ."""
-        cut = [[u for u in UNIT.findall(" " + c) if u] if self.cuts else [" " + c] for c in chunk]
-        new = list({u for units in cut for u in units if u not in self.units})
-        if len(self.units) + len(new) > KEPT_UNITS:
-            self.units.clear()
-            new = list({u for units in cut for u in units})
-        over = {}
-        for u, b in zip(new, self.pieces.encode(new, num_threads=1), strict=True):
-            a = self.encode_a(u)
-            told = self.run(a, b)
-            (self.units if len(u) <= LONGEST_KEPT else over)[u] = None if told is None else (len(a), len(b), told[1], told[0], told[2])
-        out: list[tuple | None] = []
-        for units in cut:
-            parts = [self.units[u] if u in self.units else over[u] for u in units]
-            if None in parts:
-                out.append(None)
-            elif len(parts) == 1:
-                out.append(parts[0])
-            else:
-                na, nb, ng, groups, links = zip(*parts, strict=True)
-                out.append((sum(na), sum(nb), sum(ng), ";".join(groups), [x for y in links for x in y]))
-        return out
+                while suffix:  # an index beyond the end: the other side has bytes that this one lacks
+                    if a_leads:
+                        y = b[j]
+                        j += 1
+                        turned, suffix = known.get((suffix, ~y)) or self.step(suffix, bytes_b[y], ~y)
+                    else:
+                        x = a[i]
+                        i += 1
+                        turned, suffix = known.get((suffix, x)) or self.step(suffix, bytes_a[x], x)
+                    links.append(x << 32 | y)
+                    if turned:
+                        a_leads = not a_leads
+                if not texts:
+                    continue
+                if i - from_i == 1 and j - from_j == 1:
+                    groups.append(text_a[x] + "|" + text_b[y])
+                else:
+                    groups.append(",".join([text_a[t] for t in a[from_i:i]]) + "|" + ",".join([text_b[t] for t in b[from_j:j]]))
+        except (IndexError, ValueError):
+            return None
+        return (n, m, len(groups), ";".join(groups), links) if j == m else None
+
+    def align(self, chunk: list[str], texts: bool = True) -> list[tuple[int, int, int, str, list[int]] | None]:
+        """run() of each chunk."""
+        whole = [" " + c for c in chunk]
+        return [self.run(self.encode_a(c), b, texts) for c, b in zip(whole, self.pieces.encode(whole, num_threads=1), strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -161,23 +145,25 @@ def aligner(byte_level: str, pieces: str) -> Aligner:
 class Chunks:
     """A bounded store of what ``told`` says of chunks, filled for a slice of texts at a time."""
 
-    def __init__(self, aligner: Aligner, told):
-        self.aligner, self.told, self.kept, self.bad = aligner, told, {}, set()
+    def __init__(self, aligner: Aligner, told, texts: bool = True):
+        self.aligner, self.told, self.texts, self.kept, self.older, self.bad = aligner, told, texts, {}, {}, set()
 
     def of(self, texts: list[str | None]) -> list[list[str]]:
-        """The chunks of each text; none where the text has no tokens. The store holds them all."""
+        """The chunks of each text; none where the text has no tokens. The store holds them all, and what it held before it was last full may come back."""
         cut = [(chunks(t) if self.aligner.cuts else [t]) if t else [] for t in texts]
         needed = set().union(*cut)
         missing = [c for c in needed if c not in self.kept]
         if len(self.kept) + len(missing) > KEPT:
-            self.kept.clear()
-            self.bad.clear()
-            missing = list(needed)
-        found = self.aligner.align(missing)
+            self.older, self.kept = self.kept, {c: self.kept[c] for c in needed if c in self.kept}
+            self.bad &= needed
+        back = self.older.keys() & missing
+        self.kept.update((c, self.older[c]) for c in back)
+        missing = [c for c in missing if c not in back]
+        found = self.aligner.align(missing, self.texts)
         self.bad.update(c for c, x in zip(missing, found, strict=True) if x is None)
         for c, x in zip(missing, self.told([x or (0, 0, 0, "", []) for x in found]), strict=True):
             self.kept[c] = x
-        return [[] if self.bad and not self.bad.isdisjoint(c) else c for c in cut] if self.bad else cut
+        return [[] if not self.bad.isdisjoint(c) else c for c in cut] if self.bad else cut
 
 
 def _summed(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +176,7 @@ def link_counts(docs: DataFrame, byte_level: str, pieces: str, text_col: str = "
     arrow_sized(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = Chunks(aligner(byte_level, pieces), lambda found: [np.array(x[4], np.int64) for x in found])
+        store = Chunks(aligner(byte_level, pieces), lambda found: [np.array(x[4], np.int64) for x in found], texts=False)
         for batch in sliced(batches):
             seen: Counter[str] = Counter()
             for c in store.of(batch.column(0).to_pylist()):

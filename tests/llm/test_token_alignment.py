@@ -70,14 +70,17 @@ def test_small_stores(spark, texts, monkeypatch):
     one = ta.Aligner(A, B)
     whole = ta.Aligner(A, B)
     whole.cuts = False
-    for name in ("KEPT", "KEPT_UNITS", "LONGEST_KEPT"):
+    for name in ("KEPT", "LONGEST_KEPT"):
         monkeypatch.setattr(ta, name, 3)
+    store = ta.Chunks(one, lambda found: [x[3] for x in found])
     for _, text in texts[:200]:
         if text and "▁" not in text:
             parts = one.align(ta.chunks(text))
             assert " ".join(ta.chunks(text)) == text
             (told,) = whole.align([text])
             assert told[3] == ";".join(p[3] for p in parts) and told[4] == [x for p in parts for x in p[4]]
+            (kept,) = store.of([text])
+            assert ";".join(store.kept[c] for c in kept) == told[3]
 
 
 def test_groups_and_edges(spark, odd, empty):  # noqa: F811
