@@ -12,6 +12,9 @@ from pyspark.sql.window import Window
 
 from newsloom.functions.wordlists import STOPWORDS
 from newsloom.functions import vectors
+from newsloom.operators import neighbours
+from newsloom.operators.components import components, numbered
+from newsloom.operators.sinks import checkpointed
 
 
 def assign_windows(df: DataFrame, day: str, *, length: int, stride: int, closed: bool) -> DataFrame:
@@ -123,99 +126,86 @@ def title_filter(articles: DataFrame, key: str, floor: float = 0.15) -> DataFram
     return counted.where("close = 1 OR kept < 2").select("g", "id")
 
 
-def _average_linkage(unit: np.ndarray, cut: float) -> np.ndarray:
-    """Labels of agglomerative clustering under cosine distance, merging while the least average distance is at most ``cut``."""
-    groups = [[i] for i in range(len(unit))]
-    far = 1 - unit @ unit.T
-    np.fill_diagonal(far, np.inf)
-    alive = list(range(len(unit)))
-    while len(alive) > 1:
-        sub = far[np.ix_(alive, alive)]
-        i, j = sorted(divmod(int(sub.argmin()), len(alive)))
-        if sub[i, j] > cut:
-            break
-        a, b = alive[i], alive[j]
-        merged = (far[a] * len(groups[a]) + far[b] * len(groups[b])) / (len(groups[a]) + len(groups[b]))
-        far[a], far[:, a] = merged, merged
-        far[a, a] = np.inf
-        groups[a] = groups[a] + groups[b]
-        alive.remove(b)
-    labels = np.zeros(len(unit), np.int64)
-    for k, a in enumerate(sorted(alive, key=lambda x: min(groups[x]))):
-        labels[groups[a]] = k
-    return labels
-
-
-def event_clusters(articles: DataFrame, *, cut: float, merge: float, least_topic: int = 10, least_outlets: int = 2) -> DataFrame:
-    """[H6, H8, H10, H12, D2, J15] Events of each topic: average-linkage clusters in windows of 7 days and stride 3, the
-    earliest window of an article wins, neighbours in adjacent windows merge by centroid, one-outlet events go."""
+def average_linkage(unit: np.ndarray, cut: float) -> np.ndarray:
+    """Labels of agglomerative clustering of unit vectors under cosine distance, merging while the least average distance is at most ``cut``.
+
+    Chains of nearest neighbours: a chain goes on to the nearest group until two are each other's nearest, which merge. Average linkage is reducible,
+    so this gives the groups of the greedy order. The average distance of two groups is 1 - (sum of one * sum of the other) / (sizes), so a group is
+    its sum and its size: memory grows with the vectors, not with their pairs, and time with the square."""
+    n = len(unit)
+    sums, sizes, alive = unit.copy(), np.ones(n), np.ones(n, bool)
+    group, chain = np.arange(n), []
+    while alive.any() or chain:
+        if not chain:
+            chain = [int(np.argmax(alive))]
+        i = chain[-1]
+        far = 1 - (sums @ sums[i]) / (sizes * sizes[i])
+        far[~alive] = np.inf
+        far[i] = np.inf
+        j = int(far.argmin())
+        if not far[j] <= cut:  # nothing ever comes nearer to a group than its nearest
+            alive[i] = False
+            chain.pop()
+            continue
+        if len(chain) > 1 and far[chain[-2]] <= far[j]:
+            j = chain[-2]
+            chain = chain[:-2]
+            sums[j] += sums[i]
+            sizes[j] += sizes[i]
+            alive[i] = False
+            group[group == i] = j
+        else:
+            chain.append(j)
+    _, first, label = np.unique(group, return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[label]
+
+
+def linkage_parts(rows: DataFrame, cut: float, cells: int | None = None) -> DataFrame:
+    """[H8] (g, id, part) of rows (g, id, vec of length one): average_linkage() in each group, a part named by its least id.
+
+    Two groups that merge hold two rows at most ``cut`` apart, so rows that no such steps connect never meet: a group is cut into the connected
+    parts of its near rows, found by cells, and each is a task of its own."""
+    rows = checkpointed(neighbours.prepared(rows, "id", F.col("vec"), F.col("g")))
+    edges = neighbours.linked(neighbours.build(rows, cells), (2 * cut) ** 0.5 + 1e-9)
+    found = components(edges).withColumnsRenamed({"node": "id"})
+    tied = rows.join(found, ["g", "id"])
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        ids = pdf["id"].to_numpy()
+        label = average_linkage(np.stack(pdf["vec"].to_numpy()).astype(float), cut)
+        least = pd.Series(ids).groupby(label).min()
+        return pd.DataFrame({"g": key[0], "id": ids, "part": least[label].to_numpy()})
+
+    parts = tied.groupBy("g", "component").applyInPandas(one, "g long, id long, part long")
+    return parts.unionByName(rows.join(found, ["g", "id"], "left_anti").select("g", "id", F.col("id").alias("part")))
+
+
+#: Windows of one topic at most, to name a window of a topic by one number.
+WINDOWS = 1 << 20
+
+
+def event_clusters(articles: DataFrame, *, cut: float, merge: float, least_topic: int = 10, least_outlets: int = 2, cells: int | None = None) -> DataFrame:
+    """[H6, H8, H10, H12, D2, J15] (id, cluster_id, event, outlets): events of each topic. Average-linkage clusters in windows of 7 days and stride 3, the
+    earliest window of an article wins, neighbours in adjacent windows merge by centroid, one-outlet events go. Events are numbered from 1 without gaps in
+    order of topic, first window and least article."""
     rows = articles.where("embedding IS NOT NULL AND cluster_id IS NOT NULL")
     big = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least_topic).select("cluster_id")
-    placed = assign_windows(rows.join(big, "cluster_id").select("id", "outlet_id", "cluster_id", "day", "embedding"), "day", length=7, stride=3, closed=True)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        unit = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
-        return pd.DataFrame({"id": pdf["id"], "outlet_id": pdf["outlet_id"], "cluster_id": pdf["cluster_id"], "window_idx": pdf["window_idx"], "part": _average_linkage(unit, cut), "unit": list(unit)})
-
-    parts = placed.groupBy("cluster_id", "window_idx").applyInPandas(one, "id long, outlet_id int, cluster_id int, window_idx int, part long, unit array<double>")
-    first = parts.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("window_idx"))).where("rn = 1").drop("rn")
-    mean = first.select("cluster_id", "window_idx", "part", F.posexplode("unit").alias("pos", "x")).groupBy("cluster_id", "window_idx", "part", "pos").agg(F.avg("x").alias("x"))
-    centre = mean.groupBy("cluster_id", "window_idx", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("c"))
-    after = centre.select("cluster_id", (F.col("window_idx") - 1).alias("window_idx"), F.col("part").alias("part2"), F.col("c").alias("c2"))
-    edges = centre.join(after, ["cluster_id", "window_idx"]).where(1 - vectors.cosine(F.col("c"), F.col("c2")) < merge).select("cluster_id", "window_idx", "part", F.col("part2"))
-
-    def joined(key: tuple, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        parent = {(w, p): (w, p) for w, p in zip(nodes["window_idx"], nodes["part"], strict=True)}
-
-        def root(x: tuple[int, int]) -> tuple[int, int]:
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        for w, p, q in zip(links["window_idx"], links["part"], links["part2"], strict=True):
-            a, b = root((w, p)), root((w + 1, q))
-            parent[max(a, b)] = min(a, b)
-        tops = [root((w, p)) for w, p in zip(nodes["window_idx"], nodes["part"], strict=True)]
-        return pd.DataFrame({"cluster_id": key[0], "window_idx": nodes["window_idx"], "part": nodes["part"], "event": [f"{w}-{p}" for w, p in tops]})
-
-    nodes_ = centre.select("cluster_id", "window_idx", "part").toDF("cluster_id", "window_idx", "part")
-    links_ = edges.toDF("cluster_id", "window_idx", "part", "part2")
-    named = nodes_.groupBy("cluster_id").cogroup(links_.groupBy("cluster_id")).applyInPandas(joined, "cluster_id int, window_idx int, part long, event string")
-    whole = first.select("id", "outlet_id", "cluster_id", "window_idx", "part").join(named, ["cluster_id", "window_idx", "part"])
-    wide = whole.groupBy("cluster_id", "event").agg(F.countDistinct("outlet_id").alias("outlets")).where(F.col("outlets") >= least_outlets)
-    return whole.join(wide, ["cluster_id", "event"]).select("id", "cluster_id", "event", "outlets")
-
-
-def density_clusters(rows: DataFrame, key: str, *, eps: float, least: int = 5, penalty: float = 1.20) -> DataFrame:
-    """[H3, H4] The default topic clusterer: connected core points of a group under cosine distance, where two articles of one
-    outlet lie 1 + penalty * (the outlet's share of the group) times as far apart; noise has label -1. rows: key, id, outlet_id, embedding."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        unit = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
-        outlet = pdf["outlet_id"].to_numpy()
-        share = pd.Series(outlet).map(pd.Series(outlet).value_counts(normalize=True)).to_numpy()
-        far = (1 - unit @ unit.T) * np.where(outlet[:, None] == outlet[None, :], 1 + penalty * share[:, None], 1)
-        np.fill_diagonal(far, 0)
-        near = far <= eps
-        core = near.sum(1) >= least
-        label, k = np.full(len(pdf), -1), 0
-        for i in np.flatnonzero(core):
-            if label[i] < 0:
-                front = [i]
-                while front:
-                    j = front.pop()
-                    if label[j] < 0:
-                        label[j] = k
-                        if core[j]:
-                            front += list(np.flatnonzero(near[j] & (label < 0)))
-                k += 1
-        return pd.DataFrame({"g": pdf["g"], "id": pdf["id"], "label": label})
-
-    return rows.select(F.col(key).cast("long").alias("g"), "id", "outlet_id", "embedding").where("embedding IS NOT NULL").groupBy("g").applyInPandas(one, "g long, id long, label long")
+    rows = rows.join(big, "cluster_id").select("id", "outlet_id", "cluster_id", "day", neighbours.unit("embedding").alias("vec")).where("vec IS NOT NULL")
+    placed = checkpointed(assign_windows(rows, "day", length=7, stride=3, closed=True).withColumn("g", F.col("cluster_id").cast("long") * WINDOWS + F.col("window_idx")))
+    parts = placed.join(linkage_parts(placed, cut, cells), ["g", "id"])
+    first = checkpointed(parts.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("window_idx"))).where("rn = 1").drop("rn", "g"))
+    node = ["cluster_id", "window_idx", "part"]
+    mean = first.select(*node, F.posexplode("vec").alias("pos", "x")).groupBy(*node, "pos").agg(F.avg("x").alias("x"))
+    centre = mean.groupBy(*node).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("c"))
+    centre = numbered(centre, node, "node")
+    after = centre.select("cluster_id", (F.col("window_idx") - 1).alias("window_idx"), F.col("node").alias("b"), F.col("c").alias("c2"))
+    edges = centre.join(after, ["cluster_id", "window_idx"]).where(1 - vectors.cosine(F.col("c"), F.col("c2")) < merge).select(F.lit(0).cast("long").alias("g"), F.col("node").alias("a"), "b")
+    top = components(edges).select("node", "component")
+    named = centre.join(top, "node", "left").select(*node, F.coalesce("component", "node").alias("top"))
+    whole = checkpointed(first.select("id", "outlet_id", *node).join(named, node))
+    wide = whole.groupBy("top").agg(F.countDistinct("outlet_id").alias("outlets")).where(F.col("outlets") >= least_outlets)
+    return whole.join(numbered(wide, ["top"], "event"), "top").select("id", "cluster_id", "event", "outlets")
 
 
 def embed_hashed(batches: Iterator[pd.DataFrame], dim: int = 64) -> Iterator[pd.DataFrame]:

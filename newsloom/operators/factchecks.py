@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsloom.functions import vectors
 from newsloom.functions.text import shares_keywords
+from newsloom.operators import neighbours
+from newsloom.operators.sinks import checkpointed
 
 
 def fact_check_list(checks: DataFrame, *, verdict: str | None = None, verdict_type: str | None = None, page: int = 1, page_size: int = 20) -> DataFrame:
@@ -48,14 +53,45 @@ def badge(checks: DataFrame, severe: int = 3) -> DataFrame:
     )
 
 
-def coarse_matches(checks: DataFrame, centroids: DataFrame, least: float, top: int = 3) -> DataFrame:
-    """[J13, E4] The ``top`` nearest centroids of each fact-check at or above a cosine. centroids: cluster, centroid.
-
-    One row for each cluster of a run: the side that is small by construction; every fact-check meets every centroid, as an exact top-k must."""
-    pairs = checks.where("embedding IS NOT NULL").select("id", "embedding").crossJoin(centroids)
-    scored = pairs.select("id", "cluster", vectors.cosine(F.col("embedding"), F.col("centroid")).alias("cos")).where(F.col("cos") >= least)
-    ranked = scored.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "cluster")))
-    return ranked.where(F.col("rn") <= top).select("id", "cluster", "rn", F.round("cos", 6).alias("cos"))
+#: Bytes of centroids that are broadcast; more go into an index.
+CENTROID_BYTES = 64 << 20
+
+
+def coarse_matches(checks: DataFrame, centroids: DataFrame, least: float, top: int = 3, limit: int = CENTROID_BYTES) -> DataFrame:
+    """[J13, E4] The ``top`` nearest centroids of each fact-check at or above a cosine, ties by cluster. centroids: cluster, centroid.
+
+    The matrix of centroids is broadcast if its counted size allows, and each batch of fact-checks is one product with it; else they
+    are searched by cells, exactly. No pairs are made but the best."""
+    asked, kinds = checks.where("embedding IS NOT NULL"), {"id": checks.schema["id"].dataType, "cluster": centroids.schema["cluster"].dataType}
+    centroids = checkpointed(centroids.where(vectors.norm(F.col("centroid")) > 0).select(F.col("cluster").cast("long").alias("cluster"), vectors.l2_normalize(F.col("centroid")).alias("unit")))
+    size = centroids.agg(F.sum(F.size("unit") * 8).alias("n")).first()["n"] or 0
+    if size > limit:
+        index = neighbours.build(neighbours.prepared(centroids, "cluster", F.col("unit")))
+        found = neighbours.nearest(index, neighbours.prepared(asked, "id", neighbours.unit("embedding")), top, exact=True, within=math.sqrt(max(0.0, 2 - 2 * least)))
+        return found.select(F.col("query").cast(kinds["id"]).alias("id"), F.col("id").cast(kinds["cluster"]).alias("cluster"), F.col("rank").alias("rn"), F.round(1 - F.col("distance") * F.col("distance") / 2, 6).alias("cos"))
+    rows = centroids.orderBy("cluster").collect()  # ``limit`` bytes at most
+    shared = checks.sparkSession.sparkContext.broadcast((np.array([r["cluster"] for r in rows], np.int64), np.array([r["unit"] for r in rows], float)))
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, matrix = shared.value
+        for pdf in batches:
+            out: list[tuple] = []
+            if len(names) and len(pdf):
+                cos = np.stack(pdf["unit"].to_numpy()) @ matrix.T
+                order = np.argsort(-cos, 1, kind="stable")[:, :top]
+                out = [(i, names[j], n + 1, cos[k, j]) for k, i in enumerate(pdf["id"]) for n, j in enumerate(order[k]) if cos[k, j] >= least]
+            yield pd.DataFrame(out, columns=["id", "cluster", "rn", "cos"])
+
+    units = asked.select(F.col("id").cast("long").alias("id"), neighbours.unit("embedding").alias("unit")).where("unit IS NOT NULL")
+    return units.mapInPandas(met, "id long, cluster long, rn int, cos double").withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()} | {"cos": F.round("cos", 6)})
+
+
+def nearest_checks(index: neighbours.Index, article: DataFrame, threshold: float, limit: int = 10, exact: bool = True) -> DataFrame:
+    """[Q11, F2] (article, id, distance): proximity() of any number of articles (id, embedding) by an index of the fact-checks' unit vectors, which reads the cells near the articles only."""
+    queries = neighbours.prepared(article.where("embedding IS NOT NULL"), "id", neighbours.unit("embedding"))
+    found = neighbours.nearest(index, queries, limit, exact=exact, same=True, within=math.sqrt(2 * threshold))
+    cosine = F.round(F.col("distance") * F.col("distance") / 2, 6)
+    return found.where(F.col("distance") * F.col("distance") / 2 < threshold).select(F.col("query").alias("article"), "id", cosine.alias("distance"))
 
 
 def keyword_guard(checks: DataFrame, articles: DataFrame, titles: int = 10) -> DataFrame:

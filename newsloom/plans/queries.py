@@ -12,10 +12,12 @@ from newsloom.functions import vectors
 from newsloom.functions.wordlists import BYLINES, COMMON_NOUNS, HUBS, NER_STOPWORDS, PARTIES, STOPWORDS
 from newsloom.operators import analytics as A
 from newsloom.operators import clustering as C
+from newsloom.operators import density as D
 from newsloom.operators import entities as N
 from newsloom.operators import factchecks as K
 from newsloom.operators import graph as G
 from newsloom.operators import labelling as L
+from newsloom.operators import neighbours as V
 from newsloom.operators import search as S
 from newsloom.operators import sinks
 from newsloom.sources import pages as P
@@ -207,6 +209,12 @@ def factcheck_proximity(n: News) -> DataFrame:
     return K.proximity(n.fact_checks, n.articles.where("id = 7"), 0.75)
 
 
+@query(oracle(f"SELECT article, id, round(distance, 6) AS distance FROM (SELECT a.id AS article, f.id, 1 - {_COS.format(a='a.embedding', b='f.embedding')} AS distance, row_number() OVER (PARTITION BY a.id ORDER BY 1 - {_COS.format(a='a.embedding', b='f.embedding')}, f.id) AS rn FROM articles a JOIN fact_checks f ON a.id <> f.id WHERE a.embedding IS NOT NULL AND f.embedding IS NOT NULL AND a.id % 100 = 0) WHERE rn <= 10 AND distance < 0.75"))
+def factcheck_proximity_indexed(n: News) -> DataFrame:
+    checks = V.prepared(n.fact_checks, "id", V.unit("embedding"))
+    return K.nearest_checks(V.build(checks), n.articles.where("id % 100 = 0"), 0.75)
+
+
 @query(oracle(f"""SELECT id, verdict, 1 AS tier FROM fact_checks WHERE cluster_id = (SELECT cluster_id FROM articles WHERE id = 7) UNION ALL
     SELECT id, verdict, 2 FROM (SELECT * FROM ({_NEAR}) WHERE distance < 0.9 ORDER BY distance, id LIMIT 10) WHERE id NOT IN (SELECT id FROM fact_checks WHERE cluster_id = (SELECT cluster_id FROM articles WHERE id = 7))"""))
 def factcheck_by_article(n: News) -> DataFrame:
@@ -564,7 +572,7 @@ def event_clusters(n: News) -> DataFrame:
 @query()
 def topic_clusters(n: News) -> DataFrame:
     placed = C.assign_windows(n.articles.where("embedding IS NOT NULL").select("id", "outlet_id", "day", "embedding"), "day", length=28, stride=14, closed=False)
-    return C.density_clusters(placed, "window_idx", eps=0.75, least=3)
+    return D.topics(placed.withColumnRenamed("window_idx", "g"), samples=3, least=5)
 
 
 @query(oracle("SELECT sub_cluster_id AS cluster, count(*) AS article_count, count(DISTINCT outlet_id) AS outlet_count FROM articles WHERE cluster_run_id IS NOT NULL AND sub_cluster_id NOT IN (101, 203) GROUP BY 1 HAVING outlet_count >= 3 AND article_count BETWEEN 4 AND 60 AND max(published_on) - min(published_on) <= 31"))

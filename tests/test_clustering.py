@@ -70,26 +70,47 @@ def test_events(articles):
     assert len(expected) > 3 and {(t, frozenset(ids), n) for (t, _, n), ids in found.items()} == expected
 
 
-def test_topics(articles):
-    """Core points and what they reach; a point on the border belongs to one of the clusters that reach it; noise is -1."""
+def test_linkage_is_the_greedy_one():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for n, cut in [(1, 0.3), (2, 2.0), (40, 0.15), (60, 0.4), (50, 0.9), (30, 2.0)]:
+        v = rng.normal(size=(n, 4)) + 1.5 * rng.integers(0, 2, (n, 1))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        v[n // 2] = v[0]
+        label = C.average_linkage(v, cut)
+        want = {frozenset(p[0] for p in g) for g in linked([(i, 0, 0, 0, x.tolist()) for i, x in enumerate(v)], cut)}
+        assert {frozenset(np.flatnonzero(label == k).tolist()) for k in set(label)} == want
+
+
+@pytest.mark.parametrize("cells", [1, 7])
+def test_parts_of_windows(spark, articles, cells):
+    """A group is cut into parts that cannot meet; rows that nothing is near to are parts of their own."""
+    rows, _ = articles
+    unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v]
+    frame = spark.createDataFrame([(r[2], r[0], unit(r[4])) for r in rows], "g long, id long, vec array<double>")
+    found = defaultdict(set)
+    for r in C.linkage_parts(frame, 0.12, cells).collect():
+        found[r["g"], r["part"]].add(r["id"])
+    want = {(g, frozenset(p[0] for p in part)) for g in (0, 1, 2) for part in linked([r for r in rows if r[2] == g], 0.12)}
+    assert {(g, frozenset(ids)) for (g, _), ids in found.items()} == want and all(min(ids) == p for (_, p), ids in found.items())
+
+
+def test_event_numbers(articles):
+    _, df = articles
+    first = {}
+    for r in C.event_clusters(df, cut=0.25, merge=0.1).collect():
+        first.setdefault(r["event"], set()).add(r["cluster_id"])
+    assert sorted(first) == list(range(1, len(first) + 1)) and all(len(t) == 1 for t in first.values())
+    order = [min(first[e]) for e in sorted(first)]
+    assert order == sorted(order)
+
+
+def test_matches_by_index_equal_those_by_matrix(spark, articles):
+    from newsloom.operators import factchecks as K
+
     rows, df = articles
-    eps, least, penalty = 0.2, 4, 0.5
-    found = {(r["g"], r["id"]): r["label"] for r in C.density_clusters(df, "cluster_id", eps=eps, least=least, penalty=penalty).collect()}
-    assert len(found) == len(rows)
-    for topic in (0, 1, 2):
-        group = [r for r in rows if r[2] == topic]
-        share = {o: sum(r[1] == o for r in group) / len(group) for o in {r[1] for r in group}}
-        far = lambda a, b: 0 if a[0] == b[0] else (1 - cosine(a[4], b[4])) * (1 + penalty * share[a[1]] if a[1] == b[1] else 1)
-        near = {a[0]: {b[0] for b in group if far(a, b) <= eps} for a in group}
-        core = {k for k, n in near.items() if len(n) >= least}
-        label = {k: k for k in core}
-        for _ in core:
-            for k in core:
-                label[k] = min(label[n] for n in near[k] & core)
-        for a in core:
-            for b in core:
-                assert (label[a] == label[b]) == (found[topic, a] == found[topic, b])
-        for r in group:
-            if r[0] not in core:
-                own = found[topic, r[0]]
-                assert own == -1 if not near[r[0]] & core else own in {found[topic, n] for n in near[r[0]] & core}
+    centres = df.where("id % 6 = 0").selectExpr("cast(id as int) AS cluster", "embedding AS centroid")
+    told = [sorted(map(tuple, K.coarse_matches(df, centres, 0.3, limit=limit).collect())) for limit in (1 << 20, 0)]
+    assert told[0] == told[1] and len(told[0]) > 100 and max(t[2] for t in told[0]) == 3
+    assert K.coarse_matches(df, centres.limit(0), 0.3).count() == 0
