@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,7 +34,7 @@ from newsloom.llm.byte_bpe import byte_characters
 from newsloom.llm.common import BROADCAST_BYTES, arrow_sized, sliced, small_enough, stored
 
 #: Chunks and transitions that a worker keeps, and the longest suffix of a kept one, in bytes.
-KEPT, LONGEST_KEPT = 300_000, 64
+KEPT, LONGEST_KEPT = 400_000, 64
 #: Bytes of a row of the broadcast table of pairs: pair, count, whether it is the best.
 PAIR_BYTES = 17
 #: How byte-level BPE cuts a text before it merges (a fixed pattern of that tokenizer).
@@ -176,14 +177,14 @@ def link_counts(docs: DataFrame, byte_level: str, pieces: str, text_col: str = "
     arrow_sized(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = Chunks(aligner(byte_level, pieces), lambda found: [np.array(x[4], np.int64) for x in found], texts=False)
+        store = Chunks(aligner(byte_level, pieces), lambda found: [array("q", x[4]).tobytes() for x in found], texts=False)
         for batch in sliced(batches):
             seen: Counter[str] = Counter()
             for c in store.of(batch.column(0).to_pylist()):
                 seen.update(c)
             if seen:
                 links = [store.kept[c] for c in seen]
-                keys, n = _summed(np.concatenate(links), np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), [len(x) for x in links]))
+                keys, n = _summed(np.frombuffer(b"".join(links), np.int64), np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), [len(x) // 8 for x in links]))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["pair", "n"])
 
     summed = stored(docs.select(text_col).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
