@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsloom.functions import vectors
+from newsloom.operators.sinks import checkpointed
 
 WORD = r"[\p{L}\p{N}]+"
 
@@ -31,23 +35,10 @@ def asked(query: str) -> list[list[tuple[list[str], bool]]]:
     return [g for g in groups if g]
 
 
-def matches(w: Column, groups: list[list[tuple[list[str], bool]]]) -> Column:
-    """Whether words ``w`` have what is asked for; nothing has what asks for nothing."""
-    joined = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
-    has = lambda part: F.array_contains(w, part[0]) if len(part) == 1 else joined.contains(f" {' '.join(part)} ")
-    out = F.lit(False)
-    for g in groups:
-        every = F.lit(True)
-        for part, there in g:
-            every = every & (has(part) if there else ~has(part))
-        out = out | every
-    return out
-
-
-def cover_density(rows: DataFrame, terms: list[str]) -> DataFrame:
-    """[E2] (id, density) of rows (id, w) that have all the terms: over the shortest stretches that hold them all, 0.1 by one more than the
-    words between the terms, by the harmonic mean of the distance between stretches."""
-    hits = rows.select("id", F.posexplode("w").alias("pos", "term")).where(F.col("term").isin(terms))
+def cover_density(hits: DataFrame, terms: list[str]) -> DataFrame:
+    """[E2] (id, density) of hits (id, pos, term) of texts that have all the terms: over the shortest stretches that hold them all, 0.1 by one more than the
+    words between the terms, by the harmonic mean of the distance between the middles of stretches."""
+    hits = hits.where(F.col("term").isin(terms))
     upto = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     last = [F.max(F.when(F.col("term") == t, F.col("pos"))).over(upto) for t in terms]
     first = F.when(sum((x.isNotNull().cast("int") for x in last), F.lit(0)) == len(terms), F.least(*last) if len(last) > 1 else last[0])
@@ -55,32 +46,129 @@ def cover_density(rows: DataFrame, terms: list[str]) -> DataFrame:
     ends = hits.select("id", "pos", F.count(F.lit(1)).over(upto).alias("nth"), first.alias("first")).withColumn("before", F.lag("first").over(order))
     starts = ends.select("id", F.col("pos").alias("first"), F.col("nth").alias("from"))
     covers = ends.where("first IS NOT NULL AND (before IS NULL OR before <> first)").join(starts, ["id", "first"])
-    covers = covers.withColumn("noise", (F.col("pos") - F.col("first")) - (F.col("nth") - F.col("from"))).withColumn("middle", F.expr("(pos + first) div 2"))
+    covers = covers.withColumn("noise", (F.col("pos") - F.col("first")) - (F.col("nth") - F.col("from"))).withColumn("middle", (F.col("pos") + F.col("first")) / 2)
     gap = F.col("middle") - F.lag("middle").over(order)
     sums = covers.withColumn("gap", gap).groupBy("id").agg(F.sum(0.1 / (1 + F.col("noise"))).alias("d"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("gap") > 0, 1.0 / F.col("gap"))), F.lit(0.0)).alias("near"))
     return sums.select("id", F.round(F.when(F.col("near") > 0, F.col("d") / (F.col("n") / F.col("near"))).otherwise(F.col("d")), 9).alias("density"))
 
 
+Groups = list[list[tuple[list[str], bool]]]
+
+#: Parts of the table of postings by hash of the term, which a search is pruned to, and pieces that a part's common terms are dealt over.
+BUCKETS, PIECES = 64, 8
+
+
+def write_postings(articles: DataFrame, path: str, *, stem: Callable[[str], str] | None = None, columns: tuple[str, ...] = ("title", "content_text")) -> None:
+    """[G29] The inverted index of the articles as a Parquet table (bucket, term, id, places), written once: the places of each term in each article, by
+    bucket of the term and sorted by term, so that a search reads the row groups of its own terms. ``stem`` reduces words, as it must those of a search."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, kept = regex.compile(WORD).findall, {}
+        for batch in batches:
+            for id_, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                places: dict[str, list[int]] = {}
+                for n, word in enumerate(cut(text.lower())):
+                    if stem is not None:
+                        if len(kept) > 200_000:
+                            kept.clear()
+                        word = kept.get(word) or kept.setdefault(word, stem(word))
+                    places.setdefault(word, []).append(n)
+                yield pa.RecordBatch.from_arrays([pa.array(list(places), pa.string()), pa.array([id_.as_py()] * len(places), id_.type), pa.array(list(places.values()), pa.list_(pa.int32()))], ["term", "id", "places"])
+
+    kind = articles.schema["id"].dataType.simpleString()
+    found = articles.select("id", F.concat_ws(" ", *columns).alias("text")).mapInArrow(placed, f"term string, id {kind}, places array<int>")
+    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+    dealt = found.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(PIECES))).sortWithinPartitions("bucket", "term", "id")
+    dealt.write.partitionBy("bucket").parquet(path)
+
+
+def stemmed(groups: Groups, stem: Callable[[str], str] | None) -> Groups:
+    return groups if stem is None else [[([stem(w) for w in part], there) for part, there in g] for g in groups]
+
+
+def _terms(groups: Groups) -> list[str]:
+    return sorted({w for g in groups for part, _ in g for w in part})
+
+
+def _less(places: Column, by: Column) -> Column:
+    return F.transform(places, lambda x: x - by)
+
+
+def _places_of(word: str) -> Column:
+    """The places of a word among the pairs (term, pos) in ``p``."""
+    return F.transform(F.filter("p", lambda s: s["term"] == word), lambda s: s["pos"])
+
+
+def _fits(groups: Groups) -> Column:
+    """Whether the places ``at`` (map of term to places) have what is asked for."""
+    places = lambda w: F.try_element_at("at", F.lit(w))
+
+    def has(part: list[str]) -> Column:
+        out = places(part[0])
+        for n, word in enumerate(part[1:], 1):
+            out = F.array_intersect(out, _less(places(word), F.lit(n)))
+        return F.coalesce(F.size(out) > 0, F.lit(False))
+
+    out = F.lit(False)
+    for g in groups:
+        every = F.lit(True)
+        for part, there in g:
+            every = every & (has(part) if there else ~has(part))
+        out = out | every
+    return out
+
+
+def by_text(rows: DataFrame, groups: Groups, columns: tuple[str, ...] = ("title", "content_text")) -> DataFrame:
+    """(id, at) of the rows that have what is asked for: the places of its terms. Only texts that hold the letters of the words needed are cut into words, once."""
+    text = F.lower(F.concat_ws(" ", *columns))
+    likely = F.lit(False)
+    for g in groups:
+        needed = F.lit(True)
+        for w in _terms([[p for p in g if p[1]]]):
+            needed = needed & F.col("t").contains(w)
+        likely = likely | needed
+    pairs = F.filter(F.transform("w", lambda word, n: F.struct(word.alias("term"), n.alias("pos"))), lambda s: s["term"].isin(_terms(groups)))
+    found = rows.select("id", text.alias("t")).where(likely).select("id", words(F.col("t")).alias("w")).select("id", pairs.alias("p"))
+    at = F.map_from_entries(F.array(*(F.struct(F.lit(w), _places_of(w)) for w in _terms(groups)))) if groups else F.lit(None).cast("map<string,array<int>>")
+    return found.select("id", at.alias("at")).where(_fits(groups))
+
+
+def by_postings(rows: DataFrame, path: str, groups: Groups) -> DataFrame:
+    """by_text() from the table that write_postings() wrote, read for the terms asked for alone. ``rows``: the articles allowed."""
+    terms, spark = _terms(groups), rows.sparkSession
+    buckets = [r[0] for r in spark.createDataFrame([(w,) for w in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
+    kind = rows.schema["id"].dataType.simpleString()
+    read = spark.read.schema(f"term string, id {kind}, places array<int>, bucket int").parquet(path).where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+    at = read.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("at"))  # one entry for each term asked for
+    some = all(any(there for _, there in g) for g in groups)
+    return rows.select("id").join(at, "id", "inner" if some else "left").where(_fits(groups))
+
+
 def _ranked(leg: DataFrame, score: str, rank: str, n: int) -> DataFrame:
     """The best n rows first, so that the global window sees n rows."""
     return leg.orderBy(F.desc(score), "id").limit(n).withColumn(rank, F.row_number().over(Window.orderBy(F.desc(score), "id")))
 
 
-def hybrid_search(articles: DataFrame, query_vector: list[float], query: str, *, top_k: int = 20, candidates: int = 50, rrf_k: float = 60.0, floor: float = 0.5, retain: float = 0.5) -> DataFrame:
+def hybrid_search(
+    articles: DataFrame, query_vector: list[float], query: str, *, postings: str | None = None, stem: Callable[[str], str] | None = None, top_k: int = 20, candidates: int = 50, rrf_k: float = 60.0, floor: float = 0.5, retain: float = 0.5
+) -> DataFrame:
     """(id, dense_rank, sparse_rank, rrf, tier). Both legs need a match of the search text, and templated or excluded articles (or
-    of unknown state) are left out. Words are compared as they are, in lower case, without stems. The lexical score is the cover
-    density of the words that the first fitting group asks for."""
-    groups = asked(query)
-    rows = articles.where("NOT is_templated AND NOT is_excluded").withColumn("w", words(F.concat_ws(" ", "title", "content_text"))).where(matches(F.col("w"), groups))
+    of unknown state) are left out. ``postings``: the path of a table by write_postings() with the same ``stem``; without one the texts are read and words
+    are compared as they are, in lower case. The lexical score is the cover density of the words that the first fitting group asks for."""
+    if stem is not None and postings is None:
+        raise ValueError("stems are looked up in postings")
+    groups = stemmed(asked(query), stem)
+    rows = articles.where("NOT is_templated AND NOT is_excluded")
+    matched = checkpointed(by_text(rows, groups) if postings is None else by_postings(rows, postings, groups))
     q = F.array(*(F.lit(float(x)) for x in query_vector))
-    dense = _ranked(rows.where("embedding IS NOT NULL").select("id", F.round(vectors.cosine(F.col("embedding"), q), 9).alias("cos")).where(F.col("cos") >= floor), "cos", "dense_rank", candidates)
-    lexical = None
+    near = rows.where("embedding IS NOT NULL").select("id", "embedding").join(matched.select("id"), "id", "left_semi")
+    dense = _ranked(near.select("id", F.round(vectors.cosine(F.col("embedding"), q), 9).alias("cos")).where(F.col("cos") >= floor), "cos", "dense_rank", candidates)
+    lexical = matched.select("id", F.lit(0.0).alias("density")).limit(0)
     for k, g in enumerate(groups):
-        own = rows.where(matches(F.col("w"), [g]) & ~matches(F.col("w"), groups[:k])).select("id", "w")
-        terms = sorted({t for part, there in g if there for t in part})
-        scored = cover_density(own, terms) if terms else own.select("id", F.lit(0.0).alias("density"))
-        lexical = lexical.unionByName(scored) if lexical is not None else scored
-    lexical = lexical if lexical is not None else rows.select("id", F.lit(0.0).alias("density"))
+        own = matched.where(_fits([g]) & ~_fits(groups[:k]))
+        needed = _terms([[p for p in g if p[1]]])
+        hits = own.select("id", F.explode("at").alias("term", "places")).select("id", "term", F.explode("places").alias("pos"))
+        lexical = lexical.unionByName(cover_density(hits, needed) if needed else own.select("id", F.lit(0.0).alias("density")))
     sparse = _ranked(lexical.withColumnRenamed("density", "lex"), "lex", "sparse_rank", candidates)
     part = lambda r: F.coalesce(1.0 / (rrf_k + F.col(r)), F.lit(0.0))
     fused = dense.join(sparse, "id", "full_outer").select("id", "dense_rank", "sparse_rank", F.round(part("dense_rank") + part("sparse_rank"), 9).alias("rrf"))

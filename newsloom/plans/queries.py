@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
 from newsloom.functions import vectors
+from newsloom.functions.stems import romanian
 from newsloom.functions.wordlists import BYLINES, COMMON_NOUNS, HUBS, NER_STOPWORDS, PARTIES, STOPWORDS
 from newsloom.operators import analytics as A
 from newsloom.operators import clustering as C
@@ -597,7 +599,7 @@ _SEARCH_SQL = f"""base AS (SELECT id, embedding, w, (list_contains(w, 'the') AND
     hit AS (SELECT id, one, pos, term FROM (SELECT id, one, unnest(range(0, len(w))) AS pos, unnest(w) AS term FROM base) WHERE term IN (CASE WHEN one THEN 'the' ELSE 'und' END, CASE WHEN one THEN 'of' ELSE 'der' END, CASE WHEN one THEN 'and' ELSE 'und' END)),
     las AS (SELECT id, pos, count(*) OVER u AS nth, CASE WHEN one THEN CASE WHEN max(pos) FILTER (term = 'the') OVER u IS NOT NULL AND max(pos) FILTER (term = 'of') OVER u IS NOT NULL AND max(pos) FILTER (term = 'and') OVER u IS NOT NULL THEN least(max(pos) FILTER (term = 'the') OVER u, max(pos) FILTER (term = 'of') OVER u, max(pos) FILTER (term = 'and') OVER u) END
       ELSE CASE WHEN max(pos) FILTER (term = 'und') OVER u IS NOT NULL AND max(pos) FILTER (term = 'der') OVER u IS NOT NULL THEN least(max(pos) FILTER (term = 'und') OVER u, max(pos) FILTER (term = 'der') OVER u) END END AS first FROM hit WINDOW u AS (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-    cov AS (SELECT l.id, l.pos, l.first, (l.pos - l.first) - (l.nth - s.nth) AS noise, (l.pos + l.first) // 2 AS middle FROM (SELECT *, lag(first) OVER (PARTITION BY id ORDER BY pos) AS before FROM las) l JOIN las s ON s.id = l.id AND s.pos = l.first WHERE l.first IS NOT NULL AND (before IS NULL OR before <> l.first)),
+    cov AS (SELECT l.id, l.pos, l.first, (l.pos - l.first) - (l.nth - s.nth) AS noise, (l.pos + l.first) / 2 AS middle FROM (SELECT *, lag(first) OVER (PARTITION BY id ORDER BY pos) AS before FROM las) l JOIN las s ON s.id = l.id AND s.pos = l.first WHERE l.first IS NOT NULL AND (before IS NULL OR before <> l.first)),
     den AS (SELECT id, sum(0.1 / (1 + noise)) AS d, count(*) AS n, coalesce(sum(1.0 / gap) FILTER (gap > 0), 0) AS near FROM (SELECT *, middle - lag(middle) OVER (PARTITION BY id ORDER BY pos) AS gap FROM cov) GROUP BY 1),
     base2 AS (SELECT b.id, b.embedding, round(CASE WHEN near > 0 THEN d / (n / near) ELSE d END, 9) AS lex FROM base b JOIN den USING (id)),
     dense AS (SELECT id, row_number() OVER (ORDER BY cos DESC, id) AS dense_rank FROM (SELECT id, round({_COS.format(a='embedding', b=json.dumps(_QUERY))}, 9) AS cos FROM base WHERE embedding IS NOT NULL) WHERE cos >= 0.0 ORDER BY cos DESC, id LIMIT 50),
@@ -612,6 +614,22 @@ def hybrid_search(n: News) -> DataFrame:
     return S.hybrid_search(n.articles, _QUERY, _TEXT, floor=0.0)
 
 
+@query(oracle(_SEARCH_SQL))
+def indexed_search(n: News) -> DataFrame:
+    """The same search from an inverted index, which is written first."""
+    path = f"{sinks.shared_folder(n.spark)}/postings-{uuid.uuid4().hex}"
+    S.write_postings(n.articles, path)
+    return S.hybrid_search(n.articles, _QUERY, _TEXT, postings=path, floor=0.0)
+
+
+@query()
+def stemmed_search(n: News) -> DataFrame:
+    """A search by stems: forms of a word meet."""
+    path = f"{sinks.shared_folder(n.spark)}/postings-{uuid.uuid4().hex}"
+    S.write_postings(n.articles, path, stem=romanian)
+    return S.hybrid_search(n.articles, _QUERY, "pentru or la or der", postings=path, stem=romanian, floor=0.0)
+
+
 # Sources and sinks.
 @query("SELECT page_id, url, md5(url) AS url_hash FROM pages")
 def page_hashes(n: News) -> DataFrame:

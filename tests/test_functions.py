@@ -11,7 +11,6 @@ from newsloom.functions import text as T
 from newsloom.operators import clustering as C
 from newsloom.operators import entities as N
 from newsloom.operators import graph as G
-from newsloom.operators import search as S
 from newsloom.operators import sinks
 from newsloom.plans import schedule
 from newsloom.streaming import ingest
@@ -112,22 +111,6 @@ def test_false_names(spark):
     assert {r["n"]: r["o"] for r in df.collect()} == given
 
 
-def test_search_text(spark):
-    assert S.asked('the "two words" -no or other') == [[(["the"], True), (["two", "words"], True), (["no"], False)], [(["other"], True)]]
-    texts = {1: "the two words", 2: "the words two", 3: "no the two words", 4: "Other", 5: "theory of two words"}
-    df = spark.createDataFrame(list(texts.items()), "id int, text string").select("id", S.words(F.col("text")).alias("w"))
-    assert {r["id"] for r in df.where(S.matches(F.col("w"), S.asked('the "two words" -no or other'))).collect()} == {1, 4}
-    assert df.where(S.matches(F.col("w"), S.asked('" - ')) ).count() == 0
-
-
-def test_cover_density(spark):
-    """By hand: shortest stretches with all terms, each 0.1 over one more than the words between, by the harmonic mean of distances."""
-    df = spark.createDataFrame([(1, "a x b y y a b".split()), (2, ["a", "b"]), (3, ["a", "a"])], "id int, w array<string>")
-    found = {r["id"]: r["density"] for r in S.cover_density(df, ["a", "b"]).collect()}
-    # 1: a x b (0.05, middle 1), b y y a (0.1 / 3, middle 3), a b (0.1, middle 5); distances 2 and 2, so 3 stretches by 1.
-    assert set(found) == {1, 2} and abs(found[1] - (0.05 + 0.1 / 3 + 0.1) / 3) < 1e-8 and abs(found[2] - 0.1) < 1e-9
-
-
 def test_labels_pairs(spark):
     df = spark.createDataFrame([(1, "Știri despre Guvern și Parlament"), (1, "Guvern x1y")], "k int, t string")
     assert {(r["term"], r["tf"]) for r in C.label_terms(df, "k", "t").collect()} == {("știri", 1), ("guvern", 2), ("parlament", 1), ("știri guvern", 1), ("guvern parlament", 1)}
