@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from newsloom.functions import vectors
@@ -17,11 +20,6 @@ from newsloom.operators.sinks import checkpointed
 WORD = r"[\p{L}\p{N}]+"
 
 
-def words(text: Column) -> Column:
-    """The words of a text, in lower case."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), 1)
-
-
 def asked(query: str) -> list[list[tuple[list[str], bool]]]:
     """[G29] What a search text asks for: of some groups (parted by ``or``) one, of a group each part: words in a row
     (several in quotes), and whether they must be there (or must not, after ``-``)."""
@@ -35,21 +33,27 @@ def asked(query: str) -> list[list[tuple[list[str], bool]]]:
     return [g for g in groups if g]
 
 
-def cover_density(hits: DataFrame, terms: list[str]) -> DataFrame:
-    """[E2] (id, density) of hits (id, pos, term) of texts that have all the terms: over the shortest stretches that hold them all, 0.1 by one more than the
-    words between the terms, by the harmonic mean of the distance between the middles of stretches."""
-    hits = hits.where(F.col("term").isin(terms))
-    upto = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    last = [F.max(F.when(F.col("term") == t, F.col("pos"))).over(upto) for t in terms]
-    first = F.when(sum((x.isNotNull().cast("int") for x in last), F.lit(0)) == len(terms), F.least(*last) if len(last) > 1 else last[0])
-    order = Window.partitionBy("id").orderBy("pos")
-    ends = hits.select("id", "pos", F.count(F.lit(1)).over(upto).alias("nth"), first.alias("first")).withColumn("before", F.lag("first").over(order))
-    starts = ends.select("id", F.col("pos").alias("first"), F.col("nth").alias("from"))
-    covers = ends.where("first IS NOT NULL AND (before IS NULL OR before <> first)").join(starts, ["id", "first"])
-    covers = covers.withColumn("noise", (F.col("pos") - F.col("first")) - (F.col("nth") - F.col("from"))).withColumn("middle", (F.col("pos") + F.col("first")) / 2)
-    gap = F.col("middle") - F.lag("middle").over(order)
-    sums = covers.withColumn("gap", gap).groupBy("id").agg(F.sum(0.1 / (1 + F.col("noise"))).alias("d"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("gap") > 0, 1.0 / F.col("gap"))), F.lit(0.0)).alias("near"))
-    return sums.select("id", F.round(F.when(F.col("near") > 0, F.col("d") / (F.col("n") / F.col("near"))).otherwise(F.col("d")), 9).alias("density"))
+def _covers(places: list[np.ndarray]) -> float:
+    """The cover density of one text by the places of each of its terms, which are all there."""
+    at = np.sort(np.concatenate(places))
+    after = [np.searchsorted(p, at, "right") for p in places]
+    full = np.min(after, 0) > 0
+    at, after = at[full], [a[full] for a in after]
+    first = np.min([p[a - 1] for p, a in zip(places, after, strict=True)], 0)
+    new = np.concatenate(([True], first[1:] != first[:-1]))
+    last, first = at[new], first[new]
+    hits = np.sum([a[new] - np.searchsorted(p, first) for p, a in zip(places, after, strict=True)], 0)
+    gaps = np.diff((last + first) / 2)
+    near = (1 / gaps[gaps > 0]).sum()
+    dense = (0.1 / (1 + (last - first + 1 - hits))).sum()
+    return float(dense / (len(last) / near) if near else dense)
+
+
+@F.pandas_udf(DoubleType())
+def cover_density(places: pd.Series) -> pd.Series:
+    """[E2] Of an array with the places of each term of a text (null or empty ones: null): over the shortest stretches that hold all terms, 0.1 by one more than the
+    words between the terms, by the harmonic mean of the distance between the middles of stretches. A text's places are one row, so nothing is shuffled."""
+    return pd.Series([None if x is None or not len(x) or any(p is None or not len(p) for p in x) else _covers([np.asarray(p, np.int64) for p in x]) for x in places], dtype=float)
 
 
 Groups = list[list[tuple[list[str], bool]]]
@@ -94,11 +98,6 @@ def _less(places: Column, by: Column) -> Column:
     return F.transform(places, lambda x: x - by)
 
 
-def _places_of(word: str) -> Column:
-    """The places of a word among the pairs (term, pos) in ``p``."""
-    return F.transform(F.filter("p", lambda s: s["term"] == word), lambda s: s["pos"])
-
-
 def _fits(groups: Groups) -> Column:
     """Whether the places ``at`` (map of term to places) have what is asked for."""
     places = lambda w: F.try_element_at("at", F.lit(w))
@@ -127,10 +126,22 @@ def by_text(rows: DataFrame, groups: Groups, columns: tuple[str, ...] = ("title"
         for w in _terms([[p for p in g if p[1]]]):
             needed = needed & F.col("t").contains(w)
         likely = likely | needed
-    pairs = F.filter(F.transform("w", lambda word, n: F.struct(word.alias("term"), n.alias("pos"))), lambda s: s["term"].isin(_terms(groups)))
-    found = rows.select("id", text.alias("t")).where(likely).select("id", words(F.col("t")).alias("w")).select("id", pairs.alias("p"))
-    at = F.map_from_entries(F.array(*(F.struct(F.lit(w), _places_of(w)) for w in _terms(groups)))) if groups else F.lit(None).cast("map<string,array<int>>")
-    return found.select("id", at.alias("at")).where(_fits(groups))
+    terms, kind = _terms(groups), rows.schema["id"].dataType.simpleString()
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = regex.compile(WORD).findall
+        for batch in batches:
+            out = []
+            for t in batch.column(1).to_pylist():
+                at: dict[str, list[int]] = {w: [] for w in terms}
+                for n, w in enumerate(cut(t)):
+                    if w in at:
+                        at[w].append(n)
+                out.append([(w, p) for w, p in at.items() if p])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.map_(pa.string(), pa.list_(pa.int32())))], ["id", "at"])
+
+    # A Python step, which the filter on ``at`` stays above: pushed below, it would cut the words anew for each of its terms.
+    return rows.select("id", text.alias("t")).where(likely).mapInArrow(placed, f"id {kind}, at map<string, array<int>>").where(_fits(groups))
 
 
 def by_postings(rows: DataFrame, path: str, groups: Groups) -> DataFrame:
@@ -167,8 +178,8 @@ def hybrid_search(
     for k, g in enumerate(groups):
         own = matched.where(_fits([g]) & ~_fits(groups[:k]))
         needed = _terms([[p for p in g if p[1]]])
-        hits = own.select("id", F.explode("at").alias("term", "places")).select("id", "term", F.explode("places").alias("pos"))
-        lexical = lexical.unionByName(cover_density(hits, needed) if needed else own.select("id", F.lit(0.0).alias("density")))
+        score = F.round(cover_density(F.array(*(F.try_element_at("at", F.lit(w)) for w in needed))), 9) if needed else F.lit(0.0)
+        lexical = lexical.unionByName(own.select("id", score.alias("density")))
     sparse = _ranked(lexical.withColumnRenamed("density", "lex"), "lex", "sparse_rank", candidates)
     part = lambda r: F.coalesce(1.0 / (rrf_k + F.col(r)), F.lit(0.0))
     fused = dense.join(sparse, "id", "full_outer").select("id", "dense_rank", "sparse_rank", F.round(part("dense_rank") + part("sparse_rank"), 9).alias("rrf"))

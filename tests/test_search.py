@@ -36,8 +36,9 @@ def test_what_is_asked(spark):
 def test_cover_density(spark):
     """By hand: shortest stretches with all terms, each 0.1 over one more than the words between, by the harmonic mean of distances."""
     rows = [(1, "a x b y y a b".split()), (2, ["a", "b"]), (3, ["a", "a"])]
-    hits = spark.createDataFrame([(i, n, w) for i, words in rows for n, w in enumerate(words)], "id int, pos int, term string")
-    found = {r["id"]: r["density"] for r in S.cover_density(hits, ["a", "b"]).collect()}
+    places = [(i, [[n for n, x in enumerate(words) if x == w] or None for w in "ab"]) for i, words in rows]
+    df = spark.createDataFrame([*places, (4, None), (5, [])], "id int, p array<array<int>>")
+    found = {r["id"]: r["density"] for r in df.select("id", S.cover_density("p").alias("density")).collect() if r["density"] is not None}
     # 1: a x b (0.05, middle 1), b y y a (0.1 / 3, middle 3.5), a b (0.1, middle 5.5).
     assert set(found) == {1, 2} and abs(found[1] - (0.05 + 0.1 / 3 + 0.1) / (3 / (1 / 2.5 + 1 / 2))) < 1e-8 and abs(found[2] - 0.1) < 1e-9
 
