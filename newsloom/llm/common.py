@@ -45,21 +45,36 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(F.col(id_col), F.col(id_col).isNull(), F.col(text_col))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, or that with underscores after it: no column of ``docs`` in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _meeting(docs: DataFrame, keys: DataFrame, how: str, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with row_key() as a column of the name that comes with it, joined to the column key of ``keys`` by a left anti or semi join."""
+    row = unused(docs, "__row")
+    other = row + "2"
+    while other in docs.columns:
+        other += "2"
+    return docs.withColumn(row, row_key(id_col, text_col)).join(keys.select(F.col("key").alias(other)).distinct(), F.col(row) == F.col(other), how)
+
+
 def without_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose row_key() is not in the column key of ``gone``, with their columns."""
-    keyed = docs.withColumn("__row", row_key(id_col, text_col))
-    return keyed.join(gone.select(F.col("key").alias("__gone")).distinct(), F.col("__row") == F.col("__gone"), "left_anti").select(docs.columns)
+    return _meeting(docs, gone, "left_anti", id_col, text_col).select(docs.columns)
 
 
 def staying_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay by ``decided`` (key, stays; a row for each row of ``docs`` that is not alone), of rows with one key one."""
     odd = checkpointed(decided.groupBy("key").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("NOT stays OR n > 1").select("key", "stays"))
     out = without_rows(docs, odd, id_col, text_col)
-    again = odd.where("stays").select(F.col("key").alias("__key"))
+    again = odd.where("stays")
     if again.isEmpty():
         return out
-    keyed = docs.withColumn("__row", row_key(id_col, text_col))
-    return out.unionByName(keyed.join(again, F.col("__row") == F.col("__key"), "left_semi").dropDuplicates(["__row"]).select(docs.columns))
+    return out.unionByName(_meeting(docs, again, "left_semi", id_col, text_col).dropDuplicates([unused(docs, "__row")]).select(docs.columns))
 
 
 def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import checkpointed, row_key, small_enough, without_rows
+from newsloom.llm.common import checkpointed, row_key, small_enough, unused, without_rows
 
 WINDOW, GRAM = 10, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -113,7 +113,8 @@ def digest(found: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without any window of the benchmark, with their columns; each is judged on its own text, whatever its id."""
-    found = decontaminate(docs.withColumn("__row", row_key()), benchmark, id_col="__row")
+    row = unused(docs, "__row")
+    found = decontaminate(docs.withColumn(row, row_key()), benchmark, id_col=row)
     return without_rows(docs, found.where("contaminated").select(F.col("doc_id").alias("key")))
 
 

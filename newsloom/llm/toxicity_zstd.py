@@ -8,6 +8,7 @@ documents is many times their share of ordinary ones; it is an extra feature, fo
 well (README). A text is cut at blanks into windows; each window is compressed under all three, and only what the toxic
 dictionaries add can make a difference. Thresholds on the windows' differences, and the logistic curve from a text's windows
 to a probability, are calibrated on whole texts of each third of the sample under dictionaries of the other two thirds.
+Texts of the sample that are equal count once for the dictionaries. The sample is bounded by rows, whose whole texts the driver holds.
 
 Null and empty texts have no window and get the score of a text without toxic windows. Very long texts are scored whole, window
 by window. If nothing is labelled, or all labels are alike, every score is the share of label 1 (0 without labels). Ties of the
@@ -15,7 +16,6 @@ draw go by id, then text. Rows that repeat are scored each by itself; an empty t
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +30,7 @@ from newsloom.llm.common import arrow_sized
 
 #: The bound of the sample: documents of label 1 and of label 0.
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 2_000, 5_000
-WINDOW, ORDINARY_BYTES, TOXIC_BYTES, NOVEL, LONGEST_PIECE = 128, 16 << 10, 1 << 10, 5, 24
+WINDOW, ORDINARY_BYTES, TOXIC_BYTES, NOVEL = 128, 16 << 10, 1 << 10, 5
 LEAST_SHARE, RATIO = 0.03, 40.0
 #: Differences in bytes that count as a toxic window; the calibration weighs them.
 STEPS = (2, 4, 7)
@@ -58,12 +58,8 @@ def segments(data: bytes) -> set[bytes]:
 
 
 def apart(texts: list[bytes]) -> list[bytes]:
-    """One of each group of near copies, so that a copied text doesn't pass for a common way to speak: copies share the
-    two least hashes of their words."""
-    kept: dict[tuple[int, ...], bytes] = {}
-    for t in texts:
-        kept.setdefault(tuple(sorted({zlib.crc32(w) for w in t.split()})[:2]), t)
-    return list(kept.values())
+    """Each text once, so that one that is copied doesn't pass for a common way to speak."""
+    return list(dict.fromkeys(texts))
 
 
 def _fives(text: bytes) -> np.ndarray:
@@ -81,7 +77,7 @@ def novel(text: bytes, known: np.ndarray) -> bytes:
     there = known[np.minimum(np.searchsorted(known, fives), len(known) - 1)] != fives if len(known) else np.ones(len(fives), bool)
     cover = np.convolve(there, np.ones(NOVEL, int)) > 0 if len(there) else there
     turns = np.flatnonzero(np.diff(np.concatenate(([False], cover, [False])).astype(np.int8)))
-    return b"".join(dict.fromkeys(b" " + text[x:y].strip() for x, y in zip(turns[::2], turns[1::2], strict=True) if y - x <= LONGEST_PIECE))
+    return b"".join(dict.fromkeys(b" " + text[x:y].strip() for x, y in zip(turns[::2], turns[1::2], strict=True)))
 
 
 def trained(size: int, samples: list[bytes], **how: int) -> bytes:
