@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import byte_bpe, decontaminate, exact_dedup, langid_ppm, simhash
-from newsloom.llm.common import row_key, without_rows
+from newsloom.llm.common import row_key, unused, without_rows
 from newsloom.llm.queries import RANKS
 
 #: A text that the best language needs more than this for, in bits a byte, is no language that was learned: a byte has 8.
@@ -22,7 +22,8 @@ ORACLE_SQL = None
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects rows without a letter (null and empty texts too) and those that no learned language codes in MOST_BITS bits a byte.
     Languages are learned from all rows that name one; if none does, every row is rejected. Rows alike in id and text go or stay together."""
-    found = langid_ppm.identify(docs.withColumn("__row", row_key()), docs, id_col="__row")
+    row = unused(docs, "__row")
+    found = langid_ppm.identify(docs.withColumn(row, row_key()), docs, id_col=row)
     return without_rows(docs, found.where((F.col("lang_pred") == "und") | (F.col("bits_per_byte") > MOST_BITS)).select(F.col("doc_id").alias("key")))
 
 
