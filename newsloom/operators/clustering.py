@@ -72,19 +72,21 @@ def terms(texts: DataFrame, key: str, text: str, pattern: str = "[a-z]{3,}") ->
     return found.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def label_terms(texts: DataFrame, key: str, text: str, stops: list[str] = STOPWORDS) -> DataFrame:
+def label_terms(texts: DataFrame, key: str, text: str, order: str, stops: list[str] = STOPWORDS) -> DataFrame:
     """(key, term, tf): the one- and two-grams of words of three letters and more, stop words left out before they are paired.
-    A pair lies within one text."""
+    A cluster's texts are one, joined in ``order``, so the last word of a text and the first of the next that has words are a pair too."""
     word = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda w: w.rlike("^[a-zà-ÿăîâșț]{3,}$") & ~w.isin(stops))
-    of = texts.select(key, word.alias("w"))
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+    of = texts.select(key, order, word.alias("w")).where(F.size("w") > 0)
+    of = of.withColumn("before", F.lag(F.element_at("w", -1)).over(Window.partitionBy(key).orderBy(order)))
+    of = of.withColumn("all", F.when(F.col("before").isNull(), F.col("w")).otherwise(F.concat(F.array("before"), "w")))
+    pairs = F.when(F.size("all") > 1, F.zip_with(F.slice("all", 1, F.size("all") - 1), F.slice("all", 2, F.size("all") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
     return of.select(key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf_labels(texts: DataFrame, key: str, text: str, *, top: int = 5, min_df: int = 3, max_df: float = 0.65, most: int = 40_000, stops: list[str] = STOPWORDS) -> DataFrame:
+def tfidf_labels(texts: DataFrame, key: str, text: str, *, order: str = "id", top: int = 5, min_df: int = 3, max_df: float = 0.65, most: int = 40_000, stops: list[str] = STOPWORDS) -> DataFrame:
     """[H14, D6] The top terms of each cluster by (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) among the ``most`` commonest terms;
     df: clusters that have the term. A cluster's length norm changes no order within it, so it is left out. Ties by term."""
-    tf = label_terms(texts, key, text, stops)
+    tf = label_terms(texts, key, text, order, stops)
     n = texts.select(key).distinct().agg(F.count(F.lit(1)).alias("n"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all")).crossJoin(n).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))  # one row on the right
     df = df.orderBy(F.desc("all"), "term").limit(most)

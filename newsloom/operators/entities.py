@@ -186,10 +186,11 @@ def without_authors(entities: DataFrame, known: DataFrame, authors: DataFrame |
 
 def augmented_text(articles: DataFrame, entities: DataFrame, most: int = 1_500) -> DataFrame:
     """[G16] (id, augmented): the text to encode: up to six persons, four organisations, four places and two events under their
-    headings, then the title and the first ``most`` characters. The names are in the order of their text."""
+    headings, then the title and the first ``most`` characters. The names are the first ones found, in that order: entities have a column place."""
     groups = [("Persoane", ["PERSON"], 6), ("Organizații", ["ORGANIZATION"], 4), ("Locuri", ["GPE", "LOC"], 4), ("Evenimente", ["EVENT"], 2)]  # fixed values
-    picked = [F.slice(F.array_sort(F.collect_set(F.when(F.col("entity_label").isin(labels), F.col("entity_text")))), 1, n) for _, labels, n in groups]
-    found = entities.groupBy(F.col("article_id").alias("id")).agg(*(p.alias(f"p{k}") for k, p in enumerate(picked)))
+    first = entities.groupBy("article_id", "entity_label", "entity_text").agg(F.min("place").alias("place"))
+    picked = [F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("entity_label").isin(labels), F.struct("place", "entity_text")))), 1, n), lambda s: s["entity_text"]) for _, labels, n in groups]
+    found = first.groupBy(F.col("article_id").alias("id")).agg(*(p.alias(f"p{k}") for k, p in enumerate(picked)))
     parts = [F.when(F.size(f"p{k}") > 0, F.concat(F.lit(f"{name}: "), F.array_join(f"p{k}", ", "))) for k, (name, _, _) in enumerate(groups)]
     found = found.select("id", F.concat_ws(". ", *parts).alias("names"))
     body = F.concat_ws(" ", "title", F.substring(F.coalesce("content_text", F.lit("")), 1, most))

@@ -517,13 +517,13 @@ def label_probabilities(n: News) -> DataFrame:
 
 
 def _names(heading: str, labels: list[str], n: int) -> str:
-    return f"(SELECT article_id, '{heading}: ' || string_agg(entity_text, ', ' ORDER BY entity_text) AS s FROM (SELECT article_id, entity_text, row_number() OVER (PARTITION BY article_id ORDER BY entity_text) AS rn FROM (SELECT DISTINCT article_id, entity_text FROM entities WHERE entity_label IN ({_quoted(labels)}))) WHERE rn <= {n} GROUP BY 1)"
+    return f"(SELECT article_id, '{heading}: ' || string_agg(entity_text, ', ' ORDER BY place) AS s FROM (SELECT article_id, entity_text, place, row_number() OVER (PARTITION BY article_id ORDER BY place) AS rn FROM (SELECT article_id, entity_text, list_position(regexp_extract_all(text, '([A-Z][a-z]{{3,}})', 1), entity_text) AS place FROM entities JOIN documents ON doc_id = article_id WHERE entity_label IN ({_quoted(labels)}))) WHERE rn <= {n} GROUP BY 1)"
 
 
 @query(oracle(f"""SELECT a.id, 'passage: ' || CASE WHEN a.id IN (SELECT article_id FROM entities) THEN concat_ws('. ', p.s, o.s, l.s, e.s) || '. ' ELSE '' END || concat_ws(' ', title, substr(coalesce(content_text, ''), 1, 1500)) AS augmented FROM articles a
     LEFT JOIN {_names('Persoane', ['PERSON'], 6)} p ON p.article_id = a.id LEFT JOIN {_names('Organizații', ['ORGANIZATION'], 4)} o ON o.article_id = a.id LEFT JOIN {_names('Locuri', ['GPE', 'LOC'], 4)} l ON l.article_id = a.id LEFT JOIN {_names('Evenimente', ['EVENT'], 2)} e ON e.article_id = a.id"""))
 def augmented_text(n: News) -> DataFrame:
-    return N.augmented_text(n.articles, n.entities)
+    return N.augmented_text(n.articles, n.placed_entities)
 
 
 # Windows, labels, samples.
@@ -543,7 +543,7 @@ def temporal_feature(n: News) -> DataFrame:
 
 
 def _labels_sql(key: str, min_df: int, max_df: float) -> str:
-    return oracle(f"""tok AS (SELECT {key} AS g, list_filter(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-zà-ÿăîâșț]{{3,}}') AND NOT list_contains([{_quoted(STOPWORDS)}], w)) AS w FROM articles WHERE {key} IS NOT NULL),
+    return oracle(f"""tok AS (SELECT {key} AS g, list_filter(regexp_extract_all(lower(string_agg(title, ' ' ORDER BY id)), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-zà-ÿăîâșț]{{3,}}') AND NOT list_contains([{_quoted(STOPWORDS)}], w)) AS w FROM articles WHERE {key} IS NOT NULL GROUP BY 1),
     w AS (SELECT g, t, count(*) AS tf FROM (SELECT g, unnest(w) AS t FROM tok UNION ALL SELECT g, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM tok) GROUP BY 1, 2), n AS (SELECT count(DISTINCT g) AS n FROM tok),
     d AS (SELECT t, count(*) AS df, sum(tf) AS s FROM w GROUP BY 1), f AS (SELECT t, df, n FROM d, n WHERE df >= {min_df} AND df <= {max_df} * n ORDER BY s DESC, t LIMIT 40000)
     SELECT g AS {key}, string_agg(t, ',' ORDER BY rn) AS terms FROM (SELECT g, t, row_number() OVER (PARTITION BY g ORDER BY round((1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1), 9) DESC, t) AS rn FROM w JOIN f USING (t)) WHERE rn <= 5 GROUP BY 1""")
@@ -551,12 +551,12 @@ def _labels_sql(key: str, min_df: int, max_df: float) -> str:
 
 @query(_labels_sql("cluster_id", 3, 0.65))
 def tfidf_labels(n: News) -> DataFrame:
-    return C.tfidf_labels(n.articles.where("cluster_id IS NOT NULL").select("cluster_id", "title"), "cluster_id", "title")
+    return C.tfidf_labels(n.articles.where("cluster_id IS NOT NULL").select("cluster_id", "id", "title"), "cluster_id", "title")
 
 
 @query(_labels_sql("sub_cluster_id", 1, 0.85))
 def tfidf_labels_events(n: News) -> DataFrame:
-    return C.tfidf_labels(n.articles.where("sub_cluster_id IS NOT NULL").select("sub_cluster_id", "title"), "sub_cluster_id", "title", min_df=1, max_df=0.85)
+    return C.tfidf_labels(n.articles.where("sub_cluster_id IS NOT NULL").select("sub_cluster_id", "id", "title"), "sub_cluster_id", "title", min_df=1, max_df=0.85)
 
 
 @query(oracle("""r AS (SELECT sub_cluster_id AS g, id, title FROM articles WHERE sub_cluster_id IS NOT NULL), tf AS (SELECT g, id, t, count(*) AS tf FROM (SELECT g, id, unnest(regexp_extract_all(lower(title), '[a-z]{3,}')) AS t FROM r) GROUP BY 1, 2, 3), n AS (SELECT g, count(*) AS n FROM r GROUP BY 1), d AS (SELECT g, t, count(*) AS df FROM tf GROUP BY 1, 2),

@@ -70,6 +70,13 @@ class News:
     def entities(self) -> DataFrame:
         return self.spark.sql(ENTITIES["spark"].replace("{3,}", "{{3,}}").replace("FROM documents", "FROM {documents}"), documents=self.table("documents"))
 
+    @property
+    def placed_entities(self) -> DataFrame:
+        """The entities with their place among those found in the text."""
+        text = ENTITIES["spark"].replace("{3,}", "{{3,}}").replace("FROM documents", "FROM {documents}")
+        text = text.replace("LATERAL VIEW explode(", "LATERAL VIEW posexplode(").replace(") x AS e", ") x AS place, e").replace("SELECT doc_id AS article_id,", "SELECT doc_id AS article_id, place,")
+        return self.spark.sql(text, documents=self.table("documents"))
+
 
 def oracle(body: str) -> str:
     """DuckDB SQL of a query over the canonical tables; ``body`` may begin with further CTEs (``name AS (...)``)."""

@@ -112,5 +112,7 @@ def test_false_names(spark):
 
 
 def test_labels_pairs(spark):
-    df = spark.createDataFrame([(1, "Știri despre Guvern și Parlament"), (1, "Guvern x1y")], "k int, t string")
-    assert {(r["term"], r["tf"]) for r in C.label_terms(df, "k", "t").collect()} == {("știri", 1), ("guvern", 2), ("parlament", 1), ("știri guvern", 1), ("guvern parlament", 1)}
+    """The texts of a cluster are one, in order: the last word of a text pairs with the first of the next that has any."""
+    df = spark.createDataFrame([(1, 1, "Știri despre Guvern și Parlament"), (1, 3, "Guvern x1y"), (1, 2, "x1"), (2, 4, "Guvern"), (2, 5, None)], "k int, id int, t string")
+    found = {(r["k"], r["term"], r["tf"]) for r in C.label_terms(df, "k", "t", "id").collect()}
+    assert found == {(1, "știri", 1), (1, "guvern", 2), (1, "parlament", 1), (1, "știri guvern", 1), (1, "guvern parlament", 1), (1, "parlament guvern", 1), (2, "guvern", 1)}
