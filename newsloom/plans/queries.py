@@ -31,8 +31,6 @@ SQL: dict[str, str] = {}
 TOPICS = ["politics", "economy", "justice", "health"]
 FRAMINGS = ["conflict", "human_interest", "economic", "morality", "responsibility"]
 EN = {"tier1": ["the", "loser", "idiot"], "tier2": ["of the", "and", "onan"]}
-VERDICT_TITLES = ["FALS: Apa este uscată", "FALS incendiu", "Parțial fals | Un clip", "SCAM I oferta", "Deep fake: președintele", "știri obișnuite", "FAKE NEWS – harta"]
-VOTES = [["a", "a"], ["a", "b", "a"], ["a", "b", "c"], ["a", None, "a"], [None, "a", "a"], ["a", "b", "b"], [None, None, "a"]]
 
 
 def query(sql: str | None = None):
@@ -184,9 +182,20 @@ def flag_readings(n: News) -> DataFrame:
     return A.overlap_filter(n.articles)
 
 
-@query("SELECT 'max_id' AS mode, 4 AS id UNION ALL SELECT 'max_completed', 3 UNION ALL SELECT 'newest', 2 UNION ALL SELECT 'newest_event', 1")
+#: A run for each outlet: some without a date, some that are not completed.
+_RUNS = """SELECT outlet_id AS id, CASE WHEN outlet_id % 5 <> 1 THEN DATE '2024-02-01' + CAST(count(*) % 9 AS INT) END AS created_at, CASE WHEN outlet_id % 4 <> 0 THEN max(published_on) END AS completed_at,
+    count(sub_cluster_id) % 2 = 0 AS has_event FROM articles GROUP BY outlet_id"""
+_NEWEST = "ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 1"
+
+
+def _runs(n: News) -> DataFrame:
+    return n.spark.sql(_RUNS.replace("FROM articles", "FROM {articles}"), articles=n.articles)
+
+
+@query(oracle(f"""runs AS ({_RUNS}) SELECT 'max_id' AS mode, max(id) AS id FROM runs UNION ALL SELECT 'max_completed', max(id) FROM runs WHERE completed_at IS NOT NULL
+    UNION ALL SELECT 'newest', id FROM (SELECT id FROM runs {_NEWEST}) UNION ALL SELECT 'newest_event', id FROM (SELECT id FROM runs WHERE has_event {_NEWEST})"""))
 def latest_run(n: News) -> DataFrame:
-    runs = n.spark.sql("SELECT * FROM VALUES (1, DATE '2024-01-03', DATE '2024-01-04', true), (2, DATE '2024-01-09', null, false), (3, DATE '2024-01-02', DATE '2024-01-05', false), (4, DATE '2024-01-01', null, true) AS t(id, created_at, completed_at, has_event)")
+    runs = _runs(n)
     out = [A.latest_run(runs, m).select(F.lit(m).alias("mode"), "id") for m in ("max_id", "max_completed", "newest", "newest_event")]
     return out[0].union(out[1]).union(out[2]).union(out[3])
 
@@ -452,29 +461,34 @@ def date_parsers(n: News) -> DataFrame:
     return n.articles.select("id", raw.alias("raw")).select("id", "raw", T.any_date(F.col("raw")).cast("timestamp_ntz").alias("parsed"))
 
 
-_VOTE_ROWS = {"labeler": [("a", "high"), ("a", "low"), (None, None), ("a", "low"), ("a", "low"), ("b", "low"), (None, None)], "expander": [("a", "high"), ("a", "low"), (None, None), ("a", "high"), (None, None), ("b", "low"), (None, None)], "register": [("a", "high"), *[("informativ", "low")] * 6]}
+def _ballot(k: int) -> str:
+    return f"CASE (n_chars + doc_id * {k}) % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' WHEN 3 THEN 'a' END"
 
 
-def _votes_sql(rule: str) -> str:
-    q = lambda x: "NULL" if x is None else f"'{x}'"
-    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, {q(v)}, {q(c)})" for i, (v, c) in enumerate(_VOTE_ROWS[rule])) + ") t(id, value, confidence)"
+#: Of two or three votes each, some unusable.
+_BALLOTS = f"SELECT doc_id AS id, {_ballot(1)} AS v0, {_ballot(2)} AS v1, CASE WHEN doc_id % 7 > 0 THEN {_ballot(4)} END AS v2, doc_id % 7 > 0 AS three FROM documents"
+_PAIR = "CASE WHEN v0 = v1 THEN v0 WHEN v0 = v2 THEN v0 WHEN v1 = v2 THEN v1 END"
+_USABLE = "list_filter([v0, v1, v2], lambda x: x IS NOT NULL)"
 
 
 def _votes(n: News, rule: str) -> DataFrame:
-    return n.spark.createDataFrame(list(enumerate(VOTES)), "id int, votes array<string>").select("id", T.vote(F.col("votes"), rule).alias("v")).select("id", "v.value", "v.confidence")
+    rows = n.spark.sql(_BALLOTS.replace("FROM documents", "FROM {documents}"), documents=n.table("documents"))
+    votes = F.when(F.col("three"), F.array("v0", "v1", "v2")).otherwise(F.array("v0", "v1"))
+    return rows.select("id", T.vote(votes, rule).alias("v")).select("id", "v.value", "v.confidence")
 
 
-@query(_votes_sql("labeler"))
+@query(f"SELECT id, {_PAIR} AS value, CASE WHEN v0 = v1 THEN 'high' WHEN {_PAIR} IS NOT NULL THEN 'low' END AS confidence FROM ({_BALLOTS})")
 def votes_labeler(n: News) -> DataFrame:
     return _votes(n, "labeler")
 
 
-@query(_votes_sql("expander"))
+@query(f"""SELECT id, CASE WHEN v0 IS NOT NULL THEN CASE WHEN u[1] = u[2] THEN u[1] ELSE {_PAIR} END END AS value, CASE WHEN v0 IS NOT NULL THEN CASE WHEN u[1] = u[2] THEN 'high' WHEN {_PAIR} IS NOT NULL THEN 'low' END END AS confidence
+    FROM (SELECT *, {_USABLE} AS u FROM ({_BALLOTS}))""")
 def votes_expander(n: News) -> DataFrame:
     return _votes(n, "expander")
 
 
-@query(_votes_sql("register"))
+@query(f"SELECT id, CASE WHEN v0 = v1 THEN v0 ELSE 'informativ' END AS value, CASE WHEN v0 = v1 THEN 'high' ELSE 'low' END AS confidence FROM ({_BALLOTS})")
 def votes_register(n: News) -> DataFrame:
     return _votes(n, "register")
 
@@ -681,7 +695,6 @@ def work_scan(n: News) -> DataFrame:
 
 
 # Names.
-NAMES = [("Premierul Marcel Ciolacu", "", "Marcel Ciolacu"), ("Uniunii Europene", "uniune", "Uniunea Europeană"), ("Iranului", None, "Iran"), ("României", "România", "România"), ("Zelenski", None, "Volodimir Zelenski"), ("ONU", "onu_", "onu_"), ("Parti\u0163a_Mare", None, "Partița Mare"), ("Pala\u0163ul S\u0326tefan", None, "Palațul Ștefan"), ("Statelor Unite", "stat unit", "Statele Unite"), ("Comisie", "comisie european", "Comisia Europeană"), ("Iohannis, președinte", None, "Iohannis"), ("", "x", ""), (None, None, "")]
 _PEOPLE = "SELECT article_id, entity_text, 'PERSON' AS entity_label FROM entities WHERE length(entity_text) <= 6 UNION ALL SELECT article_id, 'Ana ' || entity_text, 'PERSON' FROM entities WHERE length(entity_text) <= 6 AND article_id % 3 < 2 UNION ALL SELECT article_id, 'Ion ' || entity_text, CASE WHEN article_id % 2 = 0 THEN 'PERSON' ELSE 'LOC' END FROM entities WHERE length(entity_text) <= 6 AND article_id % 3 = 0"
 
 
@@ -693,10 +706,21 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
 
 
-@query(f"SELECT * FROM (VALUES {_values(NAMES)}) AS t(surface, lemma, name)")
+#: Surfaces and lemmas around the entities found: titles before and after, agreed forms, overrides, decomposed letters, cedillas, underscores, nothing.
+_SURFACES = """SELECT article_id, entity_text, CASE length(entity_text) % 9 WHEN 0 THEN 'Premierul ' || entity_text WHEN 1 THEN 'Fostul premier ' || entity_text WHEN 2 THEN entity_text || ', președinte' WHEN 3 THEN 'Uniunii Europene'
+    WHEN 4 THEN 'Iranului' WHEN 5 THEN 'Palaţul_' || entity_text || ' Ș' WHEN 6 THEN entity_text WHEN 7 THEN '' END AS surface,
+    CASE length(entity_text) % 9 WHEN 3 THEN 'uniune european' WHEN 6 THEN lower(entity_text) WHEN 7 THEN 'x' WHEN 1 THEN '' END AS lemma FROM entities"""
+_SYNONYM_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in N.SYNONYMS.items())
+_LEMMA_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in N.LEMMAS.items())
+_COMPOSED = "translate(nfc_normalize({}), 'şŞţŢ', 'șȘțȚ')"
+
+
+@query(oracle(f"""p AS ({_SURFACES}), s AS (SELECT *, trim(replace({_COMPOSED.format("coalesce(surface, '')")}, '_', ' ')) AS plain FROM p), b AS (SELECT *, coalesce({_COMPOSED.format("nullif(lemma, '')")}, plain) AS base FROM s),
+    c AS (SELECT b.*, CASE WHEN y.v <> plain THEN y.v ELSE coalesce(l.v, base) END AS chosen FROM b LEFT JOIN (VALUES {_SYNONYM_ROWS}) y(k, v) ON y.k = lower(trim(plain)) LEFT JOIN (VALUES {_LEMMA_ROWS}) l(k, v) ON l.k = lower(trim(base)))
+    SELECT article_id, entity_text, surface, CASE WHEN plain = '' THEN '' ELSE trim(regexp_replace(regexp_replace(chosen, '^(?i)({'|'.join(N.TWO_WORD_TITLES + N.TITLES)})\\s+', ''), ',\\s*(?i)({'|'.join(N.TRAILING_TITLES)})$', '')) END AS name FROM c"""))
 def normalised_names(n: News) -> DataFrame:
-    rows = n.spark.createDataFrame([r[:2] for r in NAMES], "surface string, lemma string")
-    return rows.withColumn("name", N.normalise(F.col("surface"), F.col("lemma")))
+    rows = n.spark.sql(_SURFACES.replace("FROM entities", "FROM {entities}"), entities=n.entities)
+    return rows.select("article_id", "entity_text", "surface", N.normalise(F.col("surface"), F.col("lemma")).alias("name"))
 
 
 @query(oracle(f"p AS ({_PEOPLE}) SELECT p.article_id, entity_text, entity_label, CASE WHEN entity_label = 'PERSON' AND c.n = 1 THEN c.f ELSE entity_text END AS name FROM p LEFT JOIN (SELECT article_id, string_split(entity_text, ' ')[-1] AS last, count(DISTINCT entity_text) AS n, min(entity_text) AS f FROM p WHERE entity_label = 'PERSON' AND contains(entity_text, ' ') GROUP BY ALL) c ON c.article_id = p.article_id AND c.last = p.entity_text"))
@@ -750,9 +774,13 @@ def resolved_names(n: News) -> DataFrame:
 
 
 # What the survey lists beside these.
-@query(f"SELECT * FROM (VALUES {', '.join(f'({i}, {v})' for i, v in enumerate(['true', 'false', 'false', 'false', 'false', 'false', 'false']))}) AS t(id, is_fact_check)")
+_CLAIMED = "SELECT doc_id AS id, CASE doc_id % 9 WHEN 0 THEN 'FALS: ' WHEN 1 THEN 'FALS ' WHEN 2 THEN '  Parțial fals | ' WHEN 3 THEN 'Parțial fals: ' WHEN 4 THEN 'ADEVĂRAT | ' WHEN 5 THEN 'Context lipsă: ' WHEN 6 THEN 'știri ' WHEN 7 THEN '' END || substr(text, 1, 40) AS title FROM documents"
+
+
+@query(f"SELECT id, len(list_filter([{_quoted(K.TITLE_STARTS)}], lambda s: starts_with(trim(lower(coalesce(title, ''))), s))) > 0 AS is_fact_check FROM ({_CLAIMED})")
 def fact_check_titles(n: News) -> DataFrame:
-    return n.spark.createDataFrame(list(enumerate(VERDICT_TITLES)), "id int, title string").select("id", K.is_fact_check(F.col("title")).alias("is_fact_check"))
+    rows = n.spark.sql(_CLAIMED.replace("FROM documents", "FROM {documents}"), documents=n.table("documents"))
+    return rows.select("id", K.is_fact_check(F.col("title")).alias("is_fact_check"))
 
 
 @query(oracle("""SELECT f.id, CASE verdict WHEN 'true' THEN 'green' WHEN 'satire' THEN 'green' WHEN 'false' THEN 'red' ELSE 'amber' END AS chip,
@@ -795,11 +823,13 @@ def topics_to_do(n: News) -> DataFrame:
     return A.topics_to_do(topics, labels)
 
 
-@query("SELECT 2 AS run_id, DATE '2024-01-01' AS window_start, 5 AS articles_in UNION ALL SELECT 2, DATE '2024-01-08', 7")
+_RUN_WINDOWS = "SELECT outlet_id AS run_id, DATE '2024-01-01' + 28 * CAST(floor(day / 28.0) AS INT) AS window_start, count(*) AS articles_in FROM articles GROUP BY 1, 2"
+
+
+@query(oracle(f"runs AS ({_RUNS}), w AS ({_RUN_WINDOWS}) SELECT run_id, window_start, articles_in FROM w WHERE run_id = (SELECT id FROM runs {_NEWEST})"))
 def run_windows(n: News) -> DataFrame:
-    windows = n.spark.sql("SELECT * FROM VALUES (1, DATE '2024-01-01', 3), (2, DATE '2024-01-08', 7), (2, DATE '2024-01-01', 5) AS t(run_id, window_start, articles_in)")
-    runs = n.spark.sql("SELECT * FROM VALUES (1, DATE '2024-02-01', null, false), (2, DATE '2024-02-09', null, false), (3, null, null, false) AS t(id, created_at, completed_at, has_event)")
-    return A.run_windows(windows, runs)
+    windows = n.spark.sql(_RUN_WINDOWS.replace("FROM articles", "FROM {articles}"), articles=n.articles)
+    return A.run_windows(windows, _runs(n))
 
 
 @query(oracle("SELECT 'Topic 3' AS cluster_title, string_agg(t, ' | ' ORDER BY t) AS neutral_summary, 1 AS n_points FROM (SELECT DISTINCT tf_topic AS t FROM articles WHERE cluster_run_id = 1 AND cluster_id = 3)"))

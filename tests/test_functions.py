@@ -116,3 +116,26 @@ def test_labels_pairs(spark):
     df = spark.createDataFrame([(1, 1, "Știri despre Guvern și Parlament"), (1, 3, "Guvern x1y"), (1, 2, "x1"), (2, 4, "Guvern"), (2, 5, None)], "k int, id int, t string")
     found = {(r["k"], r["term"], r["tf"]) for r in C.label_terms(df, "k", "t", "id").collect()}
     assert found == {(1, "știri", 1), (1, "guvern", 2), (1, "parlament", 1), (1, "știri guvern", 1), (1, "guvern parlament", 1), (1, "parlament guvern", 1), (2, "guvern", 1)}
+
+
+def test_names(spark):
+    rows = [("Premierul Marcel Ciolacu", "", "Marcel Ciolacu"), ("Uniunii Europene", "uniune", "Uniunea Europeană"), ("Iranului", None, "Iran"), ("României", "România", "România"), ("Zelenski", None, "Volodimir Zelenski"), ("ONU", "onu_", "onu_"), ("Parti\u0163a_Mare", None, "Partița Mare"), ("Pala\u0163ul S\u0326tefan", None, "Palațul Ștefan"), ("Statelor Unite", "stat unit", "Statele Unite"), ("Comisie", "comisie european", "Comisia Europeană"), ("Iohannis, președinte", None, "Iohannis"), ("", "x", ""), (None, None, "")]
+    df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "i int, surface string, lemma string").withColumn("name", N.normalise(F.col("surface"), F.col("lemma")))
+    assert {r["i"]: r["name"] for r in df.collect()} == {i: r[2] for i, r in enumerate(rows)}
+
+
+def test_votes(spark):
+    """By hand: (value, confidence) of the labeler, the expander and the register."""
+    none, low = (None, None), ("informativ", "low")
+    told = [(["a", "a"], ("a", "high"), ("a", "high"), ("a", "high")), (["a", "b", "a"], ("a", "low"), ("a", "low"), low), (["a", "b", "c"], none, none, low), (["a", None, "a"], ("a", "low"), ("a", "high"), low), ([None, "a", "a"], ("a", "low"), none, low), (["a", "b", "b"], ("b", "low"), ("b", "low"), low), ([None, None, "a"], none, none, low)]
+    df = spark.createDataFrame([(i, t[0]) for i, t in enumerate(told)], "i int, v array<string>").select("i", *(T.vote(F.col("v"), r).alias(r) for r in ("labeler", "expander", "register")))
+    assert {r["i"]: tuple(map(tuple, r[1:])) for r in df.collect()} == {i: t[1:] for i, t in enumerate(told)}
+
+
+def test_fact_check_titles(spark):
+    from newsloom.operators import factchecks as K
+
+    given = {"FALS: Apa este uscată": True, "FALS incendiu": False, "Parțial fals | Un clip": False, "Parțial adevărat | Un clip": True, "SCAM I oferta": False, "Deep fake: președintele": False, "știri obișnuite": False, "FAKE NEWS – harta": False}
+    df = spark.createDataFrame([(k,) for k in given], "t string").select("t", K.is_fact_check(F.col("t")).alias("o"))
+    found = {r["t"]: r["o"] for r in df.collect()}
+    assert found == given
