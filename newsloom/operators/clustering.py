@@ -113,18 +113,42 @@ def label_text(entities: list[str], terms_: list[str], most: int = 5, empty: str
     return ", ".join(out) or empty
 
 
-def title_filter(articles: DataFrame, key: str, floor: float = 0.15) -> DataFrame:
-    """[H11] Rows whose title has a TF-IDF cosine of ``floor`` or more with another title of its group; a group left with fewer than two keeps all."""
+def title_vectors(articles: DataFrame, key: str) -> DataFrame:
+    """(g, id, v) of each title that has terms: its TF-IDF weights within its group at length one, as structs (df, term, w), the rarest terms first."""
     rows = articles.where(F.col(key).isNotNull()).select(F.col(key).alias("g"), "id", "title")
     tf = terms(rows.select(F.struct("g", "id").alias("k"), "title"), "k", "title").select("k.g", "k.id", "term", "tf")
     n = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     df = tf.groupBy("g", "term").agg(F.count(F.lit(1)).alias("df"))
-    w = tf.join(df, ["g", "term"]).join(n, "g").select("g", "id", "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
-    unit = w.join(w.groupBy("g", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), ["g", "id"]).select("g", "id", "term", (F.col("w") / F.col("norm")).alias("w"))
-    other = unit.select("g", "term", F.col("id").alias("id2"), F.col("w").alias("w2"))
-    pairs = unit.join(other, ["g", "term"]).where("id <> id2").groupBy("g", "id", "id2").agg(F.sum(F.col("w") * F.col("w2")).alias("cos"))
-    close = pairs.where(F.col("cos") >= floor).select("g", "id").distinct().withColumn("close", F.lit(1))
-    counted = rows.join(close, ["g", "id"], "left").withColumn("kept", F.count("close").over(Window.partitionBy("g")))
+    w = tf.join(df, ["g", "term"]).join(n, "g").select("g", "id", "df", "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    v = w.groupBy("g", "id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+    return v.withColumn("norm", norm).select("g", "id", F.expr("transform(v, x -> struct(x.df AS df, x.term AS term, x.w / norm AS w))").alias("v"))
+
+
+def title_candidates(vectors_: DataFrame, floor: float) -> DataFrame:
+    """(g, id, id2): pairs of a group that share a term of both their prefixes. A prefix ends where the terms after it weigh less than ``floor``
+    together: if two titles shared none of their prefixes, their first shared term would lie behind one of them, and their cosine below ``floor``. So the terms that
+    most titles have make no pairs, unless a title has little else."""
+    tail = f"aggregate(slice(v, i + 1, size(v)), 0D, (s, y) -> s + y.w * y.w) >= {floor * floor - 1e-12!r}"
+    ahead = vectors_.select("g", "id", F.expr(f"filter(v, (x, i) -> {tail})").alias("p")).select("g", "id", F.explode("p.term").alias("term"))
+    other = ahead.withColumnRenamed("id", "id2")
+    return ahead.join(other, ["g", "term"]).where("id < id2").select("g", "id", "id2").distinct()
+
+
+def title_filter(articles: DataFrame, key: str, floor: float = 0.15) -> DataFrame:
+    """[H11] Rows whose title has a TF-IDF cosine of ``floor`` or more with another title of its group; a group left with fewer than two keeps all.
+    Titles of the same weights are one among the pairs, and close to each other if they are several."""
+    whole = checkpointed(title_vectors(articles, key))
+    same = checkpointed(whole.groupBy("g", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+    pairs = title_candidates(same, floor)
+    met = pairs.join(same.select("g", "id", "v"), ["g", "id"]).join(same.select("g", F.col("id").alias("id2"), F.col("v").alias("v2")), ["g", "id2"])
+    by_term = met.withColumn("m", F.map_from_entries(F.transform("v2", lambda x: F.struct(x["term"], x["w"]))))
+    cosine = F.expr("aggregate(v, 0D, (s, x) -> s + x.w * coalesce(try_element_at(m, x.term), 0D))")
+    near = by_term.where(cosine >= floor).select("g", F.explode(F.array("id", "id2")).alias("id"))
+    close = near.unionByName(same.where("n > 1").select("g", "id")).distinct()
+    kept = whole.join(same.join(close, ["g", "id"], "left_semi").select("g", "v"), ["g", "v"], "left_semi").select("g", "id", F.lit(1).alias("close"))
+    rows = articles.where(F.col(key).isNotNull()).select(F.col(key).alias("g"), "id").join(kept, ["g", "id"], "left")
+    counted = rows.join(rows.groupBy("g").agg(F.count("close").alias("kept")), "g")
     return counted.where("close = 1 OR kept < 2").select("g", "id")
 
 

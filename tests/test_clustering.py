@@ -114,3 +114,19 @@ def test_matches_by_index_equal_those_by_matrix(spark, articles):
     told = [sorted(map(tuple, K.coarse_matches(df, centres, 0.3, limit=limit).collect())) for limit in (1 << 20, 0)]
     assert told[0] == told[1] and len(told[0]) > 100 and max(t[2] for t in told[0]) == 3
     assert K.coarse_matches(df, centres.limit(0), 0.3).count() == 0
+
+
+def test_common_terms_make_no_pairs(spark):
+    """Titles that share one term of every title: hardly any pairs, the same rows as of all pairs; copies are one."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(5)) for _ in range(4000)]
+    rows = [(i, 1, "știre " + "news " + " ".join(rng.choice(words) for _ in range(9))) for i in range(400)] + [(400 + i, 1, "news copied title of many rows") for i in range(50)] + [(500, 2, "alone here"), (501, 2, None), (502, 3, "x")]
+    df = spark.createDataFrame(rows, "id long, g long, title string")
+    vectors = C.title_vectors(df, "g").collect()
+    of = {(r["g"], r["id"]): {x["term"]: x["w"] for x in r["v"]} for r in vectors}
+    close = {a for a in of for b in of if a != b and a[0] == b[0] and sum(w * of[b].get(t, 0) for t, w in of[a].items()) >= 0.15}
+    found = {(r["g"], r["id"]) for r in C.title_filter(df, "g").collect()}
+    assert found == close | {(2, 500), (2, 501), (3, 502)} and 50 < len(close) < 450
+    once = spark.createDataFrame([r for r in vectors if r["id"] < 401], C.title_vectors(df, "g").schema)
+    pairs = C.title_candidates(once, 0.15).count()
+    assert pairs < 0.05 * 401 * 400 / 2
