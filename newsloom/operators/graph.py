@@ -141,6 +141,23 @@ def edge_articles(entities: DataFrame, articles: DataFrame, a: str, b: str) -> D
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy("outlet_id").orderBy(F.desc("published_on"), "id"))).where("rn = 1").select("outlet_id", "id", "published_on")
 
 
+def path_articles(paths_: DataFrame, entities: DataFrame, articles: DataFrame, limit: int = 10) -> DataFrame:
+    """[Q23, E3, J9] (path_id, step, source, target, rank, id, outlet_id, published_on): for each edge of each path (path_id, path as ``A > B > C``) the newest
+    article of each outlet that names both ends, of these the ``limit`` newest; ties by id. All edges at once: only mentions of names that stand on a path are
+    joined, and an edge that several paths have is looked up once."""
+    names = F.split("path", " > ")
+    steps = paths_.select("path_id", names.alias("n")).select("path_id", "n", F.posexplode(F.slice("n", 1, F.size("n") - 1)).alias("step", "source")).select("path_id", "step", "source", F.expr("n[step + 1]").alias("target"))
+    steps = sinks.checkpointed(steps)
+    edge = steps.select("source", "target").distinct()
+    of = lambda side: entities.select(F.col("entity_text").alias(side), "article_id").distinct().join(edge.select(side).distinct(), side, "left_semi")
+    both = edge.join(of("source"), "source").join(of("target"), ["target", "article_id"])
+    rows = both.join(articles.where("is_excluded = false OR is_excluded IS NULL").select(F.col("id").alias("article_id"), "outlet_id", "published_on"), "article_id")
+    newest = [F.desc("published_on"), F.col("article_id")]
+    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("source", "target", "outlet_id").orderBy(*newest))).where("rn = 1").drop("rn")
+    best = first.withColumn("rank", F.row_number().over(Window.partitionBy("source", "target").orderBy(*newest))).where(F.col("rank") <= limit)
+    return steps.join(best, ["source", "target"]).select("path_id", "step", "source", "target", "rank", F.col("article_id").alias("id"), "outlet_id", "published_on")
+
+
 def direct_articles(entities: DataFrame, articles: DataFrame, a: str, b: str, limit: int = 20) -> DataFrame:
     """[J7, F1, X20] The newest articles that name both."""
     of = lambda x: entities.where(F.col("entity_text") == x).select(F.col("article_id").alias("id"))

@@ -358,6 +358,19 @@ def edge_articles_one_per_outlet(n: News) -> DataFrame:
     return G.edge_articles(n.entities, n.articles, "With", "That")
 
 
+_STEPS = """, way AS (SELECT path_id, string_split(path, ' > ') AS n FROM chosen), steps AS (SELECT path_id, step, n[step + 1] AS source, n[step + 2] AS target FROM (SELECT path_id, n, CAST(unnest(range(len(n) - 1)) AS INT) AS step FROM way)),
+    named AS (SELECT s.*, a.id, a.outlet_id, a.published_on FROM steps s JOIN articles a ON a.id IN (SELECT article_id FROM entities WHERE entity_text = s.source) AND a.id IN (SELECT article_id FROM entities WHERE entity_text = s.target) WHERE a.is_excluded = false OR a.is_excluded IS NULL),
+    one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path_id, step, outlet_id ORDER BY published_on DESC, id) AS k FROM named) WHERE k = 1)
+    SELECT path_id, step, source, target, CAST(rank AS INT) AS rank, id, outlet_id, published_on FROM (SELECT *, row_number() OVER (PARTITION BY path_id, step ORDER BY published_on DESC, id) AS rank FROM one) WHERE rank <= 10"""
+_CHOSEN = _GREEDY.rsplit("    SELECT CAST(list_position", 1)
+
+
+@query(oracle(f"{_EDGES}, {_PATHS}, {_SCORED}, {_CHOSEN[0].rstrip()}, chosen AS (SELECT CAST(list_position{_CHOSEN[1]}){_STEPS}").replace("WITH outlets", "WITH RECURSIVE outlets", 1))
+def path_articles(n: News) -> DataFrame:
+    """The articles of each edge of each chosen path."""
+    return G.path_articles(G.disjoint_paths(G.scored_paths(*_candidates(n))), n.entities, n.articles)
+
+
 @query(oracle("SELECT id, outlet_id, published_on FROM articles WHERE id IN (SELECT article_id FROM entities WHERE entity_text = 'With') AND id IN (SELECT article_id FROM entities WHERE entity_text = 'That') ORDER BY published_on DESC, id LIMIT 20"))
 def direct_articles(n: News) -> DataFrame:
     return G.direct_articles(n.entities, n.articles, "With", "That")
