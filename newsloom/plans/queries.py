@@ -22,6 +22,7 @@ from newsloom.operators import labelling as L
 from newsloom.operators import neighbours as V
 from newsloom.operators import search as S
 from newsloom.operators import sinks
+from newsloom.sources import extraction as X
 from newsloom.sources import pages as P
 from newsloom.sources.canonical import News, oracle
 
@@ -670,6 +671,26 @@ def page_extract(n: News) -> DataFrame:
     return P.page_fields(n.table("pages"))
 
 
+@query(rf"""SELECT page_id, outlet_id, url, md5(url) AS url_hash, CASE WHEN outlet_id IN (1, 2, 4, 6, 11) THEN trim(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&quot;', '"'), '&amp;', '&')) ELSE 'Unknown Title' END AS title,
+    CASE WHEN outlet_id = 4 THEN array_to_string(list_filter(list_transform(regexp_split_to_array(replace(replace(regexp_extract(html, '</h1>(.*)</article>', 1, 's'), '&quot;', '"'), '&amp;', '&'), '</?[a-z]+>'), lambda x: trim(x)), lambda x: x <> ''), ' ') ELSE '' END AS content_text,
+    [{_quoted([r[1] for r in X.RULES])}][outlet_id] AS author, CAST(NULL AS TIMESTAMP) AS published_at FROM (SELECT *, CAST(page_id % 12 + 1 AS INT) AS outlet_id FROM pages)""")
+def page_articles(n: News) -> DataFrame:
+    """The pages read by the rules of an outlet each; of the tables' pages these find headings, the text of articles and no dates."""
+    return X.extract(n.table("pages").withColumn("outlet_id", (F.col("page_id") % 12 + 1).cast("int")), X.rules(n.spark))
+
+
+#: Links as outlets write them, from the pages' own.
+_LINKS = """SELECT page_id, CAST(page_id % 12 + 1 AS INT) AS outlet_id, CASE page_id % 5 WHEN 0 THEN 'https://www.desteptarea.ro/' WHEN 1 THEN 'https://www.gds.ro/' WHEN 2 THEN 'https://arad24.net/Sport/' WHEN 3 THEN 'https://www.desteptarea.ro/2024-' ELSE 'https://www.desteptarea.ro/a/' END
+    || CASE page_id % 3 WHEN 0 THEN substr(url, length(url) - 5) ELSE CAST(page_id AS STRING) END AS link FROM pages"""
+
+
+@query(f"""SELECT page_id, outlet_id, link FROM ({_LINKS}) WHERE starts_with(link, [{_quoted([r[7] for r in X.RULES])}][outlet_id])
+    AND NOT (outlet_id IN (1, 4) AND regexp_matches(lower(link), '{'|'.join(X.NOISE)}')) AND NOT (outlet_id = 2 AND regexp_full_match(trim(substr(link, 28), '/'), '\\d+(-\\d+)?|.*/.*'))""")
+def allowed_links(n: News) -> DataFrame:
+    links = n.spark.sql(_LINKS.replace("FROM pages", "FROM {pages}"), pages=n.table("pages"))
+    return X.valid_links(links, X.rules(n.spark))
+
+
 @query(r"""SELECT page_id, CASE WHEN starts_with(link, '/') THEN host || link ELSE link END AS link FROM (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS host, unnest(list_distinct(regexp_extract_all(html, 'href="([^"#]+)"', 1))) AS link FROM pages)""")
 def page_links(n: News) -> DataFrame:
     return P.page_links(n.table("pages"))
