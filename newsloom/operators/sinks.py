@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import tempfile
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,10 +46,6 @@ def rejected(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("sep", "\t").csv(path)
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder of reliable checkpoints, which all executors share: ``spark.checkpoint.dir``. Where that is unset, a local session (tests) takes a temporary one."""
     context = spark.sparkContext
