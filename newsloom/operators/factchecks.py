@@ -14,7 +14,6 @@ from pyspark.sql.window import Window
 from newsloom.functions import vectors
 from newsloom.functions.text import shares_keywords
 from newsloom.operators import neighbours
-from newsloom.operators.sinks import checkpointed
 
 
 def fact_check_list(checks: DataFrame, *, verdict: str | None = None, verdict_type: str | None = None, page: int = 1, page_size: int = 20) -> DataFrame:
@@ -53,23 +52,22 @@ def badge(checks: DataFrame, severe: int = 3) -> DataFrame:
     )
 
 
-#: Bytes of centroids that are broadcast; more go into an index.
-CENTROID_BYTES = 64 << 20
+#: Centroids that are broadcast as one matrix, at most (64 MB at 1,024 dimensions); more go into an index.
+CENTROIDS = 8_192
 
 
-def coarse_matches(checks: DataFrame, centroids: DataFrame, least: float, top: int = 3, limit: int = CENTROID_BYTES) -> DataFrame:
+def coarse_matches(checks: DataFrame, centroids: DataFrame, least: float, top: int = 3, most: int = CENTROIDS) -> DataFrame:
     """[J13, E4] The ``top`` nearest centroids of each fact-check at or above a cosine, ties by cluster. centroids: cluster, centroid.
 
-    The matrix of centroids is broadcast if its counted size allows, and each batch of fact-checks is one product with it; else they
+    The matrix of centroids is broadcast if they are ``most`` or fewer, and each batch of fact-checks is one product with it; else they
     are searched by cells, exactly. No pairs are made but the best."""
     asked, kinds = checks.where("embedding IS NOT NULL"), {"id": checks.schema["id"].dataType, "cluster": centroids.schema["cluster"].dataType}
-    centroids = checkpointed(centroids.where(vectors.norm(F.col("centroid")) > 0).select(F.col("cluster").cast("long").alias("cluster"), vectors.l2_normalize(F.col("centroid")).alias("unit")))
-    size = centroids.agg(F.sum(F.size("unit") * 8).alias("n")).first()["n"] or 0
-    if size > limit:
-        index = neighbours.build(neighbours.prepared(centroids, "cluster", F.col("unit")))
+    units_ = centroids.where(vectors.norm(F.col("centroid")) > 0).select(F.col("cluster").cast("long").alias("cluster"), vectors.l2_normalize(F.col("centroid")).alias("unit"))
+    rows = sorted(units_.limit(most + 1).collect(), key=lambda r: r["cluster"])
+    if len(rows) > most:
+        index = neighbours.build(neighbours.prepared(units_, "cluster", F.col("unit")))
         found = neighbours.nearest(index, neighbours.prepared(asked, "id", neighbours.unit("embedding")), top, exact=True, within=math.sqrt(max(0.0, 2 - 2 * least)))
         return found.select(F.col("query").cast(kinds["id"]).alias("id"), F.col("id").cast(kinds["cluster"]).alias("cluster"), F.col("rank").alias("rn"), F.round(1 - F.col("distance") * F.col("distance") / 2, 6).alias("cos"))
-    rows = centroids.orderBy("cluster").collect()  # ``limit`` bytes at most
     shared = checks.sparkSession.sparkContext.broadcast((np.array([r["cluster"] for r in rows], np.int64), np.array([r["unit"] for r in rows], float)))
 
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -111,7 +111,7 @@ def test_matches_by_index_equal_those_by_matrix(spark, articles):
 
     rows, df = articles
     centres = df.where("id % 6 = 0").selectExpr("cast(id as int) AS cluster", "embedding AS centroid")
-    told = [sorted(map(tuple, K.coarse_matches(df, centres, 0.3, limit=limit).collect())) for limit in (1 << 20, 0)]
+    told = [sorted(map(tuple, K.coarse_matches(df, centres, 0.3, most=most).collect())) for most in (100, 5)]
     assert told[0] == told[1] and len(told[0]) > 100 and max(t[2] for t in told[0]) == 3
     assert K.coarse_matches(df, centres.limit(0), 0.3).count() == 0
 
