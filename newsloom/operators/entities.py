@@ -73,6 +73,7 @@ TWO_WORD_TITLES = ["fostul președinte", "fosta președintă", "fostul premier",
 TRAILING_TITLES = ["președinte", "președintele", "premier", "premierul", "ministru", "ministrul", "senator", "deputat", "primar", "ex-președinte", "ex-premier", "ex-ministru", "fost președinte", "fost premier"]
 NOISE = ["INTERVIU", "EXCLUSIV", "FOTO", "UPDATE", "VIDEO", "DOCUMENT", "LIVE", "BREAKING"]
 CREDITS = ["editor", "autor", "reporter", "foto", "sursa", "corespondent", "agerpres", "redactia"]
+CONTEXT = ["foto", "autor", "sursa", "imagine", "credit", "reporter", "redactor", "corespondent"]  # words before a name that is a credit
 BLOCKED = ["facebook", "instagram", "telegram", "twitter", "tiktok", "whatsapp", "youtube", "inquam", "getty", "cnn", "cnbc", "antena", "digi", "b1", "protv", "realitatea", "guardian", "bbc", "bloomberg", "trunchiat", "fals", "context lipsă", "fake news", "erata", "google", "spotmedia", "ziare.com", "tik tok", "covid", "dreamstime", "foto"]
 AGENCIES = ["agerpres", "reuters", "mediafax", "afp", "ap"]
 TAGS = {"PERSON": "PERSON", "ORG": "ORGANIZATION", "GPE": "GPE", "LOC": "LOC", "EVENT": "EVENT", "NAT_REL_POL": "ORGANIZATION", "FACILITY": "LOC"}
@@ -149,6 +150,15 @@ def plausible(text: Column, label: Column, rules: str = "tagger") -> Column:
     return clean.rlike(r"^\p{Lu}") & shape & ~noise & ((label != "ORGANIZATION") | organisation) & ((label != "LOC") | place)
 
 
+def uncredited(spans_: DataFrame, words: DataFrame, credits: list[str] = CONTEXT) -> DataFrame:
+    """[G12] The spans (article_id, start, entity_text, entity_label) without persons that one of the three words before them gives as the source of a picture or text:
+    words (article_id, pos, text) are compared by their letters in lower case. The few credit words are dealt to the three places after them, an
+    equality of the join."""
+    credit = words.where(F.lower(F.regexp_replace("text", r"[^\p{L}]", "")).isin(credits)).select("article_id", F.explode(F.array(*(F.col("pos") + k for k in (1, 2, 3)))).alias("start"))
+    marked = spans_.join(credit.distinct().withColumn("credited", F.lit(True)), ["article_id", "start"], "left")
+    return marked.where("credited IS NULL OR entity_label <> 'PERSON'").select(*spans_.columns)
+
+
 def _parts(x: Column) -> Column:
     """Every substring of a short string."""
     size = F.length(x)

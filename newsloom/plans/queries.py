@@ -778,6 +778,14 @@ def tag_spans(n: News) -> DataFrame:
     return _spans(n)
 
 
+@query(oracle(f"""{_SPANS} SELECT article_id, start, entity_text, entity_label FROM s WHERE entity_label <> 'PERSON' OR NOT EXISTS
+    (SELECT 1 FROM w WHERE w.article_id = s.article_id AND w.pos BETWEEN s.start - 3 AND s.start - 1 AND regexp_replace(lower(w.text), '[^\\p{{L}}]', '', 'g') IN ('then', 'that', 'die', 'sursa', 'foto'))"""))
+def uncredited_spans(n: News) -> DataFrame:
+    """Persons without those that a credit word precedes; words of the tables' texts stand among the credit words."""
+    words = n.articles.select(F.col("id").alias("article_id"), F.posexplode(F.split("title", " ")).alias("pos", "text"))
+    return N.uncredited(_spans(n), words, ["then", "that", "die", "sursa", "foto"])
+
+
 _ODD = "CASE WHEN start % 5 = 0 THEN 'VIDEO ' || upper(entity_text) WHEN start % 5 = 1 THEN upper(substr(entity_text, 1, 1)) || substr(entity_text, 2) WHEN start % 5 = 2 THEN 'Digi ' || entity_text WHEN start % 5 = 3 THEN 'Foto*' || entity_text ELSE entity_text END"
 _BLOCKED = " OR ".join(f"contains(lower(t), '{b}')" for b in N.BLOCKED)
 

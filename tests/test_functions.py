@@ -139,3 +139,10 @@ def test_fact_check_titles(spark):
     df = spark.createDataFrame([(k,) for k in given], "t string").select("t", K.is_fact_check(F.col("t")).alias("o"))
     found = {r["t"]: r["o"] for r in df.collect()}
     assert found == given
+
+
+def test_credits_before_persons(spark):
+    words = spark.createDataFrame([(1, i, w) for i, w in enumerate("(Foto: de la Ana și Ion spune Sursa Inquam lui Dan".split())] + [(2, 0, "Ana")], "article_id int, pos int, text string")
+    rows = [(1, 3, "Ana", "PERSON"), (1, 5, "Ion", "PERSON"), (1, 8, "Inquam", "ORGANIZATION"), (1, 10, "Dan", "PERSON"), (2, 0, "Ana", "PERSON")]
+    df = spark.createDataFrame(rows, "article_id int, start int, entity_text string, entity_label string")
+    assert {(r["article_id"], r["start"]) for r in N.uncredited(df, words).collect()} == {(1, 5), (1, 8), (2, 0)}
