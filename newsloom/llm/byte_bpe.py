@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import arrow_sized
 
 #: Pieces that a worker keeps, and the longest piece kept, in characters.
-KEPT, LONGEST_KEPT = 400_000, 64
+KEPT, LONGEST_KEPT = 120_000, 64
 
 
 def byte_characters() -> list[str]:
