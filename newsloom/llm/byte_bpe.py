@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import arrow_sized
 
 #: Pieces that a worker keeps, and the longest piece kept, in characters.
-KEPT, LONGEST_KEPT = 120_000, 64
+KEPT, LONGEST_KEPT = 240_000, 64
 
 
 def byte_characters() -> list[str]:
@@ -52,11 +52,12 @@ class Codec:
             merges += [(named[a], named[b]) for a, b in cuts]
         self.model = BPE(vocab={named[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True)
         self.find = regex.compile(pattern).findall
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[str, tuple[int, ...]] = {}
+        self.same = list(range(max(ranks.values(), default=0) + 1))  # one object for each id, however many pieces have it
 
-    def merged(self, piece: str) -> list[int]:
+    def merged(self, piece: str) -> tuple[int, ...]:
         """The ids of one match of the pattern."""
-        ids = [t.id for t in self.model.tokenize("".join(map(self.chars.__getitem__, piece.encode())))]
+        ids = tuple([self.same[t.id] for t in self.model.tokenize("".join(map(self.chars.__getitem__, piece.encode())))])
         if len(piece) <= LONGEST_KEPT:
             if len(self.kept) >= KEPT:
                 self.kept.clear()
