@@ -9,13 +9,12 @@ documents that share a passage share a signature with certainty, by one hash fun
 dropped (a bitmap of the others, of fixed size, tells; a false positive costs a row).
 
 The windows of a signature are laid on each other at the least shingle. What is equal over all SPAN shingles to either side
-is one class, and its rows are members of the first. Classes are compared by sketches (a byte for each shingle, on the
-diagonal and on its two neighbours, so that nothing similar is left out): up to SMALL classes all with all, more by a forest
-grown from one through those not yet reached. A signature of more than HOT documents is not brought together: all its classes
-are compared with its commonest one where they are; those not similar to it are kept only if enough of their content occurs
-in a second class of the signature (counted, so nothing that has a partner goes) and are then laid, in blocks, against all
-classes of their signature. Links of one pair and diagonal that touch are joined, and all but the equal ones are verified on
-the shingles of both passages: Jaccard of 0.8 or more.
+is one class, and its rows are members of the first (a further place of the first's row is a member of another row). Classes
+are compared by sketches (a byte for each shingle, on the diagonal and on its two neighbours, so that nothing similar is left
+out), all with all. A signature of more than HOT documents is not brought together: its classes are kept only if enough of
+their content occurs in a second class of the signature (counted, so nothing that has a partner goes) and are then laid on each
+other in blocks, all with all too. Links of one pair and diagonal that touch are joined, and all but the equal ones are
+verified on the shingles of both passages: Jaccard of 0.8 or more, of all or else of the longest stretches that have it.
 
 Passages within one row only are none. Nulls, empty texts and texts under fifty words have no window, and an empty table gives
 an empty one. Rows that repeat an id and text are one document; rows of one id and different texts are documents of that id, each with its own text. Very long
@@ -164,21 +163,11 @@ def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _forest(sketches: np.ndarray) -> list[tuple[int, int]]:
-    """Links among sketches that connect what is similar. One that is just similar enough can be reached again."""
-    out, left, fresh = [], np.arange(1, len(sketches)), np.ones(len(sketches), bool)
-    front = [0]
-    while len(left) or front:
-        if not front:
-            front, left = [int(left[0])], left[1:]
-        x = front.pop()
-        fresh[x] = False
-        if not len(left):
-            break
-        much = shared(np.broadcast_to(sketches[x], (len(left), sketches.shape[1])), sketches[left])
-        out += [(x, int(y)) for y in left[(much >= NEED) & (left != x)]]
-        front += [int(y) for y in left[(much >= NEED) & fresh[left]]]
-        fresh[left[much >= NEED]] = False
-        left = left[(much < NEED + 2) & (left != x)]
+    """The links among sketches: all pairs that are similar."""
+    out = []
+    for x in range(len(sketches) - 1):
+        rest = sketches[x + 1 :]
+        out += [(x, x + 1 + int(y)) for y in np.flatnonzero(shared(np.broadcast_to(sketches[x], rest.shape), rest) >= NEED)]
     return out
 
 
@@ -191,8 +180,9 @@ def _links_of(sig: np.ndarray, x: np.ndarray, doc: np.ndarray, row: np.ndarray,
     member = np.flatnonzero(row != row[one[of]]) if n else one
     other = np.full(len(one), -1)  # one of each class that is not of the first's row
     other[of[member[::-1]]] = member[::-1]
-    pairs = [np.stack((member, one[of[member]]), 1)]
-    equal = len(member)
+    again = np.flatnonzero((row == row[one[of]]) & ~new & (other[of] >= 0))  # other places in the first's row
+    pairs = [np.stack((member, one[of[member]]), 1), np.stack((again, other[of[again]]), 1)]
+    equal = len(member) + len(again)
     starts = np.flatnonzero(np.concatenate(([True], sig[one][1:] != sig[one][:-1]))) if n else one
     sizes = np.diff(np.append(starts, len(one)))
     left = np.repeat(sizes, sizes) - (np.arange(len(one)) - np.repeat(starts, sizes))  # classes from here on
@@ -232,14 +222,14 @@ def _brought_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (sig, x, sk, blocks of others' sketches): which are similar, as (sig, x, nth)."""
+    """Batches of (sig, block, x, own, sk, blocks of others' sketches): which are similar, as (sig, block, x, own, nth)."""
     for batch in batches:
-        sk, rows = _sketches(batch.column(2)), []
-        for k, block in enumerate(batch.column(3).to_pylist()):
+        sk, rows = _sketches(batch.column(4)), []
+        for k, block in enumerate(batch.column(5).to_pylist()):
             others = np.frombuffer(b"".join(block), np.uint8).reshape(-1, sk.shape[1])
             rows += [(k, int(j)) for j in np.flatnonzero(shared(others, np.broadcast_to(sk[k], others.shape)) >= NEED)]
         at = pa.array([k for k, _ in rows], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([j for _, j in rows], pa.int32())], ["sig", "x", "nth"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(4)), pa.array([j for _, j in rows], pa.int32())], ["sig", "block", "x", "own", "nth"])
 
 
 def _quads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,34 +246,28 @@ def _quads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _hot_links(windows: DataFrame) -> DataFrame:
     """The links among the windows of hot signatures, none of which is brought together."""
     who = F.struct("doc_id", "row", "c", "hi")
-    classes = stored(windows.groupBy("sig", "x").agg(F.min(who).alias("one"), F.max(who).alias("other"), F.count(F.lit(1)).alias("n"), F.first("sk").alias("sk")))
-    members = windows.join(classes.select("sig", "x", "one"), ["sig", "x"]).where("row <> one.row").select("doc_id", "row", "c", "hi", F.col("one").alias("o"), F.lit(True).alias("equal"))
-    best = classes.groupBy("sig").agg(F.max(F.struct("n", F.struct(-F.col("one.doc_id"), "x").alias("by"), "one", "other", "x", "sk")).alias("best")).select("sig", "best.*")
-    best = best.select("sig", F.col("x").alias("bx"), F.col("one").alias("o_one"), F.col("other").alias("o_other"), F.array("sk").alias("others"))
-    met = classes.join(best, "sig").where("x <> bx").select("sig", "x", "sk", "others").mapInArrow(_compared, "sig long, x long, nth int")
-    near = stored(met.select("sig", "x").distinct())
+    classes = stored(windows.groupBy("sig", "x").agg(F.min(who).alias("one"), F.max(who).alias("other"), F.first("sk").alias("sk")))
     differ = lambda a, b: F.col(f"{a}.row") != F.col(f"{b}.row")
-    # Of two classes the first windows, or else others, that are of different rows.
-    pair = F.when(differ("one", "o_one"), F.struct(F.col("one").alias("a"), F.col("o_one").alias("o"))).when(differ("one", "o_other"), F.struct(F.col("one").alias("a"), F.col("o_other").alias("o"))).when(differ("other", "o_one"), F.struct(F.col("other").alias("a"), F.col("o_one").alias("o")))
-    linked = classes.join(near, ["sig", "x"]).join(best.drop("others"), "sig").select(pair.alias("p")).where("p IS NOT NULL").select("p.a.*", "p.o", F.lit(False).alias("equal"))
-    unmet = stored(classes.join(near, ["sig", "x"], "left_anti").join(best.select("sig", F.col("bx").alias("x")), ["sig", "x"], "left_anti").select("sig", "x", "one", "other", "sk"))
-    found = members.unionByName(linked)
-    if not unmet.isEmpty():
-        quads = classes.select("sig", "x", "sk").mapInArrow(_quads, "sig long, x long, at int, quad long")
-        common = quads.groupBy("sig", "quad").agg(F.count_distinct("x").alias("n")).where("n > 1").select("sig", "quad")
-        own = unmet.select("sig", "x", "sk").mapInArrow(_quads, "sig long, x long, at int, quad long").join(common, ["sig", "quad"], "left_semi")
-        stretch = Window.partitionBy("sig", "x").orderBy("at").rangeBetween(0, SPAN - 4)
-        able = own.select("sig", "x", F.count(F.lit(1)).over(stretch).alias("n")).where(f"n >= {SPAN - 3 - 8}").select("sig", "x").distinct()
-        sizes = unmet.join(able, ["sig", "x"], "left_semi").groupBy("sig").agg(F.count(F.lit(1)).alias("asking"))
-        asking = stored(unmet.join(able, ["sig", "x"], "left_semi").join(sizes, "sig").withColumn("block", F.expr(f"pmod(xxhash64(x), 1 + asking div {BLOCK})")).drop("asking"))
-        if not asking.isEmpty():
-            blocks = stored(asking.groupBy("sig", "block").agg(F.array_sort(F.collect_list(F.struct("x", "sk", "one", "other"))).alias("b")))
-            laid = classes.select("sig", "x", "sk", F.col("one").alias("o_one"), F.col("other").alias("o_other")).join(blocks.select("sig", "block", F.col("b.sk").alias("others")), "sig")
-            keyed = laid.select(F.struct("sig", "block").alias("of"), "x", "sk", "others")
-            hits = keyed.select(F.xxhash64("of").alias("sig"), "x", "sk", "others").mapInArrow(_compared, "sig long, x long, nth int")
-            back = blocks.select(F.xxhash64(F.struct("sig", "block")).alias("of"), "sig", "b")
-            met = hits.withColumnRenamed("sig", "of").withColumnRenamed("x", "cx").join(back, "of").select("sig", "cx", F.expr("b[nth]").alias("w")).where("w.x <> cx").select("sig", "cx", "w.one", "w.other")
-            found = found.unionByName(met.join(classes.select("sig", F.col("x").alias("cx"), F.col("one").alias("o_one"), F.col("other").alias("o_other")), ["sig", "cx"]).select(pair.alias("p")).where("p IS NOT NULL").select("p.a.*", "p.o", F.lit(False).alias("equal")))
+    first = F.when(F.col("row") != F.col("one.row"), F.col("one")).when(differ("other", "one") & (F.col("c") != F.col("one.c")), F.col("other"))
+    members = windows.join(classes.select("sig", "x", "one", "other"), ["sig", "x"]).withColumn("o", first).where("o IS NOT NULL").select("doc_id", "row", "c", "hi", "o", F.lit(True).alias("equal"))
+    found = members
+    quads = stored(classes.select("sig", "x", "sk").mapInArrow(_quads, "sig long, x long, at int, quad long"))
+    common = quads.groupBy("sig", "quad").agg(F.count_distinct("x").alias("n")).where("n > 1").select("sig", "quad")
+    stretch = Window.partitionBy("sig", "x").orderBy("at").rangeBetween(0, SPAN - 4)
+    able = quads.join(common, ["sig", "quad"], "left_semi").select("sig", "x", F.count(F.lit(1)).over(stretch).alias("n")).where(f"n >= {SPAN - 3 - 8}").select("sig", "x").distinct()
+    asking = stored(classes.join(able, ["sig", "x"], "left_semi"))
+    if not asking.isEmpty():
+        sizes = asking.groupBy("sig").agg(F.count(F.lit(1)).alias("asking"))
+        asking = stored(asking.join(sizes, "sig").withColumn("own", F.expr(f"CAST(pmod(xxhash64(x), 1 + asking div {BLOCK}) AS INT)")).drop("asking"))
+        blocks = stored(asking.groupBy("sig", F.col("own").alias("block")).agg(F.array_sort(F.collect_list(F.struct("x", "sk", "one", "other"))).alias("b")))
+        # Each class is laid on the blocks up to its own: a pair is met once, or in one block twice.
+        laid = asking.select("sig", "x", "own", "sk", F.explode(F.sequence(F.lit(0), "own")).alias("block")).join(blocks.select("sig", "block", F.col("b.sk").alias("others")), ["sig", "block"])
+        hits = laid.select("sig", "block", "x", "own", "sk", "others").mapInArrow(_compared, "sig long, block int, x long, own int, nth int")
+        met = hits.withColumnRenamed("x", "cx").join(blocks, ["sig", "block"]).select("sig", "cx", "own", "block", F.expr("b[nth]").alias("w")).where("block < own OR w.x < cx").select("sig", "cx", "w.one", "w.other")
+        # Of two classes the first windows, or else others, that are of different rows.
+        pair = F.when(differ("one", "o_one"), F.struct(F.col("one").alias("a"), F.col("o_one").alias("o"))).when(differ("one", "o_other"), F.struct(F.col("one").alias("a"), F.col("o_other").alias("o"))).when(differ("other", "o_one"), F.struct(F.col("other").alias("a"), F.col("o_one").alias("o")))
+        linked = met.join(asking.select("sig", F.col("x").alias("cx"), F.col("one").alias("o_one"), F.col("other").alias("o_other")), ["sig", "cx"]).select(pair.alias("p")).where("p IS NOT NULL")
+        found = members.unionByName(linked.select("p.a.*", "p.o", F.lit(False).alias("equal")))
     return found.select("doc_id", "row", "c", "hi", F.col("o.doc_id").alias("other_id"), F.col("o.row").alias("other"), F.col("o.c").alias("oc"), F.col("o.hi").alias("ohi"), "equal")
 
 
@@ -327,25 +311,43 @@ def _dense(hit: np.ndarray, span: int, need: int) -> list[tuple[int, int]]:
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b))
-    return both / max(1, len(np.unique(a)) + len(np.unique(b)) - both)
+    x, y = set(a.tolist()), set(b.tolist())
+    both = len(x & y)
+    return both / max(1, len(x) + len(y) - both)
+
+
+def _in(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of ``a`` are in ``b``; of short arrays, for which np.isin takes long."""
+    return np.fromiter(map(set(b.tolist()).__contains__, a.tolist()), bool, len(a))
+
+
+def _stretches(a: np.ndarray, b: np.ndarray, lo: int, hi: int, similarity: float, span: int) -> Iterator[tuple[int, int, int, int, float]]:
+    """Where a[lo : hi + 1] is not similar enough as a whole: from each window of ``span`` that is, on the diagonal or beside it, as far as that holds."""
+    x = lo
+    while x + span <= hi + 1:
+        best = max(((_jaccard(a[x : x + span], b[x + d : x + d + span]), -abs(d), d) for d in (0, -1, 1) if 0 <= x + d <= len(b) - span), default=(0.0, 0, 0))
+        if best[0] < similarity:
+            x += 1
+            continue
+        y, d, kept = x + span - 1, best[2], best[0]
+        while y < hi and y + 1 + d < len(b) and (now := _jaccard(a[x : y + 2], b[x + d : y + 2 + d])) >= similarity:
+            y, kept = y + 1, now
+        yield x, y, x + d, y + d, kept
+        x = y + 1
 
 
 def passages(a: np.ndarray, b: np.ndarray, similarity: float, span: int = SPAN) -> list[tuple[int, int, int, int, float]]:
     """The passages (first and last in a, first and last in b, Jaccard) of two aligned stretches that are similar enough."""
     out = []
     need = int(np.ceil(2 * span * similarity / (1 + similarity)))
-    for lo, hi in _dense(np.isin(a, b), span, need):
-        there = np.flatnonzero(np.isin(b, a[lo : hi + 1]))
+    for lo, hi in _dense(_in(a, b), span, need):
+        there = np.flatnonzero(_in(b, a[lo : hi + 1]))
         options = [(lo, min(hi, len(b) - 1)), (int(there[0]), int(there[-1]))]  # on the diagonal, or wherever its shingles lie
         best = max(((_jaccard(a[lo : hi + 1], b[x : y + 1]), x, y) for x, y in options if y >= x), default=(0.0, 0, 0))
         if best[0] >= similarity:
             out.append((lo, hi, best[1], best[2], best[0]))
-            continue
-        n = min(hi + 1, len(b)) - lo  # else the equal runs within
-        same = np.concatenate(([False], a[lo : lo + n] == b[lo : lo + n], [False]))
-        turns = np.flatnonzero(same[1:] != same[:-1])
-        out += [(lo + int(x), lo + int(y) - 1, lo + int(x), lo + int(y) - 1, 1.0) for x, y in zip(turns[::2], turns[1::2], strict=True) if y - x >= span]
+        else:
+            out += _stretches(a, b, lo, hi, similarity, span)
     return out
 
 
@@ -393,7 +395,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     found = links(texts).select(side("doc_id", "other_id").alias("doc_id"), side("row", "other").alias("row"), side("c", "oc").alias("c"), side("other_id", "doc_id").alias("other_id"), side("other", "row").alias("other"), side("oc", "c").alias("oc"), side("hi", "ohi").alias("hi"), "equal")
     found = found.withColumns({"shift": F.col("c") - F.col("oc"), "lo": F.greatest(F.lit(0), F.col("c") - SPAN, F.col("c") - F.col("oc") - F.when(F.col("equal"), 0).otherwise(1)), "hi": F.col("hi") + F.when(F.col("equal"), 0).otherwise(1)})
     by = ["doc_id", "row", "other_id", "other", "shift", "equal"]
-    every = stored(_joined(found.select(*by, "lo", "hi").distinct(), by).withColumn("link", F.xxhash64("row", "other", "shift", "lo")))
+    every = stored(_joined(found.select(*by, "lo", "hi").repartition(*by), by).withColumn("link", F.xxhash64("row", "other", "shift", "lo")))
     there = F.col("lo") - F.col("shift")
     equal = every.where("equal").select("doc_id", F.col("lo").alias("first_word"), (F.col("hi") + WORDS - 1).alias("last_word"), "other_id", there.alias("other_first_word"), (there + F.col("hi") - F.col("lo") + WORDS - 1).alias("other_last_word"), F.lit(1.0).alias("similarity"))
     found = every.where("NOT equal")
@@ -409,3 +411,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     close = both.mapInArrow(lambda b: _verified(b, similarity), "link long, a0 int, a1 int, b0 int, b1 int, similarity double")
     near = found.join(close, "link").select("doc_id", (F.col("lo") + F.col("a0")).alias("first_word"), (F.col("lo") + F.col("a1") + WORDS - 1).alias("last_word"), "other_id", (there + F.col("b0")).alias("other_first_word"), (there + F.col("b1") + WORDS - 1).alias("other_last_word"), F.round("similarity", 6).alias("similarity"))
     return equal.where(f"last_word - first_word >= {SPAN + WORDS - 2}").unionByName(near)
+
+
+def both_sides(found: DataFrame) -> DataFrame:
+    """The rows of repeats(), each also as seen from the other document, so that every document with a passage has a row."""
+    names = ["doc_id", "first_word", "last_word"]
+    others = ["other_id", "other_first_word", "other_last_word"]
+    seen = [F.struct(*(F.col(x).alias(n) for x, n in zip(side, names + others, strict=True))) for side in (names + others, others + names)]
+    return found.select(F.explode(F.array(*seen)).alias("p"), "similarity").select("p.*", "similarity")
