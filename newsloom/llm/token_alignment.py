@@ -7,9 +7,9 @@ by suffix and token, and their runs by chunk of text: the suffix is always empty
 character, since neither side has tokens across such places. For the pieces that is looked up when they are loaded; with pieces that lack it a text is one
 chunk. Byte-level BPE runs in tiktoken, on ranks that are the ids of the given file, whose merges have to be in the order of ids.
 
-Two passes over the texts, both map-only: the first counts the links of each pair of ids, summed in a shuffle of pairs; the second looks the
-counts up. The table of pairs is broadcast if its counted rows are few enough; else each text's pairs meet it in a shuffle join, whose common
-pairs Spark can split. Texts are never shuffled. Stores of stretches are bounded and emptied when full.
+The texts are encoded once: a map-only pass stores each text's digest and the pairs of its links. The links of each pair are counted from what is
+stored, summed in a shuffle of pairs, and looked up in a second reading of it. The table of pairs is broadcast if its counted rows are few enough;
+else each text's pairs meet it in a shuffle join, whose common pairs Spark can split. Texts are never shuffled. Stores of stretches are bounded and emptied when full.
 
 Texts null or empty, or of which a tokenizer keeps other bytes than space + text (piece tokenizers write a space for U+2581), have no tokens: zeros.
 A null id stays null; rows that repeat are aligned each by itself and count each. Very long texts are one row. Ties for the
@@ -21,7 +21,6 @@ import hashlib
 import json
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,6 +34,8 @@ from newsloom.llm.common import BROADCAST_BYTES, arrow_sized, sliced, small_enou
 
 #: Chunks and transitions that a worker keeps, and the longest suffix of a kept one, in bytes.
 KEPT, LONGEST_KEPT = 400_000, 64
+#: Links that a task counts or looks up at once.
+LINKS = 1 << 20
 #: Bytes of a row of the broadcast table of pairs: pair, count, whether it is the best.
 PAIR_BYTES = 17
 #: How byte-level BPE cuts a text before it merges (a fixed pattern of that tokenizer).
@@ -167,27 +168,25 @@ class Chunks:
         return [[] if not self.bad.isdisjoint(c) else c for c in cut] if self.bad else cut
 
 
-def _summed(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(pairs, return_inverse=True)
-    return keys, np.bincount(at, weights=counts, minlength=len(keys)).astype(np.int64)
+def _portions(batches: Iterator[pa.RecordBatch], column: str = "pairs") -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about LINKS links, or one text."""
+    for batch in batches:
+        upto = np.cumsum(batch.column(column).value_lengths().to_numpy())
+        cuts = [0, *(np.flatnonzero(np.diff(upto // LINKS)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)
 
 
-def link_counts(docs: DataFrame, byte_level: str, pieces: str, text_col: str = "text") -> DataFrame:
-    """(pair, n, best): how many links of all texts hold each pair of ids (a << 32 | b), and whether that is the most of its b."""
-    arrow_sized(docs.sparkSession)
+def link_counts(rows: DataFrame) -> DataFrame:
+    """Of rows with pairs, the links of a text: (pair, n, best): how many links of all texts hold each pair of ids (a << 32 | b), and whether that is the most of its b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = Chunks(aligner(byte_level, pieces), lambda found: [array("q", x[4]).tobytes() for x in found], texts=False)
-        for batch in sliced(batches):
-            seen: Counter[str] = Counter()
-            for c in store.of(batch.column(0).to_pylist()):
-                seen.update(c)
-            if seen:
-                links = [store.kept[c] for c in seen]
-                keys, n = _summed(np.frombuffer(b"".join(links), np.int64), np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), [len(x) // 8 for x in links]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["pair", "n"])
-
-    summed = stored(docs.select(text_col).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
+        for batch in _portions(batches):
+            keys, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["pair", "n"])
+
+    summed = stored(rows.select("pairs").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
     most = summed.groupBy((F.col("pair") % (1 << 32)).alias("b")).agg(F.max("n").alias("most"))
     return summed.join(most, F.col("pair") % (1 << 32) == F.col("b")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
@@ -211,62 +210,62 @@ DIGEST = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_su
 
 
 def _row(entries: list[tuple]) -> tuple:
-    """What the entries of a text's chunks (six numbers and the groups as text) sum up to."""
+    """What the entries of a text's chunks (four numbers, the groups as text, the links as bytes) sum up to."""
     if not entries:
-        return (0, 0, 0, 0, 0, 0, "")
-    *numbers, groups = zip(*entries, strict=True)
-    return (*map(sum, numbers), hashlib.sha256(";".join(groups).encode()).hexdigest())
+        return (0, 0, 0, 0, "", b"")
+    *numbers, groups, links = zip(*entries, strict=True)
+    return (*map(sum, numbers), hashlib.sha256(";".join(groups).encode()).hexdigest(), b"".join(links))
+
+
+def _lists(links: list[bytes]) -> pa.Array:
+    upto = np.cumsum([0, *(len(x) // 8 for x in links)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(upto), pa.array(np.frombuffer(b"".join(links), np.int64)))
+
+
+def linked(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each text: doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and pairs, its links as a << 32 | b."""
+    arrow_sized(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = Chunks(aligner(byte_level, pieces), lambda found: [(x[0], x[1], x[2], len(x[4]), x[3], array("q", x[4]).tobytes()) for x in found])
+        for batch in sliced(batches):
+            columns = list(zip(*(_row([store.kept[x] for x in c]) for c in store.of(batch.column(1).to_pylist())), strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string()), _lists(columns[5])], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"])
 
-def _arrays(found: list[tuple]) -> list[pa.Array]:
-    columns = list(zip(*found, strict=True)) or [()] * 7
-    return [pa.array(c, pa.int64()) for c in columns[:6]] + [pa.array(columns[6], pa.string())]
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>")
 
 
 def alignment(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row for each text: doc_id, n_a, n_b, n_groups, n_links, n_best (links whose pair is the commonest of its b), count_sum (the counts of
     the links' pairs, summed), groups_sha256."""
     spark = docs.sparkSession
-    counts = stored(link_counts(docs, byte_level, pieces, text_col))
+    rows = stored(linked(docs, byte_level, pieces, id_col, text_col))
+    counts = stored(link_counts(rows))
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     names = ["doc_id", *(c.split()[0] for c in DIGEST.split(", "))]
     if not small_enough(counts, PAIR_BYTES, broadcast_bytes):
-        return _by_shuffle(texts, counts, byte_level, pieces, kind, names)
+        return _by_shuffle(rows, counts, names)
     table = counts.orderBy("pair").toArrow()  # bounded by broadcast_bytes
     shared = spark.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("pair", "n", "best")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, n, best = shared.value
+        for batch in _portions(batches):
+            lists = batch.column(6)
+            keys, of = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            at = np.searchsorted(pair, keys)
+            upto = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            sums = [pa.array(np.diff(np.concatenate(([0], np.cumsum(v[at][of], dtype=np.int64)))[upto])) for v in (best, n)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), *sums, batch.column(5)], names)
 
-        def told(found: list[tuple]) -> list[tuple]:
-            sizes = np.array([len(x[4]) for x in found], np.int64)
-            at = np.searchsorted(pair, np.fromiter((y for x in found for y in x[4]), np.int64, int(sizes.sum())))
-            upto = np.concatenate(([0], np.cumsum(sizes)))
-            sums = [np.diff(np.concatenate(([0], np.cumsum(v[at], dtype=np.int64)))[upto]).tolist() for v in (best, n)]
-            return [(x[0], x[1], x[2], len(x[4]), b, s, x[3]) for x, b, s in zip(found, *sums, strict=True)]
-
-        store = Chunks(aligner(byte_level, pieces), told)
-        for batch in sliced(batches):
-            kept = store.of(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_arrays([_row([store.kept[x] for x in c]) for c in kept])], names)
-
-    return texts.mapInArrow(run, f"doc_id {kind}, {DIGEST}")
+    return rows.mapInArrow(run, f"doc_id {kind}, {DIGEST}")
 
 
-def _by_shuffle(texts: DataFrame, counts: DataFrame, byte_level: str, pieces: str, kind: str, names: list[str]) -> DataFrame:
+def _by_shuffle(rows: DataFrame, counts: DataFrame, names: list[str]) -> DataFrame:
     """alignment() where the table of pairs is too large to broadcast: each text's pairs go to it. Rows are numbered as they are stored."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = Chunks(aligner(byte_level, pieces), lambda found: [((x[0], x[1], x[2], len(x[4]), 0, 0, x[3]), x[4]) for x in found])
-        for batch in sliced(batches):
-            kept = store.of(batch.column(1).to_pylist())
-            summed = [_summed(np.array([p for x in c for p in store.kept[x][1]], np.int64), np.ones(sum(len(store.kept[x][1]) for x in c))) for c in kept]
-            lists = [pa.array([s[k] for s in summed], pa.list_(pa.int64())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_arrays([_row([store.kept[x][0] for x in c]) for c in kept]), *lists], [*names, "pairs", "times"])
-
-    rows = stored(texts.mapInArrow(run, f"doc_id {kind}, {DIGEST}, pairs array<long>, times array<long>").withColumn("row", F.monotonically_increasing_id()))
-    each = rows.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("row", F.col("p.pairs").alias("pair"), F.col("p.times").alias("times"))
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
+    each = rows.select("row", F.explode("pairs").alias("pair")).groupBy("row", "pair").agg(F.count(F.lit(1)).alias("times"))
     sums = each.join(counts, "pair").groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("best_links"), F.sum(F.col("n") * F.col("times")).alias("total"))
     zero = F.lit(0).cast("long")
     return rows.join(sums, "row", "left").withColumns({"n_best": F.coalesce("best_links", zero), "count_sum": F.coalesce("total", zero)}).select(*names)

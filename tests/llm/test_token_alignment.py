@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 
 from newsloom.llm import token_alignment as ta
+from newsloom.llm.common import stored
 from tests.llm.test_llm import empty, odd  # noqa: F401
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -101,3 +102,18 @@ def test_query(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     found = {r["doc_id"]: tuple(r[1:8]) for r in queries.op11_token_alignment(spark, str(tmp_path)).collect()}
     assert found == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_texts_are_encoded_once(spark, texts, monkeypatch):
+    """Counting and looking up read what is stored: they work with stores of links, in small portions, and no tokenizer."""
+    monkeypatch.setattr(ta, "LINKS", 50)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = stored(ta.linked(docs, A, B))
+    want = Counter(p for r in rows.collect() for p in r["pairs"])
+    monkeypatch.setattr(ta, "aligner", None)
+    counts = ta.link_counts(rows).collect()
+    assert want and {r["pair"]: r["n"] for r in counts} == want
+    top = {}
+    for p, n in want.items():
+        top[p % (1 << 32)] = max(top.get(p % (1 << 32), 0), n)
+    assert all(r["best"] == (r["n"] == top[r["pair"] % (1 << 32)]) for r in counts)
