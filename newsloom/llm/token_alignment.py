@@ -9,7 +9,7 @@ chunk. Byte-level BPE runs in tiktoken, on ranks that are the ids of the given f
 
 The texts are encoded once: a map-only pass stores each text's digest and the pairs of its links. The links of each pair are counted from what is
 stored, summed in a shuffle of pairs, and looked up in a second reading of it. The table of pairs is broadcast if its counted rows are few enough;
-else each text's pairs meet it in a shuffle join, whose common pairs Spark can split. Texts are never shuffled. Stores of stretches are bounded and emptied when full.
+else each text's pairs meet it in a shuffle join, whose common pairs Spark can split. Texts are never shuffled. Stores of chunks are bounded in bytes, whatever the length of a chunk, and emptied when full.
 
 Texts null or empty, or of which a tokenizer keeps other bytes than space + text (piece tokenizers write a space for U+2581), have no tokens: zeros.
 A null id stays null; rows that repeat are aligned each by itself and count each. Very long texts are one row. Ties for the
@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from newsloom.llm.byte_bpe import byte_characters
 from newsloom.llm.common import BROADCAST_BYTES, arrow_sized, sliced, small_enough, stored
 
-#: Chunks and transitions that a worker keeps, and the longest suffix of a kept one, in bytes.
-KEPT, LONGEST_KEPT = 400_000, 64
+#: Bytes, about, of the chunks that a task keeps beside those of the slice at hand; what an entry takes, and for each character of its chunk.
+KEPT_BYTES, ENTRY_BYTES, CHARACTER_BYTES = 96 << 20, 340, 20
+#: Transitions that a worker keeps, and the longest suffix of a kept one, in bytes.
+KEPT, LONGEST_KEPT = 100_000, 64
 #: Links that a task counts or looks up at once.
 LINKS = 1 << 20
 #: Bytes of a row of the broadcast table of pairs: pair, count, whether it is the best.
@@ -145,24 +147,29 @@ def aligner(byte_level: str, pieces: str) -> Aligner:
 
 
 class Chunks:
-    """A bounded store of what ``told`` says of chunks, filled for a slice of texts at a time."""
+    """A store, bounded in bytes, of what ``told`` says of chunks, filled for a slice of texts at a time."""
 
     def __init__(self, aligner: Aligner, told, texts: bool = True):
         self.aligner, self.told, self.texts, self.kept, self.older, self.bad = aligner, told, texts, {}, {}, set()
+        self.size = 0
 
     def of(self, texts: list[str | None]) -> list[list[str]]:
-        """The chunks of each text; none where the text has no tokens. The store holds them all, and what it held before it was last full may come back."""
+        """The chunks of each text; none where the text has no tokens. The store holds them all, and what it held before it was last full may come back.
+
+        It is full beyond half of KEPT_BYTES: then it becomes the older half, of which only what is needed comes back."""
         cut = [(chunks(t) if self.aligner.cuts else [t]) if t else [] for t in texts]
         needed = set().union(*cut)
+        if self.size > KEPT_BYTES // 2:
+            self.older, self.kept, self.size = self.kept, {}, 0
+            self.bad &= self.older.keys()
         missing = [c for c in needed if c not in self.kept]
-        if len(self.kept) + len(missing) > KEPT:
-            self.older, self.kept = self.kept, {c: self.kept[c] for c in needed if c in self.kept}
-            self.bad &= needed
         back = self.older.keys() & missing
-        self.kept.update((c, self.older[c]) for c in back)
+        for c in back:
+            self.kept[c] = self.older.pop(c)
         missing = [c for c in missing if c not in back]
         found = self.aligner.align(missing, self.texts)
         self.bad.update(c for c, x in zip(missing, found, strict=True) if x is None)
+        self.size += sum(ENTRY_BYTES + CHARACTER_BYTES * len(c) for more in (back, missing) for c in more)
         for c, x in zip(missing, self.told([x or (0, 0, 0, "", []) for x in found]), strict=True):
             self.kept[c] = x
         return [[] if not self.bad.isdisjoint(c) else c for c in cut] if self.bad else cut

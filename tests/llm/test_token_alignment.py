@@ -84,6 +84,21 @@ def test_small_stores(spark, texts, monkeypatch):
             assert ";".join(store.kept[c] for c in kept) == told[3]
 
 
+@pytest.mark.parametrize("length", [5, 3_000])
+def test_stores_are_bounded_in_bytes(monkeypatch, length):
+    """What a task keeps has a bound in bytes, however long chunks are, and what comes back from it is right."""
+    monkeypatch.setattr(ta, "KEPT_BYTES", 400_000)
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghé") for _ in range(length)) for _ in range(3 * 400_000 // (340 + 20 * length))]
+    one = ta.Aligner(A, B)
+    store = ta.Chunks(one, lambda found: [x[3] for x in found])
+    cost = lambda held: sum(340 + 20 * len(c) for c in held)
+    for word in [*words, *words[-5:], *words[:5], "▁", *words[-5:], "▁"]:
+        (kept,) = store.of([word])
+        assert ";".join(store.kept[c] for c in kept) == (r[3] if (r := one.align([word])[0]) else "")
+        assert cost(store.kept) + cost(store.older) <= 400_000 + 2 * cost([word])
+
+
 def test_groups_and_edges(spark, odd, empty):  # noqa: F811
     assert ta.alignment(empty, A, B).count() == 0 and ta.align(empty, A, B).count() == 0
     odd = odd.withColumnsRenamed({"lang": "n_a", "fp": "groups", "keep_id": "pair"})
