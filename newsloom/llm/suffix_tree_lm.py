@@ -10,7 +10,8 @@ number of next symbols seen (Witten and Bell). A symbol is scored in the state o
 
 So the log-probability of a symbol is that of no context, and for each suffix of its context that is a state what the state
 gives back, and what it gains if the symbol was seen there. Both are values of an n-gram, and a score is a sum of looked-up
-values. The table of values is dealt into parts of a bounded number of rows by a hash of the n-gram; each part is broadcast by
+values. Read backwards, the contexts that an n-gram ends are an interval, so the sum is constant between the ends of intervals and is
+looked up at once. The table of values is dealt into parts of a bounded number of rows by a hash of the n-gram; each part is broadcast by
 itself and summed over all documents, so a tree of any size is scored, a part at a time. Which n-grams a task counts is told by
 a bitmap of states of fixed size: a false positive costs a counted row, which the join with the states drops again.
 
@@ -37,11 +38,11 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import arrow_sized, bitmap, in_bitmap, row_key, sliced, stored
 
 #: The longest n-gram: a context of six bytes and the next; up to eight, a 64-bit integer holds it exactly. The first pass counts up to FIRST.
-LONGEST, FIRST = 7, 4
+LONGEST, FIRST = 7, 5
 LEAST = 8
 BORDER = 10
 COMMON = 100_000  # words that are broadcast: 1.6 MB
-PART = 4_000_000  # values that are broadcast at once: 48 MB
+PART = 4_000_000  # values that are broadcast at once: 96 MB as ends of intervals
 KEPT = 400_000  # words, and
 HELD = 1 << 20  # n-grams of each length, that a task holds before it passes their counts on
 CHUNK = 1 << 20
@@ -86,22 +87,26 @@ def _pieces(symbols: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
     for at in range(1, len(symbols), CHUNK):
         low = max(0, at - LONGEST + 1)
         piece = symbols[low : at + CHUNK]
-        place = np.arange(len(piece))
-        border = np.maximum.accumulate(np.where(piece == BORDER, place, -LONGEST))
-        yield at, piece, np.minimum(place[1:] - border[:-1] + 1, np.minimum(place[1:] + 1, LONGEST))[at - low - 1 :]
+        reach = np.full(len(piece) + LONGEST, LONGEST, np.int8)
+        borders = np.flatnonzero(piece == BORDER)
+        for n in range(LONGEST - 1, 0, -1):  # of several borders the nearest counts
+            reach[borders + n] = n + 1
+        yield at, piece, reach[at - low : len(piece)]
+
+
+def _words(piece: np.ndarray, n: int, kind: str) -> np.ndarray:
+    """For each of the last n symbols the eight bytes that end there, or zeros and as many as there are, as one integer of this kind."""
+    return np.ndarray(n, kind, np.concatenate((np.zeros(8, np.uint8), piece)), len(piece) - n + 1, (1,)).astype(np.uint64)
 
 
 def _grams(piece: np.ndarray, n: int, upto: int) -> np.ndarray:
     """For each of the last n symbols the bytes that end there, ``upto`` of them or as many as there are, as one integer."""
-    out = np.zeros(n, np.uint64)
-    at = len(piece) - n
-    for k in range(min(upto, LONGEST) - 1, -1, -1):
-        out <<= np.uint64(8)
-        if at - k >= 0:
-            out |= piece[at - k : len(piece) - k]
-        elif k < len(piece):
-            out[k - at :] |= piece[: len(piece) - k]
-    return out
+    return _words(piece, n, ">u8") & np.uint64(_mask(min(upto, LONGEST)))
+
+
+def _backwards(piece: np.ndarray, n: int) -> np.ndarray:
+    """For each of the last n symbols it and the LONGEST - 1 before it, the last as the highest byte."""
+    return _words(piece, n, "<u8") & np.uint64(_mask(8) - _mask(8 - LONGEST))
 
 
 def _mask(length: int) -> int:
@@ -116,9 +121,13 @@ class _Tally:
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.n = 0
 
-    def add(self, keys: np.ndarray) -> bool:
-        """Whether there are so many now that they should be passed on."""
-        self.held.append(np.unique(keys, return_counts=True))
+    def add(self, keys: np.ndarray, passing: Callable | None = None) -> bool:
+        """Counts those of the keys that pass. Whether there are so many now that they should be passed on."""
+        keys, counts = np.unique(keys, return_counts=True)
+        if passing is not None:
+            keep = passing(keys)
+            keys, counts = keys[keep], counts[keep]
+        self.held.append((keys, counts))
         self.n += len(self.held[-1][0])
         if self.n > HELD // 2:
             self.settle()
@@ -127,7 +136,7 @@ class _Tally:
     def settle(self) -> None:
         keys = np.concatenate([self.keys, *(k for k, _ in self.held)])
         counts = np.concatenate([self.counts, *(c for _, c in self.held)])
-        order = np.argsort(keys)
+        order = np.argsort(keys, kind="stable")  # sorted stretches are merged
         keys = keys[order]
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
         self.keys, self.counts = keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
@@ -153,16 +162,14 @@ def _gram_counts(lengths: list[int], gate: Broadcast | None) -> Callable:
         tallies = {k: _Tally() for k in lengths}
         states = gate.value if gate else None
         longest = lengths[-1]
+        passing = None if states is None else lambda g: in_bitmap(states, (g >> np.uint64(8)) & np.uint64(_mask(longest - 2)))
         for batch in sliced(batches):
             symbols = _symbols([tokens(t) for t in batch.column(0).cast(pa.binary()).to_pylist()])
             for _, piece, reach in _pieces(symbols):
                 whole = _grams(piece, len(reach), longest)
                 for k in lengths[:-1]:  # only what no longer one ends with
                     tallies[k].add(whole[reach == k] & np.uint64(_mask(k)))
-                g = whole[reach >= longest]
-                if states is not None:
-                    g = g[in_bitmap(states, (g >> np.uint64(8)) & np.uint64(_mask(longest - 2)))]
-                if tallies[longest].add(g):
+                if tallies[longest].add(whole[reach >= longest], passing):
                     yield from passed_on(tallies)
         yield from passed_on(tallies)
 
@@ -210,77 +217,40 @@ def tree(training: DataFrame) -> tuple[np.ndarray, DataFrame]:
 
 
 class Values:
-    """Looks values of n-grams up: those of one and two bytes in arrays, others by the first bits of a hash."""
+    """Sums of the values of all n-grams that end at a symbol, by what stands there: read backwards, an n-gram is the first bytes of an
+    interval of integers, and the sum changes only where an interval begins or ends. (No n-gram goes on over a border, so nothing is
+    told by what stands beyond one.)"""
 
-    def __init__(self, plain: np.ndarray, level: Callable, whole: bool):
+    def __init__(self, plain: np.ndarray, level: Callable):
         """level: gives the n-grams of a length and their values."""
-        self.whole = whole  # not only a part: an n-gram is there only if its suffix is
-        self.flat = [plain.astype(np.float32), np.zeros(1 << 16, np.float32)]
-        g, value = level(1)
-        at = g != BORDER
-        self.flat[0][g[at]] += value[at]
-        self.start = float(value[~at].sum())  # what the border gives back as the first context
-        g, value = level(2)
-        self.flat[1][g] = value
-        self.more = []
-        for length in range(3, LONGEST + 1):
-            g, value = level(length)
+        at, value = [np.arange(256, dtype=np.uint64) << np.uint64(56)], [np.diff(plain, prepend=0.0).astype(np.float32)]
+        self.start = 0.0
+        for length in range(1, LONGEST + 1):
+            g, v = level(length)
+            if length == 1:
+                self.start = float(v[g == BORDER].sum())  # what the border gives back as the first context
+                g, v = g[g != BORDER], v[g != BORDER]
+            first = g.view(np.uint64).byteswap()
             with np.errstate(over="ignore"):
-                keys = g.view(np.uint64) * np.uint64(_ODD)
-            order = np.argsort(keys)
-            keys, value = keys[order], value[order].astype(np.float32)
-            bits = max(1, len(keys).bit_length())
-            firsts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-            self.more.append((keys, value, np.append(firsts, len(keys)).astype(np.int32), np.uint64(64 - bits)))
-
-    def found(self, g: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the n-grams are there, and their values."""
-        keys, values, firsts, shift = self.more[length - 3]
-        if not len(keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        with np.errstate(over="ignore"):
-            g = g * np.uint64(_ODD)
-        bucket = (g >> shift).astype(np.int64)
-        at, end = firsts[bucket], firsts[bucket + 1]
-        left = np.flatnonzero(at < end)
-        at, end, g = at[left], end[left], g[left]
-        which, there = [], []
-        while len(left):
-            same = keys[at] == g
-            which.append(left[same])
-            there.append(values[at[same]])
-            at = at + 1
-            on = np.flatnonzero(~same & (at < end))
-            left, at, end, g = left[on], at[on], end[on], g[on]
-        return (np.concatenate(which), np.concatenate(there)) if which else (np.zeros(0, np.int64), np.zeros(0, np.float32))
-
-    def longer(self, g: np.ndarray, reach: np.ndarray | None) -> np.ndarray:
-        """The sum of values of the last three bytes and more of each n-gram, as far as it reaches (or else wholly)."""
-        sums = np.zeros(len(g), np.float32)
-        live = np.arange(len(g)) if reach is None else np.flatnonzero(reach >= 3)
-        for k in range(3, LONGEST + 1):
-            which, there = self.found(g[live] & np.uint64(_mask(k)), k)
-            which = live[which]
-            sums[which] += there
-            if self.whole:
-                live = which
-            if reach is not None:
-                live = live[reach[live] > k]
-        return sums
+                end = first + np.uint64(1 << (8 * (8 - length)))
+            at += [first, end[end > first]]
+            value += [v.astype(np.float32), -v[end > first].astype(np.float32)]
+        at, value = np.concatenate(at), np.concatenate(value)
+        order = np.argsort(at)
+        at, value = at[order], value[order]
+        del order
+        last = np.flatnonzero(np.append(at[1:] != at[:-1], True))
+        self.at, self.sums = at[last], np.cumsum(value, dtype=np.float64)[last].astype(np.float32)
 
     def scores(self, texts: list[list[bytes]]) -> np.ndarray:
         """The sum of values of each text, given its words."""
         symbols = _symbols(texts)
         ends = np.flatnonzero(symbols == BORDER)
         total = np.full(len(texts), self.start)
-        for first, piece, reach in _pieces(symbols):
-            n = len(reach)
-            whole = _grams(piece, n, LONGEST)
-            sums = self.flat[0][piece[-n:]] + self.flat[1][(whole & np.uint64(0xFFFF)).astype(np.int64)]
-            full = reach >= LONGEST
-            distinct, which = np.unique(whole[full], return_inverse=True)  # most occur many times
-            sums[full] += self.longer(distinct, None)[which]
-            sums[~full] += self.longer(whole[~full], reach[~full])
+        for first in range(1, len(symbols), CHUNK):
+            n = min(CHUNK, len(symbols) - first)
+            distinct, which = np.unique(_backwards(symbols[max(0, first - LONGEST + 1) : first + n], n), return_inverse=True)  # most occur many times
+            sums = self.sums[np.searchsorted(self.at, distinct, "right") - 1][which]
             upto = np.concatenate(([0.0], np.cumsum(sums, dtype=np.float64)))
             low, high = np.clip(ends[:-1] + 1 - first, 0, n), np.clip(ends[1:] + 1 - first, 0, n)
             total += upto[high] - upto[low]
@@ -319,7 +289,7 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             found = values.where((F.col("k") == k) & (part == p)).select("g", F.col("value").cast("float")).toArrow()  # of all k about PART rows
             return found["g"].to_numpy(), found["value"].to_numpy()
 
-        return spark.sparkContext.broadcast(Values(plain if p == 0 else np.zeros(256), level, parts == 1))
+        return spark.sparkContext.broadcast(Values(plain if p == 0 else np.zeros(256), level))
 
     kind = docs.schema[id_col].dataType.simpleString()
     held = shared(0)
