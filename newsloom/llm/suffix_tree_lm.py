@@ -25,7 +25,7 @@ they are counted and scored in pieces that overlap. An empty table gives an empt
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +55,8 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def _signed(values: list[int]) -> np.ndarray:
-    return np.array(values, np.uint64).view(np.int64)
+def _hashes(words: Collection[bytes]) -> np.ndarray:
+    return np.fromiter(map(_hash, words), np.uint64, len(words)).view(np.int64)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +64,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = Counter()
 
     def words() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(_signed([_hash(w) for w in counts])), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], ["h", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(_hashes(counts)), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], ["h", "c"])
 
     for batch in batches:
         for text in batch.column(0).cast(pa.binary()).to_pylist():
@@ -249,8 +249,12 @@ class Values:
         total = np.full(len(texts), self.start)
         for first in range(1, len(symbols), CHUNK):
             n = min(CHUNK, len(symbols) - first)
-            distinct, which = np.unique(_backwards(symbols[max(0, first - LONGEST + 1) : first + n], n), return_inverse=True)  # most occur many times
-            sums = self.sums[np.searchsorted(self.at, distinct, "right") - 1][which]
+            there = _backwards(symbols[max(0, first - LONGEST + 1) : first + n], n)
+            order = np.argsort(there)
+            there = there[order]
+            fresh = np.flatnonzero(np.append(True, there[1:] != there[:-1]))  # most occur many times
+            sums = np.empty(n, np.float32)
+            sums[order] = np.repeat(self.sums[np.searchsorted(self.at, there[fresh], "right") - 1], np.diff(fresh, append=n))
             upto = np.concatenate(([0.0], np.cumsum(sums, dtype=np.float64)))
             low, high = np.clip(ends[:-1] + 1 - first, 0, n), np.clip(ends[1:] + 1 - first, 0, n)
             total += upto[high] - upto[low]
@@ -274,7 +278,7 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(size["n"]), int(size["v"])
     below = n + 0.1 * (v + 1)
-    border = int(_signed([_hash(END_WORD)])[0])
+    border = int(_hashes([END_WORD])[0])
     end = ends[0]["c"] if (ends := counts.where(F.col("h") == border).collect()) else 0
     common = counts.where(F.col("h") != border).orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
     order = np.argsort(common["h"].to_numpy())
@@ -302,8 +306,9 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             if not found:
                 continue
             texts = len(found)
-            words = pa.array([w for f in found for w in f], pa.large_binary()).dictionary_encode()
-            h = _signed([_hash(w) for w in words.dictionary.to_pylist()])
+            words = [w for f in found for w in f]
+            h = _hashes(dict.fromkeys(words))
+            words = pa.array(words, pa.large_binary()).dictionary_encode()  # numbered as they are first met
             sizes = np.array([len(f) for f in found], np.int64)
             tok, of = words.indices.to_numpy().astype(np.int64), np.repeat(np.arange(texts), sizes)
             at, hit = _looked_up(h, hs)
