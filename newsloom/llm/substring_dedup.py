@@ -16,6 +16,9 @@ their content occurs in a second class of the signature (counted, so nothing tha
 other in blocks, all with all too. Links of one pair and diagonal that touch are joined, and all but the equal ones are
 verified on the shingles of both passages: Jaccard of 0.8 or more, of all or else of the longest stretches that have it.
 
+classes() gives the components of these pairs, one row for each document, without laying out all pairs: a spanning forest of each
+signature is verified, and then every similar pair that this leaves in different classes.
+
 Passages within one row only are none. Nulls, empty texts and texts under fifty words have no window, and an empty table gives
 an empty one. Rows that repeat an id and text are one document; rows of one id and different texts are documents of that id, each with its own text. Very long
 texts are whole. Of ties the smaller id is the first. Columns other than the id and the text are not read. Ids are integers; null ids take no part."""
@@ -23,9 +26,11 @@ texts are whole. Of ties the smaller id is the first. Columns other than the id
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -33,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsloom.llm.common import arrow_sized, bitmap, in_bitmap, row_key, sliced, small_enough, stored
+from newsloom.operators.components import components
 
 WORDS, SPAN, RUN, SIMILARITY = 5, 46, 21, 0.8
 SIDE = RUN // 2
@@ -162,12 +168,21 @@ def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (sums[:, SPAN:] - sums[:, :-SPAN]).max(1)
 
 
+def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sketches laid on each other, row by row, are similar, counted on either one."""
+    found = shared(a, b)
+    out, near = found >= NEED, np.flatnonzero((found < NEED) & (found >= NEED - WORDS))
+    if len(near):
+        out[near] = shared(b[near], a[near]) >= NEED
+    return out
+
+
 def _forest(sketches: np.ndarray) -> list[tuple[int, int]]:
     """The links among sketches: all pairs that are similar."""
     out = []
     for x in range(len(sketches) - 1):
         rest = sketches[x + 1 :]
-        out += [(x, x + 1 + int(y)) for y in np.flatnonzero(shared(np.broadcast_to(sketches[x], rest.shape), rest) >= NEED)]
+        out += [(x, x + 1 + int(y)) for y in np.flatnonzero(similar(np.broadcast_to(sketches[x], rest.shape), rest))]
     return out
 
 
@@ -191,7 +206,7 @@ def _links_of(sig: np.ndarray, x: np.ndarray, doc: np.ndarray, row: np.ndarray,
     for step in range(1, SMALL):
         at = np.flatnonzero(left > step)
         for part in np.array_split(at, 1 + len(at) // 20_000):
-            part = part[shared(sk[one[part]], sk[one[part + step]]) >= NEED]
+            part = part[similar(sk[one[part]], sk[one[part + step]])]
             near.append(np.stack((part, part + step), 1))
     for k in np.flatnonzero(sizes > SMALL):
         near.append(np.array(_forest(sk[one[starts[k] : starts[k] + sizes[k]]]), np.int64).reshape(-1, 2) + starts[k])
@@ -207,18 +222,65 @@ def _links_of(sig: np.ndarray, x: np.ndarray, doc: np.ndarray, row: np.ndarray,
 _LINK = "doc_id long, row long, c int, hi int, other_id long, other long, oc int, ohi int, equal boolean"
 
 
-def _brought_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of windows in the order of signatures, none of which is of many rows."""
+def _trees_of(sig: np.ndarray, x: np.ndarray, doc: np.ndarray, row: np.ndarray, c: np.ndarray, hi: np.ndarray, sk: np.ndarray, whole: bool = False) -> pa.RecordBatch:
+    """A spanning forest of the classes of whole signatures, given in the order of signature and x: each class with the one that it hangs on, the rows of
+    which are null for a root. Sketches go with trees of three classes or more, where further pairs are similar; trees of one are left out.
+    Before them, without a signature, the rows that are equal to the first of their class. ``whole``: every class, with its sketch."""
+    n = len(sig)
+    new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (x[1:] != x[:-1]))) if n else np.zeros(0, bool)
+    one = np.lexsort((c, row, doc, x, sig))[np.flatnonzero(new)]  # the first of each class
+    of = np.cumsum(new) - 1
+    apart = np.flatnonzero(row != row[one[of]])
+    equal = np.unique(np.stack((row[apart], row[one[of[apart]]]), 1), axis=0)
+    one = one[np.lexsort((row[one], doc[one], sig[one]))]
+    starts = np.flatnonzero(np.concatenate(([True], sig[one][1:] != sig[one][:-1]))) if n else one
+    sizes = np.diff(np.append(starts, len(one)))
+    tree = np.arange(len(one))
+    first, up = np.repeat(starts, sizes), np.full(len(one), -1)
+    rest = np.flatnonzero(first != tree)
+    for part in np.array_split(rest, 1 + len(rest) // 20_000):  # all on the first of the signature
+        part = part[similar(sk[one[first[part]]], sk[one[part]])]
+        up[part] = tree[part] = first[part]
+    for k in np.unique(first[rest[up[rest] < 0]]):  # then each on one of those that hang already
+        group = np.arange(k + 1, k + sizes[np.searchsorted(starts, k)])
+        root, left, queue = k, group[up[group] < 0], group[up[group] >= 0].tolist()
+        while len(left):
+            if not queue:
+                root, left, queue = left[0], left[1:], [left[0]]
+            at = queue.pop(0)
+            hit = similar(np.broadcast_to(sk[one[at]], (len(left), sk.shape[1])), sk[one[left]])
+            up[left[hit]], tree[left[hit]] = at, root
+            queue += left[hit].tolist()
+            left = left[~hit]
+    count = np.bincount(tree, minlength=len(one))[tree]
+    kept = np.flatnonzero((up >= 0) | (count > 2) | whole)
+    i, none = one[kept], up[kept] < 0
+    j = one[np.maximum(up[kept], 0)]
+    e, blank = len(equal), pa.nulls
+    with_sk = pc.if_else(pa.array((count[kept] > 2) | whole), _binary(sk[i]), pa.scalar(None, pa.binary()))
+    columns = [
+        (blank(e, pa.int64()), pa.array(sig[i])), (blank(e, pa.int64()), pa.array(x[one[tree[kept]]])), (blank(e, pa.int64()), pa.array(x[i])), (blank(e, pa.int64()), pa.array(doc[i])),
+        (pa.array(equal[:, 0]), pa.array(row[i])), (blank(e, pa.int32()), pa.array(c[i])), (blank(e, pa.int32()), pa.array(hi[i])), (blank(e, pa.int64()), pa.array(doc[j], mask=none)),
+        (pa.array(equal[:, 1]), pa.array(row[j], mask=none)), (blank(e, pa.int32()), pa.array(c[j], mask=none)), (blank(e, pa.int32()), pa.array(hi[j], mask=none)), (blank(e, pa.binary()), with_sk),
+    ]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(pair) for pair in columns], ["sig", "tree", "x", "doc_id", "row", "c", "hi", "other_id", "other", "oc", "ohi", "sk"])
+
+
+_TREE = "sig long, tree long, x long, doc_id long, row long, c int, hi int, other_id long, other long, oc int, ohi int, sk binary"
+
+
+def _brought_together(batches: Iterator[pa.RecordBatch], of: Callable = _links_of) -> Iterator[pa.RecordBatch]:
+    """Batches of windows in the order of signatures, none of which is of many rows, as ``of`` has them."""
     rest: list[np.ndarray] | None = None
     for batch in batches:
         now = [batch.column(k).to_numpy() for k in range(6)] + [_sketches(batch.column(6))]
         rest = [np.concatenate(both) for both in zip(rest, now, strict=True)] if rest else now
         cut = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0  # the last signature may go on
         if cut:
-            yield _links_of(*(r[:cut] for r in rest))
+            yield of(*(r[:cut] for r in rest))
             rest = [r[cut:] for r in rest]
     if rest:
-        yield _links_of(*rest)
+        yield of(*rest)
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,20 +289,45 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sk, rows = _sketches(batch.column(4)), []
         for k, block in enumerate(batch.column(5).to_pylist()):
             others = np.frombuffer(b"".join(block), np.uint8).reshape(-1, sk.shape[1])
-            rows += [(k, int(j)) for j in np.flatnonzero(shared(others, np.broadcast_to(sk[k], others.shape)) >= NEED)]
+            rows += [(k, int(j)) for j in np.flatnonzero(similar(others, np.broadcast_to(sk[k], others.shape)))]
         at = pa.array([k for k, _ in rows], pa.int64())
         yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(4)), pa.array([j for _, j in rows], pa.int32())], ["sig", "block", "x", "own", "nth"])
 
 
-def _quads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (sig, x, sk): each four shingles of the sketch in a row, as (sig, x, at, quad)."""
+def _quads(sig: pa.Array, sketches: pa.Array) -> np.ndarray:
+    """For each class the keys, of signature and content, of each four shingles of the sketch in a row; 0 where there are not four."""
+    sk = _sketches(sketches).astype(np.uint64)
+    quad = (sk[:, :-3] << np.uint64(24)) | (sk[:, 1:-2] << np.uint64(16)) | (sk[:, 2:-1] << np.uint64(8)) | sk[:, 3:]
+    with np.errstate(over="ignore"):
+        key = _mixed(_mixed(sig.to_numpy().view(np.uint64), _SALTS[4])[:, None] + quad, _SALTS[3])
+    return np.where((sk[:, :-3] > 0) & (sk[:, 3:] > 0), key | np.uint64(1), np.uint64(0))
+
+
+def _quads_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (sig, sk) of classes: the keys of its quads, each once for each class."""
     for batch in batches:
-        sk = _sketches(batch.column(2)).astype(np.int64)
-        quad = (sk[:, :-3] << 24) | (sk[:, 1:-2] << 16) | (sk[:, 2:-1] << 8) | sk[:, 3:]
-        n, width = quad.shape
-        whole = ((sk[:, :-3] > 0) & (sk[:, 3:] > 0)).reshape(-1)
-        of = pa.array(np.repeat(np.arange(n), width)[whole])
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(np.tile(np.arange(width, dtype=np.int32), n)[whole]), pa.array(quad.reshape(-1)[whole])], ["sig", "x", "at", "quad"])
+        key = np.sort(_quads(batch.column(0), batch.column(1)), axis=1)
+        fresh = key > 0
+        fresh[:, 1:] &= key[:, 1:] != key[:, :-1]
+        yield pa.RecordBatch.from_arrays([pa.array(key[fresh].view(np.int64))], ["key"])
+
+
+def _able(common: Broadcast) -> Callable:
+    """Batches of classes, the first column sig and the last sk: those of which enough content may occur in a second class of the signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = _quads(batch.column(0), batch.column(batch.num_columns - 1))
+            sums = np.cumsum(np.pad(in_bitmap(common.value, key) & (key > 0), ((0, 0), (1, 0))), axis=1)
+            yield batch.filter(pa.array((sums[:, SPAN - 3 :] - sums[:, : 3 - SPAN]).max(1) >= SPAN - 3 - 8))
+
+    return run
+
+
+def _asking(classes: DataFrame) -> DataFrame:
+    """Of the stored classes of hot signatures, the first column sig and the last sk, those that may be similar to another."""
+    common = classes.select("sig", "sk").mapInArrow(_quads_once, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return stored(classes.mapInArrow(_able(bitmap(common)), classes.schema))
 
 
 def _hot_links(windows: DataFrame) -> DataFrame:
@@ -251,11 +338,7 @@ def _hot_links(windows: DataFrame) -> DataFrame:
     first = F.when(F.col("row") != F.col("one.row"), F.col("one")).when(differ("other", "one") & (F.col("c") != F.col("one.c")), F.col("other"))
     members = windows.join(classes.select("sig", "x", "one", "other"), ["sig", "x"]).withColumn("o", first).where("o IS NOT NULL").select("doc_id", "row", "c", "hi", "o", F.lit(True).alias("equal"))
     found = members
-    quads = stored(classes.select("sig", "x", "sk").mapInArrow(_quads, "sig long, x long, at int, quad long"))
-    common = quads.groupBy("sig", "quad").agg(F.count_distinct("x").alias("n")).where("n > 1").select("sig", "quad")
-    stretch = Window.partitionBy("sig", "x").orderBy("at").rangeBetween(0, SPAN - 4)
-    able = quads.join(common, ["sig", "quad"], "left_semi").select("sig", "x", F.count(F.lit(1)).over(stretch).alias("n")).where(f"n >= {SPAN - 3 - 8}").select("sig", "x").distinct()
-    asking = stored(classes.join(able, ["sig", "x"], "left_semi"))
+    asking = _asking(classes)
     if not asking.isEmpty():
         sizes = asking.groupBy("sig").agg(F.count(F.lit(1)).alias("asking"))
         asking = stored(asking.join(sizes, "sig").withColumn("own", F.expr(f"CAST(pmod(xxhash64(x), 1 + asking div {BLOCK}) AS INT)")).drop("asking"))
@@ -369,9 +452,8 @@ def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[1:5]), pa.array(columns[5], pa.float64())], ["link", "a0", "a1", "b0", "b1", "similarity"])
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """Of rows (doc_id, row, text): windows (doc_id, row, c, hi) laid on others (other_id, other, oc, ohi) of another row; equal: whether
-    they are equal all around, or else have similar sketches. hi: the last shingle around."""
+def _found_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Of rows (doc_id, row, text): the windows of signatures that are not hot, each signature in one partition and in order, and those of hot ones, if there are any."""
     arrow_sized(docs.sparkSession)
     counted = stored(docs.select("text").mapInArrow(_signed, "sig long").repartition("sig").groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     hot = counted.where(f"n > {HOT}").select("sig")
@@ -380,25 +462,34 @@ def links(docs: DataFrame) -> DataFrame:
     windows = docs.mapInArrow(_windows(again, over), "sig long, x long, doc_id long, row long, c int, hi int, sk binary, hot boolean")
     windows = stored(windows) if many else windows
     dealt = windows.where("NOT hot").drop("hot").repartition("sig").sortWithinPartitions("sig", "x", "doc_id", "row", "c")
+    return dealt, windows.where("hot").drop("hot") if many else None
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """Of rows (doc_id, row, text): windows (doc_id, row, c, hi) laid on others (other_id, other, oc, ohi) of another row; equal: whether
+    they are equal all around, or else have similar sketches. hi: the last shingle around."""
+    dealt, hot = _found_windows(docs)
     found = dealt.mapInArrow(_brought_together, _LINK)
-    return found.unionByName(_hot_links(windows.where("hot").drop("hot"))) if many else found
+    return found.unionByName(_hot_links(hot)) if hot is not None else found
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs of passages: doc_id, first_word, last_word, other_id, other_first_word, other_last_word, similarity.
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
 
-    Of equal passages each is laid on the first one (similarity 1), and first ones on each other where they are similar."""
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+
+def _intervals(found: DataFrame) -> DataFrame:
+    """Links as intervals (lo, hi) of one pair, diagonal (shift) and kind (equal), joined where they touch; link: their key."""
     # A pair is named once, from the side of the larger id.
     turned = F.struct("other_id", "other") > F.struct("doc_id", "row")
     side = lambda a, b: F.when(turned, F.col(b)).otherwise(F.col(a))
-    found = links(texts).select(side("doc_id", "other_id").alias("doc_id"), side("row", "other").alias("row"), side("c", "oc").alias("c"), side("other_id", "doc_id").alias("other_id"), side("other", "row").alias("other"), side("oc", "c").alias("oc"), side("hi", "ohi").alias("hi"), "equal")
+    found = found.select(side("doc_id", "other_id").alias("doc_id"), side("row", "other").alias("row"), side("c", "oc").alias("c"), side("other_id", "doc_id").alias("other_id"), side("other", "row").alias("other"), side("oc", "c").alias("oc"), side("hi", "ohi").alias("hi"), "equal")
     found = found.withColumns({"shift": F.col("c") - F.col("oc"), "lo": F.greatest(F.lit(0), F.col("c") - SPAN, F.col("c") - F.col("oc") - F.when(F.col("equal"), 0).otherwise(1)), "hi": F.col("hi") + F.when(F.col("equal"), 0).otherwise(1)})
     by = ["doc_id", "row", "other_id", "other", "shift", "equal"]
-    every = stored(_joined(found.select(*by, "lo", "hi").repartition(*by), by).withColumn("link", F.xxhash64("row", "other", "shift", "lo")))
-    there = F.col("lo") - F.col("shift")
-    equal = every.where("equal").select("doc_id", F.col("lo").alias("first_word"), (F.col("hi") + WORDS - 1).alias("last_word"), "other_id", there.alias("other_first_word"), (there + F.col("hi") - F.col("lo") + WORDS - 1).alias("other_last_word"), F.lit(1.0).alias("similarity"))
-    found = every.where("NOT equal")
+    return stored(_joined(found.select(*by, "lo", "hi").repartition(*by), by).withColumn("link", F.xxhash64("row", "other", "shift", "lo")))
+
+
+def _close(found: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Of stored intervals the passages (link, a0, a1, b0, b1, similarity) that are similar enough, by the shingles of both texts."""
     sides = found.select("link", F.explode(F.array(F.struct(F.col("row").alias("d"), F.lit(0).alias("side"), "lo", "hi"), F.struct(F.col("other").alias("d"), F.lit(1).alias("side"), (F.col("lo") - F.col("shift")).alias("lo"), (F.col("hi") - F.col("shift")).alias("hi")))).alias("x")).select(F.col("x.d").alias("d"), F.struct("link", "x.side", "x.lo", "x.hi").alias("want"))
     # A document's wanted passages are in lists of about 256, so that a document that many are laid against is several rows.
     many = stored(sides.groupBy("d").agg(F.count(F.lit(1)).alias("n")))
@@ -408,8 +499,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     own = texts.select("row", "text").join(F.broadcast(needed), "row", "left_semi") if small_enough(needed, 40) else texts.select("row", "text")  # fewer texts to shuffle while their keys are few
     parts = wanted.join(own.dropDuplicates(["row"]), F.col("d") == F.col("row")).select("wanted", "text").mapInArrow(_slices, "link long, side int, s array<int>")
     both = parts.groupBy("link").agg(F.collect_list(F.struct("side", "s")).alias("p")).where("size(p) = 2")  # two by construction
-    close = both.mapInArrow(lambda b: _verified(b, similarity), "link long, a0 int, a1 int, b0 int, b1 int, similarity double")
-    near = found.join(close, "link").select("doc_id", (F.col("lo") + F.col("a0")).alias("first_word"), (F.col("lo") + F.col("a1") + WORDS - 1).alias("last_word"), "other_id", (there + F.col("b0")).alias("other_first_word"), (there + F.col("b1") + WORDS - 1).alias("other_last_word"), F.round("similarity", 6).alias("similarity"))
+    return both.mapInArrow(lambda b: _verified(b, similarity), "link long, a0 int, a1 int, b0 int, b1 int, similarity double")
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs of passages: doc_id, first_word, last_word, other_id, other_first_word, other_last_word, similarity.
+
+    Of equal passages each is laid on the first one (similarity 1), and first ones on each other where they are similar."""
+    texts = _rows(docs, id_col, text_col)
+    every = _intervals(links(texts))
+    there = F.col("lo") - F.col("shift")
+    equal = every.where("equal").select("doc_id", F.col("lo").alias("first_word"), (F.col("hi") + WORDS - 1).alias("last_word"), "other_id", there.alias("other_first_word"), (there + F.col("hi") - F.col("lo") + WORDS - 1).alias("other_last_word"), F.lit(1.0).alias("similarity"))
+    found = every.where("NOT equal")
+    near = found.join(_close(found, texts, similarity), "link").select("doc_id", (F.col("lo") + F.col("a0")).alias("first_word"), (F.col("lo") + F.col("a1") + WORDS - 1).alias("last_word"), "other_id", (there + F.col("b0")).alias("other_first_word"), (there + F.col("b1") + WORDS - 1).alias("other_last_word"), F.round("similarity", 6).alias("similarity"))
     return equal.where(f"last_word - first_word >= {SPAN + WORDS - 2}").unionByName(near)
 
 
@@ -419,3 +521,84 @@ def both_sides(found: DataFrame) -> DataFrame:
     others = ["other_id", "other_first_word", "other_last_word"]
     seen = [F.struct(*(F.col(x).alias(n) for x, n in zip(side, names + others, strict=True))) for side in (names + others, others + names)]
     return found.select(F.explode(F.array(*seen)).alias("p"), "similarity").select("p.*", "similarity")
+
+
+def _hot_trees(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As _trees_of() has them, the equal rows and a forest of the classes of hot signatures; and the classes that may be similar to others, for _across().
+
+    Classes are dealt into blocks of about HOT, and the roots of their trees again, while that leaves half of them or fewer."""
+    classes = stored(windows.groupBy("sig", "x").agg(F.min(F.struct("doc_id", "row", "c", "hi")).alias("one"), F.first("sk").alias("sk")).select("sig", "x", "one.*", "sk"))
+    equal = windows.select("sig", "x", "row").join(classes.select("sig", "x", F.col("row").alias("other")), ["sig", "x"]).where("row <> other").select("row", "other")
+    found = [stored(equal)]
+    asking = level = _asking(classes)
+    n = level.count()
+    while n:
+        sizes = F.broadcast(stored(level.groupBy("sig").agg((1 + F.expr(f"count(*) div {HOT}")).alias("blocks"))))  # of hot signatures only
+        keyed = level.join(sizes, "sig").select(F.expr("xxhash64(sig, pmod(xxhash64(x), blocks))").alias("sig"), "x", "doc_id", "row", "c", "hi", "sk")
+        trees = stored(keyed.repartition("sig").sortWithinPartitions("sig", "x").mapInArrow(lambda b: _brought_together(b, lambda *w: _trees_of(*w, whole=True)), _TREE))
+        found.append(trees.where("other IS NOT NULL").drop("sk"))
+        keys = sizes.where("blocks > 1").select(F.col("sig").alias("of"), F.explode(F.expr("transform(sequence(0, blocks - 1), k -> xxhash64(sig, k))")).alias("sig"))
+        level = trees.where("other IS NULL").join(F.broadcast(keys), "sig").select(F.col("of").alias("sig"), "x", "doc_id", "row", "c", "hi", "sk")
+        before, n = n, level.count()
+        if 2 * n > before:
+            break
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found), asking
+
+
+def _across(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """All similar pairs of classes of one group (g, x, doc_id, row, c, hi, sk) of which the rows are of different labels, as links.
+
+    In a group those of its commonest label aren't laid on each other; the others are laid on all, in blocks."""
+    named = stored(classes.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row")))
+    counts = stored(named.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n")))
+    mixed = stored(counts.groupBy("g").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).where("labels > 1").select("g", "n", F.col("most.label").alias("most"), F.col("most.n").alias("n_most")))
+    if mixed.isEmpty():
+        return mixed.sparkSession.createDataFrame([], _LINK)
+    held = F.array_sort(F.collect_list(F.struct("x", "doc_id", "row", "c", "hi", "label", "sk")))
+    there = stored(named.join(mixed, "g"))
+    ours = there.where("label <> most").groupBy("g", F.expr(f"pmod(xxhash64(x), 1 + (n - n_most) div {BLOCK})").alias("block")).agg(held.alias("a"))
+    every = there.groupBy("g", F.expr(f"pmod(xxhash64(x, 1), 1 + n div {BLOCK})").alias("block")).agg(held.alias("b"))
+    return stored(ours.drop("block").join(every.drop("block"), "g").select("a", "b").mapInArrow(_laid_across, _LINK))
+
+
+def _laid_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of two lists of classes: the links between similar ones of different labels."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            a, b = (pa.array(batch.column(i)[k].values) for i in (0, 1))
+            (la, sa), (lb, sb) = ((v.field("label").to_numpy(), _sketches(v.field("sk"))) for v in (a, b))
+            at = [np.stack((np.full(len(hit), i), hit), 1) for i in range(len(la)) if len(hit := (o := np.flatnonzero(lb != la[i]))[similar(np.broadcast_to(sa[i], (len(o), sa.shape[1])), sb[o])])]
+            i, j = np.concatenate([np.zeros((0, 2), np.int64), *at]).T
+            yield pa.RecordBatch.from_arrays([*(v.field(name).take(pa.array(p)) for v, p in ((a, i), (b, j)) for name in ("doc_id", "row", "c", "hi")), pa.array(np.zeros(len(i), bool))], ["doc_id", "row", "c", "hi", "other_id", "other", "oc", "ohi", "equal"])
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row for each document: doc_id, class_id (the smallest id reachable by pairs of similar passages, its own included; null for a null id).
+
+    The classes are those of all pairs, without all pairs being laid out: of each signature a spanning forest of what is similar is verified first,
+    and then every similar pair that this leaves in different classes."""
+    texts = _rows(docs, id_col, text_col)
+    dealt, hot = _found_windows(texts)
+    found = stored(dealt.mapInArrow(lambda b: _brought_together(b, _trees_of), _TREE))
+    group = found.where("sk IS NOT NULL").select(F.xxhash64("sig", "tree").alias("g"), "x", "doc_id", "row", "c", "hi", "sk")
+    if hot is not None:
+        more, asking = _hot_trees(hot)
+        found = found.drop("sk").unionByName(more, allowMissingColumns=True)
+        group = group.unionByName(asking.withColumnRenamed("sig", "g"))
+
+    def labelled(edges: DataFrame) -> DataFrame:
+        """(row, label) of edges (row, other): the least row that each reaches."""
+        return stored(components(edges.select(F.lit(0).cast("long").alias("g"), F.col("row").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("row"), F.col("component").alias("label")))
+
+    def verified(links: DataFrame) -> DataFrame:
+        every = _intervals(links)
+        return every.join(_close(every, texts, similarity).select("link").distinct(), "link", "left_semi").select("row", "other")
+
+    tree = found.where("c IS NOT NULL AND other <> row").select("doc_id", "row", "c", "hi", "other_id", "other", "oc", "ohi", F.lit(False).alias("equal"))
+    labels = labelled(found.where("c IS NULL").select("row", "other").unionByName(verified(tree)))
+    across = _across(group, labels)
+    if not across.isEmpty():
+        labels = labelled(labels.select("row", F.col("label").alias("other")).unionByName(verified(across)))
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row"))
+    placed = stored(every.join(labels, "row", "left").select("doc_id", F.coalesce("label", "row").alias("label")))
+    return placed.join(placed.groupBy("label").agg(F.min("doc_id").alias("class_id")), "label").select("doc_id", "class_id")

@@ -76,7 +76,8 @@ def _ended(pdf: pd.DataFrame) -> pd.DataFrame:
         if roots.join((g, x), (g, y)):
             rows.append((g, a, b, w, None, None))
     rows += [(x[0], None, None, None, x[1], roots.of(x)[1]) for x in list(roots.parent)]
-    return pd.DataFrame(rows, columns=["g", "a", "b", "w", "x", "top"]).astype({"a": "Int64", "b": "Int64", "x": "Int64", "top": "Int64"})
+    found = pd.DataFrame(rows, columns=["g", "a", "b", "w", "x", "top"], dtype=object)  # nulls must not make longs into doubles
+    return found.astype({"g": "int64", "a": "Int64", "b": "Int64", "w": "float64", "x": "Int64", "top": "Int64"})
 
 
 def components(edges: DataFrame, rest: int = REST) -> DataFrame:

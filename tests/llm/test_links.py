@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from newsloom.llm import substring_dedup
+from newsloom.llm import queries, substring_dedup
+from newsloom.operators.components import components
 
 
 def _words(rng, n):
@@ -52,3 +53,41 @@ def test_similar_part_of_a_stretch_that_is_not():
     found = substring_dedup.passages(a, b, 0.8)
     assert len(whole) == 8 and all(s >= 0.8 for *_, s in found)
     assert all(any(lo <= y and x <= hi for lo, hi, *_ in found) for x, y in whole)
+
+
+@pytest.mark.parametrize("hot", [1_000, 5])
+def test_classes_are_those_of_all_pairs(spark, tmp_path, monkeypatch, hot):
+    """One row for each document, however many pairs: variants by one word, a chain whose ends are not similar, copies, strangers, a null id."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "BLOCK", 8)
+    rng = random.Random(8)
+    base, chain, texts = _words(rng, 100), _words(rng, 90), []
+    for _ in range(30):
+        at = rng.randint(0, 99)
+        texts.append(_words(rng, 20) + base[:at] + _words(rng, 1) + base[at + 1 :] + _words(rng, 20))
+    for k in (10, 30, 50, 70, 85):
+        texts.append(_words(rng, 20) + chain + _words(rng, 20))
+        chain = chain[:k] + _words(rng, 1) + chain[k + 1 :]
+    texts += [texts[0], texts[31], *(_words(rng, 90) for _ in range(5)), [], _words(rng, 3)]
+    docs = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(None, " ".join(texts[0])), (0, " ".join(texts[0]))]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    root = list(range(len(texts)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for r in substring_dedup.repeats(table).collect():
+        a, b = top(r["doc_id"]), top(r["other_id"])
+        root[max(a, b)] = min(a, b)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op4_substring_dedup(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in found if r["doc_id"] is not None) == sorted([(k, top(k)) for k in range(len(texts))] + [(0, 0)])
+    assert [r["class_id"] for r in found if r["doc_id"] is None] == [None] and {top(k) for k in range(30)} == {0} and {top(k) for k in range(30, 35)} == {30}
+
+
+def test_components_of_large_names(spark):
+    """Names beyond 2^53 are not rounded."""
+    edges = spark.createDataFrame([(0, 2**62 + 1, 2**62 + 2), (0, 2**62 + 3, 2**62 + 2), (0, 2**62 + 5, 2**62 + 4)], "g long, a long, b long")
+    assert {(r["node"] - 2**62, r["component"] - 2**62) for r in components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
