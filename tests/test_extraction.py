@@ -26,6 +26,13 @@ def test_paths(path, want):
     assert X.select(X.tree(PAGE), path) == want
 
 
+def test_a_reference_ends_in_a_semicolon():
+    page = '<h1>a &amp;&amp b&amp</h1><a href="/x?a=1&copy=2&amp;b=&quot;">&ampx; &quot;c&#38;d &lt; R&D &</a><script>x&amp;y&amp z</script>'
+    assert X.select(X.tree(page), "//h1//text()") == ["a &&amp b&amp"]
+    assert X.select(X.tree(page), "//a/text()") == ['&ampx; "c&d < R&D &'] and X.select(X.tree(page), "//a/@href") == ['/x?a=1&copy=2&b="']
+    assert X.select(X.tree(page), "//script/text()") == ["x&amp;y&amp z"]
+
+
 def test_every_outlet(spark):
     pages = spark.createDataFrame([(i, i, f"u{i}", PAGE) for i in range(1, 14)] + [(20, 7, None, None), (21, 4, "u", '<p class="date-container">Publicat <b>5.6.2024</b></p><div class="author-sm"> Ana </div>'), (22, 5, "u", '<h2>T</h2><li class="article-date">Data: 03-04-2024 05:06</li>'), (23, 1, "u", '<div class="news__publish">Luni, 7 mai 2024 ora 08:09</div>')], "page_id long, outlet_id int, url string, html string")
     found = {r["page_id"]: r for r in X.extract(pages, X.rules(spark)).collect()}
