@@ -137,7 +137,8 @@ def spans(words: DataFrame) -> DataFrame:
 def plausible(text: Column, label: Column, rules: str = "tagger") -> Column:
     """[G12] Whether a span can be a name. tagger: at most 60 characters, no asterisk, no leading noise word, places of at most 6 words.
     parser: at most 40 characters, no slash, no noise word, places of at most 5 words, agencies blocked too."""
-    clean, low = F.trim(F.coalesce(text, F.lit(""))), F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    clean = F.trim(F.coalesce(text, F.lit("")))
+    low = F.lower(F.translate(clean, "İ", "i"))  # lower() makes an i and a dot of it, which would hide a blocked name
     n_words = F.size(F.array_remove(F.split(clean, r"\s+"), ""))
     noise = F.upper(clean).isin(NOISE)
     if rules == "tagger":

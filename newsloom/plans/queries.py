@@ -792,7 +792,8 @@ _BLOCKED = " OR ".join(f"contains(lower(t), '{b}')" for b in N.BLOCKED)
 
 @query(oracle(f"{_SPANS} SELECT article_id, start, t AS entity_text FROM (SELECT article_id, start, trim({_ODD}) AS t, entity_label FROM s) WHERE regexp_matches(t, '^\\p{{Lu}}') AND length(t) <= 60 AND NOT contains(t, '*') AND upper(t) NOT IN ('INTERVIU', 'EXCLUSIV', 'FOTO', 'UPDATE', 'VIDEO', 'DOCUMENT', 'LIVE', 'BREAKING') AND NOT starts_with(upper(t), 'VIDEO ') AND (entity_label <> 'ORGANIZATION' OR NOT ({_BLOCKED}))"))
 def plausible_spans(n: News) -> DataFrame:
-    named = _spans(n).withColumn("entity_text", F.trim(F.expr(_ODD)))
+    cased = _spans(n).withColumns({"high": T.capitals(F.col("entity_text")), "initial": T.capitals(F.substring("entity_text", 1, 1))})
+    named = cased.withColumn("entity_text", F.trim(F.expr(_ODD.replace("upper(entity_text)", "high").replace("upper(substr(entity_text, 1, 1))", "initial"))))
     return named.where(N.plausible(F.col("entity_text"), F.col("entity_label"))).select("article_id", "start", "entity_text")
 
 

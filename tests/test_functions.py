@@ -3,6 +3,7 @@
 import math
 from datetime import datetime
 
+import duckdb
 import pytest
 
 from pyspark.sql import functions as F
@@ -12,8 +13,10 @@ from newsloom.operators import clustering as C
 from newsloom.operators import entities as N
 from newsloom.operators import graph as G
 from newsloom.operators import sinks
+from newsloom.plans import queries as plans
 from newsloom.plans import schedule
 from newsloom.streaming import ingest
+from tests.conftest import DATA
 
 SINGLE, DOUBLE, TRAILING = ["premierul", "președintele", "ministrul"], ["fostul premier"], ["președinte"]
 
@@ -70,6 +73,25 @@ def test_span_rules_of_the_parser(spark):
     assert {(r["t"], r["l"]): r["o"] for r in df.collect()} == given
 
 
+def test_spans_have_one_capital_for_each_letter(spark, duck):
+    given = ["".join(T.SINGLE), "straße", "ß", "ßa", "aﬁ ŉb", "", None, "ǆ čă 𐐨"]
+    df = spark.createDataFrame(list(enumerate(given)), "i int, t string")
+    want = {i: duck.execute("SELECT upper(?)", [t]).fetchall()[0][0] for i, t in enumerate(given)}
+    assert {r["i"]: r["o"] for r in df.select("i", T.capitals(F.col("t")).alias("o")).collect()} == want and want[1] == "STRAẞE"
+    blocked = spark.createDataFrame([("DİGİ 24",), ("Dacia",)], "t string").select("t", N.plausible(F.col("t"), F.lit("ORGANIZATION")).alias("o"))
+    assert {r["t"]: r["o"] for r in blocked.collect()} == {"DİGİ 24": False, "Dacia": True}
+
+
+def test_plausible_spans_of_sharp_letters(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "x ßer ench", "src1", "de", 10), (2, "ßabcdef ßtttttt a", "src1", "de", 17), (3, "a b Großer x", "src1", "de", 12)], "doc_id long, text string, source string, lang string, n_chars long")
+    con = duckdb.connect()
+    for t, df in {"documents": docs, **{t: spark.read.parquet(f"{DATA}/sf0.001/{t}.parquet") for t in ("embeddings", "labels")}}.items():
+        df.write.parquet(f"{tmp_path}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    found = {tuple(r) for r in plans.QUERIES["plausible_spans"](spark, str(tmp_path)).collect()}
+    assert found == set(con.execute(plans.SQL["plausible_spans"]).fetchall()) and any("ẞ" in r[2] for r in found)
+
+
 def test_spans_end_where_the_label_changes(spark):
     tags = ["O", "I-PERSON", "B-PERSON", "I-PERSON", "I-ORG", "I-PERSON", "B-ORG", "B-FACILITY", "I-FACILITY", "B-DATE", "O"]
     words = spark.createDataFrame([(1, i, f"w{i}", t) for i, t in enumerate(tags)], "article_id int, pos int, text string, tag string")
