@@ -20,4 +20,5 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def l2_normalize(a: Column) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / F.nullif(norm(a), F.lit(0.0)))
+    """The length is bound once; within the inner lambda it would be summed for each element."""
+    return F.get(F.transform(F.array(F.nullif(norm(a), F.lit(0.0))), lambda n: F.transform(a, lambda x: x.cast("double") / n)), F.lit(0))

@@ -116,7 +116,7 @@ def topics(rows: DataFrame, *, samples: int = 5, least: int = 10, k: int = 15, p
     share = rows.groupBy("g", "outlet_id").agg(F.count(F.lit(1)).alias("of")).join(n, "g").select("g", "outlet_id", (1 + penalty * F.col("of") / F.col("n")).alias("factor"))
     feature = temporal_feature(rows.withColumnRenamed("g", "cluster_id"), weight).select(F.col("cluster_id").alias("g"), "id", "feature")
     whole = rows.join(feature, ["g", "id"]).join(share, ["g", "outlet_id"])
-    index = neighbours.build(neighbours.prepared(whole, "id", F.col("feature"), F.col("g"), F.col("outlet_id"), F.col("factor")), cells)
+    index = neighbours.build(checkpointed(neighbours.prepared(whole, "id", F.col("feature"), F.col("g"), F.col("outlet_id"), F.col("factor"))), cells)
     near = checkpointed(neighbours.nearest(index, index.rows.drop("cell"), max(k, samples), exact=exact, same=True))
     found = checkpointed(clusters(near, samples, least, rest))
     names = numbered(found.select("g", "cluster").distinct(), ["g", "cluster"], "label")

@@ -65,6 +65,38 @@ def test_empty_index(spark, points):
     assert N.nearest(empty, rows.limit(3), 2, exact=True).count() == 0
 
 
+def test_a_vector_goes_once_to_each_run(points, monkeypatch):
+    """However many cells are near: before, it went to each of the 39 cells."""
+    _, rows = points
+    index, blocks, sent = N.build(rows), N._blocks, []
+
+    def counted(asked, held, block):
+        sent.append(asked.count())
+        return blocks(asked, held, block)
+
+    monkeypatch.setattr(N, "_blocks", counted)
+    N.linked(index, 3.0).count()
+    N.nearest(index, rows, 7, exact=True, same=True).count()
+    assert sent == [1500, 1500, 0]
+    del sent[:]
+    N.nearest(index, rows, 7, exact=True, same=True, block=300).count()  # the groups have 500 and 1,000 rows
+    assert sent[0] == 1500 and sum(sent) <= 500 * 2 + 1000 * 4
+
+
+def test_forest_of_a_block():
+    near = np.random.default_rng(1).random((60, 50)) < 0.03
+
+    def parts(pairs):
+        roots = K.Roots()
+        new = [roots.join(int(i), 100 + int(j)) for i, j in pairs]
+        return {x: roots.of(x) for x in list(roots.parent)}, new
+
+    every, _ = parts(np.argwhere(near))
+    found, new = parts(N._tied(near))
+    assert found == every and all(new) and len(new) < near.sum()
+    assert N._tied(np.zeros((2, 3), bool)) == []
+
+
 def test_linked_components(points):
     v, rows = points
     index = N.build(rows.withColumns({"g": F.lit(0).cast("long")}), cells=9)
