@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators.sinks import checkpointed
 
-#: Edges of a contracted graph that one task takes to their end; more go through further rounds.
+#: Edges of a group's contracted graph that one task takes to their end; more go through further rounds.
 REST = 200_000
 
 
@@ -36,13 +36,20 @@ def spanning_forest(edges: DataFrame, rest: int = REST) -> tuple[DataFrame, Data
     """The least spanning forest (g, a, b, w) of edges (g, a, b, w) and (g, node, component) of their nodes, the component by its least node.
 
     Each round every component takes its least edge outwards (of equal weights the one of least ends, so that there are no circles), hooked components are
-    contracted by pointer jumping, and edges within one go: at most half of the components are left. A group's rows are never gathered, and its edges
-    combine on the map side. What is left of all groups is ended in one task once it has ``rest`` edges or fewer. Nodes without an edge to another don't occur."""
+    contracted by pointer jumping, and edges within one go: at most half of the components are left. The rows of a large group are never gathered, and its edges
+    combine on the map side. Once no group has more than ``rest`` edges left, they are ended by tasks of whole groups, about ``rest`` edges each. Nodes without an
+    edge to another don't occur."""
     ordered = edges.where("a <> b").select("g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("g", "a", "b").agg(F.min("w").alias("w"))
     now = checkpointed(ordered.select("g", F.col("a").alias("x"), F.col("b").alias("y"), "a", "b", "w"))
     nodes = now.select("g", F.explode(F.array("a", "b")).alias("node")).distinct()
     maps, forest = [], []
-    while (n := now.count()) > rest:
+
+    def left(edges: DataFrame) -> tuple[int, int]:
+        """The edges of all groups and of the largest."""
+        found = edges.groupBy("g").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+        return found["n"] or 0, found["most"] or 0
+
+    while (n := left(now))[1] > rest:
         ends = now.unionByName(now.select("g", F.col("y").alias("x"), F.col("x").alias("y"), "a", "b", "w"))
         best = checkpointed(ends.groupBy("g", "x").agg(F.min(F.struct("w", "a", "b", "y")).alias("e")).select("g", "x", F.col("e.y").alias("to"), "e.a", "e.b", "e.w"))
         forest.append(best.select("g", "a", "b", "w").distinct())
@@ -57,8 +64,9 @@ def spanning_forest(edges: DataFrame, rest: int = REST) -> tuple[DataFrame, Data
         maps.append(parent)
         y = parent.select("g", F.col("x").alias("y"), F.col("to").alias("y2"))
         now = checkpointed(now.join(parent, ["g", "x"]).join(y, ["g", "y"]).where("to <> y2").select("g", F.col("to").alias("x"), F.col("y2").alias("y"), "a", "b", "w"))
-    if n:
-        ended = checkpointed(now.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_ended, "g long, a long, b long, w double, x long, top long"))
+    if n[0]:
+        tasks = 1 if n[0] <= rest else -(-4 * n[0] // rest)  # small groups share one
+        ended = checkpointed(now.withColumn("task", F.pmod(F.xxhash64("g"), F.lit(tasks))).groupBy("task").applyInPandas(_ended, "g long, a long, b long, w double, x long, top long"))
         forest.append(ended.where("top IS NULL").select("g", "a", "b", "w"))
         maps.append(ended.where("top IS NOT NULL").select("g", "x", F.col("top").alias("to")))
     place = nodes.withColumn("component", F.col("node"))

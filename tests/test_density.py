@@ -133,6 +133,15 @@ def test_spanning_forest(spark, rest):
     assert {(r["g"], r["node"]): (r["g"], r["component"]) for r in place.collect()} == {x: root(x) for x in list(parent)}
 
 
+def test_groups_are_ended_by_tasks_of_their_own(spark, monkeypatch):
+    """Groups of at most ``rest`` edges need no rounds, however many groups there are: before, all groups together had to have so few."""
+    written, checkpointed = [], K.checkpointed
+    monkeypatch.setattr(K, "checkpointed", lambda df: written.append(1) or checkpointed(df))
+    edges = spark.range(400).select((F.col("id") % 20).alias("g"), F.col("id").alias("a"), (F.col("id") + 20 * (F.col("id") % 3)).alias("b"), (F.col("id") % 7).cast("double").alias("w"))
+    found = {rest: [{tuple(r) for r in x.collect()} for x in K.spanning_forest(edges, rest)] + [len(written)] for rest in (10**6, 20)}
+    assert found[20][:2] == found[10**6][:2] and found[10**6][2] == 2 and found[20][2] == 4
+
+
 def plain_hierarchy(far, samples, least):
     """Clusters of the condensed tree by the definition, from the top: cut the longest edge, keep what has ``least`` members, choose by stability. far: all distances."""
     n = len(far)
